@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quorate.functions.columns import (add, count_present, elements, exceeds, greatest_present, least_present,
                                        mean_present, positive, ratio, sum_present)
+from quorate.functions.rows import literal_rows
 from quorate.operators import ordering
 
 
@@ -41,7 +42,7 @@ class ModelDims:
         return out
 
     def frame(self, spark) -> DataFrame:
-        return spark.createDataFrame(self.rows(), "model_id int, view string, level string")
+        return literal_rows(spark, self.rows(), "model_id int, view string, level string")
 
 
 def to_long(scores: DataFrame, keep: list[str]) -> DataFrame:
@@ -108,7 +109,7 @@ def sweep(df: DataFrame, score: str, label: str, grid: list[float], inclusive: b
     cell = add([F.when(hit(t), 1).otherwise(0) for t in grid])
     cells = df.where(F.col(score).isNotNull()).groupBy(cell.alias("cell")).agg(
         positive(F.col(label) == 1).alias("pos"), positive(F.col(label) == 0).alias("neg"))
-    grid_rows = df.sparkSession.createDataFrame([(i + 1, float(t)) for i, t in enumerate(grid)], "idx int, thr double")
+    grid_rows = literal_rows(df.sparkSession, [(i + 1, float(t)) for i, t in enumerate(grid)], "idx int, thr double")
     # cells and grid both have at most len(grid) + 1 rows
     joined = F.broadcast(grid_rows).join(cells, F.lit(True), "cross")
     above = F.col("cell") >= F.col("idx")
