@@ -167,8 +167,8 @@ VEC = ("vec as (select vec_id as sample_id, embedding::double[] as vec, (label%2
 VECL = VEC + ", vl as (select sample_id, y, period, unnest(vec) as x, generate_subscripts(vec,1)-1 as dim from vec)"
 TOKENS = ("tok as (select * from (select doc_id as sample_id, unnest(string_split(lower(text),' ')) as token, "
           "generate_subscripts(string_split(lower(text),' '),1)-1 as pos from documents) where token<>'')")
-BYTES = ("hx as (select doc_id as sample_id, hex(encode(text)) as h, octet_length(encode(text)) as n from documents), "
-         "bt as (select sample_id, i::bigint as pos, ('0x'||substr(h,(2*i+1)::bigint,2))::integer as b from hx, lateral (select unnest(range(n)) as i) u)")
+BYTES = ("bt as (select doc_id as sample_id, ('0x'||unnest(regexp_extract_all(hex(encode(text)),'..')))::integer as b, "
+         "generate_subscripts(regexp_extract_all(hex(encode(text)),'..'),1)-1 as pos from documents)")
 EDGES = "e as (select distinct (l_orderkey%50)::integer as graph, l_suppkey as src, l_partkey%100 as dst from lineitem)"
 DETECT = ("det as (select cast(ts as date)::varchar as period, avg(value) as m, max(value) as hi from events group by 1), "
           "dt as (select period, m, m>9.9 as main, m>10.1 as d1, m>9.7 as d2, hi>60 as d3 from det)")
