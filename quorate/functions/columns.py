@@ -14,6 +14,11 @@ def elements(array: str | Column, size: int) -> list[Column]:
     return [F.get(col, F.lit(i)) for i in range(size)]
 
 
+def stored(cols: list[Column]) -> Column:
+    """An array the planner keeps as one computed column instead of copying its entries into every later use."""
+    return F.slice(F.array(*cols), F.lit(1), F.lit(len(cols)))
+
+
 def add(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 

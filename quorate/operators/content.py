@@ -9,11 +9,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quorate.functions.columns import positive
 
 CHUNK = 1 << 16
 BLOCK = 1024
+CODE_COUNTS = T.ArrayType(T.StructType([T.StructField("code", T.IntegerType()), T.StructField("n", T.LongType())]))
 
 
 def chunks(df: DataFrame, key: str, content: str, size: int = CHUNK, overlap: int = 0) -> DataFrame:
@@ -24,7 +26,7 @@ def chunks(df: DataFrame, key: str, content: str, size: int = CHUNK, overlap: in
     return df.select(key, F.posexplode(parts).alias("chunk", "part"))
 
 
-@F.pandas_udf("array<struct<code:int,n:bigint>>")
+@F.pandas_udf(CODE_COUNTS)
 def _byte_counts(parts: pd.Series) -> pd.Series:
     import numpy as np
 
@@ -35,7 +37,7 @@ def _byte_counts(parts: pd.Series) -> pd.Series:
     return parts.map(one)
 
 
-@F.pandas_udf("array<struct<code:int,n:bigint>>")
+@F.pandas_udf(CODE_COUNTS)
 def _pair_counts(parts: pd.Series) -> pd.Series:
     import numpy as np
 
@@ -46,7 +48,7 @@ def _pair_counts(parts: pd.Series) -> pd.Series:
     return parts.map(one)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _block_entropies(parts: pd.Series) -> pd.Series:
     import numpy as np
 

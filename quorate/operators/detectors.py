@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorate.functions.columns import add, binary_entropy, count_present, elements, exceeds, least_present, mean_present, seeded_order, spread_present
+from quorate.functions.columns import add, binary_entropy, elements, exceeds, mean_present, seeded_order, spread_present, stored
 from quorate.operators import ordering
 from quorate.operators.scores import disagreement_rate
 from quorate.operators.statistics import kolmogorov_p
@@ -92,7 +92,7 @@ def reconstruction_error(df: DataFrame, axes: DataFrame, size: int, keep: list[s
     """Distance between a centred score row and its projection on the axes."""
     k = min(max(2, int(size * share)), size - 1)
     d = _one(df, axes)
-    d = d.withColumn("__c", F.array(*[x - F.get("mu", F.lit(i)) for i, x in enumerate(_full(df, size))]))
+    d = d.withColumn("__c", stored([x - F.get("mu", F.lit(i)) for i, x in enumerate(_full(df, size))]))
     c = elements("__c", size)
     proj = [add([c[i] * F.get(F.get("axes", F.lit(a)), F.lit(i)) for i in range(size)]) for a in range(k)]
     left = add([x * x for x in c]) - add([p * p for p in proj])

@@ -12,8 +12,9 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quorate.functions.columns import add, elements, exceeds, greatest_present, mean_present, ratio, spread_present
+from quorate.functions.columns import add, elements, exceeds, greatest_present, mean_present, ratio, spread_present, stored
 from quorate.operators.ordering import Measure, running, unit_digits
 from quorate.operators.scores import ModelDims
 
@@ -75,10 +76,10 @@ def with_loadings(spec: DataFrame, dims: ModelDims, count: Column) -> DataFrame:
         return F.aggregate(_components(count), F.lit(0.0), lambda acc, c: acc + _view_load(c, models))
 
     views = [load(m) for m in dims.views.values()]
-    out = spec.withColumn("view_loadings", F.array(*views))
+    out = spec.withColumn("view_loadings", stored(views))
     names = list(dims.views)
     levels = [add([F.get("view_loadings", F.lit(names.index(v))) for v in vs]) / float(len(vs)) for vs in dims.levels.values()]
-    out = out.withColumn("level_loadings", F.array(*levels))
+    out = out.withColumn("level_loadings", stored(levels))
     total = F.aggregate("level_loadings", F.lit(0.0), lambda a, x: a + x) + 1e-10
     return out.withColumn("level_share", F.transform("level_loadings", lambda x: x / total))
 
@@ -142,7 +143,7 @@ def detect_drift(spec: DataFrame, calib: DataFrame, dims: ModelDims, by: list[st
         "drift_detected": F.col("r") > 0,
         "spectral_gap": F.when((F.col("r") >= 2) & (l2 > 1e-10), l1 / l2).when(F.col("r") == 1, l1 / floor_tau).otherwise(0.0),
         "confidence": F.when(F.col("r") > 0, l1 / floor_tau).otherwise(0.0),
-        "level_z": F.array(*[(at("level_loadings", i) - at("level_mu", i)) / at("level_sd", i) for i in range(len(dims.levels))]),
+        "level_z": stored([(at("level_loadings", i) - at("level_mu", i)) / at("level_sd", i) for i in range(len(dims.levels))]),
         "mechanism_strengths": F.slice("eigenvalues", F.lit(1), F.col("r"))})
     over = _names([at("view_loadings", i) > at("view_mu", i) + 3 * at("view_sd", i) for i in range(len(names))], names)
     lead = F.array_sort(F.array(*[F.struct((-F.get(at("weights", 0), F.lit(m))).alias("w"), F.lit(-m).alias("m"), F.lit(dims.views_of[m]).alias("v")) for m in range(k)]))
@@ -157,7 +158,7 @@ def detect_drift(spec: DataFrame, calib: DataFrame, dims: ModelDims, by: list[st
     return j
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _sine_to_span(vec: pd.Series, history: pd.Series) -> pd.Series:
     import numpy as np
 
@@ -219,9 +220,9 @@ def view_dispersion(scores: DataFrame, dims: ModelDims) -> DataFrame:
     """Add ``disp``: spread of the present models per view; a view with one model uses its distance from 0.5."""
     s = elements("scores", dims.size)
     groups = list(dims.views.values())
-    df = scores.withColumn("__means", F.array(*[mean_present([s[k] for k in g]) for g in groups]))
+    df = scores.withColumn("__means", stored([mean_present([s[k] for k in g]) for g in groups]))
     disp = [F.abs(s[g[0]] - 0.5) if len(g) == 1 else spread_present([s[k] for k in g], F.get("__means", F.lit(i))) for i, g in enumerate(groups)]
-    return df.withColumn("disp", F.array(*disp)).drop("__means")
+    return df.withColumn("disp", stored(disp)).drop("__means")
 
 
 def calibrate_samples(dispersed: DataFrame, dims: ModelDims, by: list[str] = []) -> DataFrame:
@@ -243,7 +244,7 @@ def score_samples(dispersed: DataFrame, calib: DataFrame, dims: ModelDims, by: l
     df = attach(dispersed, calib, by)
     at = lambda c, i: F.get(c, F.lit(i))
     z = [F.coalesce(F.greatest((at("disp", i) - at("disp_mu", i)) / at("disp_sd", i), F.lit(0.0)), F.lit(0.0)) for i in range(len(names))]
-    df = df.withColumn("__z", F.array(*z))
+    df = df.withColumn("__z", stored(z))
     levels = list(dims.levels)
     df = df.withColumns({f"ev_{lv}": add([at("__z", names.index(v)) for v in vs]) / float(len(vs)) for lv, vs in dims.levels.items()})
     ev = {lv: F.col(f"ev_{lv}") for lv in levels}
@@ -302,21 +303,21 @@ def conformal(cal: DataFrame, test: DataFrame, healthy: DataFrame, size: int, al
     return s.groupBy("period", "n_cal", "quantile", "bound").agg(F.avg("size").alias("mean_set_size"), F.avg("hit").alias("coverage"))
 
 
-def reweight(detected: Column, view_deltas: Column, dims: ModelDims) -> Column:
-    """Model weights lowered by view impact, equal when there is no drift or it hits all views alike."""
+def reweight(df: DataFrame, detected: Column, view_deltas: Column, dims: ModelDims, name: str = "weights") -> DataFrame:
+    """Add model weights lowered by view impact, equal when there is no drift or it hits all views alike."""
     k = dims.size
     names = list(dims.views)
     impact = [F.greatest(F.get(view_deltas, F.lit(names.index(v))), F.lit(0.0)) for v in dims.views_of]
-    top = greatest_present(impact)
-    rel = F.array(*[x / F.greatest(top, F.lit(1e-300)) for x in impact])
-    used = F.filter(rel, lambda x: x > 0.01)
-    n = F.size(used)
-    mean = F.aggregate(used, F.lit(0.0), lambda a, x: a + x) / F.greatest(n, F.lit(1))
-    var = F.aggregate(F.transform(used, lambda x: x * x), F.lit(0.0), lambda a, x: a + x) / F.greatest(n, F.lit(1)) - mean * mean
-    uniform = (n > 1) & (F.sqrt(F.greatest(var, F.lit(0.0))) / F.greatest(mean, F.lit(1e-8)) < 0.25)
-    raw = F.transform(rel, lambda x: F.greatest(F.lit(1.0) - F.sqrt(x) * 0.4, F.lit(0.5 / k)))
-    total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-    return F.when(~detected | (top < 1e-6) | uniform, F.array_repeat(F.lit(1.0 / k), k)).otherwise(F.transform(raw, lambda x: x / total))
+    out = df.withColumn("__i", stored(impact)).withColumn("__top", F.array_max("__i"))
+    out = out.withColumn("__rel", F.transform("__i", lambda x: x / F.greatest(F.col("__top"), F.lit(1e-300))))
+    out = out.withColumn("__used", F.filter("__rel", lambda x: x > 0.01)).withColumn("__n", F.size("__used"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    out = out.withColumn("__mean", total("__used") / F.greatest("__n", F.lit(1)))
+    out = out.withColumn("__var", total(F.transform("__used", lambda x: (x - F.col("__mean")) * (x - F.col("__mean")))) / F.greatest("__n", F.lit(1)))
+    uniform = (F.col("__n") > 1) & (F.sqrt("__var") / F.greatest("__mean", F.lit(1e-8)) < 0.25)
+    out = out.withColumn("__raw", F.transform("__rel", lambda x: F.greatest(F.lit(1.0) - F.sqrt(x) * 0.4, F.lit(0.5 / k)))).withColumn("__sum", total("__raw"))
+    weights = F.when(~detected | (F.col("__top") < 1e-6) | uniform, F.array_repeat(F.lit(1.0 / k), k)).otherwise(F.transform("__raw", lambda x: x / F.col("__sum")))
+    return out.withColumn(name, weights).drop("__i", "__top", "__rel", "__used", "__n", "__mean", "__var", "__raw", "__sum")
 
 
 def pseudo_labels(scores: DataFrame, healthy: list[int], size: int, thr: float = 0.85) -> DataFrame:

@@ -8,6 +8,7 @@ most of the rows.  Group columns must not be NULL.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,19 +40,14 @@ def hash_digits(hex_col: Column) -> list[Column]:
 
 
 def unit_digits(value: Column, levels: int = 2) -> list[Column]:
-    """Digits of a number in [0, 1]."""
-    out, rest = [], value.cast("double")
-    for _ in range(levels):
-        scaled = rest * RADIX
-        out.append(F.floor(scaled).cast("int"))
-        rest = scaled - F.floor(scaled)
-    return out
+    """Digits of a number in [0, 1]; every digit mentions the value once, which keeps plans small."""
+    v = value.cast("double")
+    return [F.floor(v * RADIX).cast("int")] + [(F.floor(v * float(RADIX ** (i + 1))) % RADIX).cast("int") for i in range(1, levels)]
 
 
 def real_digits(value: Column, levels: int = 2) -> list[Column]:
     """Digits of any real number, through a monotone map onto (0, 1)."""
-    v = value.cast("double")
-    return unit_digits(v / (F.lit(1.0) + F.abs(v)) * 0.5 + 0.5, levels)
+    return unit_digits(F.atan(value.cast("double")) / math.pi + 0.5, levels)
 
 
 def id_digits(value: Column) -> list[Column]:

@@ -12,6 +12,7 @@ from quorate.operators import drift as dr
 from quorate.operators import ordering
 from quorate.operators import scores as sc
 from quorate.operators.scores import ModelDims
+from quorate.session import reliable_table
 
 
 def frozen_calibration(d_train: DataFrame, dims: ModelDims, by: list[str] = [], alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
@@ -33,7 +34,8 @@ def period_report(scores: DataFrame, dims: ModelDims, train: list[int], evaluati
     base, calib = frozen_calibration(d.where(F.col("period").isin(train)), dims)
     det = detect_periods(d.where(F.col("period").isin(evaluation)), base, calib, dims)
     cal, test = scores.where(F.col("period").isin(train)), scores.where(F.col("period").isin(evaluation))
-    det = det.withColumn("weights", dr.reweight(F.col("drift_detected"), F.col("view_loadings"), dims))
+    # one small row per period feeds several joins below
+    det = reliable_table(dr.reweight(det, F.col("drift_detected"), F.col("view_loadings"), dims))
     s = elements("scores", k)
     # one small row of weights per period
     w = test.join(det.select("period", "weights", "healthy_models"), "period")
@@ -58,7 +60,6 @@ def adaptive_report(scores: DataFrame, dims: ModelDims, train: list[int], evalua
 
     The N-row disagreement is aggregated once and written to the shared folder; each step then works on K(K-1)/2 rows a period.
     """
-    from quorate.session import reliable_table
     d = reliable_table(sc.disagreement(scores, dims.size, ["period"]))
     history, out = list(train), None
     for p in evaluation:

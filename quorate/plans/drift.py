@@ -209,8 +209,8 @@ _IMP = {v: i for i, v in enumerate(VIEWS)}
 def reweight(spark, d):
     e = F.col("event_id")
     deltas = F.array(*[(e % (i + 2)).cast("double") / 10 - (e % 2) * F.lit(0.1) for i in range(len(VIEWS))])
-    ev = table(spark, d, "events").select("event_id", dr.reweight(e % 7 != 0, deltas, DIMS).alias("w"))
-    return rounded(ev.select("event_id", F.posexplode("w").alias("model_id", "weight")), "weight")
+    ev = dr.reweight(table(spark, d, "events").select("event_id"), e % 7 != 0, deltas, DIMS)
+    return rounded(ev.select("event_id", F.posexplode("weights").alias("model_id", "weight")), "weight")
 
 
 PSEUDO = ("v as (select sample_id, any_value(period) as period, any_value(y) as y, avg((score>=0.5)::integer) as p from l where model_id in (0,1,2,3,7) and score is not null group by 1), "

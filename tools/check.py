@@ -77,7 +77,7 @@ if __name__ == "__main__":
         try:
             took, n, res = compare(spark, folder, name, fn, sql)
         except Exception as exc:
-            took, n, res = 0.0, -1, "ERROR " + str(exc)[:700]
+            took, n, res = 0.0, -1, "ERROR " + str(exc)[:500]
         ok = res.startswith("ok") or res == "rows-only"
         bad += not ok
         print(f"{'   ' if ok else '!! '}{name:42s} {took:6.2f}s n={n:<8d} {res[:900]}", flush=True)
