@@ -16,6 +16,7 @@ from quorate.functions.columns import add, binary_entropy, elements, exceeds, me
 from quorate.operators import ordering
 from quorate.operators.scores import disagreement_rate
 from quorate.operators.statistics import kolmogorov_p
+from quorate.session import reliable_table
 
 
 def _one(df: DataFrame, row: DataFrame) -> DataFrame:
@@ -88,20 +89,18 @@ def principal_axes(cov: DataFrame, size: int, share: float = 0.5) -> DataFrame:
     return cov.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(solve, "mu array<double>, axes array<array<double>>")
 
 
-def reconstruction_error(df: DataFrame, axes: DataFrame, size: int, keep: list[str], share: float = 0.5) -> DataFrame:
+def reconstruction_error(df: DataFrame, axes: DataFrame, size: int, keep: list[str]) -> DataFrame:
     """Distance between a centred score row and its projection on the axes."""
-    k = min(max(2, int(size * share)), size - 1)
     d = _one(df, axes)
     d = d.withColumn("__c", stored([x - F.get("mu", F.lit(i)) for i, x in enumerate(_full(df, size))]))
-    c = elements("__c", size)
-    proj = [add([c[i] * F.get(F.get("axes", F.lit(a)), F.lit(i)) for i in range(size)]) for a in range(k)]
-    left = add([x * x for x in c]) - add([p * p for p in proj])
-    return d.select(*keep, F.sqrt(F.greatest(left, F.lit(0.0))).alias("error"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    kept = F.aggregate(F.transform("axes", lambda v: F.pow(dot(v, F.col("__c")), 2)), F.lit(0.0), lambda s, x: s + x)
+    return d.select(*keep, F.sqrt(F.greatest(dot(F.col("__c"), F.col("__c")) - kept, F.lit(0.0))).alias("error"))
 
 
 def reconstruction(cal: DataFrame, test: DataFrame, size: int, pct: float = 0.95) -> DataFrame:
     """Outlier share above the calibration percentile of the reconstruction error, or its mean shift."""
-    axes = principal_axes(covariance(cal, size), size)
+    axes = reliable_table(principal_axes(covariance(cal, size), size))
     c = reconstruction_error(cal, axes, size, [])
     base = c.agg(*_moments("error", 1e-6)).crossJoin(F.broadcast(ordering.percentiles(c, [], "error", {"limit": pct})))
     t = _one(reconstruction_error(test, axes, size, ["period"]), base)
@@ -232,5 +231,6 @@ def run_all(cal: DataFrame, test: DataFrame, size: int) -> DataFrame:
     """Flags of all detectors, one row per period."""
     out = test.select("period").distinct()
     for name, fn in {**ALL, **_registered}.items():
-        out = out.join(fn(cal, test, size).select("period", F.col("detected").alias(f"det_{name}")), "period", "left")
+        flags = reliable_table(fn(cal, test, size).select("period", F.col("detected").alias(f"det_{name}")))
+        out = out.join(flags, "period", "left")
     return out

@@ -260,34 +260,39 @@ def score_samples(dispersed: DataFrame, calib: DataFrame, dims: ModelDims, by: l
 # ---- conformal sets, reweighting, pseudo labels ------------------------------------------------------------------------
 
 
-def healthy_mean(healthy: Column, size: int) -> Column:
-    """Mean score over the listed models (all when the list is empty), absent ones left out."""
-    s = elements("scores", size)
-    use = [F.when((F.size(healthy) == 0) | F.array_contains(healthy, F.lit(i)), c) for i, c in enumerate(s)]
-    return mean_present(use)
+def model_mask(healthy: Column, size: int) -> Column:
+    """Flag per model: listed as healthy, or no list at all."""
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (F.size(healthy) == 0) | F.array_contains(healthy, i))
+
+
+def masked_mean(mask: str, size: int) -> Column:
+    """Mean score over the flagged models, absent ones left out."""
+    return mean_present([F.when(F.get(mask, F.lit(i)), c) for i, c in enumerate(elements("scores", size))])
 
 
 def conformal(cal: DataFrame, test: DataFrame, healthy: DataFrame, size: int, alpha: float = 0.10) -> DataFrame:
     """Drift-adaptive prediction sets per test period: (period, n_cal, quantile, bound, mean set size, coverage).
 
     ``healthy`` has one row (period, healthy_models) per test period.  Every calibration row is weighed once per period.
-    The weighted quantile is a running sum in score order, not a sort of one group in one task.
+    Rows are first merged by (period, label, score); means, weights and the weighted quantile all come from that one
+    shuffled table, and the quantile is a running sum in score order, not a sort of one group in one task.
     """
-    h = healthy.select("period", "healthy_models")
-    t = test.join(h, "period").select("period", "y", healthy_mean(F.col("healthy_models"), size).alias("e"))
-    plan = h.agg(F.collect_list(F.struct("period", "healthy_models")).alias("__plan"))
-    c = cal.crossJoin(F.broadcast(plan)).select("y", "scores", F.explode("__plan").alias("__p")).select(
-        F.col("__p.period").alias("period"), "y", healthy_mean(F.col("__p.healthy_models"), size).alias("e"))
-    sd = lambda x: F.greatest(F.stddev_pop(x), F.lit(1e-8))
-    stats = c.groupBy("period").agg(F.avg("e").alias("cm"), sd("e").alias("cs"), F.count("e").alias("n")).join(
-        t.groupBy("period").agg(F.avg("e").alias("tm"), sd("e").alias("ts")), "period")
-    sq = lambda m, s: F.pow((F.col("e") - F.col(m)) / F.col(s), 2) * 0.5
-    c = c.join(stats, "period").withColumn("lw", sq("cm", "cs") - sq("tm", "ts"))
+    h = healthy.select("period", model_mask(F.col("healthy_models"), size).alias("mask"))
+    t = test.join(h, "period").select("period", "y", masked_mean("mask", size).alias("e"))
+    plan = h.agg(F.collect_list(F.struct("period", "mask")).alias("__plan"))
+    c = cal.crossJoin(F.broadcast(plan)).select("y", "scores", F.inline("__plan")).select("period", "y", masked_mean("mask", size).alias("e"))
+    c = c.groupBy("period", "y", "e").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    k, e = F.col("k"), F.col("e")
+    sums = c.groupBy("period").agg(F.sum("k").alias("n"), (F.sum(k * e) / F.sum("k")).alias("cm"))
+    dev = c.join(sums, "period").groupBy("period").agg(F.first("n").alias("n"), F.first("cm").alias("cm"), F.sqrt(F.sum(k * F.pow(e - F.col("cm"), 2)) / F.sum("k")).alias("cs"))
+    sd = lambda x: F.greatest(x, F.lit(1e-8))
+    stats = dev.withColumn("cs", sd(F.col("cs"))).join(t.groupBy("period").agg(F.avg("e").alias("tm"), sd(F.stddev_pop("e")).alias("ts")), "period")
+    sq = lambda m, s: F.pow((e - F.col(m)) / F.col(s), 2) * 0.5
+    c = c.join(stats, "period").select("period", "n", "k", F.abs(e - F.col("y")).alias("nc"), (sq("cm", "cs") - sq("tm", "ts")).alias("lw"))
     top = c.groupBy("period").agg(F.max("lw").alias("top"))
-    c = c.join(top, "period").select("period", "n", F.abs(F.col("e") - F.col("y")).alias("nc"),
-                                                   F.least(F.greatest(F.exp(F.col("lw") - F.col("top")), F.lit(0.01)), F.lit(100.0)).alias("w"))
-    # equal scores are one step of the weighted distribution
-    steps = c.groupBy("period", "nc").agg(F.sum("w").alias("w"), F.max("w").alias("wmax"), F.min("w").alias("wmin"), F.first("n").alias("n"))
+    c = c.join(top, "period").withColumn("w", F.least(F.greatest(F.exp(F.col("lw") - F.col("top")), F.lit(0.01)), F.lit(100.0)))
+    # equal distances are one step of the weighted distribution
+    steps = c.groupBy("period", "nc").agg(F.sum(F.col("w") * k).alias("w"), F.max("w").alias("wmax"), F.min("w").alias("wmin"), F.first("n").cast("bigint").alias("n"))
     cum = running(steps, ["period"], unit_digits(F.col("nc")), [F.col("nc")], [Measure("cw", F.col("w"))])
     total = steps.groupBy("period").agg(F.sum("w").alias("tw"), (F.max("wmax") / F.greatest(F.min("wmin"), F.lit(1e-8))).alias("b"), F.first("n").alias("n"), F.max("nc").alias("last"))
     level = F.least((F.lit(1.0) + F.lit(1.0) / F.col("n")) * (1 - alpha), F.lit(1.0))

@@ -15,22 +15,31 @@ from quorate.operators.scores import ModelDims
 from quorate.session import reliable_table
 
 
+def period_disagreement(scores: DataFrame, dims: ModelDims) -> DataFrame:
+    """Disagreement per period, aggregated once from all samples and written to the shared folder."""
+    return reliable_table(sc.disagreement(scores, dims.size, ["period"]))
+
+
 def frozen_calibration(d_train: DataFrame, dims: ModelDims, by: list[str] = [], alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """(cell baseline, null distribution) from the disagreement of the calibration periods."""
-    base = dr.drift_baseline(d_train, by)
-    spec = dr.spectrum(dr.standardise(d_train, base, by), dims.size, [*by, "period"])
-    return base, dr.calibrate_drift(spec, dims, alpha, by)
+    """(cell baseline, null distribution) from the disagreement of the calibration periods.
+
+    Both are small and read by every later step, so they are written once to the shared folder.
+    """
+    base = reliable_table(dr.drift_baseline(d_train, by))
+    spec = reliable_table(dr.spectrum(dr.standardise(d_train, base, by), dims.size, [*by, "period"]))
+    return base, reliable_table(dr.calibrate_drift(spec, dims, alpha, by))
 
 
 def detect_periods(d: DataFrame, base: DataFrame, calib: DataFrame, dims: ModelDims, by: list[str] = []) -> DataFrame:
-    spec = dr.spectrum(dr.standardise(d, base, by), dims.size, [*by, "period"])
+    spec = reliable_table(dr.spectrum(dr.standardise(d, base, by), dims.size, [*by, "period"]))
     return dr.classify_drift(dr.novelty(dr.detect_drift(spec, calib, dims, by), dims, by), dims)
 
 
 def period_report(scores: DataFrame, dims: ModelDims, train: list[int], evaluation: list[int]) -> DataFrame:
     """Monthly evaluation with one frozen calibration: every evaluation period is independent of the others."""
     k = dims.size
-    d = sc.disagreement(scores, k, ["period"])
+    # the only pass over all model pairs; a few numbers per period afterwards
+    d = period_disagreement(scores, dims)
     base, calib = frozen_calibration(d.where(F.col("period").isin(train)), dims)
     det = detect_periods(d.where(F.col("period").isin(evaluation)), base, calib, dims)
     cal, test = scores.where(F.col("period").isin(train)), scores.where(F.col("period").isin(evaluation))
@@ -50,8 +59,9 @@ def period_report(scores: DataFrame, dims: ModelDims, train: list[int], evaluati
     cand = dr.score_samples(dr.view_dispersion(test, dims), dr.calibrate_samples(dr.view_dispersion(cal, dims), dims).crossJoin(calib.select("class_tau", "sample_z")), dims)
     cand = cand.groupBy("period").agg(F.sum(F.col("is_candidate").cast("bigint")).alias("n_candidates"))
     out = det.select("period", "drift_detected", "r", "drift_type", "spectral_gap", "strategy", "label_budget", "confidence", "novelty", "affected_views", "healthy_models")
+    # every part is one row per period; finishing them one by one keeps each plan small
     for part in (m1, m2, adaptive, plain, cand, dt.run_all(cal, test, k)):
-        out = out.join(part, "period", "left")
+        out = out.join(reliable_table(part), "period", "left")
     return out.withColumn("coverage_gain", F.col("coverage_adaptive") - F.col("coverage_plain"))
 
 
@@ -60,7 +70,7 @@ def adaptive_report(scores: DataFrame, dims: ModelDims, train: list[int], evalua
 
     The N-row disagreement is aggregated once and written to the shared folder; each step then works on K(K-1)/2 rows a period.
     """
-    d = reliable_table(sc.disagreement(scores, dims.size, ["period"]))
+    d = period_disagreement(scores, dims)
     history, out = list(train), None
     for p in evaluation:
         base, calib = frozen_calibration(d.where(F.col("period").isin(history[-window:])), dims)
@@ -75,7 +85,7 @@ def adaptive_report(scores: DataFrame, dims: ModelDims, train: list[int], evalua
 
 def ablate_weights(scores: DataFrame, dims: ModelDims, train: list[int], evaluation: list[int], grid: list[tuple[float, float]]) -> DataFrame:
     """Detection under different (score, decision) weights.  The two gap averages are computed once; the grid only recombines them."""
-    d = sc.disagreement(scores, dims.size, ["period"])
+    d = period_disagreement(scores, dims)
     arms = F.array(*[F.struct(F.lit(f"{ws}:{wr}").alias("config"), (F.col("score_gap") * ws + F.col("pred_gap") * wr).alias("d")) for ws, wr in grid])
     long = d.select("period", "mi", "mj", F.inline(arms))
     return _by_config(long, dims, train, evaluation)
@@ -89,7 +99,7 @@ def _by_config(long: DataFrame, dims: ModelDims, train, evaluation) -> DataFrame
 
 def ablate_views(scores: DataFrame, dims: ModelDims, train: list[int], evaluation: list[int], configs: dict[str, list[str]]) -> DataFrame:
     """Detection with fewer views; pairs are aggregated once and filtered per configuration."""
-    d = sc.disagreement(scores, dims.size, ["period"])
+    d = period_disagreement(scores, dims)
     out = None
     for name, views in configs.items():
         keep = [i for i, v in enumerate(dims.views_of) if v in views]
@@ -111,7 +121,7 @@ def ablate_batch(scores: DataFrame, dims: ModelDims, train: list[int], evaluatio
 
     Every (size, repeat) arm draws rows by hash with the matching probability, so all arms come from one pass over the scores.
     """
-    d = sc.disagreement(scores, dims.size, ["period"])
+    d = period_disagreement(scores, dims)
     base, calib = frozen_calibration(d.where(F.col("period").isin(train)), dims)
     side = F.when(F.col("period").isin(evaluation), "test").otherwise("clean")
     n = scores.withColumn("side", side).groupBy("side").agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,8 @@ The array layout keeps every per-sample operator shuffle-free; period and model
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,14 +161,51 @@ def model_pairs(scores: DataFrame, size: int, keep: list[str]) -> DataFrame:
     return scores.select(*keep, F.inline(pair_terms(size)))
 
 
+def pair_sums(scores: DataFrame, size: int, keys: list[str], thr: float = 0.5) -> DataFrame:
+    """Partial sums (keys, mi, mj, n, gap, differ) over Arrow batches of the score array.
+
+    One batch of rows becomes at most K(K-1)/2 sums per group.  Enumerating the pairs row by row inside the JVM gives the
+    same sums but measured more than ten times slower for 33 models.
+    """
+    types = dict(scores.dtypes)
+
+    def partial(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+            frame = batch.select(keys).to_pandas() if keys else None
+            groups = [((), slice(None))] if frame is None else [(k, i) for k, i in frame.groupby(keys, dropna=False).indices.items()]
+            for key, rows in groups:
+                part = m[rows]
+                hit = part > thr
+                out: dict[str, list] = {"mi": [], "mj": [], "n": [], "gap": [], "differ": []}
+                for i in range(size - 1):
+                    diff = np.abs(part[:, i:i + 1] - part[:, i + 1:])
+                    ok = ~np.isnan(diff)
+                    out["mi"].append(np.full(size - 1 - i, i))
+                    out["mj"].append(np.arange(i + 1, size))
+                    out["n"].append(ok.sum(0))
+                    out["gap"].append(np.where(ok, diff, 0.0).sum(0))
+                    out["differ"].append(((hit[:, i:i + 1] != hit[:, i + 1:]) & ok).sum(0))
+                sums = {c: np.concatenate(v) for c, v in out.items()}
+                key = key if isinstance(key, tuple) else (key,)
+                cols = [pa.array([v] * len(sums["mi"]), type=batch.schema.field(k).type) for k, v in zip(keys, key)]
+                cols += [pa.array(sums["mi"], pa.int32()), pa.array(sums["mj"], pa.int32()), pa.array(sums["n"], pa.int64()), pa.array(sums["gap"], pa.float64()),
+                         pa.array(sums["differ"], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keys, "mi", "mj", "n", "gap", "differ"])
+
+    schema = "".join(f"{k} {types[k]}, " for k in keys) + "mi int, mj int, n bigint, gap double, differ bigint"
+    return scores.select(*keys, "scores").mapInArrow(partial, schema)
+
+
 def disagreement(scores: DataFrame, size: int, keys: list[str], ws: float = 0.6, wr: float = 0.4) -> DataFrame:
     """Upper triangle of the disagreement matrix per group: ``ws * mean|si - sj| + wr * mean(pi <> pj)``.
 
-    Samples where one of the two models is absent do not count for that pair.  Partial aggregation leaves at most
-    K(K-1)/2 rows per group and task before the shuffle.
+    Samples where one of the two models is absent do not count for that pair.
     """
-    pairs = model_pairs(scores, size, keys).where(F.col("gap").isNotNull())
-    return pairs.groupBy(*keys, "mi", "mj").agg(F.avg("gap").alias("score_gap"), F.avg("differ").alias("pred_gap")) \
+    total = pair_sums(scores, size, keys).groupBy(*keys, "mi", "mj").agg(F.sum("n").alias("n"), F.sum("gap").alias("gap"), F.sum("differ").alias("differ"))
+    return total.where("n > 0").select(*keys, "mi", "mj", (F.col("gap") / F.col("n")).alias("score_gap"), (F.col("differ") / F.col("n")).alias("pred_gap")) \
         .withColumn("d", F.col("score_gap") * ws + F.col("pred_gap") * wr)
 
 

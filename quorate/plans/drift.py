@@ -91,19 +91,13 @@ def with_baseline(spark, d):
     return v.select("sample_id", F.inline(F.arrays_zip(F.array(*[F.lit(x) for x in VIEWS]), z)).alias("view", "z")).withColumn("z", F.round("z", 5))
 
 
-def spectra(spark, d):
-    dis = sc.disagreement(scores(spark, d), K, ["period"])
-    base = dr.drift_baseline(dis.where("period <= 4"))
-    return dr.spectrum(dr.standardise(dis, base), K, ["period"])
-
-
 @query("drf_04_calibrate", None)
 def calibrate(spark, d):
-    return dr.calibrate_drift(spectra(spark, d).where("period <= 4"), DIMS)
+    return rs.frozen_calibration(rs.period_disagreement(train(spark, d), DIMS), DIMS)[1]
 
 
 def reports(spark, d):
-    dis = sc.disagreement(scores(spark, d), K, ["period"])
+    dis = rs.period_disagreement(scores(spark, d), DIMS)
     base, calib = rs.frozen_calibration(dis.where("period <= 4"), DIMS)
     return rs.detect_periods(dis, base, calib, DIMS)
 
@@ -118,7 +112,7 @@ def novelty(spark, d):
     """Novelty over daily reports, so that a history of drifts exists."""
     ev = table(spark, d, "events").select(F.col("event_id").alias("sample_id"), F.dayofmonth("ts").alias("day"))
     s = scores(spark, d).join(ev, "sample_id").drop("period").withColumnRenamed("day", "period")
-    dis = sc.disagreement(s, K, ["period"])
+    dis = rs.period_disagreement(s, DIMS)
     base, calib = rs.frozen_calibration(dis.where("period <= 10"), DIMS)
     return rs.detect_periods(dis, base, calib, DIMS).select("period", "drift_detected", "novelty", "drift_type")
 
