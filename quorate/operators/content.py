@@ -6,6 +6,7 @@ bytes or byte pairs with a vectorised count, and everything after that is ordina
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from quorate.functions.columns import positive
 
 CHUNK = 1 << 16
 BLOCK = 1024
-CODE_COUNTS = T.ArrayType(T.StructType([T.StructField("code", T.IntegerType()), T.StructField("n", T.LongType())]))
+CODE_COUNTS = T.StructType([T.StructField("code", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.LongType()))])
 
 
 def chunks(df: DataFrame, key: str, content: str, size: int = CHUNK, overlap: int = 0) -> DataFrame:
@@ -26,32 +27,35 @@ def chunks(df: DataFrame, key: str, content: str, size: int = CHUNK, overlap: in
     return df.select(key, F.posexplode(parts).alias("chunk", "part"))
 
 
-@F.pandas_udf(CODE_COUNTS)
-def _byte_counts(parts: pd.Series) -> pd.Series:
-    import numpy as np
+def _counted(parts: pd.Series, count) -> pd.DataFrame:
+    found = [count(np.frombuffer(b, dtype=np.uint8)) for b in parts]
+    return pd.DataFrame({"code": [c.astype(np.int32) for c, _ in found], "n": [n.astype(np.int64) for _, n in found]})
 
-    def one(b):
-        c = np.bincount(np.frombuffer(b, dtype=np.uint8), minlength=256)
+
+@F.pandas_udf(CODE_COUNTS)
+def _byte_counts(parts: pd.Series) -> pd.DataFrame:
+    def count(a):
+        c = np.bincount(a, minlength=256)
         at = np.flatnonzero(c)
-        return [{"code": int(i), "n": int(c[i])} for i in at]
-    return parts.map(one)
+        return at, c[at]
+    return _counted(parts, count)
 
 
 @F.pandas_udf(CODE_COUNTS)
-def _pair_counts(parts: pd.Series) -> pd.Series:
-    import numpy as np
+def _pair_counts(parts: pd.Series) -> pd.DataFrame:
+    def count(a):
+        wide = a.astype(np.int32)
+        return np.unique(wide[:-1] * 256 + wide[1:], return_counts=True)
+    return _counted(parts, count)
 
-    def one(b):
-        a = np.frombuffer(b, dtype=np.uint8).astype(np.int32)
-        codes, n = np.unique(a[:-1] * 256 + a[1:], return_counts=True)
-        return [{"code": int(c), "n": int(k)} for c, k in zip(codes, n)]
-    return parts.map(one)
+
+def _code_rows(df: DataFrame, key: str, counted: Column) -> DataFrame:
+    """(key, code, n) rows from a counting function; the counts are parallel arrays, so no object is built per code."""
+    return df.select(key, counted.alias("__c")).select(key, F.inline(F.arrays_zip("__c.code", "__c.n")))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _block_entropies(parts: pd.Series) -> pd.Series:
-    import numpy as np
-
     def one(b):
         a = np.frombuffer(b, dtype=np.uint8)
         full = len(a) // BLOCK
@@ -67,7 +71,7 @@ def _block_entropies(parts: pd.Series) -> pd.Series:
 
 def byte_counts(df: DataFrame, key: str, content: str) -> DataFrame:
     """(key, byte, n)"""
-    c = chunks(df, key, content).select(key, F.inline(_byte_counts("part")))
+    c = _code_rows(chunks(df, key, content), key, _byte_counts("part"))
     return c.groupBy(key, F.col("code").alias("byte")).agg(F.sum("n").alias("n"))
 
 
@@ -116,7 +120,7 @@ def entropy_histogram(df: DataFrame, key: str, content: str, bins: int = 256) ->
 
 def transitions(df: DataFrame, key: str, content: str) -> DataFrame:
     """Counts of adjacent byte pairs (key, a, b, n)."""
-    c = chunks(df, key, content, overlap=1).select(key, F.inline(_pair_counts("part")))
+    c = _code_rows(chunks(df, key, content, overlap=1), key, _pair_counts("part"))
     return c.groupBy(key, "code").agg(F.sum("n").alias("n")).select(key, F.shiftright("code", 8).alias("a"), F.col("code").bitwiseAND(F.lit(255)).alias("b"), "n")
 
 
@@ -218,7 +222,11 @@ INSTRUCTION_CLASSES = {
 def category_share(tokens: DataFrame, key: str, token: str, classes: dict[str, str] = INSTRUCTION_CLASSES) -> DataFrame:
     """Share of each token class per key; unknown tokens are "other"."""
     lookup = {w: c for c, words in classes.items() for w in words.split()}
-    named = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in lookup.items() for x in kv]), F.col(token)), F.lit("other"))
+    members: dict[str, list[str]] = {}
+    for word, cls in lookup.items():
+        members.setdefault(cls, []).append(word)
+    # one hash-set test per class
+    named = F.coalesce(*[F.when(F.col(token).isin(words), c) for c, words in members.items()], F.lit("other"))
     counts = tokens.groupBy(key, named.alias("category")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.groupBy(key).agg(F.sum("n").alias("__t"))
     return counts.join(total, key).select(key, "category", "n", (F.col("n") / F.col("__t")).alias("share"))
@@ -236,9 +244,12 @@ def build_vocab(tokens: DataFrame, token: str, k: int = 10000, min_freq: int = 1
 
 
 def encode(tokens: DataFrame, token: str, vocab: DataFrame, unk: int = 0) -> DataFrame:
-    """Add ``idx``; tokens outside the vocabulary get the unknown index."""
+    """Add ``idx``; tokens outside the vocabulary get the unknown index.
+
+    A vocabulary is cut to its ``k`` most frequent tokens when built, so it is bounded and broadcast; hot tokens never meet in one task.
+    """
     v = vocab.select(F.col("token").alias(token), "idx")
-    return tokens.join(v, token, "left").withColumn("idx", F.coalesce("idx", F.lit(unk)))
+    return tokens.join(F.broadcast(v), token, "left").withColumn("idx", F.coalesce("idx", F.lit(unk)))
 
 
 def set_fingerprint(tokens: DataFrame, key: str, token: str, name: str = "fingerprint") -> DataFrame:

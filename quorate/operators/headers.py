@@ -46,11 +46,13 @@ def validate_header(df: DataFrame, content: str) -> DataFrame:
     """Add ``ok`` and the first failing ``reason`` in check order."""
     f = header_fields(df, content)
     size, off, n = F.col("h_size"), F.col("h_off"), F.col("h_sections")
-    # section checks read the table only for files that passed the bounds before
+    # the checked part of the section table is read once, and only for files that passed the bounds before;
+    # fixed-width hex in big-endian order compares like the numbers it spells
     in_table = (F.col("h_table") + n * 40 <= size) & (n <= MAX_SECTIONS)
     start = F.when(in_table, F.col("h_table")).cast("int")
-    outside = [F.when((F.lit(i) < n) & (read_uint(F.col(content), start + i * 40 + 20, 4) > size) & (read_uint(F.col(content), start + i * 40 + 16, 4) > 0),
-                      F.lit(f"section {i} outside file")) for i in range(CHECKED_SECTIONS)]
+    f = f.withColumn("h_rows", F.hex(F.substring(F.col(content), start + 1, F.lit(40 * CHECKED_SECTIONS)))).withColumn("h_limit", F.lpad(F.hex(size), 8, "0"))
+    raw = lambda i, at: F.concat(*[F.substring("h_rows", 80 * i + 2 * (at + b) + 1, 2) for b in (3, 2, 1, 0)])
+    outside = [F.when((F.lit(i) < n) & (raw(i, 20) > F.col("h_limit")) & (raw(i, 16) != "00000000"), F.lit(f"section {i} outside file")) for i in range(CHECKED_SECTIONS)]
     reason = (F.when(size < 64, "file too small").when(size > MAX_SIZE, "file too large").when(F.col("h_magic") != "4D5A", "bad magic")
               .when((off < 4) | (off > F.least(size - 4, F.lit(MAX_HEADER_OFFSET))), "header offset out of range")
               .when(F.col("h_sig") != "50450000", "bad signature").when(F.col("h_machine").isNull() | ~F.col("h_machine").isin(MACHINES), "unknown machine")

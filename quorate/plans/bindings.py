@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorate.operators.scores import ModelDims
+from quorate.session import spread
 
 # Eight scoring models, their view and level.
 DIMS = ModelDims([
@@ -19,8 +20,13 @@ TRAIN_PERIODS = [1, 2, 3, 4]
 EVAL_PERIODS = [5, 6]
 
 
+# tables whose rows are expensive to work on
+HEAVY = {"documents", "pages", "orders"}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    scan = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(scan) if name in HEAVY else scan
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:

@@ -34,6 +34,15 @@ def build_session(app: str = "quorate", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def spread(df):
+    """Use all cores on a table that arrives in fewer splits than there are cores; leave any other scan alone.
+
+    Call it on a bare scan only: counting the splits of a plan with shuffles would run them.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
