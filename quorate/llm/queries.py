@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quorate.llm import quality_rules
-from quorate.llm.common import table
+from quorate.llm import quality_rules, toxicity
+from quorate.llm.common import remainder, table
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    model = toxicity.fit(docs, table(spark, folder, "labels"), ~held)
+    return toxicity.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "n_passages", "passage_start", "passage_end")
 
 
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.report(table(spark, folder, "documents")).drop("host_ok")
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_quality_rules": op4_quality_rules}
 
 SQL: dict[str, str] = {}
 
