@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.llm import quality_rules, toxicity
+from quorate.llm import quality_classifier, quality_rules, toxicity
 from quorate.llm.common import remainder, table
 
 
@@ -20,7 +20,14 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.report(table(spark, folder, "documents")).drop("host_ok")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_quality_rules": op4_quality_rules}
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    model = quality_classifier.fit(docs, table(spark, folder, "labels"), ~held)
+    return quality_classifier.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_quality_rules": op4_quality_rules, "op9_quality_classifier": op9_quality_classifier}
 
 SQL: dict[str, str] = {}
 
