@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.llm import pii, quality_classifier, quality_rules, toxicity
+from quorate.llm import decontamination, packing, pii, quality_classifier, quality_rules, toxicity
 from quorate.llm.common import remainder, table
 
 
@@ -20,11 +20,19 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.report(table(spark, folder, "documents")).drop("host_ok")
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pii.report(docs, pii.fit(docs))
 
 
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
@@ -32,7 +40,7 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_quality_rules": op4_quality_rules, "op6_pii": op6_pii, "op9_quality_classifier": op9_quality_classifier}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_decontamination": op3_decontamination, "op4_quality_rules": op4_quality_rules, "op6_pii": op6_pii, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier}
 
 SQL: dict[str, str] = {}
 
