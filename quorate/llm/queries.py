@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.llm import decontamination, packing, pii, quality_classifier, quality_rules, toxicity
+from quorate.llm import decontamination, near_dup, packing, pii, quality_classifier, quality_rules, toxicity
 from quorate.llm.common import remainder, table
 
 
@@ -24,6 +24,10 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
+
+
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pii.report(docs, pii.fit(docs))
@@ -40,7 +44,7 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_decontamination": op3_decontamination, "op4_quality_rules": op4_quality_rules, "op6_pii": op6_pii, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_decontamination": op3_decontamination, "op4_quality_rules": op4_quality_rules, "op5_near_dup": op5_near_dup, "op6_pii": op6_pii, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier}
 
 SQL: dict[str, str] = {}
 
@@ -68,3 +72,19 @@ v as (select source, (f + m * (1 - r) / r) / (n + (1 - r) / r) <= 0.5 as host_ok
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed) and host_ok as kept
 from b join v on b.source is not distinct from v.source
 """
+
+SQL["op5_near_dup"] = r"""
+with recursive d as (select row_number() over (order by doc_id) as r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, case when len(ws) < 3 then array_to_string(ws, ' ') else ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] end as g
+      from (select doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) as i from d where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+rare as (select g from s group by g having count(*) > 1),
+k as (select a.doc_id as a, b.doc_id as b, count(*) as m
+      from (select * from s semi join rare using (g)) a join (select * from s semi join rare using (g)) b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from k join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k.m >= 85 * (x.n + y.n - k.m)),
+u as (select a as x, b as y from e union select b, a from e),
+c(x, y) as (select doc_id, doc_id from d union select c.x, u.y from c join u on c.y = u.x)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.low as component_id, d.doc_id = m.low as kept
+from d left join n using (doc_id) join (select x, min(y) as low from c group by x) m on m.x = d.doc_id
+"""
