@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.llm import decontamination, near_dup, packing, pii, quality_classifier, quality_rules, toxicity
+from quorate.llm import decontamination, near_dup, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
 from quorate.llm.common import remainder, table
 
 
@@ -37,6 +37,10 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, folder, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
@@ -44,7 +48,7 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_decontamination": op3_decontamination, "op4_quality_rules": op4_quality_rules, "op5_near_dup": op5_near_dup, "op6_pii": op6_pii, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_decontamination": op3_decontamination, "op4_quality_rules": op4_quality_rules, "op5_near_dup": op5_near_dup, "op6_pii": op6_pii, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier, "op10_suffix_dedup": op10_suffix_dedup}
 
 SQL: dict[str, str] = {}
 
@@ -88,3 +92,18 @@ c(x, y) as (select doc_id, doc_id from d union select c.x, u.y from c join u on
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.low as component_id, d.doc_id = m.low as kept
 from d left join n using (doc_id) join (select x, min(y) as low from c group by x) m on m.x = d.doc_id
 """
+
+SQL["op10_suffix_dedup"] = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as k from (select doc_id, h, unnest(range(0, length(h) // 2 - 99)) as i from d where length(h) >= 200)),
+t as (select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) as n from w) where n > 1),
+e as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as new from t),
+g as (select doc_id, i, sum(new) over (partition by doc_id order by i) as s from e),
+r as (select doc_id, s, min(i) as a, max(i) + 100 as b from g group by doc_id, s),
+q as (select doc_id, s, a, b, coalesce(lag(b) over (partition by doc_id order by s), 0) as before from r),
+k as (select doc_id, count(*) as n, sum(b - a) as m, max(b) as last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by s) as head
+      from q join d using (doc_id) group by doc_id)
+select d.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(m, 0)::bigint as n_removed, coalesce(n, 0)::bigint as n_spans,
+  sha256(unhex(case when n is null then h else head || substr(h, 2 * last + 1) end)) as kept_sha256
+from d left join k using (doc_id)
+"""
