@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.llm import decontamination, near_dup, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
+from quorate.llm import decontamination, html_extract, near_dup, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
 from quorate.llm.common import remainder, table
 
 
@@ -33,6 +33,11 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(docs, pii.fit(docs))
 
 
+def op7_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -48,7 +53,7 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_decontamination": op3_decontamination, "op4_quality_rules": op4_quality_rules, "op5_near_dup": op5_near_dup, "op6_pii": op6_pii, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_decontamination": op3_decontamination, "op4_quality_rules": op4_quality_rules, "op5_near_dup": op5_near_dup, "op6_pii": op6_pii, "op7_html_extract": op7_html_extract, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier, "op10_suffix_dedup": op10_suffix_dedup}
 
 SQL: dict[str, str] = {}
 
