@@ -7,8 +7,9 @@ columns of ``documents``.  ``run`` writes each stage as Parquet into the shared
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quorate.llm import quality_rules
+from quorate.llm import decontamination, near_dup, packing, pii, quality_rules
 from quorate.llm.common import stored, table
 
 
@@ -17,7 +18,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates (five-word shingles, similarity 0.85)."""
+    return near_dup.keep(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that contain a benchmark item."""
+    return decontamination.keep(docs, table(spark, sf_dir, "benchmark"))
+
+
+def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind; ``n_chars`` follows the new text."""
+    masked = pii.mask(docs, pii.fit(docs))
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: length bucket, batch and place."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality), ("near_dup", duplicates), ("decontamination", benchmark), ("pii", privacy), ("packing", packed)]
 
 # near-duplicate grouping by hashing, the walks and the field model have no SQL form; tests/llm holds the stages against plain versions
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.llm import decontamination, html_extract, near_dup, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
+from quorate.llm import decontamination, html_extract, licenses, near_dup, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
 from quorate.llm.common import remainder, table
 
 
@@ -20,6 +20,14 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.report(table(spark, folder, "documents")).drop("host_ok")
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    shelf = F.floor(F.col("doc_id") / 64).cast("string")
+    files = docs.select("doc_id", "text", F.concat(F.concat_ws("/", "source", "lang", shelf, F.col("doc_id").cast("string")), F.lit(".txt")).alias("path"))
+    found = licenses.scan(files)
+    return found.withColumn("doc_id", F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long"))
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -53,7 +61,7 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_decontamination": op3_decontamination, "op4_quality_rules": op4_quality_rules, "op5_near_dup": op5_near_dup, "op6_pii": op6_pii, "op7_html_extract": op7_html_extract, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_license_scan": op2_license_scan, "op3_decontamination": op3_decontamination, "op4_quality_rules": op4_quality_rules, "op5_near_dup": op5_near_dup, "op6_pii": op6_pii, "op7_html_extract": op7_html_extract, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier, "op10_suffix_dedup": op10_suffix_dedup}
 
 SQL: dict[str, str] = {}
 
