@@ -42,15 +42,20 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def with_arrays(df: DataFrame, inputs: list[str], fields: list[T.StructField], fn: Callable[..., list]) -> DataFrame:
-    """Append columns that ``fn`` makes, batch by batch, from Arrow arrays of the ``inputs``; all other columns pass through."""
+    """Append columns that ``fn`` makes, batch by batch, from Arrow arrays of the ``inputs``; all other columns pass through.
+
+    A column that has the name of a new one gives way to it.
+    """
     places = [df.columns.index(c) for c in inputs]
+    names = {f.name for f in fields}
+    stay = [i for i, c in enumerate(df.columns) if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = fn(*[b.column(i) for i in places])
-            yield pa.RecordBatch.from_arrays(list(b.columns) + list(new), names=list(b.schema.names) + [f.name for f in fields])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in stay] + list(new), names=[b.schema.names[i] for i in stay] + [f.name for f in fields])
 
-    return df.mapInArrow(run, T.StructType(df.schema.fields + fields))
+    return df.mapInArrow(run, T.StructType([df.schema.fields[i] for i in stay] + fields))
 
 
 def remainder(col: str, n: int) -> Column:

@@ -123,6 +123,7 @@ def statements(files: DataFrame, threshold: float = THRESHOLD, key: str = "path"
 
 def scan(files: DataFrame, threshold: float = THRESHOLD, path: str = "path", text: str = "text") -> DataFrame:
     """(path, own_licence, score, licence, inherited_from) of every file."""
+    files = files.select(path, text)
     found = stored(statements(files.filter(F.col(path).isNotNull()), threshold, path, text))
     top = found.groupBy(path).agg(F.max("score").alias("score"), F.sum("n_terms").alias("__l_terms"))
     own = stored(found.join(top, [path, "score"]).groupBy(path, "score", "__l_terms").agg(F.min("licence").alias("own_licence")))
