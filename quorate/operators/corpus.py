@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quorate.functions.columns import finite, positive, ratio, seeded_order
 from quorate.functions.rows import literal_rows
-from quorate.operators.ordering import hash_digits, id_digits, rank0, running, Measure, text_digits
+from quorate.operators.ordering import hash_digits, id_digits, rank0, running, Measure, rank_text
 
 # ---- projections and filters -------------------------------------------------------------------------------------
 
@@ -38,7 +38,7 @@ def clean_vector(col: Column) -> Column:
 def index_category(df: DataFrame, col: str, name: str = "idx") -> DataFrame:
     """Dense integer of a category in sorted order, from the distinct values only."""
     cats = df.select(col).where(F.col(col).isNotNull()).distinct()
-    ranked = rank0(cats, [], text_digits(F.col(col)), [F.col(col)], name)
+    ranked = rank_text(cats, col, name)
     return df.join(ranked, col, "left")
 
 
@@ -203,32 +203,30 @@ def assign_balanced(df: DataFrame, label: str, group: str, n: int = 12, seed: in
     groups = df.groupBy(label, group).agg(F.count(F.lit(1)).alias("__size")).withColumn("__h", seeded_order(F.col(group), seed))
     size = F.col("__size")
     power = F.floor(F.log2(size)).cast("int")
-    within = F.when(size < 1024, size).otherwise(F.floor((size / F.pow(F.lit(2.0), power) - 1) * 1023)).cast("int")
-    # below 1,024 rows the first two digits fix the size, so the hash may refine the order; larger groups are few
-    tie = F.when(size < 1024, hash_digits(F.col("__h"))[0]).otherwise(0)
-    ranked = rank0(groups, [label], [-power, -within, tie], [F.col("__size").desc(), F.col("__h"), F.col(group)], "__r")
+    within = F.floor((size / F.pow(F.lit(2.0), power) - 1) * 1024).cast("int")
+    # equal leading digits may still hide different sizes, so the exact size comes before the hash in the order
+    ranked = rank0(groups, [label], [-power, -within], [F.col("__size").desc(), F.col("__h"), F.col(group)], "__r")
     turn = (F.col("__r") % (2 * n)).cast("int")
     return _attach_groups(df, ranked.withColumn(name, F.when(turn < n, turn + 1).otherwise(F.lit(2 * n) - turn).cast("int")), [label, group], name)
 
 
 def ramp_quota(total: int, malware: int, n: int = 12, lo: float = 0.15, hi: float = 0.85) -> list[tuple[int, int, int]]:
-    """Rows (period, malware, benign): class share rising from ``lo`` to ``hi``, shortage filled from the other class."""
-    left = {1: malware, 0: total - malware}
-    out = []
-    for m in range(n):
-        want = total // n if m < n - 1 else total - m * (total // n)
-        share = lo + (hi - lo) * m / max(n - 1, 1)
-        take = min(math.floor(want * share), left[1])
-        rest = min(want - take, left[0])
-        short = want - take - rest
-        if short > 0:
-            if take + short <= left[1]:
-                take += short
-            elif rest + short <= left[0]:
-                rest += short
-        left[1] -= take
-        left[0] -= rest
-        out.append((m + 1, take, rest))
+    """Rows (period, malware, benign): class share rising from ``lo`` to ``hi``, shortage filled from the other class.
+
+    By definition: after k periods of ``total // n`` rows (the last takes the remainder), the malware handed out is the running
+    sum of the wanted shares, bounded by what exists above and by what the benign rows leave open below.
+    """
+    size = [total // n] * (n - 1) + [total - (n - 1) * (total // n)]
+    benign = total - malware
+    out, given, used = [], 0, 0
+    for k, rows in enumerate(size):
+        wanted = math.floor(rows * (lo + (hi - lo) * k / max(n - 1, 1)))
+        upper = min(malware, given + rows)
+        lower = given + max(0, rows - (benign - (used - given)))
+        now = min(upper, max(lower, min(given + wanted, malware)))
+        out.append((k + 1, now - given, min(rows - (now - given), benign - (used - given))))
+        used += out[-1][1] + out[-1][2]
+        given = now
     return out
 
 
@@ -252,11 +250,8 @@ def assign_ramp(df: DataFrame, label: str, row: str, n: int = 12, lo: float = 0.
 
 
 def sample_by_period(df: DataFrame, n: int, row: str, keys: list[str] = ["period", "label"], seed: int = 42) -> DataFrame:
-    """At most ``n`` rows per (period, label) in seeded order; tasks keep only their own first ``n`` before the shuffle."""
+    """At most ``n`` rows per (period, label) in seeded order."""
     with_key = df.withColumn("__h", seeded_order(F.col(row), seed))
-    if n <= 1000:
-        w = Window.partitionBy(*keys).orderBy("__h", row)
-        return with_key.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).select(*df.columns)
     ranked = rank0(with_key, keys, hash_digits(F.col("__h")), [F.col("__h"), F.col(row)], "__r")
     return ranked.where(F.col("__r") < n).select(*df.columns)
 

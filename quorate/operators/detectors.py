@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorate.functions.columns import add, binary_entropy, elements, exceeds, mean_present, seeded_order, spread_present, stored
+from quorate.functions.columns import add, binary_entropy, elements, exceeds, mean_present, spread_present, stored
 from quorate.operators import ordering
 from quorate.operators.scores import disagreement_rate
 from quorate.operators.statistics import kolmogorov_p
@@ -36,14 +36,10 @@ def confidence(e: Column) -> Column:
     return F.greatest(e, F.lit(1.0) - e)
 
 
-def _sample(cal: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    return cal.orderBy(seeded_order(F.col(key), seed), key).limit(n)
-
-
-def _ks_by_period(cal: DataFrame, test: DataFrame, value: str, n: int, key: str) -> DataFrame:
-    """Distance of every test period to one calibration sample of at most ``n`` rows."""
+def _ks_by_period(cal: DataFrame, test: DataFrame, value: str) -> DataFrame:
+    """Distance of every test period to all calibration rows."""
     periods = test.select("period").distinct().agg(F.collect_list("period").alias("__p"))
-    ref = _one(_sample(cal, n, key).select(value), periods).select(F.explode("__p").alias("period"), value, F.lit(0).alias("side"))
+    ref = _one(cal.select(value), periods).select(F.explode("__p").alias("period"), value, F.lit(0).alias("side"))
     both = ref.unionByName(test.select("period", value, F.lit(1).alias("side")))
     ks = ordering.ks_statistic(both, ["period"], value, "side")
     least = F.least("n_a", "n_b").cast("double")
@@ -54,7 +50,7 @@ def _moments(col: str, floor: float) -> list[Column]:
     return [F.avg(col).alias("cal_mean"), F.greatest(F.stddev_pop(col), F.lit(floor)).alias("cal_sd")]
 
 
-def uncertainty(cal: DataFrame, test: DataFrame, size: int, key: str = "sample_id", sig: float = 0.05, max_cal: int = 3000) -> DataFrame:
+def uncertainty(cal: DataFrame, test: DataFrame, size: int, key: str = "sample_id", sig: float = 0.05) -> DataFrame:
     """Distance test on uncertainty plus model spread, or a mean shift above 2.5 deviations."""
     def ncm(df):
         s = elements("scores", size)
@@ -63,7 +59,7 @@ def uncertainty(cal: DataFrame, test: DataFrame, size: int, key: str = "sample_i
     c, t = ncm(cal), ncm(test)
     base = c.agg(*_moments("ncm", 1e-6))
     mean = _one(t.groupBy("period").agg(F.avg("ncm").alias("m")), base)
-    j = mean.join(_ks_by_period(c, t, "ncm", max_cal, key), "period").withColumn("shift", F.abs(F.col("m") - F.col("cal_mean")) / F.col("cal_sd"))
+    j = mean.join(_ks_by_period(c, t, "ncm"), "period").withColumn("shift", F.abs(F.col("m") - F.col("cal_mean")) / F.col("cal_sd"))
     return j.select("period", ((F.col("ks_p") < sig) & (F.col("ks") > F.col("min_ks")) | (F.col("shift") > 2.5)).alias("detected"), "ks", "shift")
 
 
@@ -195,7 +191,7 @@ def centroid(cal: DataFrame, test: DataFrame, size: int) -> DataFrame:
     return g.select("period", ((F.col("z_shift") > 2.0) | (F.col("reliability") < F.col("cal_reliability") * 0.85)).alias("detected"), "z_shift", "reliability")
 
 
-def confidence_shift(cal: DataFrame, test: DataFrame, size: int, key: str = "sample_id", sig: float = 0.05, max_cal: int = 3000) -> DataFrame:
+def confidence_shift(cal: DataFrame, test: DataFrame, size: int, key: str = "sample_id", sig: float = 0.05) -> DataFrame:
     """Confidence drop, entropy rise, or a distance test on the confidence."""
     def prep(df):
         return with_ensemble(df, size).select(key, "period", confidence(F.col("e")).alias("conf"), binary_entropy(F.col("e")).alias("ent"))
@@ -203,7 +199,7 @@ def confidence_shift(cal: DataFrame, test: DataFrame, size: int, key: str = "sam
     sd = lambda x: F.greatest(F.stddev_pop(x), F.lit(1e-6))
     base = c.agg(F.avg("conf").alias("cm"), sd("conf").alias("cs"), F.avg("ent").alias("em"), sd("ent").alias("es"))
     g = _one(t.groupBy("period").agg(F.avg("conf").alias("conf"), F.avg("ent").alias("ent")), base)
-    g = g.join(_ks_by_period(c, t, "conf", max_cal, key), "period").withColumns({"conf_shift": (F.col("cm") - F.col("conf")) / F.col("cs"), "ent_shift": (F.col("ent") - F.col("em")) / F.col("es")})
+    g = g.join(_ks_by_period(c, t, "conf"), "period").withColumns({"conf_shift": (F.col("cm") - F.col("conf")) / F.col("cs"), "ent_shift": (F.col("ent") - F.col("em")) / F.col("es")})
     hit = (F.col("conf_shift") > 1.5) | (F.col("ent_shift") > 1.5) | ((F.col("ks_p") < sig) & (F.col("ks") > F.col("min_ks")))
     return g.select("period", hit.alias("detected"), "conf_shift", "ent_shift", "ks")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quorate.functions.columns import add, elements, exceeds, greatest_present, mean_present, ratio, spread_present, stored
-from quorate.operators.ordering import Measure, running, unit_digits
+from quorate.operators.ordering import Measure, real_digits, running
 from quorate.operators.scores import ModelDims
 
 NONE, PERTURBATION, STRUCTURAL, PARADIGM = "none", "perturbation", "structural", "paradigm_shift"
@@ -293,7 +293,7 @@ def conformal(cal: DataFrame, test: DataFrame, healthy: DataFrame, size: int, al
     c = c.join(top, "period").withColumn("w", F.least(F.greatest(F.exp(F.col("lw") - F.col("top")), F.lit(0.01)), F.lit(100.0)))
     # equal distances are one step of the weighted distribution
     steps = c.groupBy("period", "nc").agg(F.sum(F.col("w") * k).alias("w"), F.max("w").alias("wmax"), F.min("w").alias("wmin"), F.first("n").cast("bigint").alias("n"))
-    cum = running(steps, ["period"], unit_digits(F.col("nc")), [F.col("nc")], [Measure("cw", F.col("w"))])
+    cum = running(steps, ["period"], real_digits(F.col("nc")), [F.col("nc")], [Measure("cw", F.col("w"))])
     total = steps.groupBy("period").agg(F.sum("w").alias("tw"), (F.max("wmax") / F.greatest(F.min("wmin"), F.lit(1e-8))).alias("b"), F.first("n").alias("n"), F.max("nc").alias("last"))
     level = F.least((F.lit(1.0) + F.lit(1.0) / F.col("n")) * (1 - alpha), F.lit(1.0))
     q = cum.drop("n").join(total, "period").groupBy("period").agg(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEAD = 1024
-TAIL = 512
+HEAD = 1024  # magic and container patterns stand at fixed places near the start
+TAIL = 512  # the disk-image trailer stands at a fixed place before the end
 
 # Fixed values: (offset, bytes as hex, type, category); the first matching row wins.
 MAGIC = [
@@ -58,26 +58,30 @@ def _first_magic(h: Column) -> Column:
 
 
 def tag_file_type(df: DataFrame, content: str) -> DataFrame:
-    """Add type_code, category and method.  Only the first 1,024 and last 512 bytes decide; no join, no shuffle."""
+    """Add type_code, category and method; no join, no shuffle.
+
+    Magic bytes are looked for at their fixed places.  Markup, text encodings and the shares of printable and zero bytes are
+    judged on the whole content.
+    """
     size = F.octet_length(content)
-    base = df.withColumn("__head", F.substring(content, 1, HEAD)).withColumn("__h", F.hex("__head")).withColumn("__t", F.decode("__head", "ISO-8859-1")) \
+    base = df.withColumn("__head", F.substring(content, 1, HEAD)).withColumn("__h", F.hex("__head")).withColumn("__t", F.decode("__head", "ISO-8859-1")).withColumn("__all", F.decode(F.col(content), "ISO-8859-1")) \
         .withColumn("__tail", F.decode(F.substring(F.col(content), F.greatest(size - TAIL + 1, F.lit(1)), F.lit(TAIL)), "ISO-8859-1"))
-    h, t = F.col("__h"), F.col("__t")
+    h, t, whole = F.col("__h"), F.col("__t"), F.col("__all")
     tag = F.when(size.isNull() | (size == 0), _tag("ANY", "other", "empty"))
     row = _first_magic(h)
     pick = lambda i: F.element_at(F.array(*[F.lit(m[i]) for m in MAGIC]), row + 1)
     tag = tag.when(row.isNotNull(), F.struct(pick(2).alias("type_code"), pick(3).alias("category"), F.lit("magic").alias("method")))
     for pattern, kind, category in PATTERNS:
-        tag = tag.when(t.rlike(pattern), _tag(kind, category, "pattern"))
+        tag = tag.when((whole if kind == "HTML" else t).rlike(pattern), _tag(kind, category, "pattern"))
     tag = tag.when(F.col("__tail").contains("koly"), _tag("DMG", "disk", "tail-magic"))
-    n = F.length(t)
-    zeros = n - F.length(F.replace(t, F.lit("\x00"), F.lit("")))
-    printable = F.length(F.regexp_replace(t, r"[^\x20-\x7e\x09\x0a\x0d]", ""))
-    utf8 = F.is_valid_utf8(F.col("__head").cast("string"))
+    n = F.length(whole)
+    zeros = n - F.length(F.replace(whole, F.lit("\x00"), F.lit("")))
+    printable = F.length(F.regexp_replace(whole, r"[^\x20-\x7e\x09\x0a\x0d]", ""))
+    utf8 = F.is_valid_utf8(F.col(content).cast("string"))
     ascii_start = F.substring(t, 1, 1).rlike(r"^[\x00-\x7f]") | F.substring(t, 1, 4).rlike(r"^[\x00-\x7f\xc2-\xff]*$")
     tag = (tag.when(h.startswith("EFBBBF"), _tag("TEXT_UTF8", "text", "text-detect")).when(h.startswith("FFFE"), _tag("TEXT_UTF16LE", "text", "text-detect"))
            .when(h.startswith("FEFF"), _tag("TEXT_UTF16BE", "text", "text-detect"))
-           .when((n >= 8) & (zeros > n * 0.35) & ~t.contains("\r\n\x00"), _tag("TEXT_UTF16LE", "text", "text-detect"))
+           .when((n >= 8) & (zeros > n * 0.35) & ~whole.contains("\r\n\x00"), _tag("TEXT_UTF16LE", "text", "text-detect"))
            .when(utf8 & ascii_start & (printable > n * 0.90), _tag("TEXT_ASCII", "text", "text-detect")).when(utf8, _tag("TEXT_UTF8", "text", "text-detect"))
            .otherwise(_tag("BINARY_DATA", "binary", "fallback")))
     return base.withColumn("__tag", tag).select(*df.columns, "__tag.*")

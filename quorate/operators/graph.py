@@ -29,21 +29,27 @@ def graph_stats(edges: DataFrame, graph: str = "graph") -> DataFrame:
                                       ratio(F.col("leaves"), n).alias("leaf_share"), "self_loops", "back_edges", "max_out", "max_in", "std_out", "callees")
 
 
-def graph_depth(edges: DataFrame, max_depth: int = 10, fanout: int = 5, roots: int = 50, graph: str = "graph") -> DataFrame:
-    """Greatest call depth per graph: from the first ``roots`` callers along the first ``fanout`` callees, at most ``max_depth`` levels.
+def graph_depth(edges: DataFrame, max_depth: int | None = None, fanout: int | None = None, roots: int | None = None, graph: str = "graph") -> DataFrame:
+    """Greatest call depth per graph, from every caller along every callee; limits hold only where the caller sets them.
 
     Breadth-first per root: each round joins the frontier with the pruned edges and drops nodes already seen, so a node
     counts at its shortest distance.  Every round is written to the shared folder, which keeps plans flat.
     """
     from quorate.session import reliable_table
     per_node = Window.partitionBy(graph, "src").orderBy("dst")
-    kept = edges.select(graph, "src", "dst").distinct().withColumn("__r", F.row_number().over(per_node)).where(F.col("__r") <= fanout)
+    kept = edges.select(graph, "src", "dst").distinct()
+    if fanout is not None:
+        kept = kept.withColumn("__r", F.row_number().over(per_node)).where(F.col("__r") <= fanout)
     kept = reliable_table(kept.select(graph, F.col("src").alias("node"), "dst"))
     per_graph = Window.partitionBy(graph).orderBy("root")
-    start = kept.select(graph, F.col("node").alias("root")).distinct().withColumn("__r", F.row_number().over(per_graph)).where(F.col("__r") <= roots)
+    start = kept.select(graph, F.col("node").alias("root")).distinct()
+    if roots is not None:
+        start = start.withColumn("__r", F.row_number().over(per_graph)).where(F.col("__r") <= roots)
     frontier = start.select(graph, "root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     seen = frontier
-    for level in range(1, max_depth + 1):
+    level = 0
+    while max_depth is None or level < max_depth:
+        level += 1
         step = frontier.join(kept, [graph, "node"]).select(graph, "root", F.col("dst").alias("node")).distinct()
         frontier = reliable_table(step.join(seen.select(graph, "root", "node"), [graph, "root", "node"], "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
@@ -82,7 +88,7 @@ def overlaps(regions: DataFrame, key: str, views: list[str]) -> DataFrame:
     # equal starts always overlap; ordering them by view keeps each pair visible from its later member
     rank = F.array_position(F.array(*[F.lit(v) for v in views]), F.col("view")).cast("int")
     measures = [Measure(f"__e{i}", F.when(F.col("view") == v, F.col("hi")), "max") for i, v in enumerate(views)]
-    ran = running(base.withColumn("__v", rank), [key], real_digits(F.col("lo") / 1000.0), [F.col("lo"), F.col("__v"), F.col("hi")], measures, inclusive=False)
+    ran = running(base.withColumn("__v", rank), [key], real_digits(F.col("lo")), [F.col("lo"), F.col("__v"), F.col("hi")], measures, inclusive=False)
     seen = ran.select(key, "view", F.array(*[F.coalesce(F.col(f"__e{i}") > F.col("lo"), F.lit(False)) for i in range(len(views))]).alias("__o"))
     pairs = seen.select(key, F.col("view").alias("x"), F.posexplode("__o").alias("__i", "__hit")).where("__hit") \
         .select(key, "x", F.element_at(F.array(*[F.lit(v) for v in views]), F.col("__i") + 1).alias("y")).where("x <> y")

@@ -11,7 +11,6 @@ MAX_SIZE = 500 * 1024 * 1024
 MAX_HEADER_OFFSET = 0x10000
 MAX_SECTIONS = 96
 MAX_OPTIONAL = 0x1000
-CHECKED_SECTIONS = 10
 FIRST_STAMP, LAST_STAMP = 1420070400, 1767225600
 
 
@@ -50,14 +49,15 @@ def validate_header(df: DataFrame, content: str) -> DataFrame:
     # fixed-width hex in big-endian order compares like the numbers it spells
     in_table = (F.col("h_table") + n * 40 <= size) & (n <= MAX_SECTIONS)
     start = F.when(in_table, F.col("h_table")).cast("int")
-    f = f.withColumn("h_rows", F.hex(F.substring(F.col(content), start + 1, F.lit(40 * CHECKED_SECTIONS)))).withColumn("h_limit", F.lpad(F.hex(size), 8, "0"))
-    raw = lambda i, at: F.concat(*[F.substring("h_rows", 80 * i + 2 * (at + b) + 1, 2) for b in (3, 2, 1, 0)])
-    outside = [F.when((F.lit(i) < n) & (raw(i, 20) > F.col("h_limit")) & (raw(i, 16) != "00000000"), F.lit(f"section {i} outside file")) for i in range(CHECKED_SECTIONS)]
+    f = f.withColumn("h_rows", F.hex(F.substring(F.col(content), start + 1, (n * 40).cast("int")))).withColumn("h_limit", F.lpad(F.hex(size), 8, "0"))
+    raw = lambda i, at: F.concat(*[F.substr(F.col("h_rows"), i * 80 + 2 * (at + b) + 1, F.lit(2)) for b in (3, 2, 1, 0)])
+    places = F.when(in_table & (n > 0), F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    outside = F.get(F.filter(places, lambda i: (raw(i, 20) > F.col("h_limit")) & (raw(i, 16) != "00000000")), F.lit(0))
     reason = (F.when(size < 64, "file too small").when(size > MAX_SIZE, "file too large").when(F.col("h_magic") != "4D5A", "bad magic")
               .when((off < 4) | (off > F.least(size - 4, F.lit(MAX_HEADER_OFFSET))), "header offset out of range")
               .when(F.col("h_sig") != "50450000", "bad signature").when(F.col("h_machine").isNull() | ~F.col("h_machine").isin(MACHINES), "unknown machine")
               .when(n.isNull() | (n > MAX_SECTIONS), "too many sections").when(F.col("h_optional").isNull() | (F.col("h_optional") > MAX_OPTIONAL), "optional header too large")
-              .when(~in_table, "section table outside file").otherwise(F.coalesce(*outside)))
+              .when(~in_table, "section table outside file").otherwise(F.when(outside.isNotNull(), F.concat(F.lit("section "), outside.cast("string"), F.lit(" outside file")))))
     out = f.withColumn("reason", F.coalesce(reason, F.lit("ok")))
     return out.select(*df.columns, (F.col("reason") == "ok").alias("ok"), "reason")
 

@@ -2,19 +2,18 @@
 
 A plain ``Window.orderBy`` pulls a whole group into one task.  Here the order key is cut into *digits*, small
 integers that refine the order from left to right.  Totals are kept per digit prefix, so every window sees one
-prefix only and the rows themselves are shuffled once.  Results equal the plain window, also when one group holds
+prefix only.  Texts have no fixed number of digits; they are ranked over range partitions instead (``rank_text``).  Results equal the plain window, also when one group holds
 most of the rows.  Group columns must not be NULL.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RADIX = 1024
+from quorate.session import reliable_table
 
 
 @dataclass(frozen=True)
@@ -39,15 +38,14 @@ def hash_digits(hex_col: Column) -> list[Column]:
     return [F.conv(F.substring(hex_col, 1 + 3 * i, 3), 16, 10).cast("int") for i in range(2)]
 
 
-def unit_digits(value: Column, levels: int = 2) -> list[Column]:
-    """Digits of a number in [0, 1]; every digit mentions the value once, which keeps plans small."""
-    v = value.cast("double")
-    return [F.floor(v * RADIX).cast("int")] + [(F.floor(v * float(RADIX ** (i + 1))) % RADIX).cast("int") for i in range(1, levels)]
+def real_digits(value: Column) -> list[Column]:
+    """Digits of any real number: three times sixteen bits of its sortable 64-bit pattern.
 
-
-def real_digits(value: Column, levels: int = 2) -> list[Column]:
-    """Digits of any real number, through a monotone map onto (0, 1)."""
-    return unit_digits(F.atan(value.cast("double")) / math.pi + 0.5, levels)
+    At most 65,536 different values share a full prefix, whatever their size or closeness; NaN comes last, as Spark sorts it.
+    """
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("bigint")
+    order = lambda x: F.when(x < 0, x.bitwiseXOR(F.lit(2**63 - 1))).otherwise(x)  # noqa: E731  negative numbers sort backwards
+    return [F.shiftright(order(bits), 48).cast("int")] + [F.shiftright(order(bits), s).bitwiseAND(F.lit(65535)).cast("int") for s in (32, 16)]
 
 
 def id_digits(value: Column) -> list[Column]:
@@ -56,13 +54,6 @@ def id_digits(value: Column) -> list[Column]:
     return [F.shiftright(v, 32).cast("int"), F.shiftright(v, 16).bitwiseAND(F.lit(65535)).cast("int")]
 
 
-def text_digits(value: Column, width: int = 3) -> list[Column]:
-    """Leading bytes of a string in its UTF-8 (sort) order."""
-    raw = F.hex(F.encode(value, "UTF-8"))
-    return [F.coalesce(F.conv(F.nullif(F.substring(raw, 1 + 2 * i, 2), F.lit("")), 16, 10).cast("int"), F.lit(-1))
-            for i in range(width)]
-
-
 def _digit_columns(df: DataFrame, digits: list[Column]) -> tuple[DataFrame, list[str]]:
     names = [f"__d{i}" for i in range(len(digits))]
     return df.select("*", *[d.alias(n) for d, n in zip(digits, names)]), names
@@ -109,6 +100,18 @@ def rank0(df: DataFrame, keys: list[str], digits: list[Column], order: list[Colu
     return running(df, keys, digits, order, [Measure(name, F.lit(1).cast("bigint"))], inclusive=False)
 
 
+def rank_text(df: DataFrame, col: str, name: str = "rank0") -> DataFrame:
+    """Zero-based rank of distinct strings: range partitions, numbered inside and shifted by the rows before them.
+
+    The range bounds come from a sample, so the partitions are written once before both numbers are read from them.
+    """
+    parts = reliable_table(df.repartitionByRange(F.col(col)).sortWithinPartitions(col).select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m")))
+    sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__first"))  # one row per partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = sizes.select("__p", (before - F.col("__first")).alias("__shift"))
+    return parts.join(F.broadcast(shift), "__p").select(*df.columns, (F.col("__m") + F.col("__shift")).cast("bigint").alias(name))
+
+
 def _fold(df: DataFrame, keys: list[str], ds: list[str], order: str, before: dict[str, str], agg) -> DataFrame:
     """Collapse ordered rows prefix by prefix.  ``before`` maps new column -> column summed over earlier siblings."""
     current = df
@@ -129,7 +132,7 @@ def auc(df: DataFrame, keys: list[str], score: str, label: str, name: str = "auc
     leaf = (df.where(F.col(score).isNotNull())
             .groupBy(*keys, F.col(score).alias("__v"))
             .agg(F.sum(F.col(label).cast("double")).alias("pos"), F.sum(F.lit(1.0) - F.col(label)).alias("neg")))
-    leaf, ds = _digit_columns(leaf.withColumn("wins", F.col("pos") * F.col("neg") * 0.5), unit_digits(F.col("__v")))
+    leaf, ds = _digit_columns(leaf.withColumn("wins", F.col("pos") * F.col("neg") * 0.5), real_digits(F.col("__v")))
     folded = _fold(leaf, keys, ds, "__v", {"below": "neg"},
                    [F.sum(F.col("wins") + F.col("pos") * F.col("below")).alias("wins"), F.sum("pos").alias("pos"),
                     F.sum("neg").alias("neg")])
@@ -142,7 +145,7 @@ def ks_statistic(df: DataFrame, keys: list[str], value: str, side: str, name: st
     leaf = df.groupBy(*keys, F.col(value).alias("__v")).agg(
         F.sum(F.lit(1.0) - F.col(side)).alias("a"), F.sum(F.col(side).cast("double")).alias("b"))
     sizes = leaf.groupBy(*keys).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    leaf = leaf.join(sizes, keys) if keys else leaf.crossJoin(sizes)
+    leaf = leaf.join(F.broadcast(sizes), keys) if keys else leaf.crossJoin(F.broadcast(sizes))
     gap = F.coalesce(F.col("a") / F.nullif(F.col("na"), F.lit(0.0)), F.lit(0.0)) - F.coalesce(
         F.col("b") / F.nullif(F.col("nb"), F.lit(0.0)), F.lit(0.0))
     leaf = leaf.select(*keys, "__v", "a", "b", gap.alias("gap"), gap.alias("hi"), gap.alias("lo"))
@@ -159,7 +162,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, fl
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     cum = running(counts, keys, real_digits(F.col("__v")), [F.col("__v")], [Measure("__c", F.col("__n"))])
     total = counts.groupBy(*keys).agg(F.sum("__n").alias("__t"))
-    cum = cum.join(total, keys) if keys else cum.crossJoin(total)
+    cum = cum.join(F.broadcast(total), keys) if keys else cum.crossJoin(F.broadcast(total))
     aggs, outs = [], []
     for i, (name, p) in enumerate(points.items()):
         at = F.lit(float(p)) * (F.col("__t") - 1)
@@ -175,5 +178,5 @@ def value_at(df: DataFrame, keys: list[str], value: str, position: Column, name:
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     cum = running(counts, keys, real_digits(F.col("__v")), [F.col("__v")], [Measure("__c", F.col("__n"))])
     total = counts.groupBy(*keys).agg(F.sum("__n").alias("n"))
-    cum = cum.join(total, keys) if keys else cum.crossJoin(total)
+    cum = cum.join(F.broadcast(total), keys) if keys else cum.crossJoin(F.broadcast(total))
     return cum.groupBy(*keys).agg(F.min(F.when(F.col("__c") > position, F.col("__v"))).alias(name))

@@ -6,8 +6,13 @@ Blocks: byte histogram 256, byte entropy 256, strings 8 + 96, general 10, header
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIM = 2381
 # Field order inside the blocks.
@@ -19,6 +24,10 @@ OPTIONAL_FIELDS = ["subsystem", "dll_characteristics", "magic", "major_image_ver
                    "sizeof_headers", "sizeof_heap_commit"]
 
 
+# Places of the fixed vector layout.
+SECTIONS, DIRECTORIES = 10, 15
+
+
 def _md5_head(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
@@ -43,41 +52,52 @@ def _zero(col: Column) -> Column:
     return F.coalesce(col.cast("double"), F.lit(0.0))
 
 
-def _bag(names: Column, n: int) -> Column:
-    """Signed hashing of a name array into ``n`` cells; every name is hashed once and added to its cell."""
-    clean = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.lower(x)), lambda x: F.length(x) > 0)
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _hashed_bag(names: pd.Series, width: pd.Series) -> pd.Series:
+    """Cells of lists of names; adding into an array in place has no form as a column expression that stays linear in the names."""
+    out = []
+    for row, n in zip(names, width):
+        cells = np.zeros(n)
+        heads = [int(hashlib.md5(x.lower().encode()).hexdigest()[:8], 16) for x in row if x]
+        h = np.array(heads, dtype=np.int64)
+        np.add.at(cells, h % n, np.where(h >> 31 & 1, 1.0, -1.0))
+        out.append(cells)
+    return pd.Series(out)
 
-    def place(acc, h):
-        at = (h % n).cast("int")
-        sign = F.when(F.shiftright(h, 31).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
-        return F.concat(F.slice(acc, F.lit(1), at), F.array(F.get(acc, at) + sign), F.slice(acc, at + 2, F.lit(n)))
 
-    return F.aggregate(F.transform(clean, _md5_head), F.array_repeat(F.lit(0.0), n), place)
+def _bag(names: Column, n: int) -> Column:
+    """Signed hashing of a name array into ``n`` cells; every name is hashed once and added to its cell."""
+    return _hashed_bag(F.coalesce(names, F.array().cast("array<string>")), F.lit(n))
 
 
 def vectorise(df: DataFrame) -> DataFrame:
-    """Add ``vec`` to parsed feature records (see ``sources.corpus.parse_features``)."""
+    """Add ``vec`` to parsed feature records (see ``sources.corpus.parse_features``).
+
+    The vector has one layout of fixed width with places for ``SECTIONS`` sections and ``DIRECTORIES`` directories; how many more a
+    record has is told in ``sections_left_out`` and ``directories_left_out``.
+    """
     strings = F.concat(F.array(*[_zero(F.col(f"strings.{f}")) for f in STRING_FIELDS]), _fit(F.col("strings.printabledist"), 96))
     general = F.array(*[_zero(F.col(f"general.{f}")) for f in GENERAL_FIELDS])
     header = _fit(F.array(*[_number_or_hash(F.try_element_at("header.coff", F.lit(f))) for f in COFF_FIELDS],
                           *[_number_or_hash(F.try_element_at("header.optional", F.lit(f))) for f in OPTIONAL_FIELDS]), 62)
     secs = F.coalesce(F.col("section.sections"), F.array().cast("array<struct<name:string,size:double,entropy:double,vsize:double,props:array<string>>>"))
-    per = F.flatten(F.transform(F.slice(secs, 1, 10), lambda s: F.concat(
+    per = F.flatten(F.transform(F.slice(secs, 1, SECTIONS), lambda s: F.concat(
         F.array(_zero(s["size"]), _zero(s["entropy"]), _zero(s["vsize"]), _number_or_hash(F.coalesce(s["name"], F.lit("")))),
         _fit(F.transform(s["props"], _number_or_hash), 21))))
     entry = F.when(F.length("section.entry") > 0, _number_or_hash(F.col("section.entry"))).otherwise(0.0)
     sections = _fit(F.concat(F.array(F.size(secs).cast("double"), entry, F.lit(0.0), F.lit(0.0), F.lit(0.0)), per), 255)
     libs = F.map_keys("imports")
     funcs = F.flatten(F.filter(F.map_values("imports"), lambda x: x.isNotNull()))
-    dirs = _fit(F.flatten(F.transform(F.slice("datadirectories", 1, 15), lambda x: F.array(_zero(x["size"]), _zero(x["virtual_address"])))), 30)
+    dirs = _fit(F.flatten(F.transform(F.slice("datadirectories", 1, DIRECTORIES), lambda x: F.array(_zero(x["size"]), _zero(x["virtual_address"])))), 30)
     vec = F.concat(_whole(F.col("histogram"), 256), _whole(F.col("byteentropy"), 256), strings, general, header, sections, _bag(libs, 256), _bag(funcs, 1024),
                    _bag(F.col("exports"), 128), dirs)
-    return df.withColumn("vec", vec)
+    return df.withColumn("vec", vec).withColumn("sections_left_out", F.greatest(F.size(secs) - SECTIONS, F.lit(0))) \
+        .withColumn("directories_left_out", F.greatest(F.coalesce(F.size("datadirectories"), F.lit(0)) - DIRECTORIES, F.lit(0)))
 
 
 def records(docs: DataFrame) -> DataFrame:
     """Feature records derived from documents: words stand in for names, lengths for sizes."""
-    words = F.slice(F.split(F.lower("text"), " "), 1, 40)
+    words = F.split(F.lower("text"), " ")
     num = lambda k: (F.col("n_chars") % k).cast("double")
     sec = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct(F.concat(F.lit(".s"), i.cast("string")).alias("name"), num(1000).alias("size"), (num(8)).alias("entropy"),
                                                                          num(500).alias("vsize"), F.array(F.lit("MEM_READ"), F.lit("CNT_CODE")).alias("props")))
@@ -89,8 +109,8 @@ def records(docs: DataFrame) -> DataFrame:
         F.struct(F.create_map(F.lit("machine"), F.col("lang"), F.lit("timestamp"), F.col("n_chars").cast("string")).alias("coff"),
                  F.create_map(F.lit("magic"), F.lit("PE32"), F.lit("sizeof_code"), F.col("n_chars").cast("string")).alias("optional")).alias("header"),
         F.struct(F.col("source").alias("entry"), sec.alias("sections")).alias("section"),
-        F.map_from_arrays(F.array(F.col("source"), F.col("lang")), F.array(words, F.slice(words, 1, 3))).alias("imports"),
-        F.slice(words, 5, 10).alias("exports"), F.array(F.struct(num(13).alias("size"), num(17).alias("virtual_address"))).alias("datadirectories"))
+        F.map_from_arrays(F.array(F.col("source"), F.col("lang")), F.array(words, F.array_distinct(words))).alias("imports"),
+        F.array_sort(F.array_distinct(words)).alias("exports"), F.array(F.struct(num(13).alias("size"), num(17).alias("virtual_address"))).alias("datadirectories"))
 
 
 def checksums(df: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorate.operators.scores import ModelDims
-from quorate.session import spread
 
 # Eight scoring models, their view and level.
 DIMS = ModelDims([
@@ -20,13 +19,8 @@ TRAIN_PERIODS = [1, 2, 3, 4]
 EVAL_PERIODS = [5, 6]
 
 
-# tables whose rows are expensive to work on
-HEAVY = {"documents", "pages", "orders"}
-
-
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    scan = spark.read.parquet(f"{d}/{name}.parquet")
-    return spread(scan) if name in HEAVY else scan
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
@@ -87,18 +81,19 @@ def md5_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity keys of a document: first 64 characters, first 16 characters, language plus length class."""
+    """Similarity keys of a whole document: its set of words, its set of long words, language plus length class."""
+    words = F.array_sort(F.array_distinct(F.split(F.lower("text"), " ")))
+    key = lambda w: F.md5(F.array_join(w, " ").cast("binary"))
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("sample_id"), F.octet_length("text").cast("bigint").alias("size"),
-        F.md5(F.substring("text", 1, 64).cast("binary")).alias("prefix64"),
-        F.md5(F.substring("text", 1, 16).cast("binary")).alias("prefix16"),
+        key(words).alias("words"), key(F.filter(words, lambda w: F.length(w) > 6)).alias("long_words"),
         F.md5(F.concat_ws(":", "lang", F.col("n_chars").cast("string")).cast("binary")).alias("shape"))
 
 
 def fuzzy_signatures(spark: SparkSession, d: str) -> DataFrame:
     from quorate.operators.matching import first_signature
     base = fuzzy_samples(spark, d).where(F.col("sample_id") % 5 == 2)
-    long = base.unpivot(["sample_id", "size"], ["prefix64", "prefix16", "shape"], "hash_type", "value")
+    long = base.unpivot(["sample_id", "size"], ["words", "long_words", "shape"], "hash_type", "value")
     long = long.select("hash_type", "value", F.when(F.col("sample_id") % 10 == 2, F.lit(None)).otherwise(F.col("size")).alias("size"),
                        F.concat(F.lit("n"), F.col("sample_id").cast("string")).alias("name"), F.col("sample_id").alias("row_id"))
     return first_signature(long, ["hash_type", "value"], "row_id")
@@ -164,9 +159,9 @@ BALANCED = (SAMPLES + ", bal as (select * replace (case when label>=0 then label
 DIGESTS = ("dg as (select doc_id as sample_id, sha256(text) as sha256, md5(text) as md5, octet_length(encode(text))::bigint as size from documents)")
 SIGS = (DIGESTS + ", sig as (select sha256 as digest, arg_min(struct_pack(v := case when sample_id%14<>0 then size end), sample_id).v as size "
         "from dg where sample_id%7=0 group by 1), msig as (select distinct md5 as digest, null::bigint as size from dg where sample_id%7=1)")
-FUZZY = ("fz as (select doc_id as sample_id, octet_length(encode(text))::bigint as size, md5(substring(text,1,64)) as prefix64, "
-         "md5(substring(text,1,16)) as prefix16, md5(lang||':'||n_chars) as shape from documents), "
-         "fl as (select sample_id, size, 'prefix64' as hash_type, prefix64 as value from fz union all select sample_id, size, 'prefix16', prefix16 from fz "
+FUZZY = ("fz as (select doc_id as sample_id, octet_length(encode(text))::bigint as size, md5(array_to_string(list_sort(list_distinct(string_split(lower(text),' '))),' ')) as words, "
+         "md5(array_to_string(list_filter(list_sort(list_distinct(string_split(lower(text),' '))), lambda w: length(w)>6),' ')) as long_words, md5(lang||':'||n_chars) as shape from documents), "
+         "fl as (select sample_id, size, 'words' as hash_type, words as value from fz union all select sample_id, size, 'long_words', long_words from fz "
          "union all select sample_id, size, 'shape', shape from fz), "
          "fs as (select hash_type, value, case when sample_id%10=2 then null else size end as size, 'n'||sample_id as name from fl "
          "where sample_id%5=2 qualify row_number() over (partition by hash_type, value order by sample_id)=1)")

@@ -22,7 +22,7 @@ from quorate.sources import sinks as sk
 
 
 @query("src_01_label_from_path", "with p as (select doc_id, (['malicious','Clean','mal','goodware','misc','0'])[doc_id%6+1]||'/'||source||case when doc_id%5=0 then '/x/deep' else '' end||'/f'||doc_id||(['.exe','.dll','.txt','.EXE'])[doc_id%4+1] as rel from documents) "
-       "select rel as rel_path, (case when doc_id%6 in (0,2) then 1 when doc_id%6 in (1,3,5) then 0 else -1 end)::integer as label from p where doc_id%4<>2 and doc_id%5<>0")
+       "select rel as rel_path, (case when doc_id%6 in (0,2) then 1 when doc_id%6 in (1,3,5) then 0 else -1 end)::integer as label from p where doc_id%4<>2")
 def label_from_path(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
     pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("doc_id") % n + 1).cast("int"))
@@ -53,7 +53,7 @@ def metadata_jsonl(spark, d):
     return src.parse_metadata(table(spark, d, "documents").select("doc_id", line.alias("value")), "base")
 
 
-@query("src_05_feature_error_gate", "select count(*) as n, count(*) filter (doc_id%13=0) as bad, (count(*)>=1000 and count(*) filter (doc_id%13=0)>count(*)*0.05) as failed from documents")
+@query("src_05_feature_error_gate", "select count(*) as n, count(*) filter (doc_id%13=0) as bad, count(*) filter (doc_id%13=0)>count(*)*0.05 as failed from documents")
 def feature_error_gate(spark, d):
     c = F.col
     good = F.to_json(F.struct((c("doc_id") % 2).alias("label"), F.lit("2020-01").alias("appeared"), F.array(c("n_chars").cast("double")).alias("histogram")))
@@ -463,13 +463,15 @@ def assign_balanced(spark, d):
     return co.assign_balanced(balanced_samples(spark, d), "label", "group_key").select("sample_id", "period")
 
 
-RAMP = ("q as (select 0 as m, mal as ml, n-mal as bl, 0::bigint as t2, 0::bigint as r2, n from c union all select m+1, ml-t2n, bl-r2n, t2n, r2n, n from (select *, case when short>0 and t1+short<=ml then t1+short else t1 end as t2n, "
-        "case when short>0 and t1+short>ml and r1+short<=bl then r1+short else r1 end as r2n from (select *, want-t1-r1 as short from (select *, least(want-t1, bl) as r1 from (select *, least(floor(want*share)::bigint, ml) as t1 from "
-        "(select *, case when m<11 then n//12 else n-m*(n//12) end as want, 0.15::double+0.7::double*m/11 as share from q where m<12))))))")
+# g: malware handed out, u: rows handed out after m periods; both follow from the wanted running sums, bounded by what exists
+RAMP = ("q as (select 0 as m, 0::bigint as g, 0::bigint as u, n, mal from c union all select m+1, g2, u+(g2-g)+least(want-(g2-g), n-mal-(u-g)), n, mal from "
+        "(select *, least(mal, g+want, greatest(g+greatest(0, want-(n-mal-(u-g))), least(g+floor(want*share)::bigint, mal)))::bigint as g2 from "
+        "(select *, case when m<11 then n//12 else n-m*(n//12) end as want, 0.15::double+0.7::double*m/11 as share from q where m<12)))")
 
 
 @query("win_06_assign_ramp", "with recursive " + BALANCED + ", c as (select count(*)::bigint as n, sum(label)::bigint as mal from bal), " + RAMP +
-       " select m::integer as period, (t2+case when m=1 then (select ml from q where m=12) else 0 end)::bigint as malware, (t2+r2+case when m=1 then (select ml+bl from q where m=12) else 0 end)::bigint as n from q where m>0")
+       ", r as (select m, g-lag(g) over (order by m) as malware, u-lag(u) over (order by m) as n, max(mal) over ()-max(g) over () as more, max(n) over ()-max(u) over () as rest from q) "
+       "select m::integer as period, (malware+case when m=1 then more else 0 end)::bigint as malware, (n+case when m=1 then rest else 0 end)::bigint as n from r where m>0")
 def assign_ramp(spark, d):
     return co.assign_ramp(balanced_samples(spark, d), "label", "sample_id").groupBy("period").agg(F.sum("label").alias("malware"), F.count(F.lit(1)).alias("n"))
 

@@ -227,7 +227,7 @@ NCM = "nc as (select sample_id, any_value(period) as period, 1-greatest(avg(scor
 
 
 def ks_sql(col: str) -> str:
-    return (f"su as (select {col} as v from nc where period<=4 order by md5(sample_id||':42'), sample_id limit 3000), uu as (select p.period, su.v, 0 as side from su, (values (5),(6)) p(period) union all select period, {col}, 1 from nc where period>=5), "
+    return (f"su as (select {col} as v from nc where period<=4), uu as (select p.period, su.v, 0 as side from su, (values (5),(6)) p(period) union all select period, {col}, 1 from nc where period>=5), "
             "cc as (select period, sum(1-side) over (partition by period order by v range unbounded preceding)::double as ca, sum(side) over (partition by period order by v range unbounded preceding)::double as cb, sum(1-side) over (partition by period) as na, sum(side) over (partition by period) as nb from uu), "
             "ks as (select period, max(abs(ca/na-cb/nb)) as ks, any_value(na) as na, any_value(nb) as nb from cc group by 1), kt as (select *, ks*sqrt(na::double*nb/(na+nb)) as t from ks), "
             "kp as (select period, any_value(ks) as ks, any_value(na) as na, any_value(nb) as nb, case when any_value(t)<0.2 then 1 else least(greatest(sum(case when k%2=1 then 2.0::double else -2.0::double end*exp(-2.0::double*k*k*t*t)),0),1) end as p, greatest(0.04::double,3/sqrt(least(any_value(na),any_value(nb))::double)) as lim from kt, range(1,101) r(k) group by 1)")

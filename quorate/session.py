@@ -34,31 +34,37 @@ def build_session(app: str = "quorate", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def spread(df):
-    """Use all cores on a table that arrives in fewer splits than there are cores; leave any other scan alone.
-
-    Call it on a bare scan only: counting the splits of a plan with shuffles would run them.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and intermediate tables.
+    """Folder for checkpoints and intermediate tables, named by the cluster in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary folder is used only where that is unset
-    (single-machine tests).
+    Unset, it is an error: a folder of the driver's machine would be another one on every executor.  Only a session that runs
+    in a single process has one machine, so there a temporary folder is set once.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="quorate-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+_written: list[str] = []
+
+
+def drop_intermediate(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process wrote; frames built on them can't be read afterwards."""
+    gone = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def reliable_table(df):
     """Write a frame once into the shared folder and read it back: cuts lineage, survives lost executors, one pass."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quorate-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)

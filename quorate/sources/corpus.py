@@ -34,12 +34,12 @@ def extension(rel: Column) -> Column:
     return F.lower(F.regexp_extract(rel, r"(\.[^./]*)$", 1))
 
 
-def label_files(files: DataFrame, rel: Column, max_depth: int = 2, exts: list[str] = EXTENSIONS) -> DataFrame:
-    """Add rel_path and label; keep allowed extensions up to ``max_depth`` directories deep, ordered by path."""
+def label_files(files: DataFrame, rel: Column, max_depth: int | None = None, exts: list[str] = EXTENSIONS) -> DataFrame:
+    """Add rel_path and label; keep allowed extensions, and only ``max_depth`` directories deep where that is set."""
     out = files.withColumn("rel_path", rel)
     depth = F.size(F.split("rel_path", "/")) - 1
-    return out.where((depth <= max_depth) & extension(F.col("rel_path")).isin(exts)) \
-        .withColumn("label", label_from_path(F.col("rel_path"))).orderBy("rel_path")
+    fits = extension(F.col("rel_path")).isin(exts)
+    return out.where(fits if max_depth is None else fits & (depth <= max_depth)).withColumn("label", label_from_path(F.col("rel_path")))
 
 
 def year_from_path(path: Column) -> Column:
@@ -47,7 +47,7 @@ def year_from_path(path: Column) -> Column:
     return F.try_element_at(F.regexp_extract_all(path, F.lit(r"(?:^|/)(\d{4})(?=/)"), 1), F.lit(1)).cast("int")
 
 
-def read_corpus(spark: SparkSession, root: str, exts: list[str] = EXTENSIONS, max_depth: int = 2) -> DataFrame:
+def read_corpus(spark: SparkSession, root: str, exts: list[str] = EXTENSIONS, max_depth: int | None = None) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return label_files(files, relative_path(F.col("path"), root), max_depth, exts)
 
@@ -126,14 +126,14 @@ def _top_level(schema: str) -> list[str]:
     return out
 
 
-def check_error_rate(parsed: DataFrame, max_rate: float = 0.10, min_rows: int = 1000) -> DataFrame:
+def check_error_rate(parsed: DataFrame, max_rate: float = 0.10) -> DataFrame:
     """Bad-row count and verdict; callers that must stop use ``require_error_rate``."""
     a = parsed.agg(F.count(F.lit(1)).alias("n"), positive(F.col("is_bad")).alias("bad"))
-    return a.withColumn("failed", (F.col("n") >= min_rows) & (F.col("bad") > F.col("n") * max_rate))
+    return a.withColumn("failed", F.col("bad") > F.col("n") * max_rate)
 
 
-def require_error_rate(parsed: DataFrame, max_rate: float = 0.10, min_rows: int = 1000) -> DataFrame:
-    row = check_error_rate(parsed, max_rate, min_rows).first()
+def require_error_rate(parsed: DataFrame, max_rate: float = 0.10) -> DataFrame:
+    row = check_error_rate(parsed, max_rate).first()
     if row["failed"]:
         raise ErrorRateExceeded(f"{row['bad']} of {row['n']} feature rows are unreadable")
     return parsed

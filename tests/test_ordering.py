@@ -19,7 +19,7 @@ def frame(spark):
 
 def test_rank_matches_plain_window(frame):
     pdf, df = frame
-    got = od.rank0(df, ["g"], od.unit_digits(F.col("v")), [F.col("v"), F.col("id")]).toPandas().set_index("id")["rank0"]
+    got = od.rank0(df, ["g"], od.real_digits(F.col("v")), [F.col("v"), F.col("id")]).toPandas().set_index("id")["rank0"]
     want = pdf.sort_values(["v", "id"]).groupby("g").cumcount()
     assert (got.sort_index().to_numpy() == want.reindex(pdf.index).to_numpy()).all()
 
@@ -30,7 +30,7 @@ def test_rank_by_id_and_text(frame, spark):
     assert (got.to_numpy() == np.arange(len(pdf))).all()
     words = sorted({"", "a", "ab", "abc", "abcd", "é", "éa", "z", "zz", "Z"}, key=lambda w: w.encode())
     w = spark.createDataFrame([(x,) for x in words], "w string")
-    rank = {r["w"]: r["rank0"] for r in od.rank0(w, [], od.text_digits(F.col("w")), [F.col("w")]).collect()}
+    rank = {r["w"]: r["rank0"] for r in od.rank_text(w, "w").collect()}
     assert [rank[x] for x in words] == list(range(len(words)))
 
 
@@ -82,3 +82,20 @@ def test_value_at(frame):
     pdf, df = frame
     got = od.value_at(df, [], "v", F.floor(F.col("n") / 2), "m").first()["m"]
     assert got == sorted(pdf["v"])[len(pdf) // 2]
+
+
+@pytest.mark.parametrize("low,high", [(1e6, 1e12), (1 - 1e-9, 1.0), (-1e-9, 1e-9)])
+def test_digits_spread_any_scale(spark, low, high):
+    v = np.unique(np.random.default_rng(1).uniform(low, high, 5000))
+    df = spark.createDataFrame(pd.DataFrame({"v": v}))
+    full = df.select(*[d.alias(f"d{i}") for i, d in enumerate(od.real_digits(F.col("v")))])
+    assert full.distinct().count() > 100
+    got = od.rank0(df, [], od.real_digits(F.col("v")), [F.col("v")]).orderBy("v").toPandas()["rank0"]
+    assert (got.to_numpy() == np.arange(len(v))).all()
+
+
+def test_texts_with_a_common_beginning_are_ranked_over_partitions(spark):
+    urls = [f"https://host.example/{i:06d}" for i in range(3000)]
+    df = spark.createDataFrame([(u,) for u in urls], "u string").repartition(5, "u")
+    got = {r["u"]: r["rank0"] for r in od.rank_text(df, "u").collect()}
+    assert [got[u] for u in urls] == list(range(3000))

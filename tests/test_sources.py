@@ -27,7 +27,8 @@ def test_corpus_scan(spark, tmp_path):
     for rel in ("malware/a.exe", "Benign/b.dll", "other/c.bin", "malware/d.txt", "malware/x/y/z/deep.exe", "benign/noext"):
         put(root, rel)
     got = {r["rel_path"]: r["label"] for r in src.read_corpus(spark, root).collect()}
-    assert got == {"malware/a.exe": 1, "Benign/b.dll": 0, "other/c.bin": -1, "benign/noext": 0}
+    assert got == {"malware/a.exe": 1, "Benign/b.dll": 0, "other/c.bin": -1, "benign/noext": 0, "malware/x/y/z/deep.exe": 1}
+    assert src.read_corpus(spark, root, max_depth=2).count() == 4
 
 
 def test_year_corpus(spark, tmp_path):
