@@ -223,10 +223,12 @@ def register_detector(name: str, fn) -> None:
     _registered[name] = fn
 
 
-def run_all(cal: DataFrame, test: DataFrame, size: int) -> DataFrame:
-    """Flags of all detectors, one row per period."""
+def run_all(cal: DataFrame, test: DataFrame, size: int, names: list[str] | None = None) -> DataFrame:
+    """Flags of all detectors, built in and registered (or of those named), one row per period."""
     out = test.select("period").distinct()
     for name, fn in {**ALL, **_registered}.items():
+        if names is not None and name not in names:
+            continue
         flags = reliable_table(fn(cal, test, size).select("period", F.col("detected").alias(f"det_{name}")))
         out = out.join(flags, "period", "left")
     return out

@@ -26,13 +26,11 @@ def first_signature(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("__s")).select(*keys, "__s.*")
 
 
-def match_exact(samples: DataFrame, sigs: DataFrame, digest: str, bloom: bool | None = None) -> DataFrame:
+def match_exact(samples: DataFrame, sigs: DataFrame, digest: str) -> DataFrame:
     """Samples whose digest is a signature of a compatible size; adds ``sig_size``.
 
-    ``bloom`` only switches the runtime Bloom filter for this session; the result is the same either way.
+    Whether a runtime Bloom filter runs before the join is a setting of the session (``session.DEFAULTS`` turns it on).
     """
-    if bloom is not None:
-        samples.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", str(bloom).lower())
     s = sigs.select(F.col("digest").alias(digest), F.col("size").alias("sig_size"))
     return samples.join(s, digest).where(size_agrees(F.col("size"), F.col("sig_size")))
 
@@ -57,7 +55,7 @@ def match_tiered(samples: DataFrame, sha: DataFrame, md5: DataFrame, fuzzy: Data
     rest = samples.join(t1.select(key), key, "left_anti")
     t2 = known(rest, md5, "md5").select(key, F.lit(1).alias("tier"), F.lit("KnownMalware").alias("name"), F.lit("").alias("hash_type"))
     rank = F.array_position(F.array(*[F.lit(t) for t in fuzzy_types]), F.col("hash_type"))
-    t3 = match_fuzzy(samples, fuzzy, fuzzy_types, key).select(key, F.lit(2).alias("tier"), "name", "hash_type", rank.alias("__t"))
+    t3 = match_fuzzy(rest.join(t2.select(key), key, "left_anti"), fuzzy, fuzzy_types, key).select(key, F.lit(2).alias("tier"), "name", "hash_type", rank.alias("__t"))
     hits = t1.unionByName(t2).withColumn("__t", F.lit(0).cast("bigint")).unionByName(t3.select(key, "tier", "name", "hash_type", F.col("__t").cast("bigint").alias("__t")))
     best = hits.groupBy(key).agg(F.min_by(F.struct("tier", "name", "hash_type"), F.struct("tier", "__t")).alias("h")).select(key, "h.*")
     return best.select(key, F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("tier") + 1).alias("source"), "name", "hash_type")

@@ -27,15 +27,13 @@ def ks_2samp(a: DataFrame, b: DataFrame, value: str, by: list[str] = []) -> Data
     return out.withColumn("p_value", kolmogorov_p(F.col("ks"), F.col("n_a"), F.col("n_b")))
 
 
-def log_factorial(n: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
-
-
 def binomial_two_sided(k: Column, n: Column) -> Column:
     """Exact two-sided p-value of the smaller discordant count ``k`` of ``n`` at one half."""
-    lf = log_factorial(n)
-    tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), F.lit(0.0),
-                       lambda a, i: a + F.exp(lf - log_factorial(i) - log_factorial(n.cast("int") - i) - n * math.log(2.0)))
+    # each term is the one before times (n - i) / (i + 1), in logarithms: one pass over k + 1 terms
+    size = n.cast("double")
+    start = F.struct(F.lit(0.0).alias("sum"), (size * -math.log(2.0)).alias("term"))
+    step = lambda a, i: F.struct((a["sum"] + F.exp(a["term"])).alias("sum"), (a["term"] + F.log(F.greatest(size - i, F.lit(1e-300))) - F.log(i + 1.0)).alias("term"))
+    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), k.cast("bigint")), start, step, lambda a: a["sum"])
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), tail * 2))
 
 
@@ -75,6 +73,16 @@ def holm(p_values: DataFrame, alpha: float = 0.05, by: list[str] = [], p: str =
     return df.withColumn("significant", F.min(ok).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1)
 
 
+def poisson_steps(n: int = 9) -> list[float]:
+    """Cumulative probabilities of a Poisson(1) variable: a uniform number above k of them draws weight k."""
+    out, acc, term = [], 0.0, math.exp(-1.0)
+    for i in range(n):
+        acc += term
+        out.append(acc)
+        term /= i + 1
+    return out
+
+
 def bootstrap_ci(df: DataFrame, key: str, statistic: Column, n_boot: int = 1000, ci: float = 0.95, seed: int = 42, blocks: int = 50) -> DataFrame:
     """Percentile interval of any weighted-additive aggregate ``statistic`` over Poisson(1) resamples.
 
@@ -82,15 +90,11 @@ def bootstrap_ci(df: DataFrame, key: str, statistic: Column, n_boot: int = 1000,
     from a hash of its key and the replicate, so results do not depend on partitioning; replicates are aggregated before
     any shuffle.
     """
-    cdf, acc, term = [], 0.0, math.exp(-1.0)
-    for i in range(9):
-        acc += term
-        cdf.append(acc)
-        term /= i + 1
     rep = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("rep"), F.lit(seed)), F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
+    draw = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("rep").cast("string"), F.lit(str(seed))).cast("binary"))
+    u = (F.conv(F.substring(draw, 1, 7), 16, 10).cast("double") + 0.5) / float(1 << 28)
     weight = F.lit(0)
-    for c in cdf:
+    for c in poisson_steps():
         weight = weight + F.when(u > c, 1).otherwise(0)
     stats = rep.withColumn("w", weight).where("w > 0").groupBy("rep").agg(statistic.alias("stat"))
     lo, hi = (1 - ci) / 2, (1 + ci) / 2

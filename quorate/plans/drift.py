@@ -405,12 +405,14 @@ def paired(spark, d):
 
 
 @query("sta_01_ks_2samp", "with u as (select event_type, value as v, (event_id%3=0)::integer as side from events), c as (select event_type, sum(1-side) over (partition by event_type order by v range unbounded preceding)::double as ca, sum(side) over (partition by event_type order by v range unbounded preceding)::double as cb, "
-       "sum(1-side) over (partition by event_type) as na, sum(side) over (partition by event_type) as nb from u), k as (select event_type, max(abs(ca/na-cb/nb)) as ks, any_value(na) as na, any_value(nb) as nb from c group by 1) "
-       "select event_type, round(ks,6) as ks, na::bigint as n_a, nb::bigint as n_b from k")
+       "sum(1-side) over (partition by event_type) as na, sum(side) over (partition by event_type) as nb from u), k as (select event_type, max(abs(ca/na-cb/nb)) as ks, any_value(na) as na, any_value(nb) as nb from c group by 1)"
+       ", kt as (select *, ks*sqrt(na::double*nb/(na+nb)) as t from k) "
+       "select event_type, round(any_value(ks),6) as ks, any_value(na)::bigint as n_a, any_value(nb)::bigint as n_b, "
+       "round(case when any_value(t)<0.2 then 1 else least(greatest(sum(case when i%2=1 then 2.0::double else -2.0::double end*exp(-2.0::double*i*i*t*t)),0),1) end,6)::double as p_value from kt, range(1,101) r(i) group by 1")
 def ks_2samp(spark, d):
     ev = table(spark, d, "events")
     k = st.ks_2samp(ev.where("event_id % 3 <> 0"), ev.where("event_id % 3 = 0"), "value", ["event_type"])
-    return rounded(k.select("event_type", "ks", "n_a", "n_b"), "ks")
+    return rounded(k.select("event_type", "ks", "n_a", "n_b", "p_value"), "ks", "p_value")
 
 
 MCN = ("mc as (select 'd1' as name, count(*) filter (main and not d1) as a_only, count(*) filter (not main and d1) as b_only, avg(main::integer) as mr, avg(d1::integer) as r, avg((main=d1)::integer) as ag from dt union all "
@@ -437,9 +439,16 @@ def cohens_h(spark, d):
     return r.select(F.round(st.cohens_h(F.col("p1"), F.col("p2")), 6).alias("h"))
 
 
-@query("sta_04_bootstrap_ci", None)
+def boot_sql(rows: str, key: str, statistic: str, n: int) -> str:
+    """The bootstrap in SQL: the same hash draws the same weights."""
+    weight = " + ".join(f"(u>{c!r}::double)::integer" for c in st.poisson_steps())
+    return (f"bt as (select *, (('0x'||substr(md5({key}||':'||rep||':42'),1,7))::bigint+0.5::double)/268435456 as u from {rows}, range({n}) t(rep)), bw as (select *, {weight} as w from bt), "
+            f"bs as (select rep, {statistic} as stat from bw where w>0 group by rep) select round(quantile_cont(stat,0.025),6) as lo, round(quantile_cont(stat,0.975),6) as hi, count(*) as replicates from bs")
+
+
+@query("sta_04_bootstrap_ci", "with " + DETECT + ", " + boot_sql("dt", "period", "sum(w*main::integer)::double/sum(w)", 1000))
 def bootstrap_ci(spark, d):
-    return st.bootstrap_ci(detections(spark, d).withColumn("x", F.col("main").cast("double")), "period", st.weighted_mean("x"))
+    return rounded(st.bootstrap_ci(detections(spark, d).withColumn("x", F.col("main").cast("double")), "period", st.weighted_mean("x")), "lo", "hi")
 
 
 @query("sta_05_wilcoxon", "with p as (select e.value-f.value as d from events e join events f on f.event_id=e.event_id+1 where e.event_id%2=0), q as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d))-1)/2.0::double as r from p where d<>0), "

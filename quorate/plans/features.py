@@ -18,7 +18,16 @@ def nudged(df, name):
     return df.withColumn(name, F.round(F.col(name) + 1e-9, 6))
 
 
-@query("prj_17_file_type", None)
+# texts and pages: markup anywhere, else ASCII by first sign and share of printable bytes, else UTF-8
+TYPE_SQL = (r"with c as (select html as t from pages union all select text from documents), n as (select t, octet_length(encode(t)) as n, length(regexp_replace(t, '[^\x20-\x7e\x09\x0a\x0d]', '', 'g')) as p from c), "
+            r"k as (select case when n=0 then 'ANY' when regexp_matches(t, '^(From:? |Received: |Return-Path: |Delivered-To: |Message-ID: |Subject: |X-Originating-IP: )') then 'MAIL' when"
+            r"  regexp_matches(t, '(?i)<(html|head|script|iframe|img|object|table|a\s[^>]*href|!DOCTYPE|body)\b') then 'HTML' "
+            r"when regexp_matches(t, '^[\x00-\x7f]') and p>n*0.9 then 'TEXT_ASCII' else 'TEXT_UTF8' end as type_code from n) "
+            r"select type_code, case type_code when 'ANY' then 'other' when 'HTML' then 'document' when 'MAIL' then 'mail' else 'text' end as category, "
+            r"case type_code when 'ANY' then 'empty' when 'HTML' then 'pattern' when 'MAIL' then 'magic' else 'text-detect' end as method, count(*) as n from k group by 1")
+
+
+@query("prj_17_file_type", TYPE_SQL)
 def file_type(spark, d):
     pages = table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").cast("binary").alias("content"))
     docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").cast("binary").alias("content"))
@@ -122,10 +131,10 @@ def char_trigrams(spark, d):
     return rounded(ct.hashed_features(t, "item_id", "token", 256, signed=False), "value")
 
 
-CLASSES = {"article": "the le la les der die das el los", "joiner": "and et und y", "relation": "of de von in on to"}
+CLASSES = {"article": ["the", "le", "la", "les", "der", "die", "das", "el", "los"], "joiner": ["and", "et", "und", "y"], "relation": ["of", "de", "von", "in", "on", "to"]}
 
 
-@query("agg_27_category_share", sql(TOKENS, "c as (select sample_id, case " + " ".join(f"when token in ({', '.join(repr(w) for w in ws.split())}) then '{c}'" for c, ws in CLASSES.items()) + " else 'other' end as category from tok)",
+@query("agg_27_category_share", sql(TOKENS, "c as (select sample_id, case " + " ".join(f"when token in ({', '.join(repr(w) for w in ws)}) then '{c}'" for c, ws in CLASSES.items()) + " else 'other' end as category from tok)",
        "select sample_id, category, count(*) as n, round(count(*)::double/sum(count(*)) over (partition by sample_id)+1e-9::double,6) as share from c group by 1,2"))
 def category_share(spark, d):
     return nudged(ct.category_share(tokens(spark, d), "sample_id", "token", CLASSES), "share")

@@ -9,7 +9,8 @@ from quorate.operators import models as mo
 from quorate.operators import projections as pj
 from quorate.operators import scores as sc
 from quorate.operators import statistics as st
-from quorate.plans.bindings import RANGES, TOKENS, VECL, sql, table, vectors
+from quorate.plans.bindings import RANGES, TOKENS, VECL, W, sql, table, vectors
+from quorate.plans.drift import boot_sql
 from quorate.plans.features import RULES
 from quorate.plans.registry import query
 from quorate.plans.score import rounded
@@ -77,14 +78,15 @@ def scorer(spark, d):
     return s.select("sample_id", F.round(F.get("scores", F.lit(0)), 6).alias("score"))
 
 
-@query("udx_02_detector", None)
+@query("udx_02_detector", sql(W, "select period, avg((s0>0.9)::integer)>0.06 as det_tail from w where period>=5 group by 1"))
 def detector(spark, d):
     from quorate.operators import detectors as de
     from quorate.plans.drift import test, train
     ex.register_detector("tail", lambda cal, t, k: t.groupBy("period").agg((F.avg((F.get("scores", F.lit(0)) > 0.9).cast("double")) > 0.06).alias("detected")))
-    out = test(spark, d).select("period").distinct().join(de._registered["tail"](train(spark, d), test(spark, d), 8), "period")
-    de._registered.clear()
-    return out
+    try:
+        return de.run_all(train(spark, d), test(spark, d), 8, ["tail"])
+    finally:
+        de._registered.pop("tail")
 
 
 @query("udx_03_rules", "with r as (select doc_id as sample_id, contains(lower(text),' the ') as a, contains(lower(text),'key') as b from documents) select sample_id, concat_ws(',', case when a then 'has_the' end, case when b then 'has_key' end) as rules from r where a or b")
@@ -101,7 +103,7 @@ def table_function(spark, d):
     return spark.sql("SELECT d.doc_id AS sample_id, count(*) AS n, sum(length(t.token)) AS chars FROM quorate_docs d, LATERAL explode_tokens(d.text) t GROUP BY d.doc_id")
 
 
-@query("udx_05_bootstrap_statistic", None)
+@query("udx_05_bootstrap_statistic", "with dy as (select cast(ts as date)::varchar as day, avg(value) as v from events group by 1), " + boot_sql("dy", "day", "sqrt(sum(w*v*v)/sum(w))", 500))
 def bootstrap_statistic(spark, d):
     daily = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
-    return st.bootstrap_ci(daily, "day", F.sqrt(F.sum(F.col("w") * F.pow("v", 2)) / F.sum("w")), n_boot=500)
+    return rounded(st.bootstrap_ci(daily, "day", F.sqrt(F.sum(F.col("w") * F.pow("v", 2)) / F.sum("w")), n_boot=500), "lo", "hi")

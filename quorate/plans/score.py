@@ -117,10 +117,14 @@ def with_dims(spark, d):
     return rounded(long.groupBy("period", "view", "level").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_scored"), F.avg("score").alias("mean_score")), "mean_score")
 
 
-@query("jon_08_model_pairs", sql(L, "select a.sample_id, a.model_id as mi, b.model_id as mj, round(abs(a.score-b.score),6) as gap, ((a.score>0.5)<>(b.score>0.5))::integer::double as differ "
-       "from l a join l b on a.sample_id=b.sample_id and a.model_id<b.model_id"))
+PAIRS = [(i, j) for i in range(8) for j in range(i + 1, 8)]
+
+
+@query("jon_08_model_pairs", sql(W, "select sample_id, " + "+".join(f"(s{i} is not null and s{j} is not null)::integer" for i, j in PAIRS) + " as pairs, round("
+       + "+".join(f"coalesce(abs(s{i}-s{j})*{i + 2 * j},0)" for i, j in PAIRS) + ",6) as gap, (" + "+".join(f"coalesce(((s{i}>0.5)<>(s{j}>0.5))::integer,0)" for i, j in PAIRS) + ")::double as differ from w"))
 def model_pairs(spark, d):
-    return rounded(sc.model_pairs(scores(spark, d), K, ["sample_id"]), "gap")
+    pairs = sc.model_pairs(scores(spark, d), K, ["sample_id"]).groupBy("sample_id")
+    return rounded(pairs.agg(F.count("gap").cast("int").alias("pairs"), F.sum(F.col("gap") * (F.col("mi") + 2 * F.col("mj"))).alias("gap"), F.sum("differ").alias("differ")), "gap")
 
 
 @query("prj_13_thresholds", sql(W, "select period, count(*) filter (s0>0.5) as above, count(*) filter (s0>=0.5) as at_least, count(*) filter (s0>0.25) as above_quarter from w group by 1"))

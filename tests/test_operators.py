@@ -58,7 +58,15 @@ def test_tier_order_and_sizes(spark):
 def test_bloom_on_and_off_agree(spark):
     s = spark.range(2000).select(F.col("id").alias("sample_id"), F.sha2(F.col("id").cast("string"), 256).alias("sha256"), F.lit(1).cast("bigint").alias("size"))
     sig = spark.range(0, 2000, 7).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), F.lit(None).cast("bigint").alias("size"))
-    on, off = (mt.match_exact(s, sig, "sha256", bloom=b).count() for b in (True, False))
+    key, counts = "spark.sql.optimizer.runtime.bloomFilter.enabled", []
+    before = spark.conf.get(key)
+    try:
+        for value in ("true", "false"):
+            spark.conf.set(key, value)
+            counts.append(mt.match_exact(s, sig, "sha256").count())
+    finally:
+        spark.conf.set(key, before)
+    on, off = counts
     assert on == off == 286
 
 
