@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorate.functions.columns import add, binary_entropy, elements, exceeds, mean_present, spread_present, stored
+from quorate.functions.rows import product_sums
 from quorate.operators import ordering
 from quorate.operators.scores import disagreement_rate
 from quorate.operators.statistics import kolmogorov_p
@@ -65,9 +66,9 @@ def uncertainty(cal: DataFrame, test: DataFrame, size: int, key: str = "sample_i
 
 def covariance(df: DataFrame, size: int) -> DataFrame:
     """Upper triangle (i, j, mean_i, mean_j, cov) of the score covariance from partial sums."""
-    x = _full(df, size)
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x[i].alias("x"), x[j].alias("y")) for i in range(size) for j in range(i, size)])
-    return df.select(F.inline(pairs)).groupBy("i", "j").agg(F.avg("x").alias("mean_i"), F.avg("y").alias("mean_j"), F.covar_pop("x", "y").alias("cov"))
+    sums = product_sums(df.select(F.array(*_full(df, size)).alias("v")), "v", size)
+    n = F.col("n")
+    return sums.select("i", "j", (F.col("si") / n).alias("mean_i"), (F.col("sj") / n).alias("mean_j"), (F.col("sij") / n - F.col("si") / n * F.col("sj") / n).alias("cov"))
 
 
 def principal_axes(cov: DataFrame, size: int, share: float = 0.5) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quorate.functions.columns import add, elements, exceeds, greatest_present, mean_present, ratio, spread_present, stored
+from quorate.functions.rows import vector_moments
 from quorate.operators.ordering import Measure, real_digits, running
 from quorate.operators.scores import ModelDims
 
@@ -437,9 +438,11 @@ def group_shift(train: DataFrame, evaluation: DataFrame, groups: dict[str, tuple
 
     Only per-dimension moments are joined.
     """
-    base = train.select(F.posexplode("vec").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("mu"), F.greatest(F.stddev_pop("x"), F.lit(1e-8)).alias("sd"))
-    ev = evaluation.select(*by, F.posexplode("vec").alias("dim", "x")).groupBy(*by, "dim").agg(F.avg("x").alias("m"))
-    j = ev.join(base, "dim").withColumn("shift", F.abs(F.col("m") - F.col("mu")) / F.col("sd"))
+    mu = F.col("s") / F.col("n")
+    sd = F.sqrt(F.greatest(F.col("q") / F.col("n") - mu * mu, F.lit(0.0)))
+    base = vector_moments(train, [], "vec").select("dim", mu.alias("mu"), F.greatest(sd, F.lit(1e-8)).alias("sd"))
+    ev = vector_moments(evaluation, by, "vec").select(*by, "dim", mu.alias("m"))
+    j = ev.join(F.broadcast(base), "dim").withColumn("shift", F.abs(F.col("m") - F.col("mu")) / F.col("sd"))
     agg = [F.coalesce(F.avg(F.when((F.col("dim") >= lo) & (F.col("dim") < hi), F.col("shift"))), F.lit(0.0)).alias(f"{g}_shift") for g, (lo, hi) in groups.items()]
     out = j.groupBy(*by).agg(*agg, F.avg("shift").alias("global_shift"))
     s, r, g = F.col("surface_shift") > tau, F.col("structure_shift") > tau, F.col("global_shift") > tau
