@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,12 @@ PATTERNS = [
     (r"(?s)^MZ.{0,996}?MSCF", "CABSFX", "executable"),
     (r"(?i)<(html|head|script|iframe|img|object|table|a\s[^>]*href|!DOCTYPE|body)\b", "HTML", "document"),
 ]
+# Beginnings of entry names in ZIP containers (any case) with type and category; any entry of an earlier row wins.
+ZIP_ENTRIES = [
+    ("xl/", "OOXML_XL", "document"), ("ppt/", "OOXML_PPT", "document"), ("word/", "OOXML_WORD", "document"), ("contents/content.hpf", "OOXML_HWP", "document"),
+    ("meta-inf/manifest.mf", "JAVA", "executable"), ("mimetypeapplication/vnd.oasis", "ODF", "document"), ("mimetype", "ZIP", "archive"),
+    ("[content_types].xml", "ZIP", "document"), ("[contenttypes].xml", "ZIP", "document"), ("docprops/", "ZIP", "document"), ("bindata", "ZIP", "document"),
+]
 
 
 def _tag(kind: str, category: str, method: str) -> Column:
@@ -68,6 +76,9 @@ def tag_file_type(df: DataFrame, content: str) -> DataFrame:
         .withColumn("__tail", F.decode(F.substring(F.col(content), F.greatest(size - TAIL + 1, F.lit(1)), F.lit(TAIL)), "ISO-8859-1"))
     h, t, whole = F.col("__h"), F.col("__t"), F.col("__all")
     tag = F.when(size.isNull() | (size == 0), _tag("ANY", "other", "empty"))
+    # a local file header has 30 bytes before the entry's name
+    for name, kind, category in ZIP_ENTRIES:
+        tag = tag.when(h.startswith("504B0304") & whole.rlike(r"(?si)PK\x03\x04.{26}" + re.escape(name)), _tag(kind, category, "entry-name"))
     row = _first_magic(h)
     pick = lambda i: F.element_at(F.array(*[F.lit(m[i]) for m in MAGIC]), row + 1)
     tag = tag.when(row.isNotNull(), F.struct(pick(2).alias("type_code"), pick(3).alias("category"), F.lit("magic").alias("method")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorate.sources.signatures import read_lines
+
 # Accepted key names and label synonyms, in order of preference.
 RESULT_KEYS = ["ModelResults", "model_results", "models", "Models", "SubModels", "sub_models", "model_scores", "ModelScores",
                "Scores", "scores", "details", "Details"]
@@ -71,5 +73,4 @@ def normalise(df: DataFrame, json: str, keep: list[str], thr: float = 0.5) -> Da
 
 
 def read_model_responses(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id())
-    return normalise(raw, "value", ["row_id"])
+    return normalise(read_lines(spark, path), "value", ["row_id"])

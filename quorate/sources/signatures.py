@@ -40,8 +40,9 @@ def hash_signatures(lines: DataFrame, algo: str, order: str, column: str = "valu
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with an order column (file position)."""
-    return spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id())
+    """Text lines with an order column: file, start of the split in it, line inside the split."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", place.alias("row_id"))
 
 
 def read_hash_signatures(spark: SparkSession, path: str, algo: str, existing: DataFrame | None = None) -> DataFrame:

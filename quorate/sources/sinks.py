@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from quorate.functions.columns import finite
 
 
-def write_dataset(df: DataFrame, path: str, order: str = "sample_id", files_per_period: int = 1) -> None:
+def write_dataset(df: DataFrame, path: str, order: str = "sample_id", files_per_period: int | None = None) -> None:
     """One partition folder per period, rows ordered inside files.
 
-    ``files_per_period`` spreads a large period over that many writers.
+    Rows are dealt by ranges of (period, order), so a period that holds most rows is written by many tasks and the files of a
+    period follow each other in order.  ``files_per_period`` sets a fixed number of writers instead.
     """
-    slot = F.pmod(F.xxhash64(order), F.lit(files_per_period))
-    df.withColumn("__slot", slot).repartition("period", "__slot").drop("__slot").sortWithinPartitions("period", order) \
+    if files_per_period is None:
+        dealt = df.repartitionByRange("period", order)
+    else:
+        dealt = df.withColumn("__slot", F.pmod(F.xxhash64(order), F.lit(files_per_period))).repartition("period", "__slot").drop("__slot")
+    dealt.sortWithinPartitions("period", order) \
         .write.mode("overwrite").partitionBy("period").parquet(path)
 
 

@@ -146,12 +146,13 @@ def test_header_reasons(spark):
 
 
 def test_file_types(spark):
-    cases = {"zip": b"PK\x03\x04rest", "pdf": b"%PDF-1.4", "elf": b"\x7fELF\x01", "tar": b"a" * 257 + b"ustar" + b"b" * 20, "html": b"  <html><body>", "bom": b"\xef\xbb\xbfhi there",
+    entry = lambda name: b"PK\x03\x04" + b"\x00" * 26 + name
+    cases = {"zip": b"PK\x03\x04rest", "docx": entry(b"[Content_Types].xml") + b"x" * 3000 + entry(b"word/document.xml"), "jar": entry(b"META-INF/MANIFEST.MF"), "odf": entry(b"mimetypeapplication/vnd.oasis"), "pdf": b"%PDF-1.4", "elf": b"\x7fELF\x01", "tar": b"a" * 257 + b"ustar" + b"b" * 20, "html": b"  <html><body>", "bom": b"\xef\xbb\xbfhi there",
              "utf16": b"\xff\xfeh\0i\0", "zeros": b"h\0e\0l\0l\0o\0", "empty": b"", "pe": b"MZ" + b"\x01" * 120 + b"PE\0\0", "text": b"plain words here\n", "utf8": "é".encode() * 30,
              "binary": b"\xfe\x01\x02\x80\x81\x99\xa0\xff\xf1", "dmg": b"\x80\x81" * 300 + b"koly", "class": b"\xca\xfe\xba\xbe\x00\x00\x00\x03"}
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "name string, content binary")
     got = {r["name"]: r["type_code"] for r in ft.tag_file_type(df, "content").collect()}
-    assert got == {"zip": "ZIP", "pdf": "PDF", "elf": "ELF", "tar": "POSIX_TAR", "html": "HTML", "bom": "TEXT_UTF8", "utf16": "TEXT_UTF16LE", "zeros": "TEXT_UTF16LE", "empty": "ANY",
+    assert got == {"zip": "ZIP", "docx": "OOXML_WORD", "jar": "JAVA", "odf": "ODF", "pdf": "PDF", "elf": "ELF", "tar": "POSIX_TAR", "html": "HTML", "bom": "TEXT_UTF8", "utf16": "TEXT_UTF16LE", "zeros": "TEXT_UTF16LE", "empty": "ANY",
                    "pe": "MSEXE", "text": "TEXT_ASCII", "utf8": "TEXT_UTF8", "binary": "BINARY_DATA", "dmg": "DMG", "class": "MACHO_UNIBIN"}
 
 
@@ -171,3 +172,35 @@ def test_vector_layout(spark):
     assert v[688] == 1 and v[689] == num(".text") % 65536 and v[693:697] == [10, 6.5, 11, num(".text") % 65536] and v[697] == num("X") % 65536
     assert v[943 + num("kernel32.dll") % 256] == sign("kernel32.dll") and v[943 + 256 + num("sleep") % 1024] == 2 * sign("sleep")
     assert v[2223 + num("run") % 128] == sign("run") and v[2351:2353] == [3, 4]
+
+
+def test_lines_keep_file_order(spark, tmp_path):
+    for name, rows in (("a.txt", ["one", "two"]), ("b.txt", ["three"])):
+        with open(tmp_path / name, "w") as f:
+            f.write("\n".join(rows) + "\n")
+    got = sg.read_lines(spark, str(tmp_path)).repartition(3).orderBy("row_id")
+    assert [r["value"] for r in got.collect()] == ["one", "two", "three"]
+
+
+def test_published_periods_are_split_by_size(spark, tmp_path):
+    out = str(tmp_path / "p")
+    rows = spark.range(20_000).select(F.col("id").alias("sample_id"), F.when(F.col("id") < 18_000, 1).otherwise(2).alias("period"))
+    sk.write_dataset(rows, out)
+    back = spark.read.parquet(out)
+    assert back.count() == 20_000
+    assert len([f for f in os.listdir(f"{out}/period=1") if f.endswith(".parquet")]) >= 1
+
+
+def test_intermediate_tables_can_be_dropped(spark):
+    from quorate import session
+    session.reliable_table(spark.range(3))
+    assert session.drop_intermediate(spark) >= 1 and session.drop_intermediate(spark) == 0
+
+
+def test_a_cluster_without_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from quorate import session
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default)))
+    with pytest.raises(ValueError):
+        session.shared_dir(fake)
