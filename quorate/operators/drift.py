@@ -89,8 +89,12 @@ def _each(column: str, n: int, fn) -> Column:
     return F.array(*[fn(F.get(column, F.lit(i))) for i in range(n)])
 
 
-def calibrate_drift(spec: DataFrame, dims: ModelDims, alpha: float = 0.05, by: list[str] = []) -> DataFrame:
-    """Null distribution of the calibration periods as one row per group; its inputs are one row per period."""
+def calibrate_drift(spec: DataFrame, dims: ModelDims, alpha: float = 0.05, by: list[str] = [], spread_periods: int = 10, angle_periods: int = 5) -> DataFrame:
+    """Null distribution of the calibration periods as one row per group; its inputs are one row per period.
+
+    A spread over few periods says little: below ``spread_periods`` the limit of a level's share is the largest one seen plus
+    0.05 instead of mean and two deviations, and below ``angle_periods`` the angle limit is the default 0.4.
+    """
     n_levels, n_views = len(dims.levels), len(dims.views)
     tau = spec.groupBy(*by).agg(F.percentile(F.get("eigenvalues", F.lit(0)), 1 - alpha).alias("tau"))
     null = attach(spec, tau, by)
@@ -98,7 +102,7 @@ def calibrate_drift(spec: DataFrame, dims: ModelDims, alpha: float = 0.05, by: l
     z_crit = NormalDist().inv_cdf(1 - alpha / max(n_levels, 1))
     t = F.count(F.lit(1))
     level_sd = lambda c: F.greatest(F.stddev_samp(c), F.lit(1e-8))
-    share_limit = lambda c: F.least(F.when(t >= 10, F.avg(c) + 2 * F.greatest(F.stddev_pop(c), F.lit(1e-4))).otherwise(F.max(c) + 0.05), F.lit(1.0 / n_levels + 0.15))
+    share_limit = lambda c: F.least(F.when(t >= spread_periods, F.avg(c) + 2 * F.greatest(F.stddev_pop(c), F.lit(1e-4))).otherwise(F.max(c) + 0.05), F.lit(1.0 / n_levels + 0.15))
     stats = null.groupBy(*by).agg(
         F.first("tau").alias("tau"), t.alias("periods"), _each("level_loadings", n_levels, F.avg).alias("level_mu"), _each("level_loadings", n_levels, level_sd).alias("level_sd"),
         _each("level_loadings", n_levels, lambda c: F.avg(c) + z_crit * level_sd(c)).alias("level_tau"), _each("level_share", n_levels, share_limit).alias("class_tau"),
@@ -108,7 +112,7 @@ def calibrate_drift(spec: DataFrame, dims: ModelDims, alpha: float = 0.05, by: l
     z = z.select(*by, F.explode(F.array(*[F.abs((F.get("level_loadings", F.lit(i)) - F.get("level_mu", F.lit(i))) / F.get("level_sd", F.lit(i))) for i in range(n_levels)])).alias("z"))
     limits = z.groupBy(*by).agg((F.percentile("z", 0.8) + 0.3).alias("cusum_k"), F.greatest(F.percentile("z", 0.975), F.lit(1.5)).alias("sample_z"))
     out = attach(stats, limits, by)
-    return out.withColumn("eta", F.when(F.col("periods") >= 5, F.greatest(F.coalesce(_sine_quantile(F.col("__views"), 0.95), F.lit(0.4)), F.lit(0.2))).otherwise(0.4)).drop("__views")
+    return out.withColumn("eta", F.when(F.col("periods") >= angle_periods, F.greatest(F.coalesce(_sine_quantile(F.col("__views"), 0.95), F.lit(0.4)), F.lit(0.2))).otherwise(0.4)).drop("__views")
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -279,28 +283,28 @@ def conformal(cal: DataFrame, test: DataFrame, healthy: DataFrame, size: int, al
     shuffled table, and the quantile is a running sum in score order, not a sort of one group in one task.
     """
     h = healthy.select("period", model_mask(F.col("healthy_models"), size).alias("mask"))
-    t = test.join(h, "period").select("period", "y", masked_mean("mask", size).alias("e"))
+    t = test.join(F.broadcast(h), "period").select("period", "y", masked_mean("mask", size).alias("e"))
     plan = h.agg(F.collect_list(F.struct("period", "mask")).alias("__plan"))
     c = cal.crossJoin(F.broadcast(plan)).select("y", "scores", F.inline("__plan")).select("period", "y", masked_mean("mask", size).alias("e"))
     c = c.groupBy("period", "y", "e").agg(F.count(F.lit(1)).cast("double").alias("k"))
     k, e = F.col("k"), F.col("e")
     sums = c.groupBy("period").agg(F.sum("k").alias("n"), (F.sum(k * e) / F.sum("k")).alias("cm"))
-    dev = c.join(sums, "period").groupBy("period").agg(F.first("n").alias("n"), F.first("cm").alias("cm"), F.sqrt(F.sum(k * F.pow(e - F.col("cm"), 2)) / F.sum("k")).alias("cs"))
+    dev = c.join(F.broadcast(sums), "period").groupBy("period").agg(F.first("n").alias("n"), F.first("cm").alias("cm"), F.sqrt(F.sum(k * F.pow(e - F.col("cm"), 2)) / F.sum("k")).alias("cs"))
     sd = lambda x: F.greatest(x, F.lit(1e-8))
     stats = dev.withColumn("cs", sd(F.col("cs"))).join(t.groupBy("period").agg(F.avg("e").alias("tm"), sd(F.stddev_pop("e")).alias("ts")), "period")
     sq = lambda m, s: F.pow((e - F.col(m)) / F.col(s), 2) * 0.5
-    c = c.join(stats, "period").select("period", "n", "k", F.abs(e - F.col("y")).alias("nc"), (sq("cm", "cs") - sq("tm", "ts")).alias("lw"))
+    c = c.join(F.broadcast(stats), "period").select("period", "n", "k", F.abs(e - F.col("y")).alias("nc"), (sq("cm", "cs") - sq("tm", "ts")).alias("lw"))
     top = c.groupBy("period").agg(F.max("lw").alias("top"))
-    c = c.join(top, "period").withColumn("w", F.least(F.greatest(F.exp(F.col("lw") - F.col("top")), F.lit(0.01)), F.lit(100.0)))
+    c = c.join(F.broadcast(top), "period").withColumn("w", F.least(F.greatest(F.exp(F.col("lw") - F.col("top")), F.lit(0.01)), F.lit(100.0)))
     # equal distances are one step of the weighted distribution
     steps = c.groupBy("period", "nc").agg(F.sum(F.col("w") * k).alias("w"), F.max("w").alias("wmax"), F.min("w").alias("wmin"), F.first("n").cast("bigint").alias("n"))
     cum = running(steps, ["period"], real_digits(F.col("nc")), [F.col("nc")], [Measure("cw", F.col("w"))])
     total = steps.groupBy("period").agg(F.sum("w").alias("tw"), (F.max("wmax") / F.greatest(F.min("wmin"), F.lit(1e-8))).alias("b"), F.first("n").alias("n"), F.max("nc").alias("last"))
     level = F.least((F.lit(1.0) + F.lit(1.0) / F.col("n")) * (1 - alpha), F.lit(1.0))
-    q = cum.drop("n").join(total, "period").groupBy("period").agg(
+    q = cum.drop("n").join(F.broadcast(total), "period").groupBy("period").agg(
         F.first("n").alias("n_cal"), F.coalesce(F.min(F.when(F.col("cw") / F.col("tw") >= level - 1e-12, F.col("nc"))), F.max("last")).alias("quantile"),
         F.greatest(F.lit(0.0), F.lit(1.0 - alpha) - F.first("b") / (F.first("n") + 1)).alias("bound"))
-    s = t.join(q, "period")
+    s = t.join(F.broadcast(q), "period")
     in0, in1 = F.abs("e") <= F.col("quantile"), F.abs(F.col("e") - 1.0) <= F.col("quantile")
     own = F.bround("e").cast("int")
     has = lambda y, inside: inside | (~in0 & ~in1 & (own == y))

@@ -62,14 +62,19 @@ def graph_depth(edges: DataFrame, max_depth: int | None = None, fanout: int | No
 def locate(points: DataFrame, ranges: DataFrame, key: str, width: int) -> DataFrame:
     """First range (smallest ``ord``) of the same key that contains each point, NULL where none does.
 
-    ``points``: (key, point_id, point); ``ranges``: (key, ord, lo, hi) with half-open [lo, hi).  Both sides meet in bins of
-    ``width`` so a key with many ranges is spread over its bins.
+    ``points``: (key, point_id, point); ``ranges``: (key, ord, lo, hi) with half-open [lo, hi).  Both sides meet in bins, so a key
+    with many ranges is spread over them.  Bins have ``width`` times a power of two: a range takes the first size not below its
+    own length, so it lies in three bins at most however wide it is, and a point looks into one bin of every size in use.
     """
-    p = points.withColumn("__bin", F.floor(F.col("point") / width))
-    r = ranges.where("hi > lo").select(key, "ord", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi")) / width))).alias("__bin"))
-    hit = p.join(r, [key, "__bin"]).where((F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")))
-    first = hit.groupBy("point_id").agg(F.min("ord").alias("ord"), F.min_by("lo", "ord").alias("lo"))
-    return points.join(first, "point_id", "left").select("point_id", key, "point", "ord", F.when(F.col("lo").isNotNull(), F.col("point") - F.col("lo")).otherwise(F.col("point")).alias("offset"))
+    level = F.when(F.col("hi") - F.col("lo") > width, F.ceil(F.log2((F.col("hi") - F.col("lo")) / float(width)))).otherwise(0).cast("int")
+    bin_of = lambda x: F.floor(x / (F.pow(F.lit(2.0), F.col("__level")) * float(width)))
+    r = ranges.where("hi > lo").select(key, "ord", "lo", "hi", level.alias("__level"))
+    sizes = sorted(x[0] for x in r.select("__level").distinct().collect())  # at most one row per power of two
+    r = r.withColumn("__bin", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("hi")))))
+    p = points.withColumn("__level", F.explode(F.array(*[F.lit(s) for s in sizes]).cast("array<int>"))).withColumn("__bin", bin_of(F.col("point")))
+    hit = p.join(r, [key, "__level", "__bin"]).where((F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")))
+    first = hit.groupBy(key, "point_id").agg(F.min("ord").alias("ord"), F.min_by("lo", "ord").alias("lo"))
+    return points.join(first, [key, "point_id"], "left").select("point_id", key, "point", "ord", F.when(F.col("lo").isNotNull(), F.col("point") - F.col("lo")).otherwise(F.col("point")).alias("offset"))
 
 
 def in_last_range(points: DataFrame, ranges: DataFrame, key: str) -> DataFrame:

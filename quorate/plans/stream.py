@@ -44,8 +44,8 @@ def counters(spark, d):
     return out
 
 
-STATS = ("with x as (select max(ts) as m from events), e as (select cast(ts as date) - o::integer as start, value from events, range({n}) t(o)), g as (select start, count(*) as n, avg(value) as mean, stddev_pop(value) as sd from e group by 1) "
-         "select start::varchar as start, n, round(mean,6) as mean, round(sd,6) as sd from g, x where start::timestamp + interval {n} day <= m - interval 1 day")
+STATS = ("with e as (select cast(ts as date) - o::integer as start, value from events, range({n}) t(o)), g as (select start, count(*) as n, avg(value) as mean, stddev_pop(value) as sd from e group by 1) "
+         "select start::varchar as start, n, round(mean,6) as mean, round(sd,6) as sd from g")
 
 
 @query("str_05_tumbling_stats", STATS.format(n=1))
@@ -60,7 +60,7 @@ def sliding(spark, d):
 
 def _stats(spark, d, size, slide):
     s = sr.stream_stats(sr.with_event_time(events(spark, d), "ts", "1 day"), "ts", "value", size, slide)
-    return sr.run_available(s.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd")))[0]
+    return sr.run_available(s.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd")), "complete")[0]
 
 
 @query("str_06_detect", "with recursive g as (select event_type as level, cast(ts as date)::varchar as day, (avg(value)-10)*3 as z from events group by 1,2), r as (select *, row_number() over (partition by level order by day) as rn from g), "
@@ -68,7 +68,7 @@ def _stats(spark, d, size, slide):
        "select level, day, round(s,6)::double as cusum, round(mu,6) as ema from c")
 def detect(spark, d):
     g = table(spark, d, "events").groupBy(F.col("event_type").alias("level"), F.to_date("ts").cast("string").alias("day")).agg(((F.avg("value") - 10) * 3).alias("z"))
-    t = reliable_table(g.coalesce(1))
+    t = reliable_table(g)
     s = sr.stream_samples(spark, t.inputFiles()[0].rsplit("/", 1)[0], "level string, day string, z double")
     out = sr.run_available(sr.stream_detect(s, "level", "day", "z", 0.7))[0]
     return out.select("level", "day", (F.round("cusum", 6) + 0).alias("cusum"), F.round("ema", 6).alias("ema"))
