@@ -121,13 +121,10 @@ class Index:
 
     def keys(self, marks: np.ndarray, size: int, w: int) -> np.ndarray:
         """(windows, SAMPLES) keys of one walk for one class."""
-        out = np.zeros((len(marks), SAMPLES), dtype=np.uint64)
-        for t in range(SAMPLES):
-            h = np.full(len(marks), np.uint64((size * WALKS + w) * SAMPLES + t), dtype=np.uint64)
-            for p in self.places[size][w, t]:
-                h = _mix(h + marks[:, p])
-            out[:, t] = h
-        return out
+        h = np.arange(SAMPLES, dtype=np.uint64)[None] + np.uint64((size * WALKS + w) * SAMPLES)
+        for d in range(DEPTH):
+            h = _mix(h + marks[:, self.places[size][w, :, d]])
+        return h
 
     def hits(self, words: np.ndarray, q: int) -> np.ndarray:
         """Running count of benchmark q-grams that begin before each place."""
@@ -219,15 +216,14 @@ def hashed(text: str | None, cache: dict[str, int]) -> np.ndarray:
 
 def walk(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, moves: np.ndarray, steps: int) -> np.ndarray:
     """CGK embedding of the words from each start on: (starts, steps) words as written; a blank beyond the end."""
-    at = starts.copy()
-    out = np.empty((len(starts), steps), dtype=np.uint64)
+    at = starts.astype(np.int64)
+    out = np.empty((len(starts), steps), dtype=np.int64)
     padded = np.append(words, BLANK)
+    mixed = _mix(padded)
     for j in range(steps):
-        w = padded[np.minimum(at, ends)]
-        out[:, j] = w
-        at += ((_mix(w) * moves[j]) >> np.uint64(63)).astype(at.dtype)
-        np.minimum(at, ends, out=at)
-    return out
+        out[:, j] = at
+        at = np.minimum(at + ((mixed[at] * moves[j]) >> np.uint64(63)).astype(np.int64), ends)
+    return padded[out]
 
 
 def nearest_stretch(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
