@@ -4,8 +4,8 @@ All built-in DataFrame functions; no Python runs on the executors.
 
 1. Every text is cut into statements (sentences and lines); templates likewise.  Terms are runs of a-z and 0-9.  The inverse
    document frequency of every template term is counted over all files; other terms weigh as terms no file has.
-2. Marks are the rare template terms.  A template whose common terms alone could reach the threshold makes all its terms
-   marks, so a statement without a mark can never match and is left out without loss.
+2. Marks: of each template the rarest terms, as many as it takes until the others alone stay below the threshold.  A statement
+   without a mark can never match and is left out without loss.
 3. Term counts of the other statements meet the templates' weights in an inverted index (a broadcast table whose size is
    that of the templates), which gives the cosine of each statement with each template.
 4. A file's own licence is its best statement's (at least ``threshold``; ties: smaller licence name).  A licence file is one named so
@@ -51,7 +51,6 @@ TEMPLATES = {
 }
 THRESHOLD = 0.75
 FILE_SHARE = 0.2  # of a licence file's terms, this share stands in licence statements
-RARE = 0.02  # a mark stands in at most this share of the files
 STATEMENT = r"\n|(?<=[.!?;])\s+"
 TERM = r"[^a-z0-9]+"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
@@ -72,12 +71,16 @@ def template_vectors(idf: dict[str, float]) -> list[tuple[str, int, dict[str, fl
     return out
 
 
-def marks_of(vectors: list[tuple[str, int, dict[str, float]]], rare: set[str], threshold: float) -> list[str]:
+def marks_of(vectors: list[tuple[str, int, dict[str, float]]], df: dict[str, int], threshold: float) -> list[str]:
     """Terms of which a matching statement has at least one."""
     found: set[str] = set()
     for _, _, v in vectors:
-        common = math.sqrt(sum(w * w for t, w in v.items() if t not in rare))
-        found |= {t for t in v if t in rare or common >= threshold - 1e-9}
+        rest = 1.0
+        for t in sorted(v, key=lambda t: (df[t], t)):
+            if rest < (threshold - 1e-6) ** 2:
+                break
+            found.add(t)
+            rest -= v[t] ** 2
     return sorted(found)
 
 
@@ -98,7 +101,7 @@ def statements(files: DataFrame, threshold: float = THRESHOLD, key: str = "path"
     idf = {t: math.log((n + 1) / (c + 1)) + 1 for t, c in df.items()}
     unknown = math.log(n + 1) + 1
     vectors = template_vectors(idf)
-    marks = marks_of(vectors, {t for t, c in df.items() if c <= RARE * n}, threshold)
+    marks = marks_of(vectors, df, threshold)
     mark = rf"(?<![a-z0-9])(?:{'|'.join(marks)})(?![a-z0-9])"
     parts = (files.select(key, F.lower(F.col(text)).alias("l")).filter(F.col("l").rlike(mark))
              .select(key, F.posexplode(F.split("l", STATEMENT)).alias("place", "s")).filter(F.col("s").rlike(mark))
