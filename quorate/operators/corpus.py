@@ -250,8 +250,15 @@ def assign_ramp(df: DataFrame, label: str, row: str, n: int = 12, lo: float = 0.
 
 
 def sample_by_period(df: DataFrame, n: int, row: str, keys: list[str] = ["period", "label"], seed: int = 42) -> DataFrame:
-    """At most ``n`` rows per (period, label) in seeded order."""
+    """At most ``n`` rows per (period, label) in seeded order; tasks keep only their own first ``n`` before the shuffle.
+
+    Both ways give the same rows: a small ``n`` lets Spark cut each task's part first, a large one is ranked without a window
+    over a whole group.
+    """
     with_key = df.withColumn("__h", seeded_order(F.col(row), seed))
+    if n <= 1000:
+        w = Window.partitionBy(*keys).orderBy("__h", row)
+        return with_key.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).select(*df.columns)
     ranked = rank0(with_key, keys, hash_digits(F.col("__h")), [F.col("__h"), F.col(row)], "__r")
     return ranked.where(F.col("__r") < n).select(*df.columns)
 
