@@ -10,7 +10,8 @@ A document is the set of its distinct word shingles (lower-case A-Z, words are r
    0.85 shares no key with probability (1 - 0.85^12)^84 = 3e-6.
 4. Links are confirmed on the full sets.  First every member of a bucket is held against the bucket's smallest member.
    Buckets that are then not all of one component are looked at again: pairs from different components whose byte sketch
-   allows the threshold (five standard deviations of room) are confirmed as well.  A bucket is compared in blocks of BLOCK
+   allows the threshold (five standard deviations of room) are confirmed as well, first each member's nearest one, then
+   all that still stand in different components.  A bucket is compared in blocks of BLOCK
    members, each pair of blocks on its own, so a bucket of any size is whole and no task holds it all.
 5. Components: union-find inside the tasks, then alternating large-star and small-star rounds between them.
 
@@ -34,8 +35,9 @@ from quorate.llm.common import BROADCAST_ROWS, semi_by_id, stored
 
 PLACES = 1024
 BANDS, ROWS = 84, 12
-SKETCH = 128
+SKETCH = 256
 BLOCK = 2000
+UNIT_SETS = 5000  # sets of one block in a unit of verification
 GROUP = 60_000  # shingles that are signed together
 EMPTY = np.int64(2**62)
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -73,7 +75,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     rank = 0
     while len(at):
         place = ((first + stride * np.uint64(rank)) & np.uint64(PLACES - 1)).astype(np.int64)
-        offer = (_mix(x + np.uint64(rank + 1) * M2) >> np.uint64(32)).astype(np.int64) + (np.int64(rank) << np.int64(32))
+        offer = (_mix(x + np.uint64((rank + 1) * int(M2) % 2**64)) >> np.uint64(32)).astype(np.int64) + (np.int64(rank) << np.int64(32))
         np.minimum.at(flat, at * PLACES + place, offer)
         rank += 1
         if rank % 4 == 0 or rank < 3 or rank == PLACES:
@@ -129,24 +131,44 @@ def _sets(width: int):
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold: 100 x intersection >= percent x union."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = (semi_by_id(docs.select("doc_id", "text"), ids, "doc_id", ids.count())
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    count = ids.count()
+    sets = (semi_by_id(docs.select("doc_id", "text"), ids, "doc_id", count)
             .mapInArrow(_sets(width), T.StructType([T.StructField("id", T.LongType()), T.StructField("s", T.BinaryType())])))
     sets = stored(sets)
 
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    # ids are dealt into blocks; a pair belongs to the unit of its two blocks, and a set is sent once to each unit that asks for it
+    blocks = max(16, -(-count // UNIT_SETS))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    placed = pairs.select("a", "b", block("a").alias("x"), block("b").alias("y")).select("a", "b", (F.least("x", "y") * blocks + F.greatest("x", "y")).cast("long").alias("unit"))
+    asked = placed.select("unit", F.col("a").alias("id")).union(placed.select("unit", "b")).distinct().join(sets, "id").select("unit", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "s")
+    rows = asked.unionByName(placed.select("unit", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("s")))
+    rows = rows.repartition("unit").sortWithinPartitions("unit", "kind")
 
-    wide = (pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-            .select("a", "b", "sa", "sb"))
-    return stored(wide.mapInArrow(run, "a long, b long").distinct())
+    def run(batches):
+        unit, own = None, {}
+        for batch in batches:
+            keep_a, keep_b = [], []
+            for u, kind, a, b, raw in zip(*[batch.column(k).to_pylist() for k in range(5)]):
+                if u != unit:
+                    unit, own = u, {}
+                if kind == 0:
+                    own.setdefault(a, []).append(np.frombuffer(raw, dtype=np.uint64))
+                elif any(alike(x, y, percent) for x in own.get(a, ()) for y in own.get(b, ())):
+                    keep_a.append(a)
+                    keep_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], names=["a", "b"])
+
+    return stored(rows.mapInArrow(run, "a long, b long").distinct())
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 x intersection >= percent x union, for sorted distinct hashes."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(x, y)
+    both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _forest(batches):
@@ -186,8 +208,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _cross(batches):
-    """Candidate pairs of each unit (two blocks of one bucket): different components, sizes and sketches that allow 0.85."""
+def _cross(batches, nearest: bool):
+    """Candidate pairs of each unit (two blocks of one bucket): different components, sizes and sketches that allow 0.85.
+
+    ``nearest`` keeps, for every member outside the unit's largest component, only the partner with the closest sketch.
+    """
     # the rows of a unit stand together; its rows so far are kept until the next unit begins
     held, unit = [], None
 
@@ -209,6 +234,11 @@ def _cross(batches):
                 same = np.concatenate([(sk[x[i[k:k + 50_000]]] == sk[j[k:k + 50_000]]).sum(axis=1) for k in range(0, len(i), 50_000)])
                 # 1/256 of unequal bytes agree by chance; five standard deviations at 0.85
                 good = same >= SKETCH * (0.85 - 5 * (0.85 * 0.15 / SKETCH) ** 0.5)
+                if nearest:
+                    order = np.lexsort((ids[j], -same, i))
+                    order = order[good[order]]
+                    good = np.zeros(len(i), dtype=bool)
+                    good[order[np.append(True, i[order][1:] != i[order][:-1])[:len(order)]]] = True
                 out.append(np.stack([ids[x[i[good]]], ids[j[good]]], axis=1))
         if not out:
             return None
@@ -237,6 +267,18 @@ def _cross(batches):
         yield found
 
 
+def _mixed_units(buckets: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component, dealt into units of two blocks and sorted by unit."""
+    placed = buckets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
+    own = F.pmod(F.xxhash64("id"), F.col("g").cast("long")).cast("int")
+    units = (placed.join(mixed, "key", "left_semi").withColumn("g", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+             .join(sizes, "id")
+             .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "comp", "n", F.col("own").alias("block"), "sketch"))
+    return units.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
@@ -257,26 +299,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     links = verified(stars, docs, width, percent)
     # one document with several sets, and several documents with one id, hold together through the id itself
     comps = stored(components(links))
-
-    placed = buckets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("g").cast("long")).cast("int")
     sizes = reps.groupBy(F.col("doc_id").alias("id")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    units = (placed.join(mixed, "key", "left_semi").withColumn("g", blocks).withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-             .join(sizes, "id")
-             .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "comp", "n", F.col("own").alias("block"), "sketch")
-             .filter((F.col("x") == F.col("y")) | (F.col("block") == F.col("x")) | (F.col("block") == F.col("y"))))
-    units = units.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    more = stored(units.mapInArrow(_cross, "a long, b long").distinct())
-    if more.isEmpty():
-        final = comps
-    else:
-        late = verified(more, docs, width, percent)
-        final = stored(components(links.union(late)))
-
-    placed = signed.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(final.withColumnRenamed("id", "rep"), "rep", "left")
+    # nearest partners first: what they join needs no other pair, so the second look has few pairs left
+    for nearest in (True, False):
+        more = stored(_mixed_units(buckets, comps, sizes).mapInArrow(lambda batches, nearest=nearest: _cross(batches, nearest), "a long, b long").distinct())
+        if more.isEmpty():
+            break
+        links = links.union(verified(more, docs, width, percent))
+        comps = stored(components(links))
+
+    placed = signed.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "rep"))
     return placed.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
