@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,13 +167,18 @@ def _buffers(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     return data, bounds - bounds[0], ids[order]
 
 
+def pieces(batch: pa.RecordBatch, most: int = 16_000_000) -> list[pa.RecordBatch]:
+    """A batch in pieces of about ``most`` bytes of text, documents whole."""
+    sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.unique(np.append(np.searchsorted(sizes, np.arange(most, sizes[-1] if len(sizes) else 0, most), side="right"), len(sizes)))
+    return [batch.slice(a, z - a) for a, z in zip([0, *cuts[:-1].tolist()], cuts.tolist()) if z > a]
+
+
 def _find(parts: int, hot: np.ndarray):
     """(part, data): runs dealt by anchor hash, and under negative parts the ranges that one task can decide alone."""
     def run(batches):
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole)):
             data, bounds, ids = _buffers(b.column(0), b.column(1))
-            if not len(ids):
-                continue
             first, later = split_equal(runs_of(data, bounds, ids, hot))
             part = ((first["g"].view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
