@@ -155,6 +155,22 @@ def test_decontamination_against_edit_distance(spark):
     assert decontamination.tables_for(0.998, 0.5) <= decontamination.WALKS * decontamination.SAMPLES
 
 
+@pytest.mark.parametrize("size", [15, 60, 120, 250, 500])
+def test_long_items_are_found_at_the_bound(size):
+    rnd = random.Random(size)
+    word = lambda: f"v{rnd.randrange(20_000)}"
+    items = [(i, " ".join(word() for _ in range(size))) for i in range(20)]
+    index, lost = decontamination.Index(items), 0
+    for i, text in items:
+        for insert in (True, False):
+            w = text.split()
+            for p in sorted(rnd.sample(range(size), size // 5), reverse=True):
+                w[p:p + (not insert)] = [word()] * insert
+            got = index.match(decontamination.hashed(" ".join([word() for _ in range(30)] + w + [word() for _ in range(30)]), {}))
+            lost += (i, plain_distance(text.split(), w)) not in [(m[0], m[1]) for m in got] if size < 250 else i not in [m[0] for m in got]
+    assert lost <= 1
+
+
 def test_decontamination_odd_input(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h"), (2, None), (3, ""), (4, "one"), (5, "a b c d e f g h")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id) for r in decontamination.matches(odd(spark), items).collect())
