@@ -20,8 +20,9 @@ item's length in word insertions, deletions and replacements.
 The items are a stated query set: they are read in blocks of at most ``BLOCK_WORDS`` words, each broadcast to one pass over all
 documents.  Documents never move.
 
-Defined cases: words are runs of letters and digits in lower case; NULL or empty texts contain nothing; items of fewer than
-``MIN_WORDS`` words (empty and NULL ones too) are not searched, as they are ordinary phrases; of equal items each is reported;
+Defined cases: words are runs of letters and digits in lower case, in scripts without blanks between words (``UNSPACED``) single
+letters; NULL or empty texts contain nothing; items of two to four words are found by exact match of their words (a fifth of
+them is no edit); items of one word (empty and NULL ones too) are not searched, as they are ordinary words; of equal items each is reported;
 repeated documents repeat their rows; empty tables give no rows; extra columns do not matter.
 """
 
@@ -40,9 +41,13 @@ from pyspark.sql import types as T
 
 from quorate.llm.common import with_arrays
 
-WORD = re.compile(r"[^\W_]+")
+# scripts that set no blanks between words: every letter is a word (kana and Chinese, Bopomofo, Yi, Thai, Lao, Tibetan, Burmese, Khmer, Tai)
+UNSPACED = ("\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3005-\u3007\u3031-\u3035\u3040-\u3130\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48f"
+            "\ua9e0-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U00016fe0-\U00018dff\U0001aff0-\U0001b16f\U00020000-\U0003ffff")
+WORD = re.compile(rf"[^\W_{UNSPACED}]+|(?!_)[{UNSPACED}](?<=\w)")
 MAX_EDITS = 0.2
 MIN_WORDS = 5
+SHORT = (2, 3, 4)  # words of the items that are found by exact match
 CLASS_RATIO = 1.2
 PIECE = 19  # words of a piece at most
 WALKS, SAMPLES, DEPTH = 4, 12, 3
@@ -120,12 +125,16 @@ class Index:
     def __init__(self, items: list[tuple[object, str]]):
         self.items: list[Item] = []
         self.pieces: list[Piece] = []
+        self.short: dict[int, dict[int, list[tuple[object, np.ndarray]]]] = {}  # by number of words and hash
         cache: dict[str, int] = {}
         for ident, text in items:
             words = hashed(text, cache)
             if len(words) >= MIN_WORDS:
                 self.items.append(Item.of(ident, words))
                 self.pieces += _pieces(len(self.items) - 1, self.items[-1])
+            elif len(words) in SHORT:
+                self.short.setdefault(len(words), {}).setdefault(int(_grams(words, len(words))[0]), []).append((ident, words))
+        self.short_keys = {m: np.sort(np.fromiter(own, dtype=np.uint64, count=len(own))) for m, own in self.short.items()}
         bodies = [x.body for x in self.pieces]
         self.sizes = sorted({x.size for x in self.pieces})
         self.grams = {q: np.unique(np.concatenate([x.grams for x in bodies if x.q == q])) for q in {x.q for x in bodies}}
@@ -169,6 +178,21 @@ class Index:
 
     def match(self, words: np.ndarray) -> list[tuple[object, int, int, int, int]]:
         """(item, edits, item words, first word, end word) of every item in one document."""
+        return self._exact(words) + self._near(words)
+
+    def _exact(self, words: np.ndarray) -> list[tuple[object, int, int, int, int]]:
+        """Short items whose words stand in the document as they are, each at its first place."""
+        out = []
+        for m, keys in self.short_keys.items():
+            grams = _grams(words, m)
+            near = np.searchsorted(keys, grams)
+            at = np.flatnonzero(keys[np.minimum(near, len(keys) - 1)] == grams)
+            values, first = np.unique(grams[at], return_index=True)
+            for g, i in zip(values.tolist(), at[first].tolist()):
+                out += [(ident, 0, m, i, i + m) for ident, own in self.short[m][g] if (own == words[i:i + m]).all()]
+        return out
+
+    def _near(self, words: np.ndarray) -> list[tuple[object, int, int, int, int]]:
         if not self.items or len(words) == 0:
             return []
         runs = {q: self.hits(words, q) for q in self.grams}

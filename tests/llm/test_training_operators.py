@@ -171,6 +171,17 @@ def test_long_items_are_found_at_the_bound(size):
     assert lost <= 1
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    thai, chinese = "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22\u0e40\u0e1b\u0e47\u0e19\u0e20\u0e32\u0e29\u0e32", "\u4e2d\u534e\u4eba\u6c11\u5171\u548c\u56fd\u7684\u9996\u90fd\u662f\u5317\u4eac"
+    items = spark.createDataFrame([(1, "Why not?"), (2, "who goes there"), (3, chinese), (4, thai), (5, "what is it now"), (6, "\u6771\u4eac")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "he said: why NOT go, why not"), (2, "who really goes there"), (3, "\u524d" * 40 + chinese.replace("\u662f", "\u5728") + "\u5f8c" * 40),
+                                  (4, f"x {thai} y"), (5, "so what is it now"), (6, "\u6771\u5317\u4eac"), (7, "\u5728\u6771\u4eac")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in decontamination.matches(docs, items).collect())
+    assert [r[:3] for r in got] == [(1, 1, 0), (3, 3, 1), (4, 4, 0), (5, 5, 0), (7, 6, 0)]
+    assert got[0][3:] == (2, 2, 4)
+    assert sorted(r.doc_id for r in decontamination.keep(docs, items).collect()) == [2, 6]
+
+
 def test_decontamination_odd_input(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h"), (2, None), (3, ""), (4, "one"), (5, "a b c d e f g h")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id) for r in decontamination.matches(odd(spark), items).collect())
