@@ -6,8 +6,8 @@ A document is the set of its distinct word shingles (lower-case A-Z, words are r
 2. SuperMinHash: every shingle draws one permutation of the signature's places; at its j-th place it offers the rank j plus a
    random fraction, and each place keeps the least offer.  As later ranks cannot beat earlier ones, a document stops
    after the first rank at which all places are filled.
-3. BANDS bands of ROWS places are hashed to keys; documents that share a key are candidates.  A pair at the threshold
-   0.85 shares no key with probability (1 - 0.85^12)^84 = 3e-6.
+3. Bands of places are hashed to keys; documents that share a key are candidates.  ``layout`` takes the most rows a band with which
+   a pair at the threshold shares no key with a probability of at most MISS: 84 bands of 12 for 85 percent, 90 of 9 for 80.
 4. Links are confirmed on the full sets.  First every member of a bucket is held against the bucket's smallest member.
    Buckets that are then not all of one component are looked at again: pairs from different components whose byte sketch
    allows the threshold (five standard deviations of room) are confirmed as well, first each member's nearest one, then
@@ -23,6 +23,7 @@ has no component and is kept; an empty table gives an empty result; extra column
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ from pyspark.sql import types as T
 from quorate.llm.common import BROADCAST_ROWS, semi_by_id, stored
 
 PLACES = 1024
-BANDS, ROWS = 84, 12
+MISS = 2.6e-6  # of a pair at the threshold
+MOST_ROWS = 12
 SKETCH = 256
 BLOCK = 2000
 UNIT_SETS = 5000  # sets of one block in a unit of verification
@@ -88,15 +90,26 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * M3, (len(sig), BANDS)).copy()
-    cut = sig[:, :BANDS * ROWS].reshape(len(sig), BANDS, ROWS).astype(np.uint64)
-    for r in range(ROWS):
+def layout(percent: int) -> tuple[int, int]:
+    """(bands, rows a band) for a threshold.  ValueError if PLACES are too few for it."""
+    s = percent / 100
+    for rows in range(MOST_ROWS, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-s ** rows)) if s < 1 else 1
+        if bands * rows <= PLACES:
+            return bands, rows
+    raise ValueError(f"{PLACES} places are too few for a similarity of {percent} percent")
+
+
+def band_keys(sig: np.ndarray, percent: int) -> np.ndarray:
+    bands, rows = layout(percent)
+    h = np.broadcast_to(np.arange(bands, dtype=np.uint64) * M3, (len(sig), bands)).copy()
+    cut = sig[:, :bands * rows].reshape(len(sig), bands, rows).astype(np.uint64)
+    for r in range(rows):
         h = _mix(h + cut[:, :, r])
     return h.astype(np.int64)
 
 
-def _sign(width: int):
+def _sign(width: int, percent: int):
     def run(batches):
         for b in batches:
             cache: dict[bytes, int] = {}
@@ -108,7 +121,7 @@ def _sign(width: int):
                     sets.append(shingle_set(texts[lo + len(sets)], width, cache))
                     total += len(sets[-1])
                 sig = signatures(sets)
-                keys = band_keys(sig)
+                keys = band_keys(sig, percent)
                 sketch = _mix(sig[:, :SKETCH].astype(np.uint64)).astype(np.uint8)
                 marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 halves = np.frombuffer(b"".join(marks), dtype=np.int64).reshape(-1, 2)
@@ -208,13 +221,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _cross(batches, nearest: bool):
-    """Candidate pairs of each unit (two blocks of one bucket): different components, sizes and sketches that allow 0.85.
+def _cross(batches, nearest: bool, percent: int):
+    """Candidate pairs of each unit (two blocks of one bucket): different components, sizes and sketches that allow the threshold.
 
     ``nearest`` keeps, for every member outside the unit's largest component, only the partner with the closest sketch.
     """
     # the rows of a unit stand together; its rows so far are kept until the next unit begins
-    held, unit = [], None
+    held, unit, s = [], None, percent / 100
 
     def pairs(rows):
         ids, comp, n, block, sk = (np.concatenate([r[k] for r in rows]) for k in range(5))
@@ -226,14 +239,14 @@ def _cross(batches, nearest: bool):
         out = []
         for lo in range(0, len(odd), 64):
             x = odd[lo:lo + 64]
-            ok = (comp[x][:, None] != comp[None]) & (100 * np.minimum(n[x][:, None], n[None]) >= 85 * np.maximum(n[x][:, None], n[None]))
+            ok = (comp[x][:, None] != comp[None]) & (100 * np.minimum(n[x][:, None], n[None]) >= percent * np.maximum(n[x][:, None], n[None]))
             if not one:
                 ok &= block[x][:, None] != block[None]
             i, j = np.nonzero(ok)
             if len(i):
                 same = np.concatenate([(sk[x[i[k:k + 50_000]]] == sk[j[k:k + 50_000]]).sum(axis=1) for k in range(0, len(i), 50_000)])
-                # 1/256 of unequal bytes agree by chance; five standard deviations at 0.85
-                good = same >= SKETCH * (0.85 - 5 * (0.85 * 0.15 / SKETCH) ** 0.5)
+                # 1/256 of unequal bytes agree by chance; five standard deviations at the threshold
+                good = same >= SKETCH * (s - 5 * (s * (1 - s) / SKETCH) ** 0.5)
                 if nearest:
                     order = np.lexsort((ids[j], -same, i))
                     order = order[good[order]]
@@ -282,13 +295,11 @@ def _mixed_units(buckets: DataFrame, comps: DataFrame, sizes: DataFrame) -> Data
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
-    ``percent`` may be 85 or more: bands and sketch bound are laid out for 85.
+    Pairs link from ``percent`` on; bands and sketch bound are laid out for it.
     """
-    if percent < 85:
-        raise ValueError("the bands are laid out for a similarity of 85 percent or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kinds = "doc_id long, n long, d1 long, d2 long, keys array<long>, sketch binary"
-    signed = stored(docs.mapInArrow(_sign(width), kinds))
+    signed = stored(docs.mapInArrow(_sign(width, percent), kinds))
     classes = stored(signed.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
     # rows of representatives; an id that stands on several rows brings all its sets
     reps = signed.filter("n > 0").join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "doc_id"], "left_semi")
@@ -302,7 +313,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     sizes = reps.groupBy(F.col("doc_id").alias("id")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # nearest partners first: what they join needs no other pair, so the second look has few pairs left
     for nearest in (True, False):
-        more = stored(_mixed_units(buckets, comps, sizes).mapInArrow(lambda batches, nearest=nearest: _cross(batches, nearest), "a long, b long").distinct())
+        more = stored(_mixed_units(buckets, comps, sizes).mapInArrow(lambda batches, nearest=nearest: _cross(batches, nearest, percent), "a long, b long").distinct())
         if more.isEmpty():
             break
         links = links.union(verified(more, docs, width, percent))

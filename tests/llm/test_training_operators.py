@@ -262,6 +262,29 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == plain_groups(rows, 3, 85)
 
 
+def pairs_at(similarities, words=200, width=5):
+    """Rows (2i, 2i + 1) whose sets of ``words`` shingles are as similar as asked, by a new end of the second text."""
+    rows = []
+    for i, s in enumerate(similarities):
+        other = round(words * (1 - s) / (1 + s))
+        a = [f"p{i}w{k}" for k in range(words + width - 1)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a[:len(a) - other] + [f"q{i}w{k}" for k in range(other)]))]
+    return rows
+
+
+def test_threshold_of_80_percent(spark):
+    rows = pairs_at([0.78 + k / 400 for k in range(40)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_groups(rows, 5, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, 5, 80).collect()} == want
+    assert want != plain_groups(rows, 5, 85)
+    assert {r.doc_id for r in near_dup.keep(docs, 5, 80).collect()} == {i for i, (_, c) in want.items() if i == c}
+    for percent in (50, 80, 85, 95, 100):
+        bands, width = near_dup.layout(percent)
+        assert bands * width <= near_dup.PLACES and (1 - (percent / 100) ** width) ** bands <= near_dup.MISS
+    assert near_dup.layout(85) == (84, 12)
+
+
 def test_blocks_give_the_same_groups(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 3)
     test_near_duplicates_against_all_pairs(spark)
