@@ -2,7 +2,7 @@
 
 The pages of one host are merged into a style tree: a node is a path of block elements with their class names.  Content
 importance of a node: one minus the mean entropy of its distinct texts over the m pages that have it, ln(k)/ln(m) for a text on k pages; texts
-on every page carry nothing.  Presentation importance: the entropy of the child sequences below it.  The composite of a
+on every page carry nothing.  Equal pages count once, on a host and over all hosts, so that copies do not look like boilerplate.  Presentation importance: the entropy of the child sequences below it.  The composite of a
 node takes in the contents of the leaves beneath it.  A host with few pages leans on the same path over all hosts.  Branches
 below the threshold are removed from every page of the host.
 
@@ -12,7 +12,7 @@ themselves and an article's own paragraphs and headings are never removed by the
 
 Defined cases: NULL and empty pages give an empty text; broken markup is read as browsers do in the main (implied ends of p, li, dd
 and table cells, unknown end tags ignored, an unfinished tag at the end dropped); a URL without a host shares the empty host; repeated
-pages count as pages; an empty table gives an empty result; extra columns do not matter.
+pages count once in the tree and each gets its text; an empty table gives an empty result; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -210,12 +210,23 @@ def _signed(x: int) -> int:
     return x if x < 2**63 else x - 2**64
 
 
+def weighted(pages: DataFrame, url: str, page: str) -> DataFrame:
+    """(url, page, on_host, on_all): each page with one over the number of its copies, so that equal pages add up to one."""
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), HOST.pattern, 1))
+    rows = pages.select(F.col(url).alias("u"), F.col(page).alias("h"), host.alias("host"), F.md5(F.coalesce(F.col(page), F.lit("")).cast("binary")).alias("mark"))
+    own = rows.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("c"))
+    own = stored(own.join(own.groupBy("mark").agg(F.sum("c").alias("a")).filter("a > 1"), "mark"))
+    count = own.count()
+    rows = rows.join(F.broadcast(own) if count <= BROADCAST_ROWS else own, ["host", "mark"], "left")
+    return rows.select("u", "h", *[(F.lit(1.0) / F.coalesce(c, F.lit(1))).alias(name) for c, name in (("c", "on_host"), ("a", "on_all"))])
+
+
 def style_counts(pages: DataFrame, url: str, page: str) -> DataFrame:
-    """(kind, host, path, item, n): pages by node (0), by node and text (1), by node and child sequence (2), tree edges (3: item is an ancestor)."""
+    """(kind, host, path, item, n, a): distinct pages (of the host in n, a share of those of all hosts in a) by node (0), by node and text (1), by node and child sequence (2), tree edges (3: item is an ancestor)."""
     def run(batches):
         for b in batches:
-            counts: Counter = Counter()
-            for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            counts: dict[tuple, list[float]] = {}
+            for u, h, on_host, on_all in zip(*[b.column(k).to_pylist() for k in range(4)]):
                 host = _signed(xxhash.xxh3_64_intdigest(host_of(u)))
                 seen = set()
 
@@ -231,18 +242,22 @@ def style_counts(pages: DataFrame, url: str, page: str) -> DataFrame:
                                 seen.add((3, path, _signed(up.path)))
 
                 read(h, 0, None, visit)
-                counts.update((k, host, p, i) for k, p, i in seen)
+                for k, p, i in seen:
+                    n = counts.setdefault((k, host, p, i), [0.0, 0.0])
+                    n[0] += on_host
+                    n[1] += on_all
             keys = list(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int8()), *[pa.array([k[j] for k in keys], pa.int64()) for j in (1, 2, 3)], pa.array([counts[k] for k in keys], pa.int64())],
-                                             names=["kind", "host", "path", "item", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int8()), *[pa.array([k[j] for k in keys], pa.int64()) for j in (1, 2, 3)], *[pa.array([counts[k][j] for k in keys], pa.float64()) for j in (0, 1)]],
+                                             names=["kind", "host", "path", "item", "n", "a"])
 
-    rows = pages.select(url, page).mapInArrow(run, "kind byte, host long, path long, item long, n long")
-    return stored(rows.groupBy("kind", "host", "path", "item").agg(F.sum("n").alias("n")))
+    rows = weighted(pages, url, page).mapInArrow(run, "kind byte, host long, path long, item long, n double, a double")
+    return stored(rows.groupBy("kind", "host", "path", "item").agg(F.round(F.sum("n")).cast("long").alias("n"), F.sum("a").alias("a")))
 
 
 def importance(counts: DataFrame, by: list[str]) -> DataFrame:
     """(*by, m, imp): composite importance of every node, by host and path or by path alone."""
-    rows = counts.groupBy("kind", *[c for c in by if c != "path"], "path", "item").agg(F.sum("n").alias("n"))
+    n = F.sum("n") if "host" in by else F.round(F.sum("a")).cast("long")
+    rows = counts.groupBy("kind", *[c for c in by if c != "path"], "path", "item").agg(n.alias("n"))
     nodes = rows.filter("kind = 0").select(*by, F.col("n").alias("m"))
     texts = rows.filter("kind = 1").groupBy(*by).agg(F.count(F.lit(1)).alias("l"), F.sum(F.log("n")).alias("s"))
     leaf = texts.join(nodes, by).withColumn("c", F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("l") * F.log("m"))).otherwise(1.0))

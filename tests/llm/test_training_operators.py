@@ -390,6 +390,15 @@ def test_style_tree_removes_what_repeats_on_a_host(spark):
     assert split == got
 
 
+def test_copies_of_a_page_stay_whole(spark):
+    bodies = {"wrapped": ("<article><div class='content'><p>one two</p><ul><li>three</li></ul><table><tr><td>four</td></tr></table><dl><dt>five</dt><dd>six</dd></dl></div></article>", "one two three four five six"),
+              "main": ("<main><div><p>seven eight</p><figure><figcaption>nine</figcaption></figure></div></main>", "seven eight nine"),
+              "plain": ("<div><p>ten eleven</p></div>", "ten eleven")}
+    rows = [(f"{name}{i}", f"http://{name}{h}.org/{i}", f"<body>{body}</body>") for name, (body, _) in bodies.items() for i in range(60) for h in (("",) if i < 30 else (i,))]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert len(got) == 180 and all(r.text == bodies[r.page_id.rstrip("0123456789")][1] for r in got)
+
+
 # packing ----------------------------------------------------------------------------------------------------------------
 
 def test_boundaries_are_optimal():
