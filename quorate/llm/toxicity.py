@@ -89,19 +89,19 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     if not len(hot):
         return []
     total = np.concatenate(([0.0], np.cumsum(scores, dtype=np.float64)))
-    found: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum through
+    # first, end, sum before, sum through, and the place of the last earlier segment with a smaller sum before
+    found: list[tuple[int, int, float, float, int]] = []
     for i in hot.tolist():
-        new = (i, i + 1, total[i], total[i + 1])
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
-                break
-            new = (found[j][0], new[1], found[j][2], new[3])
+        first, left, right = i, total[i], total[i + 1]
+        j = len(found) - 1
+        while j >= 0 and found[j][2] >= left:
+            j = found[j][4]
+        while j >= 0 and found[j][3] < right:
+            first, _, left, _, up = found[j]
             del found[j:]
-    return [(a, b, right - left) for a, b, left, right in found]
+            j = up
+        found.append((first, i + 1, left, right, j))
+    return [(a, b, right - left) for a, b, left, right, _ in found]
 
 
 def _lookup(model: Model, cache: dict[str, float], words: list[str]) -> np.ndarray:

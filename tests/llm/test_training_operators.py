@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -54,6 +55,12 @@ def test_segments_match_definition():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in plain_segments(x)]
 
 
+def test_segments_of_long_clean_text_in_linear_time():
+    before = time.process_time()
+    got = toxicity.maximal_segments(np.tile([1.0, -2.0], 60_000))
+    assert len(got) == 60_000 and time.process_time() - before < 10
+
+
 def test_toxicity_learns_and_finds_the_passage(spark):
     rnd = random.Random(1)
     words = [f"w{i}" for i in range(300)]
