@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.llm import decontamination, html_extract, licenses, near_dup, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
+from quorate.llm import collocations, decontamination, html_extract, licenses, near_dup, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
 from quorate.llm.common import remainder, table
 
 
@@ -61,7 +61,12 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_license_scan": op2_license_scan, "op3_decontamination": op3_decontamination, "op4_quality_rules": op4_quality_rules, "op5_near_dup": op5_near_dup, "op6_pii": op6_pii, "op7_html_extract": op7_html_extract, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier, "op10_suffix_dedup": op10_suffix_dedup}
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_license_scan": op2_license_scan, "op3_decontamination": op3_decontamination, "op4_quality_rules": op4_quality_rules, "op5_near_dup": op5_near_dup, "op6_pii": op6_pii, "op7_html_extract": op7_html_extract, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier, "op10_suffix_dedup": op10_suffix_dedup,
+           "op13_collocations": op13_collocations}
 
 SQL: dict[str, str] = {}
 
@@ -120,3 +125,23 @@ select d.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(m, 0)::bigint as
   sha256(unhex(case when n is null then h else head || substr(h, 2 * last + 1) end)) as kept_sha256
 from d left join k using (doc_id)
 """
+
+SQL["op13_collocations"] = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+g as (select lang, k as words, array_to_string(ws[i:i + k - 1], ' ') as phrase
+      from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, (select unnest([1, 2, 3, 4]) as k) where len(ws) >= k)),
+f as (select lang, words, phrase, count(*) as f from g group by all),
+n as (select lang, sum(f)::bigint as n from f where words = 1 group by lang),
+q as (select lang, words, phrase, string_split(phrase, ' ') as ws, f as a from f where words > 1 and f >= 30),
+c as (select lang, phrase, words, a, k, array_to_string(ws[1:k], ' ') as p1, array_to_string(ws[k + 1:words], ' ') as p2
+      from (select *, unnest(range(1, words)) as k from q)),
+s as (select c.lang, c.phrase, c.a, k, x.f as l, y.f as r, (2000000::hugeint * c.a // (x.f + y.f))::bigint as score
+      from c join f x on x.lang = c.lang and x.phrase = c.p1 join f y on y.lang = c.lang and y.phrase = c.p2),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+e as (select lang, phrase, max(a) as longer from (
+        select lang, array_to_string(ws[1:words - 1], ' ') as phrase, a from q union all select lang, array_to_string(ws[2:words], ' '), a from q) group by all),
+t as (select b.*, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank
+      from b left join e using (lang, phrase) where e.longer is null or 100 * e.longer < 80 * a)
+select lang, rank::int as rank, phrase, a, l, r, n.n, score from t join n using (lang) where rank <= 2000
+"""
