@@ -5,8 +5,8 @@ phrase of two to four words with a = f(phrase) >= 30; its score is the least of
 first part (l) and the rest (r).  Candidates that stand inside a longer one of at least 0.8 times their count are dropped; the
 best 2,000 of each language stay.
 
-1. Words are counted exactly.  Their counts go into CELLS hashed cells (least and greatest count of the frequent words in it):
-   a table of fixed size, sent to every task, that bounds the count of any word from both sides.
+1. Words are counted exactly.  Their counts go into hashed cells (least and greatest count of the frequent words in it): a table of
+   at most MOST_CELLS, sent to every task, that bounds the count of any word from both sides.
 2. Growth needs frequent parts.  Two sketches count hashed n-grams of frequent words (first pairs, then three and four words whose
    pairs may all be frequent) and keep one bit per cell: a clear bit proves f < 30, a set bit proves nothing.
 3. Best first: a phrase whose rarest word occurs at most m times and whose first or last word occurs at least x times cannot
@@ -17,7 +17,7 @@ best 2,000 of each language stay.
    bounds, so the 2,000th score and its ties are known.  The last step is t = 0, where everything is counted.
 
 A phrase inside a much longer one also stands in one that is a word longer, so extensions by one word decide.  Sets of phrases travel
-to the tasks as bits of fixed size too; false hits are counted for nothing and change no result.
+to the tasks as bits too, at most MOST_BITS; false hits are counted for nothing and change no result.
 
 Defined cases: a NULL language is ``und``; NULL and empty texts have no words; long texts are worked on in slices that end at piece
 borders; repeated rows count again; ties go by score, count, then phrase in byte order; an empty table gives no rows; further
@@ -42,10 +42,10 @@ from quorate.llm.common import stored
 LEAST = 30
 LONGEST = 4
 TOP = 2000
-STEPS = (250_000, 31_250, 3_906, 0)  # thresholds of the rounds
+STEPS = (125_000, 8_000, 0)  # thresholds of the rounds
 SLICE = 4_000_000  # bytes of text that are cut into words at once
-CELLS = 1 << 20  # hashed word counts
-BITS = 1 << 27  # hashed phrases
+MOST_CELLS = 1 << 20  # hashed word counts
+MOST_BITS = 1 << 27  # hashed phrases
 BUCKETS = 512  # equal ranges of these cells
 FLUSH = 3_000_000
 SALTS = 64
@@ -105,32 +105,42 @@ def _words(batches):
     yield rows()
 
 
-def _word_cells(batches):
-    for b in batches:
-        cell = np.zeros(b.num_rows, dtype=np.int64)
-        langs, words = np.array(b.column(0).to_pylist(), dtype=object), np.array([w.encode() for w in b.column(1).to_pylist()], dtype=object)
-        for lang in set(langs.tolist()):
-            own = np.flatnonzero(langs == lang)
-            cell[own] = (word_hashes(lang, words[own].tolist()) & np.uint64(CELLS - 1)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(2)], names=["cell", "f"])
+def room(entries: int, most: int) -> int:
+    """Cells for so many entries: a power of two, eight times as many at least, up to a fixed size."""
+    size = 8 * BUCKETS
+    while size < min(8 * entries, most):
+        size *= 2
+    return size
+
+
+def _word_cells(cells: int):
+    def run(batches):
+        for b in batches:
+            cell = np.zeros(b.num_rows, dtype=np.int64)
+            langs, words = np.array(b.column(0).to_pylist(), dtype=object), np.array([w.encode() for w in b.column(1).to_pylist()], dtype=object)
+            for lang in set(langs.tolist()):
+                own = np.flatnonzero(langs == lang)
+                cell[own] = (word_hashes(lang, words[own].tolist()) & np.uint64(cells - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(2)], names=["cell", "f"])
+    return run
 
 
 class Bits:
-    """A set of hashes in BITS bits."""
+    """A set of hashes in so many bits."""
 
-    def __init__(self, raw: np.ndarray | None = None):
-        self.raw = np.zeros(BITS // 8, dtype=np.uint8) if raw is None else raw
+    def __init__(self, size: int):
+        self.size, self.raw = size, np.zeros(size // 8, dtype=np.uint8)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        cell = h & np.uint64(BITS - 1)
+        cell = h & np.uint64(self.size - 1)
         return (self.raw[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 class Sent:
-    """What goes to every task; all of it has a fixed size."""
+    """What goes to every task; its size is bounded by MOST_CELLS and MOST_BITS."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray):
-        self.low, self.high, self.frequent = low, high, Bits()
+    def __init__(self, low: np.ndarray, high: np.ndarray, frequent: Bits):
+        self.low, self.high, self.frequent = low, high, frequent
 
 
 class Slice:
@@ -141,13 +151,12 @@ class Slice:
         place = {w: k for k, w in enumerate(self.names)}
         self.ids = np.fromiter(map(place.__getitem__, tokens), dtype=np.int64, count=len(tokens))
         own = word_hashes(lang, self.names)
-        cell = (own & np.uint64(CELLS - 1)).astype(np.int64)
+        cell = (own & np.uint64(len(sent.low) - 1)).astype(np.int64)
         high = sent.high[cell].copy()
         if b"," in place:
             high[place[b","]] = 0
         self.hash, self.high, self.low = own[self.ids], high[self.ids], sent.low[cell][self.ids]
         self.frequent = sent.frequent
-        self._hashes: dict[tuple[int, int], np.ndarray] = {}
 
     def starts(self, n: int, flagged: int) -> np.ndarray:
         """Places where n frequent words stand together and all parts of 2 to ``flagged`` words may be frequent."""
@@ -190,9 +199,9 @@ class Slice:
         return [b" ".join(map(self.names.__getitem__, r)).decode() for r in rows], count
 
 
-def _sketch(sent, sizes: tuple[int, ...], flagged: int):
+def _sketch(sent, sizes: tuple[int, ...], flagged: int, bits: int):
     """Counts of hashed n-grams up to LEAST, by range of cells: (bucket, cells, counts)."""
-    width = BITS // BUCKETS
+    width = bits // BUCKETS
 
     def run(batches):
         cells, counts, held = [], [], 0
@@ -217,7 +226,7 @@ def _sketch(sent, sizes: tuple[int, ...], flagged: int):
                 for n in sizes:
                     at = part.starts(n, flagged)
                     if len(at):
-                        own, add = np.unique((part.of(at, n) & np.uint64(BITS - 1)).astype(np.int64), return_counts=True)
+                        own, add = np.unique((part.of(at, n) & np.uint64(bits - 1)).astype(np.int64), return_counts=True)
                         cells.append(own)
                         counts.append(np.minimum(add, LEAST).astype(np.uint8))
                         held += len(own)
@@ -232,21 +241,25 @@ def _sketch(sent, sizes: tuple[int, ...], flagged: int):
     return run
 
 
-def _frequent_cells(batches):
+def _frequent_cells(width: int):
     """Bits of the cells of each bucket whose counts reach LEAST; the rows of a bucket stand together."""
-    width = BITS // BUCKETS
-    bucket, total = None, None
-    row = lambda: pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(total >= LEAST, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
-    for b in batches:
-        for k, cells, counts in zip(*[b.column(i).to_pylist() for i in range(3)]):
-            if k != bucket:
-                if bucket is not None:
-                    yield row()
-                bucket, total = k, np.zeros(width, dtype=np.uint8)
-            at = np.frombuffer(cells, dtype=np.uint32)  # distinct within a row; sums stay below 2 LEAST
-            total[at] = np.minimum(total[at] + np.frombuffer(counts, dtype=np.uint8), LEAST)
-    if bucket is not None:
-        yield row()
+    def run(batches):
+        bucket, total = None, None
+        for b in batches:
+            for k, cells, counts in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                if k != bucket:
+                    if bucket is not None:
+                        yield _bucket_row(bucket, total >= LEAST)
+                    bucket, total = k, np.zeros(width, dtype=np.uint8)
+                at = np.frombuffer(cells, dtype=np.uint32)  # distinct within a row; sums stay below 2 LEAST
+                total[at] = np.minimum(total[at] + np.frombuffer(counts, dtype=np.uint8), LEAST)
+        if bucket is not None:
+            yield _bucket_row(bucket, total >= LEAST)
+    return run
+
+
+def _bucket_row(bucket: int, bits: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
 
 
 def _exact(sent, grow):
@@ -274,38 +287,39 @@ def _exact(sent, grow):
     return run
 
 
-def _hashed(batches):
-    for b in batches:
-        out = np.zeros(b.num_rows, dtype=np.int64)
-        for k, (lang, phrase) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-            h = word_hashes(lang, phrase.encode().split(b" "))
-            out[k] = int(phrase_hash([h[i:i + 1] for i in range(len(h))])[0] & np.uint64(BITS - 1))
-        yield pa.RecordBatch.from_arrays([pa.array(out)], names=["cell"])
+def _hashed(bits: int):
+    def run(batches):
+        for b in batches:
+            out = np.zeros(b.num_rows, dtype=np.int64)
+            for k, (lang, phrase) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                h = word_hashes(lang, phrase.encode().split(b" "))
+                out[k] = int(phrase_hash([h[i:i + 1] for i in range(len(h))])[0] & np.uint64(bits - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(out)], names=["cell"])
+    return run
 
 
-def _bits_of(phrases: DataFrame) -> Bits:
-    """The set of all phrases (lang, phrase) as bits: at most BITS / 8 bytes come to the driver."""
-    width = BITS // BUCKETS
+def _bits_of(phrases: DataFrame, bits: int) -> Bits:
+    """The set of all phrases (lang, phrase) as bits: at most MOST_BITS / 8 bytes come to the driver."""
+    width = bits // BUCKETS
 
     def run(batches):
-        bucket, bits = None, None
-        row = lambda: pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
+        bucket, own = None, None
         for b in batches:
             for k, cell in zip(*[b.column(i).to_pylist() for i in range(2)]):
                 if k != bucket:
                     if bucket is not None:
-                        yield row()
-                    bucket, bits = k, np.zeros(width, dtype=bool)
-                bits[cell - k * width] = True
+                        yield _bucket_row(bucket, own)
+                    bucket, own = k, np.zeros(width, dtype=bool)
+                own[cell - k * width] = True
         if bucket is not None:
-            yield row()
+            yield _bucket_row(bucket, own)
 
-    cells = phrases.mapInArrow(_hashed, "cell long").distinct().withColumn("bucket", F.expr(f"cast(cell div {width} as int)"))
-    return _collected(cells.select("bucket", "cell").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, bits binary"))
+    cells = phrases.mapInArrow(_hashed(bits), "cell long").distinct().withColumn("bucket", F.expr(f"cast(cell div {width} as int)"))
+    return _collected(cells.select("bucket", "cell").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, bits binary"), bits)
 
 
-def _collected(rows: DataFrame) -> Bits:
-    out, size = Bits(), BITS // BUCKETS // 8
+def _collected(rows: DataFrame, bits: int) -> Bits:
+    out, size = Bits(bits), bits // BUCKETS // 8
     for r in rows.collect():
         out.raw[r.bucket * size:(r.bucket + 1) * size] |= np.frombuffer(r.bits, dtype=np.uint8)
     return out
@@ -354,20 +368,22 @@ def mine(docs: DataFrame, top: int = TOP, lang: str = "lang", text: str = "text"
     every = stored(texts.mapInArrow(_words, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f")))
     totals = every.groupBy("lang").agg(F.sum("f").alias("n"))
     words = every.filter(F.col("f") >= LEAST)
-    cells = words.mapInArrow(_word_cells, "cell long, f long").groupBy("cell").agg(F.min("f").alias("low"), F.max("f").alias("high")).toArrow()
-    low, high = np.zeros(CELLS, dtype=np.int64), np.zeros(CELLS, dtype=np.int64)
-    at = cells.column("cell").to_numpy()
-    low[at], high[at] = cells.column("low").to_numpy(), cells.column("high").to_numpy()
-
-    frequent = Sent(low, high)
+    size = words.agg(F.count(F.lit(1)), F.sum("f")).first()
+    cells, bits = room(size[0], MOST_CELLS), room(size[1] or 0, MOST_BITS)
+    counted = words.mapInArrow(_word_cells(cells), "cell long, f long").groupBy("cell").agg(F.min("f").alias("low"), F.max("f").alias("high")).toArrow()
+    low, high = np.zeros(cells, dtype=np.int64), np.zeros(cells, dtype=np.int64)
+    at = counted.column("cell").to_numpy()
+    low[at], high[at] = counted.column("low").to_numpy(), counted.column("high").to_numpy()
+
+    frequent = Bits(bits)
     for sizes, flagged in (((2,), 1), (tuple(range(3, LONGEST + 1)), 2)):
-        sent = spark.sparkContext.broadcast(frequent)
-        rows = texts.mapInArrow(_sketch(sent, sizes, flagged), "bucket int, cells binary, counts binary")
-        own = _collected(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent_cells, "bucket int, bits binary"))
-        own.raw |= frequent.frequent.raw
-        frequent = Sent(low, high)
-        frequent.frequent = own
-    sent = spark.sparkContext.broadcast(frequent)
+        sent = spark.sparkContext.broadcast(Sent(low, high, frequent))
+        rows = texts.mapInArrow(_sketch(sent, sizes, flagged, bits), "bucket int, cells binary, counts binary")
+        own = _collected(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent_cells(bits // BUCKETS), "bucket int, bits binary"), bits)
+        own.raw |= frequent.raw
+        frequent = own
+        sent.destroy()
+    sent = spark.sparkContext.broadcast(Sent(low, high, frequent))
 
     kinds = T.StructType([T.StructField("lang", T.StringType()), T.StructField("phrase", T.StringType()), T.StructField("words", T.IntegerType()), T.StructField("f", T.LongType())])
 
@@ -387,7 +403,8 @@ def mine(docs: DataFrame, top: int = TOP, lang: str = "lang", text: str = "text"
 
         fresh = exact(open_texts, frontier)
         parts = _cuts(fresh).select("lang", F.explode(F.array("first", "rest")).alias("phrase")).filter(F.col("phrase").contains(" ")).distinct()
-        sets = spark.sparkContext.broadcast((_bits_of(parts), _bits_of(fresh.filter(F.col("words") < LONGEST))))
+        wanted = room(4 * fresh.count(), MOST_BITS)
+        sets = spark.sparkContext.broadcast((_bits_of(parts, wanted), _bits_of(fresh.filter(F.col("words") < LONGEST), wanted)))
 
         def support(part, name, n, sets=sets):
             needed, extended = sets.value
@@ -399,6 +416,7 @@ def mine(docs: DataFrame, top: int = TOP, lang: str = "lang", text: str = "text"
 
         grown = fresh if grown is None else stored(grown.union(fresh))
         more = exact(open_texts, support).union(fresh)
+        sets.destroy()
         known = stored((more if known is None else known.union(more)).dropDuplicates(["lang", "phrase"]))
         open_grown = grown.filter(~F.col("lang").isin(settled)) if settled else grown
         best = stored(_best(_survivors(open_grown, known, words).filter(F.col("score") >= step), top))
@@ -409,6 +427,7 @@ def mine(docs: DataFrame, top: int = TOP, lang: str = "lang", text: str = "text"
         before = step
         if step == 0 or texts.filter(~F.col("lang").isin(settled)).isEmpty():
             break
+    sent.destroy()
     if done is None:
         done = best
-    return done.join(F.broadcast(totals) if totals.count() <= CELLS else totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return done.join(F.broadcast(totals) if totals.count() <= MOST_CELLS else totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.llm import collocations, decontamination, html_extract, licenses, near_dup, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
+from quorate.llm import collocations, decontamination, hard_negatives, html_extract, licenses, near_dup, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity, vector_links
 from quorate.llm.common import remainder, table
 
 
@@ -61,12 +61,22 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op11_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_links.links(table(spark, folder, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    flipped = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", flipped), F.col("vec_id") % 100 == 0)
+
+
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.mine(table(spark, folder, "documents"))
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_license_scan": op2_license_scan, "op3_decontamination": op3_decontamination, "op4_quality_rules": op4_quality_rules, "op5_near_dup": op5_near_dup, "op6_pii": op6_pii, "op7_html_extract": op7_html_extract, "op8_packing": op8_packing, "op9_quality_classifier": op9_quality_classifier, "op10_suffix_dedup": op10_suffix_dedup,
-           "op13_collocations": op13_collocations}
+           "op11_embedding_dedup": op11_embedding_dedup, "op12_hard_negatives": op12_hard_negatives, "op13_collocations": op13_collocations}
 
 SQL: dict[str, str] = {}
 
@@ -126,6 +136,29 @@ select d.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(m, 0)::bigint as
 from d left join k using (doc_id)
 """
 
+SQL["op11_embedding_dedup"] = r"""
+with recursive v as (select vec_id, embedding::double[] as e, len(embedding) as d, embedding is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as ok from embeddings),
+u as (select a.vec_id as x, b.vec_id as y from v a join v b on a.ok and b.ok and a.d = b.d and a.vec_id <> b.vec_id
+      where list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.9),
+c(x, y) as (select vec_id, vec_id from v union select c.x, u.y from c join u on c.y = u.x),
+n as (select x, count(*) as n from u group by x)
+select v.vec_id, coalesce(n.n, 0)::bigint as n_links, m.low as component_id, v.vec_id = m.low as kept
+from v left join n on n.x = v.vec_id join (select x, min(y) as low from c group by x) m on m.x = v.vec_id
+"""
+
+SQL["op12_hard_negatives"] = r"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+      from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label as own, b.vec_id, b.label, list_inner_product(a.q, b.q)::bigint as score
+      from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, own, vec_id as positive_id, score as positive_score from s where label = own
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+t as (select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id)::int as rank, s.vec_id as negative_id, positive_score, s.score as negative_score
+      from p join s on s.anchor_id = p.anchor_id and s.label <> p.own and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score)
+select * from t where rank <= 5
+"""
+
 SQL["op13_collocations"] = r"""
 with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
 w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
