@@ -199,3 +199,61 @@ def test_stream_detect_keeps_state_and_freezes_in_drift(spark, tmp_path):
             n += 1
         want.append((c, mu, c > 3.0))
     assert [(pytest.approx(r["cusum"]), pytest.approx(r["ema"]), r["in_drift"]) for r in got] == want
+
+
+def test_append_windows_close_and_leave_the_state(spark, tmp_path):
+    path = str(tmp_path / "days")
+    for lo in (1, 11, 21):
+        rows = spark.range(lo * 10, (lo + 10) * 10).select((F.expr("timestamp'2024-01-01 00:00:00'") + F.make_dt_interval(F.floor(F.col("id") / 10).cast("int") - 1)).alias("ts"), F.col("id").cast("double").alias("v"))
+        _feed(path, [rows])
+    s, close = sr.with_close(sr.stream_samples(spark, path, "ts timestamp, v double", files_per_batch=1), "ts", "1 day")
+    rows, progress = sr.run_closed(sr.stream_stats(s, "ts", "v", "1 day"), close)
+    got = {str(r["start"])[:10]: (r["n"], r["mean"]) for r in rows.collect()}
+    assert got == {f"2024-01-{k:02d}": (10, k * 10 + 4.5) for k in range(1, 31)}
+    assert max(p["state_rows"] for p in progress) > 0 and progress[-1]["state_rows"] == 0
+
+
+MONITOR = "level string, at timestamp, z double, gain double, d double"
+
+
+def _monitor_rows(spark):
+    import datetime
+    import random
+    rnd = random.Random(5)
+    day = datetime.datetime(2024, 1, 1)
+    return [(level, day + datetime.timedelta(days=k), rnd.choice([-1.0, 0.2, 0.4, 3.0]), rnd.random(), rnd.random()) for level in "abc" for k in range(25)]
+
+
+def test_stream_monitor_equals_batch_on_shuffled_files(spark, tmp_path):
+    import random
+    rows = _monitor_rows(spark)
+    path = str(tmp_path / "mon")
+    mixed = rows[:]
+    random.Random(1).shuffle(mixed)
+    _feed(path, [spark.createDataFrame(mixed[k::5], MONITOR) for k in range(5)])
+    s, close = sr.with_close(sr.stream_samples(spark, path, MONITOR, files_per_batch=1), "at", "30 days")
+    args = ("level", "at", "z", "gain", "d", 0.5, 1.0, 4)
+    got, progress = sr.with_state_store(spark, sr.run_closed, sr.stream_monitor(s, *args), close)
+    want = sr.monitor(spark.createDataFrame(rows, MONITOR), *args)
+    order = lambda df: [tuple(r) for r in df.orderBy("level", "at").collect()]
+    assert order(got) == order(want) and len(rows) == got.count()
+    assert progress[-1]["state_rows"] == 0
+
+
+def test_monitor_freezes_its_baseline_in_drift():
+    m = sr.Monitor(k=0.0, limit=1.0, window=2)
+    got = [m.add(*r) for r in [(0.5, 1.0, 10.0), (0.9, 1.0, 20.0), (1.0, 0.5, 30.0), (2.0, 0.0, 99.0), (0.5, 0.0, 98.0), (-5.0, 0.0, 97.0)]]
+    assert [g[4] for g in got] == [False, False, False, True, True, True]
+    assert got[2][2] == 25.0 and got[3][2] == got[5][2] == 25.0  # the last two clean rows; none of the drift
+    assert [g[0] for g in got] == [0.5, 0.9, 1.0, 2.0, 2.5, 2.5] and got[-1][1] == 2.5
+    assert len(m.ring) == 2
+
+
+def test_route_late_keeps_every_row(spark, tmp_path):
+    path = str(tmp_path / "late")
+    mk = lambda rows: spark.createDataFrame(rows, "id int, t string").select("id", F.to_timestamp("t").alias("ts"))
+    _feed(path, [mk([(1, "2024-01-05 00:00:00")]), mk([(2, "2024-01-01 00:00:00"), (3, "2024-01-09 00:00:00"), (6, None)]), mk([(4, "2024-01-06 00:00:00"), (5, "2024-01-08 00:00:00")])])
+    s = sr.stream_samples(spark, path, "id int, ts timestamp", files_per_batch=1)
+    on_time, late = sr.route_late(s, "ts", "2 days")
+    assert sorted(r["id"] for r in on_time.collect()) == [1, 3, 5]
+    assert sorted((r["id"], r["batch"], str(r["watermark"])[:10]) for r in late.collect()) == [(2, 1, "2024-01-03"), (4, 2, "2024-01-07"), (6, 1, "2024-01-03")]
