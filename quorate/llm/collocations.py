@@ -8,11 +8,12 @@ best 2,000 of each language stay.
 1. Words are counted exactly.  Their counts go into hashed cells (least and greatest count of the frequent words in it): a table of
    at most MOST_CELLS, sent to every task, that bounds the count of any word from both sides.
 2. Growth needs frequent parts.  Two sketches count hashed n-grams of frequent words (first pairs, then three and four words whose
-   pairs may all be frequent) and keep one bit per cell: a clear bit proves f < 30, a set bit proves nothing.
-3. Best first: a phrase whose rarest word occurs at most m times and whose first or last word occurs at least x times cannot
-   score above 2000000 m / (m + max(m, x)).  In each round every unsettled language takes from the frontier all phrases whose
-   bound lies in [t, previous t) and counts them exactly (by their words, not by hashes); a second scan counts the parts
-   that the scores need, and all extensions by one word, which decide about drops.
+   pairs may all be frequent).  A cell keeps one byte, the least level (steps of four percent) that its count does not exceed:
+   an upper bound for every phrase in it; level 0 proves f < 30.
+3. Best first: a phrase none of whose parts occurs more than m times (by words and cells) and whose first or last word occurs at
+   least x times cannot score above 2000000 m / (m + max(m, x)).  In each round every unsettled language takes from the
+   frontier all phrases whose bound lies in [t, previous t) and counts them exactly (by their words, not by hashes); a second
+   scan counts the parts that the scores need, and all extensions by one word, which decide about drops.
 4. A language is settled when 2,000 phrases have survived with scores of t or more: all that is left in the frontier has lower
    bounds, so the 2,000th score and its ties are known.  The last step is t = 0, where everything is counted.
 
@@ -45,9 +46,12 @@ TOP = 2000
 STEPS = (125_000, 8_000, 0)  # thresholds of the rounds
 SLICE = 4_000_000  # bytes of text that are cut into words at once
 MOST_CELLS = 1 << 20  # hashed word counts
-MOST_BITS = 1 << 27  # hashed phrases
+MOST_LEVELS = 1 << 25  # hashed counts of phrases
+MOST_BITS = 1 << 27  # hashed sets of phrases
+STEP = 1.04  # from one level to the next
 BUCKETS = 512  # equal ranges of these cells
 FLUSH = 3_000_000
+SATURATED = 65_535
 SALTS = 64
 BREAKS = bytes.maketrans(b".;:!?\n\x0b\x0c\r\t", b",,,,,,,,, ")
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -136,10 +140,14 @@ class Bits:
         return (self.raw[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+# the largest count of each level; counts above the last one are not bounded
+LEVELS = np.append(np.append(LEAST - 1, np.ceil(LEAST * STEP ** np.arange(254))).astype(np.int64), np.iinfo(np.int64).max)
+
+
 class Sent:
-    """What goes to every task; its size is bounded by MOST_CELLS and MOST_BITS."""
+    """What goes to every task; its size is bounded by MOST_CELLS and MOST_LEVELS."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, frequent: Bits):
+    def __init__(self, low: np.ndarray, high: np.ndarray, frequent: np.ndarray):
         self.low, self.high, self.frequent = low, high, frequent
 
 
@@ -170,9 +178,12 @@ class Slice:
         at = np.flatnonzero(all_of)
         for size in range(2, flagged + 1):
             for k in range(n - size + 1):
-                at = at[self.frequent.has(self.of(at + k, size))]
+                at = at[self.level(at + k, size) > 0]
         return at
 
+    def level(self, at: np.ndarray, n: int) -> np.ndarray:
+        return self.frequent[(self.of(at, n) & np.uint64(len(self.frequent) - 1)).astype(np.int64)]
+
     def of(self, at: np.ndarray, n: int) -> np.ndarray:
         return phrase_hash([self.hash[at + k] for k in range(n)])
 
@@ -181,6 +192,9 @@ class Slice:
         least = self.high[at].copy()
         for k in range(1, n):
             np.minimum(least, self.high[at + k], out=least)
+        for size in range(2, n + 1):
+            for k in range(n - size + 1):
+                np.minimum(least, LEVELS[self.level(at + k, size)], out=least)
         least = least.astype(float)
         ends = np.maximum(self.low[at], self.low[at + n - 1]).astype(float)
         return np.floor(2_000_000 * least / (least + np.maximum(least, ends))) + 1
@@ -200,7 +214,7 @@ class Slice:
 
 
 def _sketch(sent, sizes: tuple[int, ...], flagged: int, bits: int):
-    """Counts of hashed n-grams up to LEAST, by range of cells: (bucket, cells, counts)."""
+    """Counts of hashed n-grams, by range of cells: (bucket, cells, counts).  A count that reaches SATURATED stands for any."""
     width = bits // BUCKETS
 
     def run(batches):
@@ -211,7 +225,7 @@ def _sketch(sent, sizes: tuple[int, ...], flagged: int, bits: int):
             order = np.argsort(both, kind="stable")
             both, add = both[order], add[order]
             first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
-            return both[first], np.minimum(np.add.reduceat(add.astype(np.int64), first), LEAST).astype(np.uint8)
+            return both[first], np.minimum(np.add.reduceat(add.astype(np.int64), first), SATURATED).astype(np.uint16)
 
         def rows(own, add):
             cut = np.searchsorted(own, np.arange(BUCKETS + 1) * width)
@@ -228,7 +242,7 @@ def _sketch(sent, sizes: tuple[int, ...], flagged: int, bits: int):
                     if len(at):
                         own, add = np.unique((part.of(at, n) & np.uint64(bits - 1)).astype(np.int64), return_counts=True)
                         cells.append(own)
-                        counts.append(np.minimum(add, LEAST).astype(np.uint8))
+                        counts.append(np.minimum(add, SATURATED).astype(np.uint16))
                         held += len(own)
                 if held > FLUSH:
                     own, add = merged()
@@ -241,20 +255,24 @@ def _sketch(sent, sizes: tuple[int, ...], flagged: int, bits: int):
     return run
 
 
-def _frequent_cells(width: int):
-    """Bits of the cells of each bucket whose counts reach LEAST; the rows of a bucket stand together."""
+def _levels(width: int):
+    """Levels of the cells of each bucket; the rows of a bucket stand together."""
+    def level(total: np.ndarray) -> bytes:
+        return np.where(total < LEAST, 0, np.maximum(np.searchsorted(LEVELS, total, side="left"), 1)).astype(np.uint8).tobytes()
+
     def run(batches):
         bucket, total = None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([level(total)], pa.binary())], names=["bucket", "levels"])
         for b in batches:
             for k, cells, counts in zip(*[b.column(i).to_pylist() for i in range(3)]):
                 if k != bucket:
                     if bucket is not None:
-                        yield _bucket_row(bucket, total >= LEAST)
-                    bucket, total = k, np.zeros(width, dtype=np.uint8)
-                at = np.frombuffer(cells, dtype=np.uint32)  # distinct within a row; sums stay below 2 LEAST
-                total[at] = np.minimum(total[at] + np.frombuffer(counts, dtype=np.uint8), LEAST)
+                        yield row()
+                    bucket, total = k, np.zeros(width, dtype=np.int64)
+                add = np.frombuffer(counts, dtype=np.uint16).astype(np.int64)
+                total[np.frombuffer(cells, dtype=np.uint32)] += np.where(add == SATURATED, 1 << 40, add)  # cells are distinct within a row
         if bucket is not None:
-            yield _bucket_row(bucket, total >= LEAST)
+            yield row()
     return run
 
 
@@ -369,20 +387,24 @@ def mine(docs: DataFrame, top: int = TOP, lang: str = "lang", text: str = "text"
     totals = every.groupBy("lang").agg(F.sum("f").alias("n"))
     words = every.filter(F.col("f") >= LEAST)
     size = words.agg(F.count(F.lit(1)), F.sum("f")).first()
-    cells, bits = room(size[0], MOST_CELLS), room(size[1] or 0, MOST_BITS)
+    cells, bits = room(size[0], MOST_CELLS), room(size[1] or 0, MOST_LEVELS)
     counted = words.mapInArrow(_word_cells(cells), "cell long, f long").groupBy("cell").agg(F.min("f").alias("low"), F.max("f").alias("high")).toArrow()
     low, high = np.zeros(cells, dtype=np.int64), np.zeros(cells, dtype=np.int64)
     at = counted.column("cell").to_numpy()
     low[at], high[at] = counted.column("low").to_numpy(), counted.column("high").to_numpy()
 
-    frequent = Bits(bits)
+    frequent = np.zeros(bits, dtype=np.uint8)
     for sizes, flagged in (((2,), 1), (tuple(range(3, LONGEST + 1)), 2)):
         sent = spark.sparkContext.broadcast(Sent(low, high, frequent))
         rows = texts.mapInArrow(_sketch(sent, sizes, flagged, bits), "bucket int, cells binary, counts binary")
-        own = _collected(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent_cells(bits // BUCKETS), "bucket int, bits binary"), bits)
-        own.raw |= frequent.raw
-        frequent = own
+        found = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_levels(bits // BUCKETS), "bucket int, levels binary").collect()
         sent.destroy()
+        frequent = frequent.copy()
+        for r in found:
+            # phrases of all lengths share the cells; the higher level bounds each of them
+            own = frequent[r.bucket * (bits // BUCKETS):(r.bucket + 1) * (bits // BUCKETS)]
+            np.maximum(own, np.frombuffer(r.levels, dtype=np.uint8), out=own)
+        del found
     sent = spark.sparkContext.broadcast(Sent(low, high, frequent))
 
     kinds = T.StructType([T.StructField("lang", T.StringType()), T.StructField("phrase", T.StringType()), T.StructField("words", T.IntegerType()), T.StructField("f", T.LongType())])
