@@ -149,8 +149,9 @@ def period_offsets(df: DataFrame) -> DataFrame:
 
 
 def _with_total(df: DataFrame, keys: list[str], name: str = "__total") -> DataFrame:
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return df.join(totals, keys) if keys else df.crossJoin(F.broadcast(totals))
+    """Attach the number of rows of each split or class: a handful of rows, so the rows themselves don't move."""
+    totals = F.broadcast(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)))
+    return df.join(totals, keys) if keys else df.crossJoin(totals)
 
 
 def _others(df: DataFrame, name: str) -> list[str]:
@@ -204,8 +205,11 @@ def assign_balanced(df: DataFrame, label: str, group: str, n: int = 12, seed: in
     size = F.col("__size")
     power = F.floor(F.log2(size)).cast("int")
     within = F.floor((size / F.pow(F.lit(2.0), power) - 1) * 1024).cast("int")
-    # equal leading digits may still hide different sizes, so the exact size comes before the hash in the order
-    ranked = rank0(groups, [label], [-power, -within], [F.col("__size").desc(), F.col("__h"), F.col(group)], "__r")
+    # below 1,024 rows the two digits are the exact size, and groups of one size, usually most, spread by their hash; above, equal
+    # digits may hide different sizes, whose order comes first
+    exact = size < 1024
+    spread = [F.when(exact, digit).otherwise(0) for digit in hash_digits(F.col("__h"))]
+    ranked = rank0(groups, [label], [-power, -within, *spread], [F.col("__size").desc(), F.col("__h"), F.col(group)], "__r")
     turn = (F.col("__r") % (2 * n)).cast("int")
     return _attach_groups(df, ranked.withColumn(name, F.when(turn < n, turn + 1).otherwise(F.lit(2 * n) - turn).cast("int")), [label, group], name)
 

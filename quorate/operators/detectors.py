@@ -39,10 +39,7 @@ def confidence(e: Column) -> Column:
 
 def _ks_by_period(cal: DataFrame, test: DataFrame, value: str) -> DataFrame:
     """Distance of every test period to all calibration rows."""
-    periods = test.select("period").distinct().agg(F.collect_list("period").alias("__p"))
-    ref = _one(cal.select(value), periods).select(F.explode("__p").alias("period"), value, F.lit(0).alias("side"))
-    both = ref.unionByName(test.select("period", value, F.lit(1).alias("side")))
-    ks = ordering.ks_statistic(both, ["period"], value, "side")
+    ks = ordering.ks_against(cal, test, ["period"], value)
     least = F.least("n_a", "n_b").cast("double")
     return ks.withColumn("ks_p", kolmogorov_p(F.col("ks"), F.col("n_a"), F.col("n_b"))).withColumn("min_ks", F.greatest(F.lit(0.04), F.lit(3.0) / F.sqrt(least))).drop("n_a", "n_b")
 

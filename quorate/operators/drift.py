@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ from pyspark.sql import types as T
 
 from quorate.functions.columns import add, elements, exceeds, greatest_present, mean_present, ratio, spread_present, stored
 from quorate.functions.rows import vector_moments
-from quorate.operators.ordering import Measure, real_digits, running
+from quorate.operators.ordering import real_digits
 from quorate.operators.scores import ModelDims
+from quorate.session import reliable_table
 
 NONE, PERTURBATION, STRUCTURAL, PARADIGM = "none", "perturbation", "structural", "paradigm_shift"
 
@@ -265,54 +267,87 @@ def score_samples(dispersed: DataFrame, calib: DataFrame, dims: ModelDims, by: l
 # ---- conformal sets, reweighting, pseudo labels ------------------------------------------------------------------------
 
 
-def model_mask(healthy: Column, size: int) -> Column:
-    """Flag per model: listed as healthy, or no list at all."""
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (F.size(healthy) == 0) | F.array_contains(healthy, i))
-
-
-def masked_mean(mask: str, size: int) -> Column:
-    """Mean score over the flagged models, absent ones left out."""
-    return mean_present([F.when(F.get(mask, F.lit(i)), c) for i, c in enumerate(elements("scores", size))])
+PERIODS_AT_ONCE = 16
 
 
 def conformal(cal: DataFrame, test: DataFrame, healthy: DataFrame, size: int, alpha: float = 0.10) -> DataFrame:
     """Drift-adaptive prediction sets per test period: (period, n_cal, quantile, bound, mean set size, coverage).
 
-    ``healthy`` has one row (period, healthy_models) per test period.  Every calibration row is weighed once per period.
-    Rows are first merged by (period, label, score); means, weights and the weighted quantile all come from that one
-    shuffled table, and the quantile is a running sum in score order, not a sort of one group in one task.
+    ``healthy`` has one row (period, healthy_models) per test period; these report rows are read first.  Calibration rows are read
+    once and merged into one (label, score) histogram per *distinct* set of models.  The weights of a period are a function
+    of the score, so they are columns over the histogram, PERIODS_AT_ONCE at a time; no row is repeated per period.  A
+    weighted quantile is found digit by digit: each pass adds up the weights per digit among the rows that share the digits
+    found so far, which is one aggregation without any sort, and the last one reads off the exact distance.
     """
-    h = healthy.select("period", model_mask(F.col("healthy_models"), size).alias("mask"))
-    t = test.join(F.broadcast(h), "period").select("period", "y", masked_mean("mask", size).alias("e"))
-    plan = h.agg(F.collect_list(F.struct("period", "mask")).alias("__plan"))
-    c = cal.crossJoin(F.broadcast(plan)).select("y", "scores", F.inline("__plan")).select("period", "y", masked_mean("mask", size).alias("e"))
-    c = c.groupBy("period", "y", "e").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    plan = sorted(((r["period"], tuple(sorted(set(r["healthy_models"] or [])))) for r in healthy.select("period", "healthy_models").collect()), key=lambda r: r[0])
+    masks = sorted({m for _, m in plan})
+    scores = elements("scores", size)
+    means = [mean_present([scores[i] for i in (m or range(size))]) for m in masks]
+    hist = reliable_table(cal.select("y", F.inline(F.array(*[F.struct(F.lit(i).alias("m"), e.alias("e")) for i, e in enumerate(means)]))).where("e is not null")
+                          .groupBy("m", "y", "e").agg(F.count(F.lit(1)).cast("double").alias("k")))
     k, e = F.col("k"), F.col("e")
-    sums = c.groupBy("period").agg(F.sum("k").alias("n"), (F.sum(k * e) / F.sum("k")).alias("cm"))
-    dev = c.join(F.broadcast(sums), "period").groupBy("period").agg(F.first("n").alias("n"), F.first("cm").alias("cm"), F.sqrt(F.sum(k * F.pow(e - F.col("cm"), 2)) / F.sum("k")).alias("cs"))
-    sd = lambda x: F.greatest(x, F.lit(1e-8))
-    stats = dev.withColumn("cs", sd(F.col("cs"))).join(t.groupBy("period").agg(F.avg("e").alias("tm"), sd(F.stddev_pop("e")).alias("ts")), "period")
-    sq = lambda m, s: F.pow((e - F.col(m)) / F.col(s), 2) * 0.5
-    c = c.join(F.broadcast(stats), "period").select("period", "n", "k", F.abs(e - F.col("y")).alias("nc"), (sq("cm", "cs") - sq("tm", "ts")).alias("lw"))
-    top = c.groupBy("period").agg(F.max("lw").alias("top"))
-    c = c.join(F.broadcast(top), "period").withColumn("w", F.least(F.greatest(F.exp(F.col("lw") - F.col("top")), F.lit(0.01)), F.lit(100.0)))
-    # equal distances are one step of the weighted distribution
-    steps = c.groupBy("period", "nc").agg(F.sum(F.col("w") * k).alias("w"), F.max("w").alias("wmax"), F.min("w").alias("wmin"), F.first("n").cast("bigint").alias("n"))
-    cum = running(steps, ["period"], real_digits(F.col("nc")), [F.col("nc")], [Measure("cw", F.col("w"))])
-    total = steps.groupBy("period").agg(F.sum("w").alias("tw"), (F.max("wmax") / F.greatest(F.min("wmin"), F.lit(1e-8))).alias("b"), F.first("n").alias("n"), F.max("nc").alias("last"))
-    level = F.least((F.lit(1.0) + F.lit(1.0) / F.col("n")) * (1 - alpha), F.lit(1.0))
-    q = cum.drop("n").join(F.broadcast(total), "period").groupBy("period").agg(
-        F.first("n").alias("n_cal"), F.coalesce(F.min(F.when(F.col("cw") / F.col("tw") >= level - 1e-12, F.col("nc"))), F.max("last")).alias("quantile"),
-        F.greatest(F.lit(0.0), F.lit(1.0 - alpha) - F.first("b") / (F.first("n") + 1)).alias("bound"))
+    n = F.sum("k")
+    base = hist.groupBy("m").agg(n.alias("n"), (F.sum(k * (e - 0.5)) / n).alias("s"), (F.sum(k * F.pow(e - 0.5, 2)) / n).alias("q")).collect()
+    base = {r["m"]: (r["n"], r["s"] + 0.5, max(math.sqrt(max(r["q"] - r["s"] ** 2, 0.0)), 1e-8)) for r in base}
+    own = F.coalesce(*[F.when(F.col("period").isin([p for p, m in plan if m == mask]), means[i]) for i, mask in enumerate(masks)])
+    t = test.where(F.col("period").isin([p for p, _ in plan])).select("period", "y", own.alias("e"))
+    shape = {r["period"]: (r["tm"], max(r["ts"], 1e-8)) for r in t.groupBy("period").agg(F.avg("e").alias("tm"), F.stddev_pop("e").alias("ts")).where("tm is not null").collect()}
+    found = []
+    known = [(p, masks.index(m)) for p, m in plan if p in shape and masks.index(m) in base]
+    for lo in range(0, len(known), PERIODS_AT_ONCE):
+        found += _weighted_quantiles(hist, [(p, m, *base[m], *shape[p]) for p, m in known[lo:lo + PERIODS_AT_ONCE]], alpha)
+    if not found:
+        return t.groupBy("period").agg(F.lit(0).cast("bigint").alias("n_cal"), *[F.avg("e").alias(c) for c in ("quantile", "bound", "mean_set_size", "coverage")]).where(F.lit(False))
+    q = test.sparkSession.createDataFrame(found, f"period {dict(test.dtypes)['period']}, n_cal bigint, quantile double, bound double")
     s = t.join(F.broadcast(q), "period")
     in0, in1 = F.abs("e") <= F.col("quantile"), F.abs(F.col("e") - 1.0) <= F.col("quantile")
-    own = F.bround("e").cast("int")
-    has = lambda y, inside: inside | (~in0 & ~in1 & (own == y))
+    rounded = F.bround("e").cast("int")
+    has = lambda y, inside: inside | (~in0 & ~in1 & (rounded == y))
     s = s.select("period", "n_cal", "quantile", "bound", (has(0, in0).cast("int") + has(1, in1).cast("int")).alias("size"),
                  F.when(F.col("y") == 1, has(1, in1)).otherwise(has(0, in0)).cast("double").alias("hit"))
     return s.groupBy("period", "n_cal", "quantile", "bound").agg(F.avg("size").alias("mean_set_size"), F.avg("hit").alias("coverage"))
 
 
+def _weighted_quantiles(hist: DataFrame, periods: list[tuple], alpha: float) -> list[tuple]:
+    """(period, n, quantile, bound) of each (period, mask, n, mean and deviation of calibration, mean and deviation of the period)."""
+    e = F.col("e")
+    here = [F.col("m") == m for _, m, *_ in periods]
+    ratio = [F.pow((e - cm) / cs, 2) * 0.5 - F.pow((e - tm) / ts, 2) * 0.5 for _, _, _, cm, cs, tm, ts in periods]
+    tops = hist.agg(*[F.max(F.when(h, r)).alias(f"t{i}") for i, (h, r) in enumerate(zip(here, ratio))]).first()
+    rows = hist.select("m", F.abs(e - F.col("y")).alias("nc"), "k", *[F.when(h, F.least(F.greatest(F.exp(r - F.lit(tops[i])), F.lit(0.01)), F.lit(100.0))).alias(f"w{i}") for i, (h, r) in enumerate(zip(here, ratio))])
+    digits = [f"d{i}" for i in range(3)]
+    rows = rows.select("*", *[d.alias(name) for d, name in zip(real_digits(F.col("nc")), digits)])
+    total = rows.agg(*[a for i, h in enumerate(here) for a in (F.sum(F.col(f"w{i}") * F.col("k")), F.max(f"w{i}"), F.min(f"w{i}"), F.max(F.when(h, F.col("nc"))))]).first()
+    level = [min((1 + 1 / n) * (1 - alpha), 1.0) for _, _, n, *_ in periods]
+    wanted = [(level[i] - 1e-12) * total[4 * i] for i in range(len(periods))]
+    before, prefix = [0.0] * len(periods), [[] for _ in periods]
+    for depth in range(len(digits) + 1):
+        # the last pass goes by the distances themselves: at most 65,536 share all digits
+        by = digits[depth] if depth < len(digits) else "nc"
+        inside = [F.col("m") == m for _, m, *_ in periods]
+        for i, p in enumerate(prefix):
+            for d, v in zip(digits, p):
+                inside[i] = inside[i] & (F.col(d) == v)
+        any_of = inside[0]
+        for c in inside[1:]:
+            any_of = any_of | c
+        cells = rows.where(any_of).groupBy(by).agg(*[F.sum(F.when(c, F.col(f"w{i}") * F.col("k"))).alias(f"s{i}") for i, c in enumerate(inside)]).orderBy(by).toPandas()
+        for i in range(len(periods)):
+            own = cells[cells[f"s{i}"].notna()]
+            reached = before[i] + own[f"s{i}"].cumsum()
+            at = int(np.searchsorted(reached.to_numpy(), wanted[i])) if len(own) else 0
+            at = min(at, len(own) - 1)
+            if at > 0:
+                before[i] = float(reached.iloc[at - 1])
+            value = own[by].iloc[at]
+            prefix[i].append(float(value) if by == "nc" else int(value))
+    out = []
+    for i, (p, _, n, *_) in enumerate(periods):
+        spread = total[4 * i + 1] / max(total[4 * i + 2], 1e-8)
+        out.append((p, int(n), prefix[i][-1], max(0.0, 1 - alpha - spread / (n + 1))))
+    return out
+
+
 def reweight(df: DataFrame, detected: Column, view_deltas: Column, dims: ModelDims, name: str = "weights") -> DataFrame:
     """Add model weights lowered by view impact, equal when there is no drift or it hits all views alike."""
     k = dims.size

@@ -50,15 +50,21 @@ def match_fuzzy(samples: DataFrame, fsigs: DataFrame, types: list[str], key: str
 
 
 def match_tiered(samples: DataFrame, sha: DataFrame, md5: DataFrame, fuzzy: DataFrame, fuzzy_types: list[str], key: str = "sample_id") -> DataFrame:
-    """First tier that hits wins: sha256, then md5, then similarity hash (types in order)."""
-    t1 = known(samples, sha, "sha256").select(key, F.lit(0).alias("tier"), F.lit("KnownMalware").alias("name"), F.lit("").alias("hash_type"))
-    rest = samples.join(t1.select(key), key, "left_anti")
-    t2 = known(rest, md5, "md5").select(key, F.lit(1).alias("tier"), F.lit("KnownMalware").alias("name"), F.lit("").alias("hash_type"))
-    rank = F.array_position(F.array(*[F.lit(t) for t in fuzzy_types]), F.col("hash_type"))
-    t3 = match_fuzzy(rest.join(t2.select(key), key, "left_anti"), fuzzy, fuzzy_types, key).select(key, F.lit(2).alias("tier"), "name", "hash_type", rank.alias("__t"))
-    hits = t1.unionByName(t2).withColumn("__t", F.lit(0).cast("bigint")).unionByName(t3.select(key, "tier", "name", "hash_type", F.col("__t").cast("bigint").alias("__t")))
-    best = hits.groupBy(key).agg(F.min_by(F.struct("tier", "name", "hash_type"), F.struct("tier", "__t")).alias("h")).select(key, "h.*")
-    return best.select(key, F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("tier") + 1).alias("source"), "name", "hash_type")
+    """First tier that hits wins: sha256, then md5, then similarity hash (types in order).
+
+    Signatures are unique, so every lookup is a left join on the same row: the samples are read once and nothing is looked up
+    twice or grouped again.
+    """
+    rows = samples.select(key, "size", "sha256", "md5", *fuzzy_types)
+    looked = [("sha256", sha.select("digest", F.lit(True).alias("__hit"), F.lit("KnownMalware").alias("__name"), F.col("size").alias("__size")), 0, ""),
+              ("md5", md5.select("digest", F.lit(True).alias("__hit"), F.lit("KnownMalware").alias("__name"), F.col("size").alias("__size")), 1, "")]
+    looked += [(t, fuzzy.where(F.col("hash_type") == t).select(F.col("value").alias("digest"), F.lit(True).alias("__hit"), F.col("name").alias("__name"), F.col("size").alias("__size")), 2, t) for t in fuzzy_types]
+    for i, (column, sigs, _, _) in enumerate(looked):
+        sigs = sigs.select(F.col("digest").alias(f"__d{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("__hit", "__name", "__size")])
+        rows = rows.join(sigs, F.col(column) == F.col(f"__d{i}"), "left").drop(f"__d{i}")
+    hits = [F.when(F.col(f"__hit{i}") & size_agrees(F.col("size"), F.col(f"__size{i}")), F.struct(F.lit(TIERS[tier]).alias("source"), F.col(f"__name{i}").alias("name"), F.lit(kind).alias("hash_type")))
+            for i, (_, _, tier, kind) in enumerate(looked)]
+    return rows.select(key, F.coalesce(*hits).alias("h")).where("h is not null").select(key, "h.*")
 
 
 def signature_stats(sigs: DataFrame, prefix: int = 2) -> DataFrame:

@@ -39,13 +39,21 @@ def hash_digits(hex_col: Column) -> list[Column]:
 
 
 def real_digits(value: Column) -> list[Column]:
-    """Digits of any real number: three times sixteen bits of its sortable 64-bit pattern.
+    """Digits of any real number, in order: sign, exponent and 36 bits of the mantissa, cut into three.
 
     At most 65,536 different values share a full prefix, whatever their size or closeness; NaN comes last, as Spark sorts it.
+    Logarithm and quotient are monotone, so an exponent that is one off next to a power of two does not break the order:
+    the mantissa then lies just outside [1, 2), for which the digits leave room.
     """
-    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("bigint")
-    order = lambda x: F.when(x < 0, x.bitwiseXOR(F.lit(2**63 - 1))).otherwise(x)  # noqa: E731  negative numbers sort backwards
-    return [F.shiftright(order(bits), 48).cast("int")] + [F.shiftright(order(bits), s).bitwiseAND(F.lit(65535)).cast("int") for s in (32, 16)]
+    v = value.cast("double")
+    # infinity and NaN share the digits of the largest double; the order column decides there
+    size = F.least(F.abs(v), F.lit(1.7976931348623157e308))
+    # 2 to the exponent must not overflow, and below 2^-1022 quotients would lose their order; the logarithm of 0 is NULL
+    exponent = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022))
+    mantissa = F.floor((size / F.pow(F.lit(2.0), exponent.cast("double")) + 0.1) * float(1 << 36)).cast("bigint")
+    positive = F.coalesce(F.when(size > 0, (exponent + 1023) * (1 << 38) + mantissa), (v * 0).cast("bigint"))
+    key = positive * F.when(v < 0, -1).otherwise(1)
+    return [F.shiftright(key, 32).cast("int")] + [F.shiftright(key, s).bitwiseAND(F.lit(65535)).cast("int") for s in (16, 0)]
 
 
 def id_digits(value: Column) -> list[Column]:
@@ -157,6 +165,33 @@ def ks_statistic(df: DataFrame, keys: list[str], value: str, side: str, name: st
                          F.col("b").cast("bigint").alias("n_b"))
 
 
+def ks_against(ref: DataFrame, df: DataFrame, keys: list[str], value: str, name: str = "ks") -> DataFrame:
+    """Kolmogorov-Smirnov distance of every group of ``df`` to all rows of one reference; also both sample sizes.
+
+    Between two values of a group its distribution stands still and the reference's can only rise, so the largest gaps lie at the
+    group's own values.  The reference is therefore ranked once, whatever the number of groups: one running count over the
+    merged values, each of which carries the groups that have it, then one running count per group.
+    """
+    own = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__b"))
+    group = F.struct(*[F.col(k) for k in keys], F.col("__b"))
+    # one count per merged value of the reference; groups of a value are at most as many as there are groups
+    base = ref.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__a"))
+    merged = (base.select("__v", "__a", F.lit(None).cast(own.select(group.alias("g")).schema["g"].dataType).alias("__g"))
+              .union(own.select("__v", F.lit(0).cast("bigint"), group)).groupBy("__v").agg(F.sum("__a").alias("__a"), F.collect_list("__g").alias("__g")))
+    # written once each: a running count reads its input several times
+    merged = reliable_table(merged)
+    ranked = running(merged, [], real_digits(F.col("__v")), [F.col("__v")], [Measure("__ca", F.col("__a"))])
+    points = reliable_table(ranked.select("__v", "__a", "__ca", F.inline("__g")))
+    points = running(points, keys, real_digits(F.col("__v")), [F.col("__v")], [Measure("__cb", F.col("__b"))])
+    sizes = (merged.select(F.inline("__g")).groupBy(*keys).agg(F.sum("__b").alias("n_b"))
+             .crossJoin(F.broadcast(merged.agg(F.coalesce(F.sum("__a"), F.lit(0)).alias("n_a")))))
+    at = points.join(F.broadcast(sizes), keys)
+    share = lambda c, n: F.coalesce(c / F.nullif(F.col(n), F.lit(0)), F.lit(0.0))
+    above = share(F.col("__cb"), "n_b") - share(F.col("__ca"), "n_a")
+    below = share(F.col("__ca") - F.col("__a"), "n_a") - share(F.col("__cb") - F.col("__b"), "n_b")
+    return at.groupBy(*keys).agg(F.greatest(F.max(above), F.max(below), F.lit(0.0)).alias(name), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation; ``points`` maps output name -> fraction."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))

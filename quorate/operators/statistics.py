@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,28 +86,67 @@ def poisson_steps(n: int = 9) -> list[float]:
     return out
 
 
-def bootstrap_ci(df: DataFrame, key: str, statistic: Column, n_boot: int = 1000, ci: float = 0.95, seed: int = 42, blocks: int = 50) -> DataFrame:
-    """Percentile interval of any weighted-additive aggregate ``statistic`` over Poisson(1) resamples.
+@dataclass(frozen=True)
+class Statistic:
+    """A statistic of weighted sums: ``terms`` names what is summed over the rows (times their weight), ``value`` is computed from the sums."""
 
-    ``statistic`` is an aggregate expression that may use the resample weight column ``w``.  Each row draws its weights
-    from a hash of its key and the replicate, so results do not depend on partitioning; replicates are aggregated before
-    any shuffle.
+    terms: dict[str, Column]
+    value: Column
+
+
+def weighted_mean(value: str) -> Statistic:
+    return Statistic({"n": F.lit(1.0), "total": F.col(value).cast("double")}, F.col("total") / F.col("n"))
+
+
+# Odd multipliers of a well-known 32-bit mixing function, and the step from one replicate to the next.
+MIX_1, MIX_2, STRIDE = 0x21F0AAAD, 0x735A2D97, 0x9E3779B9
+
+
+def _mix32(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(MIX_1)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(MIX_2)
+    return x ^ (x >> np.uint32(15))
+
+
+def draws(high: np.ndarray, low: np.ndarray, n_boot: int) -> np.ndarray:
+    """(rows, replicates) Poisson(1) weights: a function of the row's two hash words and the number of the replicate only."""
+    step = (np.arange(n_boot, dtype=np.uint64) * np.uint64(STRIDE)).astype(np.uint32)
+    x = _mix32(_mix32(high[:, None] + step[None]) ^ low[:, None])
+    u = (x.astype(np.float64) + 0.5) / 4294967296.0
+    return np.searchsorted(np.array(poisson_steps()), u, side="left").astype(np.uint8)
+
+
+def replicate_sums(df: DataFrame, key: str, statistic: Statistic, n_boot: int, seed: int) -> DataFrame:
+    """(rep, sums of the terms) of every replicate.
+
+    A row's weights come from a counter (its hashed key and the replicate), so they do not depend on partitioning, and no row is
+    repeated: a task multiplies its weights with its terms batch by batch and sends replicates x terms numbers, once.
     """
-    rep = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    draw = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("rep").cast("string"), F.lit(str(seed))).cast("binary"))
-    u = (F.conv(F.substring(draw, 1, 7), 16, 10).cast("double") + 0.5) / float(1 << 28)
-    weight = F.lit(0)
-    for c in poisson_steps():
-        weight = weight + F.when(u > c, 1).otherwise(0)
-    stats = rep.withColumn("w", weight).where("w > 0").groupBy("rep").agg(statistic.alias("stat"))
+    names = list(statistic.terms)
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    word = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
+    rows = df.select(word(1).alias("__h"), word(9).alias("__l"), *[c.cast("double").alias(f"__t{i}") for i, c in enumerate(statistic.terms.values())])
+
+    def run(batches):
+        sums = np.zeros((n_boot, len(names)))
+        for b in batches:
+            high, low = (np.asarray(b.column(k).to_numpy()).astype(np.uint32) for k in (0, 1))
+            terms = np.stack([np.nan_to_num(np.asarray(b.column(2 + k).to_numpy(zero_copy_only=False), dtype=float)) for k in range(len(names))], axis=1)
+            for lo in range(0, len(high), 2000):
+                sums += draws(high[lo:lo + 2000], low[lo:lo + 2000], n_boot).T.astype(float) @ terms[lo:lo + 2000]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot, dtype=np.int32))] + [pa.array(sums[:, k]) for k in range(len(names))], names=["rep"] + names)
+
+    parts = rows.mapInArrow(run, ", ".join(["rep int"] + [f"{n} double" for n in names]))
+    return parts.groupBy("rep").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def bootstrap_ci(df: DataFrame, key: str, statistic: Statistic, n_boot: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
+    """Percentile interval of a statistic of weighted sums over Poisson(1) resamples.  NULL terms count as 0."""
+    stats = replicate_sums(df, key, statistic, n_boot, seed).select(statistic.value.alias("stat")).where("stat is not null")
     lo, hi = (1 - ci) / 2, (1 + ci) / 2
     return stats.agg(F.percentile("stat", lo).alias("lo"), F.percentile("stat", hi).alias("hi"), F.count(F.lit(1)).alias("replicates"))
 
 
-def weighted_mean(value: str) -> Column:
-    return F.sum(F.col("w") * F.col(value)) / F.sum("w")
-
-
 def _normal_two_sided(z: Column) -> Column:
     """2 (1 - Phi(|z|)) by the Abramowitz-Stegun 7.1.26 polynomial (absolute error below 2e-7)."""
     x = F.abs(z) / math.sqrt(2.0)
@@ -137,14 +179,23 @@ def paired(a: DataFrame, b: DataFrame, on: list[str], flag: str) -> DataFrame:
     return a.select(*on, F.col(flag).alias("a")).join(b.select(*on, F.col(flag).alias("b")), on)
 
 
-def compare_detectors(det: DataFrame, main: str, others: list[str], alpha: float = 0.05) -> DataFrame:
-    """Main detector against each competitor: discordance test, Holm correction, effect size, rates and agreement."""
+def compare_detectors(det: DataFrame, main: str, others: list[str], alpha: float = 0.05, key: str | None = None) -> DataFrame:
+    """Main detector against each competitor: discordance test, Holm correction, effect size, rates and agreement.
+
+    With a ``key`` (the period) it also gives the bootstrap interval of the main rate, NULL for fewer than three rows.
+    """
     long = det.select(F.col(main).alias("main"), F.inline(F.array(*[F.struct(F.lit(o).alias("name"), F.col(o).alias("flag")) for o in others])))
     test = mcnemar(long, "main", "flag", ["name"])
     share = lambda c: F.avg(c.cast("double"))
     rates = long.groupBy("name").agg(share(F.col("main")).alias("main_rate"), share(F.col("flag")).alias("other_rate"), share(F.col("main") == F.col("flag")).alias("agreement"))
     j = test.join(rates, "name").withColumn("effect_h", cohens_h(F.col("main_rate"), F.col("other_rate")))
-    return holm(j.withColumn("effect", effect_label(F.col("effect_h"))), alpha)
+    out = holm(j.withColumn("effect", effect_label(F.col("effect_h"))), alpha)
+    if key is None:
+        return out
+    enough = det.agg((F.count(F.lit(1)) >= 3).alias("__enough"))
+    interval = bootstrap_ci(det.withColumn("__x", F.col(main).cast("double")), key, weighted_mean("__x")).crossJoin(F.broadcast(enough))
+    bounds = [F.when(F.col("__enough"), F.col(c)).alias(f"main_{c}") for c in ("lo", "hi")]
+    return out.crossJoin(F.broadcast(interval.select(*bounds)))
 
 
 def detector_eval(det: DataFrame, truth: DataFrame, on: list[str]) -> DataFrame:

@@ -439,11 +439,15 @@ def cohens_h(spark, d):
     return r.select(F.round(st.cohens_h(F.col("p1"), F.col("p2")), 6).alias("h"))
 
 
-def boot_sql(rows: str, key: str, statistic: str, n: int) -> str:
-    """The bootstrap in SQL: the same hash draws the same weights."""
+def boot_sql(rows: str, key: str, statistic: str, n: int, names: tuple[str, str] = ("lo", "hi")) -> str:
+    """The bootstrap in SQL: the same counters draw the same weights."""
     weight = " + ".join(f"(u>{c!r}::double)::integer" for c in st.poisson_steps())
-    return (f"bt as (select *, (('0x'||substr(md5({key}||':'||rep||':42'),1,7))::bigint+0.5::double)/268435456 as u from {rows}, range({n}) t(rep)), bw as (select *, {weight} as w from bt), "
-            f"bs as (select rep, {statistic} as stat from bw where w>0 group by rep) select round(quantile_cont(stat,0.025),6) as lo, round(quantile_cont(stat,0.975),6) as hi, count(*) as replicates from bs")
+    word = lambda at: f"('0x'||substr(md5({key}||':42'),{at},8))::bigint"
+    mix = lambda name, source, x: (f"{name}a as (select * exclude (x), xor({x}, {x}>>16) as x from {source}), {name}b as (select * exclude (x), ((x::hugeint*{st.MIX_1})%4294967296)::bigint as x from {name}a), "
+                                   f"{name}c as (select * exclude (x), ((xor(x, x>>15)::hugeint*{st.MIX_2})%4294967296)::bigint as x from {name}b), {name} as (select * exclude (x), xor(x, x>>15) as x from {name}c)")
+    return (f"b0 as (select *, ({word(1)}+rep::bigint*{st.STRIDE})%4294967296 as x, {word(9)} as low from {rows}, range({n}) t(rep)), {mix('b1', 'b0', 'x')}, "
+            f"b2 as (select * exclude (x), xor(x, low) as x from b1), {mix('b3', 'b2', 'x')}, bu as (select *, (x+0.5::double)/4294967296 as u from b3), bw as (select *, {weight} as w from bu), "
+            f"bs as (select rep, {statistic} as stat from bw where w>0 group by rep) select round(quantile_cont(stat,0.025),6) as {names[0]}, round(quantile_cont(stat,0.975),6) as {names[1]}, count(*) as replicates from bs")
 
 
 @query("sta_04_bootstrap_ci", "with " + DETECT + ", " + boot_sql("dt", "period", "sum(w*main::integer)::double/sum(w)", 1000))
@@ -451,12 +455,20 @@ def bootstrap_ci(spark, d):
     return rounded(st.bootstrap_ci(detections(spark, d).withColumn("x", F.col("main").cast("double")), "period", st.weighted_mean("x")), "lo", "hi")
 
 
+@query("sta_04_bootstrap_events", "with e as (select event_id, value from events), " + boot_sql("e", "event_id", "sum(w*value)/sum(w)", 20))
+def bootstrap_events(spark, d):
+    """Interval of the mean event value: every row of the table is drawn in every replicate."""
+    return rounded(st.bootstrap_ci(table(spark, d, "events"), "event_id", st.weighted_mean("value"), n_boot=20), "lo", "hi")
+
+
 @query("sta_05_wilcoxon", "with p as (select e.value-f.value as d from events e join events f on f.event_id=e.event_id+1 where e.event_id%2=0), q as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d))-1)/2.0::double as r from p where d<>0), "
-       "s as (select count(*) as n, sum(case when d>0 then r else 0 end) as rp, sum(case when d<0 then r else 0 end) as rm from q) select n, round(least(rp,rm),3)::double as statistic from s")
+       "t as (select sum(c*c*c-c)::double as ties from (select count(*)::double as c from p where d<>0 group by abs(d))), s as (select count(*) as n, sum(case when d>0 then r else 0 end) as rp, sum(case when d<0 then r else 0 end) as rm from q), "
+       "z as (select n, least(rp,rm) as stat, abs((least(rp,rm)-n*(n+1)/4.0::double)/sqrt(n*(n+1.0::double)*(2*n+1)/24-ties/48))/sqrt(2.0::double) as x from s, t), a as (select *, 1/(1+0.3275911::double*x) as k from z) "
+       "select n, round(stat,3)::double as statistic, round((((((1.061405429::double*k-1.453152027::double)*k+1.421413741::double)*k-0.284496736::double)*k+0.254829592::double)*k)*exp(-x*x),6)::double as p_value from a")
 def wilcoxon(spark, d):
     ev = table(spark, d, "events")
     pairs = ev.where("event_id % 2 = 0").select("event_id", F.col("value").alias("x")).join(ev.where("event_id % 2 = 1").select((F.col("event_id") - 1).alias("event_id"), F.col("value").alias("y")), "event_id")
-    return st.wilcoxon(pairs, "x", "y").select("n", F.round("statistic", 3).alias("statistic"))
+    return st.wilcoxon(pairs, "x", "y").select("n", F.round("statistic", 3).alias("statistic"), F.round("p_value", 6).alias("p_value"))
 
 
 HOLM = MCN.replace("factorial(i)", "factorial(i::integer)").replace("factorial(a_only+b_only)", "factorial((a_only+b_only)::integer)")
@@ -464,9 +476,9 @@ HOLM = MCN.replace("factorial(i)", "factorial(i::integer)").replace("factorial(a
 
 @query("sta_06_compare_detectors", sql(DETECT, HOLM, "ho as (select *, row_number() over (order by p, name) as rk from pp), hs as (select *, 0.05::double/(3-rk+1) as thr from ho), hx as (select *, min((p<thr)::integer) over (order by rk)=1 as sig, 2*asin(sqrt(mr))-2*asin(sqrt(r)) as h from hs)",
        "select name, a_only, b_only, round(stat,6)::double as statistic, round(p,6)::double as p_value, round(mr,6) as main_rate, round(r,6) as other_rate, round(ag,6) as agreement, round(h,6) as effect_h, case when abs(h)<0.2 then 'negligible' when abs(h)<0.5 then 'small' when abs(h)<0.8 then 'medium' else 'large' end as effect, "
-       "rk::integer as holm_rank, round(thr,6) as holm_threshold, sig as significant from hx"))
+       "rk::integer as holm_rank, round(thr,6) as holm_threshold, sig as significant, main_lo, main_hi from hx, (select main_lo, main_hi from (with " + boot_sql("dt", "period", "sum(w*main::integer)::double/sum(w)", 1000, ("main_lo", "main_hi")) + "))"))
 def compare_detectors(spark, d):
-    return rounded(st.compare_detectors(detections(spark, d), "main", ["d1", "d2", "d3"]), "statistic", "p_value", "main_rate", "other_rate", "agreement", "effect_h", "holm_threshold")
+    return rounded(st.compare_detectors(detections(spark, d), "main", ["d1", "d2", "d3"], key="period"), "statistic", "p_value", "main_rate", "other_rate", "agreement", "effect_h", "holm_threshold", "main_lo", "main_hi")
 
 
 @query("win_13_holm", "with g as (select event_type, cast(ts as date)::varchar as name, ((sum(event_id)%1000)/20000.0::double)::double as p_value from events group by 1,2), r as (select *, row_number() over (partition by event_type order by p_value, name) as rk, count(*) over (partition by event_type) as m from g), "

@@ -106,4 +106,5 @@ def table_function(spark, d):
 @query("udx_05_bootstrap_statistic", "with dy as (select cast(ts as date)::varchar as day, avg(value) as v from events group by 1), " + boot_sql("dy", "day", "sqrt(sum(w*v*v)/sum(w))", 500))
 def bootstrap_statistic(spark, d):
     daily = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
-    return rounded(st.bootstrap_ci(daily, "day", F.sqrt(F.sum(F.col("w") * F.pow("v", 2)) / F.sum("w")), n_boot=500), "lo", "hi")
+    root_mean_square = st.Statistic({"n": F.lit(1.0), "squares": F.col("v") * F.col("v")}, F.sqrt(F.col("squares") / F.col("n")))
+    return rounded(st.bootstrap_ci(daily, "day", root_mean_square, n_boot=500), "lo", "hi")

@@ -257,3 +257,20 @@ def test_route_late_keeps_every_row(spark, tmp_path):
     on_time, late = sr.route_late(s, "ts", "2 days")
     assert sorted(r["id"] for r in on_time.collect()) == [1, 3, 5]
     assert sorted((r["id"], r["batch"], str(r["watermark"])[:10]) for r in late.collect()) == [(2, 1, "2024-01-03"), (4, 2, "2024-01-07"), (6, 1, "2024-01-03")]
+
+
+def test_bootstrap_draws_poisson_weights_by_counter():
+    rng = np.random.default_rng(1)
+    high, low = (rng.integers(0, 2**32, 3000, dtype=np.uint64).astype(np.uint32) for _ in range(2))
+    w = st.draws(high, low, 200)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert (st.draws(high[5:9], low[5:9], 50) == w[5:9, :50]).all()
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.25
+
+
+def test_bootstrap_sends_replicates_not_rows(spark):
+    df = spark.range(50_000).select("id", (F.col("id") % 10).cast("double").alias("x")).repartition(4)
+    sums = st.replicate_sums(df, "id", st.weighted_mean("x"), 100, 42)
+    assert sums.count() == 100 and "Generate" not in sums._jdf.queryExecution().toString()
+    got = st.bootstrap_ci(df, "id", st.weighted_mean("x"), 100).first()
+    assert got["lo"] < 4.5 < got["hi"] and got["hi"] - got["lo"] < 0.08 and got["replicates"] == 100

@@ -99,3 +99,41 @@ def test_texts_with_a_common_beginning_are_ranked_over_partitions(spark):
     df = spark.createDataFrame([(u,) for u in urls], "u string").repartition(5, "u")
     got = {r["u"]: r["rank0"] for r in od.rank_text(df, "u").collect()}
     assert [got[u] for u in urls] == list(range(3000))
+
+
+def test_real_digits_keep_the_order_of_any_double(spark):
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 2**63 - 1, 4000, dtype=np.int64)
+    x = np.concatenate([bits.view(np.float64), -bits.view(np.float64), 2.0 ** np.arange(-1074.0, 1024), np.nextafter(2.0 ** np.arange(-1000.0, 1024), 0), [0.0, -0.0, np.inf, -np.inf, 5e-324, 1.7976931348623157e308]])
+    x = np.unique(x[~np.isnan(x)])
+    df = spark.createDataFrame([(float(v),) for v in [*x, float("nan")]], "v double").coalesce(1)
+    got = [tuple(r) for r in df.select(*od.real_digits(F.col("v"))).collect()]
+    assert got == sorted(got) and all(0 <= d < 65536 for r in got for d in r[1:])
+
+
+def test_ks_against_one_reference(frame):
+    pdf, df = frame
+    ref = df.where("y = 0")
+    got = {r["g"]: r for r in od.ks_against(ref, df, ["g"], "v").collect()}
+    base = np.sort(pdf.loc[pdf.y == 0, "v"].to_numpy())
+    for g, part in pdf.groupby("g"):
+        own = np.sort(part["v"].to_numpy())
+        at = np.union1d(base, own)
+        want = np.abs(np.searchsorted(base, at, "right") / len(base) - np.searchsorted(own, at, "right") / len(own)).max()
+        assert got[g]["ks"] == pytest.approx(want) and got[g]["n_a"] == len(base) and got[g]["n_b"] == len(own)
+
+
+def test_balanced_groups_of_one_size_spread(spark, monkeypatch):
+    from quorate.operators import corpus as co
+    seen = []
+    plain = co.rank0
+
+    def watched(df, keys, digits, order, name):
+        seen.append(df.groupBy(*keys, *digits).count().agg(F.max("count")).first()[0])
+        return plain(df, keys, digits, order, name)
+
+    monkeypatch.setattr(co, "rank0", watched)
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("g"), F.lit(1).alias("label"), F.col("id"))
+    got = co.assign_balanced(df, "label", "g")
+    assert tuple(got.groupBy("period").count().agg(F.min("count"), F.max("count")).first()) == (1666, 1667)
+    assert seen == [seen[0]] and seen[0] < 10
