@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,8 @@ def chunks(df: DataFrame, key: str, content: str, size: int = CHUNK, overlap: in
     """Rows (key, chunk, part); each part carries ``overlap`` extra bytes of the next one."""
     count = F.greatest(F.ceil(F.octet_length(content) / size), F.lit(1)).cast("int")
     # parts are cut before the explode, so a row never carries more than its own part
-    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col(content), i * size + 1, F.lit(size + overlap)))
+    body = F.coalesce(F.col(content).cast("binary"), F.lit(b""))
+    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(body, i * size + 1, F.lit(size + overlap)))
     return df.select(key, F.posexplode(parts).alias("chunk", "part"))
 
 
@@ -49,58 +50,78 @@ def _pair_counts(parts: pd.Series) -> pd.DataFrame:
     return _counted(parts, count)
 
 
+def _head_counts(head: int):
+    """Counts of bytes, those of the first ``head`` bytes of the content apart from the others (256 added to their code)."""
+    @F.pandas_udf(CODE_COUNTS)
+    def run(parts: pd.Series, places: pd.Series) -> pd.DataFrame:
+        found = []
+        for b, place in zip(parts, places):
+            a = np.frombuffer(b, dtype=np.uint8)
+            cut = min(max(head - place * CHUNK, 0), len(a))
+            c = np.concatenate([np.bincount(a[:cut], minlength=256), np.bincount(a[cut:], minlength=256)])
+            at = np.flatnonzero(c)
+            found.append((at, c[at]))
+        return pd.DataFrame({"code": [c.astype(np.int32) for c, _ in found], "n": [n.astype(np.int64) for _, n in found]})
+    return run
+
+
 def _code_rows(df: DataFrame, key: str, counted: Column) -> DataFrame:
-    """(key, code, n) rows from a counting function; the counts are parallel arrays, so no object is built per code."""
-    return df.select(key, counted.alias("__c")).select(key, F.inline(F.arrays_zip("__c.code", "__c.n")))
+    """(key, code, n) rows from a counting function; the counts are parallel arrays, so no object is built per code.
+
+    Content without any code keeps one row with NULLs, so no key is lost and none has to be joined back.
+    """
+    return df.select(key, counted.alias("__c")).select(key, F.inline_outer(F.arrays_zip("__c.code", "__c.n")))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _block_entropies(parts: pd.Series) -> pd.Series:
-    def one(b):
+def _block_entropies(parts: pd.Series, places: pd.Series) -> pd.Series:
+    """Entropies of the full blocks of a part; content shorter than a block is one block of its own length."""
+    def one(b, place):
         a = np.frombuffer(b, dtype=np.uint8)
+        if place == 0 and len(a) < BLOCK:
+            p = np.bincount(a, minlength=256)
+            p = p[p > 0] / max(len(a), 1)
+            return [float(-(p * np.log2(p)).sum()) + 0.0]
         full = len(a) // BLOCK
         if not full:
             return []
         a = a[:full * BLOCK].reshape(full, BLOCK)
-        counts = np.zeros((full, 256))
-        np.add.at(counts, (np.repeat(np.arange(full), BLOCK), a.ravel()), 1)
-        p = counts / BLOCK
+        # one count of (block, byte) codes for all blocks of the part
+        codes = (np.arange(full)[:, None] * 256 + a).ravel()
+        p = np.bincount(codes, minlength=full * 256).reshape(full, 256) / BLOCK
         return (-np.sum(p * np.log2(np.where(p > 0, p, 1.0)), axis=1)).tolist()
-    return parts.map(one)
+    return pd.Series([one(b, place) for b, place in zip(parts, places)])
 
 
 def byte_counts(df: DataFrame, key: str, content: str) -> DataFrame:
     """(key, byte, n)"""
-    c = _code_rows(chunks(df, key, content), key, _byte_counts("part"))
+    c = _code_rows(chunks(df, key, content), key, _byte_counts("part")).where("code is not null")
     return c.groupBy(key, F.col("code").alias("byte")).agg(F.sum("n").alias("n"))
 
 
 def byte_histogram(df: DataFrame, key: str, content: str) -> DataFrame:
-    """Share of each byte value present in the content."""
-    counts = byte_counts(df, key, content)
-    totals = df.select(key, F.octet_length(content).alias("__t"))
-    return counts.join(totals, key).select(key, "byte", "n", (F.col("n") / F.col("__t")).alias("share"))
+    """Share of each byte value present in the content.  A key's total comes from its at most 256 counts."""
+    total = F.sum("n").over(Window.partitionBy(key))
+    return byte_counts(df, key, content).select(key, "byte", "n", (F.col("n") / total).alias("share"))
 
 
 def entropy(df: DataFrame, key: str, content: str, head: int = BLOCK) -> DataFrame:
-    """Shannon entropy of the whole content, its first ``head`` bytes and the rest (0 when there is no rest)."""
-    parts = df.select(key, F.inline(F.array(
-        F.struct(F.lit("whole").alias("piece"), F.col(content).alias("body")), F.struct(F.lit("head").alias("piece"), F.substring(content, 1, head).alias("body")),
-        F.struct(F.lit("tail").alias("piece"), F.substring(F.col(content), F.lit(head + 1), F.greatest(F.octet_length(content) - head, F.lit(0))).alias("body")))))
-    parts = parts.withColumn("__k", F.struct(key, "piece"))
-    counts = byte_counts(parts, "__k", "body").withColumn("n", F.col("n").cast("double"))
-    per = counts.groupBy("__k").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("h"))
-    got = per.groupBy(F.col(f"__k.{key}").alias(key)).agg(*[F.max(F.when(F.col("__k.piece") == p, F.col("h"))).alias(p) for p in ("whole", "head", "tail")])
-    return df.select(key).join(got, key, "left").select(key, *[F.coalesce(p, F.lit(0.0)).alias(p) for p in ("whole", "head", "tail")])
+    """Shannon entropy of the whole content, its first ``head`` bytes and the rest (0 when there is no rest).
+
+    Every byte is looked at once: head and rest are counted apart, and their sums are the counts of the whole.
+    """
+    parts = chunks(df, key, content)
+    counted = _code_rows(parts, key, _head_counts(head)("part", "chunk"))
+    own = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0)).cast("double")
+    per = counted.groupBy(key, F.pmod("code", F.lit(256)).alias("byte")).agg(own(F.col("code") < 256).alias("head"), own(F.col("code") >= 256).alias("tail")).withColumn("whole", F.col("head") + F.col("tail"))
+    h = lambda c: F.when(F.sum(c) > 0, F.log2(F.sum(c)) - F.sum(F.when(F.col(c) > 0, F.col(c) * F.log2(c)).otherwise(0.0)) / F.sum(c))
+    return per.groupBy(key).agg(*[F.coalesce(h(p), F.lit(0.0)).alias(p) for p in ("whole", "head", "tail")])
 
 
 def block_entropies(df: DataFrame, key: str, content: str) -> DataFrame:
     """(key, block, h) over full blocks of 1,024 bytes; shorter content is one block of its own length."""
-    whole = chunks(df.where(F.octet_length(content) >= BLOCK), key, content)
-    full = whole.select(key, "chunk", F.posexplode(_block_entropies("part")).alias("__i", "h")) \
+    return chunks(df, key, content).select(key, "chunk", F.posexplode(_block_entropies("part", "chunk")).alias("__i", "h")) \
         .select(key, (F.col("chunk") * (CHUNK // BLOCK) + F.col("__i")).alias("block"), "h")
-    short = entropy(df.where(F.octet_length(content) < BLOCK), key, content).select(key, F.lit(0).alias("block"), F.col("whole").alias("h"))
-    return full.unionByName(short)
 
 
 def block_entropy(df: DataFrame, key: str, content: str) -> DataFrame:
@@ -120,7 +141,7 @@ def entropy_histogram(df: DataFrame, key: str, content: str, bins: int = 256) ->
 
 def transitions(df: DataFrame, key: str, content: str) -> DataFrame:
     """Counts of adjacent byte pairs (key, a, b, n)."""
-    c = _code_rows(chunks(df, key, content, overlap=1), key, _pair_counts("part"))
+    c = _code_rows(chunks(df, key, content, overlap=1), key, _pair_counts("part")).where("code is not null")
     return c.groupBy(key, "code").agg(F.sum("n").alias("n")).select(key, F.shiftright("code", 8).alias("a"), F.col("code").bitwiseAND(F.lit(255)).alias("b"), "n")
 
 

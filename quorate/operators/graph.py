@@ -32,33 +32,124 @@ def graph_stats(edges: DataFrame, graph: str = "graph") -> DataFrame:
 def graph_depth(edges: DataFrame, max_depth: int | None = None, fanout: int | None = None, roots: int | None = None, graph: str = "graph") -> DataFrame:
     """Greatest call depth per graph, from every caller along every callee; limits hold only where the caller sets them.
 
-    Breadth-first per root: each round joins the frontier with the pruned edges and drops nodes already seen, so a node
-    counts at its shortest distance.  Every round is written to the shared folder, which keeps plans flat.
+    Breadth-first from 64 roots at a time: a node carries one word per block of roots, bit i set if root i has reached it.  A
+    round sends the new bits along the edges and removes those already there, so a node counts at its shortest distance and
+    a round has at most nodes x roots / 64 rows.  A root is as deep as the last round that brought one of its bits to a
+    new node.  Every round is written to the shared folder, which keeps plans flat.
     """
+    from quorate.functions.columns import seeded_order
+    from quorate.operators.ordering import hash_digits, rank0
     from quorate.session import reliable_table
     per_node = Window.partitionBy(graph, "src").orderBy("dst")
     kept = edges.select(graph, "src", "dst").distinct()
     if fanout is not None:
         kept = kept.withColumn("__r", F.row_number().over(per_node)).where(F.col("__r") <= fanout)
     kept = reliable_table(kept.select(graph, F.col("src").alias("node"), "dst"))
-    per_graph = Window.partitionBy(graph).orderBy("root")
     start = kept.select(graph, F.col("node").alias("root")).distinct()
     if roots is not None:
-        start = start.withColumn("__r", F.row_number().over(per_graph)).where(F.col("__r") <= roots)
-    frontier = start.select(graph, "root", F.col("root").alias("node"), F.lit(0).alias("depth"))
-    seen = frontier
-    level = 0
+        start = start.withColumn("__r", F.row_number().over(Window.partitionBy(graph).orderBy("root"))).where(F.col("__r") <= roots).drop("__r")
+    # the place of a root is its rank by hash, which is found without bringing a graph together
+    start = start.withColumn("__h", seeded_order(F.col("root"), 0))
+    start = rank0(start, [graph], hash_digits(F.col("__h")), [F.col("__h"), F.col("root")], "__r")
+    start = reliable_table(start.select(graph, F.col("root").alias("node"), F.shiftright("__r", 6).alias("block"), (F.col("__r") % 64).cast("int").alias("bit")))
+    at = [graph, "block", "node"]
+    frontier = start.select(*at, F.expr("shiftleft(1L, bit)").alias("bits"))
+    seen, levels, level = frontier, [], 0
     while max_depth is None or level < max_depth:
         level += 1
-        step = frontier.join(kept, [graph, "node"]).select(graph, "root", F.col("dst").alias("node")).distinct()
-        frontier = reliable_table(step.join(seen.select(graph, "root", "node"), [graph, "root", "node"], "left_anti").withColumn("depth", F.lit(level)))
+        step = frontier.join(kept, [graph, "node"]).groupBy(graph, "block", F.col("dst").alias("node")).agg(F.bit_or("bits").alias("bits"))
+        had = seen.select(*at, F.col("bits").alias("__had"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("__had", F.lit(0).cast("bigint"))))
+        frontier = reliable_table(step.join(had, at, "left").select(*at, fresh.alias("bits")).where("bits <> 0"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    per_root = seen.groupBy(graph, "root").agg(F.max("depth").alias("depth"))
+        levels.append(frontier.groupBy(graph, "block").agg(F.bit_or("bits").alias("bits")).withColumn("level", F.lit(level)))
+        seen = reliable_table(seen.unionByName(frontier).groupBy(*at).agg(F.bit_or("bits").alias("bits")))
+    # per block of roots the last round of each bit: one row per block and round, 64 numbers each
+    if levels:
+        rounds = levels[0]
+        for more in levels[1:]:
+            rounds = rounds.unionByName(more)
+        last = rounds.select(graph, "block", "level", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"), "bits").where("getbit(bits, bit) = 1").groupBy(graph, "block", "bit").agg(F.max("level").alias("depth"))
+        per_root = start.join(last, [graph, "block", "bit"], "left").select(graph, F.coalesce("depth", F.lit(0)).alias("depth"))
+    else:
+        per_root = start.select(graph, F.lit(0).alias("depth"))
     return per_root.groupBy(graph).agg(F.max("depth").alias("max_depth"), F.avg("depth").alias("mean_depth"))
 
 
+def cycles(n: int, src: list[int], dst: list[int]) -> list[int]:
+    """Sizes of the strongly connected components of one function's blocks that hold a cycle (Tarjan, without recursion)."""
+    out: list[list[int]] = [[] for _ in range(n)]
+    for a, b in zip(src, dst):
+        if 0 <= a < n and 0 <= b < n:
+            out[a].append(b)
+    order, low, on = [-1] * n, [0] * n, [False] * n
+    stack: list[int] = []
+    sizes, count = [], 0
+    for first in range(n):
+        if order[first] >= 0:
+            continue
+        work = [(first, 0)]
+        while work:
+            v, k = work.pop()
+            if k == 0:
+                order[v] = low[v] = count
+                count += 1
+                stack.append(v)
+                on[v] = True
+            elif on[out[v][k - 1]]:
+                low[v] = min(low[v], low[out[v][k - 1]])
+            while k < len(out[v]) and order[out[v][k]] >= 0:
+                if on[out[v][k]]:
+                    low[v] = min(low[v], order[out[v][k]])
+                k += 1
+            if k < len(out[v]):
+                work += [(v, k + 1), (out[v][k], 0)]
+            elif low[v] == order[v]:
+                part = [stack.pop()]
+                while part[-1] != v:
+                    part.append(stack.pop())
+                for w in part:
+                    on[w] = False
+                if len(part) > 1 or v in out[v]:
+                    sizes.append(len(part))
+    return sizes
+
+
+def loops_of(functions: DataFrame) -> DataFrame:
+    """Add ``loops`` and ``largest_loop`` to rows (block_number, block_edges): cycles of one function's blocks, batch by batch."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    def run(batches):
+        for b in batches:
+            names = b.schema.names
+            counts, ends = b.column(names.index("block_number")).to_pylist(), b.column(names.index("block_edges")).to_pylist()
+            found = [cycles(n or 0, *(pair if pair and len(pair) == 2 and None not in pair else ([], []))) for n, pair in zip(counts, ends)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(f) for f in found], pa.int32()), pa.array([max(f, default=0) for f in found], pa.int32())], names=[*names, "loops", "largest_loop"])
+
+    return functions.mapInArrow(run, T.StructType([*functions.schema.fields, T.StructField("loops", T.IntegerType()), T.StructField("largest_loop", T.IntegerType())]))
+
+
+def flow_stats(graphs: DataFrame, key: str = "hash") -> DataFrame:
+    """Control-flow statistics per sample from its functions' blocks, the second half of the graph statistics.
+
+    Blocks, edges between blocks and their ratio; largest, mean and deviation of blocks per function; back edges (to a block
+    that is not later); functions; blocks, edges and back edges per function; functions with loops, loops and the largest
+    one.  ``graphs`` has (key, acfg_list) as ``parse_graphs`` gives it; samples without functions have zeros.
+    """
+    per = graphs.select(key, F.explode_outer("acfg_list").alias("f")).select(key, F.col("f").isNotNull().cast("int").alias("is_function"), F.coalesce("f.block_number", F.lit(0)).alias("block_number"), F.col("f.block_edges").alias("block_edges"))
+    ends = F.arrays_zip(F.get("block_edges", F.lit(0)).alias("s"), F.get("block_edges", F.lit(1)).alias("d"))
+    per = loops_of(per.withColumns({"edges": F.coalesce(F.size(F.get("block_edges", F.lit(0))), F.lit(0)), "back": F.coalesce(F.size(F.filter(ends, lambda x: x["d"] <= x["s"])), F.lit(0))}).withColumn("edges", F.greatest("edges", F.lit(0))).withColumn("back", F.greatest("back", F.lit(0))))
+    own = F.when(F.col("is_function") == 1, F.col("block_number"))
+    g = per.groupBy(key).agg(F.sum("block_number").alias("blocks"), F.sum("edges").alias("block_edges"), F.max(own).alias("max_blocks"), F.avg(own).alias("mean_blocks"), F.stddev_pop(own).alias("std_blocks"), F.sum("back").alias("back_edges"),
+                             F.sum("is_function").alias("functions"), positive(F.col("loops") > 0).alias("looping"), F.sum("loops").alias("loops"), F.max("largest_loop").alias("largest_loop"))
+    some = lambda c: F.coalesce(c, F.lit(0.0))
+    return g.select(key, "blocks", "block_edges", some(ratio(F.col("block_edges"), F.col("blocks"))).alias("edges_per_block"), F.coalesce("max_blocks", F.lit(0)).alias("max_blocks"), some(F.col("mean_blocks")).alias("mean_blocks"),
+                    some(F.col("std_blocks")).alias("std_blocks"), "back_edges", "functions", some(ratio(F.col("blocks"), F.col("functions"))).alias("blocks_per_function"), some(ratio(F.col("block_edges"), F.col("functions"))).alias("edges_per_function"),
+                    some(ratio(F.col("back_edges"), F.col("functions"))).alias("back_per_function"), "looping", "loops", "largest_loop")
+
+
 def locate(points: DataFrame, ranges: DataFrame, key: str, width: int) -> DataFrame:
     """First range (smallest ``ord``) of the same key that contains each point, NULL where none does.
 

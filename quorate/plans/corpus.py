@@ -79,6 +79,18 @@ def feature_error_gate(spark, d):
     return src.check_error_rate(src.parse_features(lines), 0.05)
 
 
+@query("src_06_float_matrix", "select row_number() over (order by vec_id)-1 as row_id, len(embedding)::integer as ndim, round(list_sum(list_transform(embedding, lambda x: x::double)),6) as checksum, round(embedding[1]::double,6) as first from embeddings")
+def float_matrix(spark, d):
+    """Vectors written as raw rows in the order of their ids and read back by their place in the files."""
+    emb = table(spark, d, "embeddings")
+    path = f"{shared_dir(spark).rstrip('/')}/matrix-{uuid.uuid4().hex}"
+    size = emb.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    src.write_float_matrix(emb, path, "embedding", size["width"], ["vec_id"])
+    m = src.read_float_matrix(spark, path, size["n"])
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    return m.select("row_id", F.size("vec").alias("ndim"), F.round(total, 6).alias("checksum"), F.round(F.get("vec", F.lit(0)).cast("double"), 6).alias("first"))
+
+
 @query("src_07_tabular", "select event_id, ts, props, (case when event_type='view' then 0 else 1 end)::integer as label, round(value+2*user_id,6) as checksum from events")
 def tabular(spark, d):
     ev = table(spark, d, "events").withColumn("Class", F.when(F.col("event_type") == "view", "Benign").otherwise(F.col("event_type"))).drop("event_type")

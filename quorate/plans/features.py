@@ -148,6 +148,28 @@ def graph_stats(spark, d):
     return rounded(gr.graph_stats(edges(spark, d)), "avg_degree", "density", "leaf_share", "std_out")
 
 
+FLOW = ("fn as (select l_orderkey as hash, row_number() over () as f, (l_quantity::integer)%6+1 as n, l_partkey%3 as k, l_suppkey%5 as m from lineitem), "
+        "eg as (select hash, f, i as s, (i*k+1)%n as d from fn, range(0,6) t(i) where i<n union all select hash, f, i, (i+m)%n from fn, range(0,6,2) t(i) where i<n), "
+        "rc as (select distinct hash, f, s, d from eg union select rc.hash, rc.f, rc.s, eg.d from rc join eg on eg.hash=rc.hash and eg.f=rc.f and eg.s=rc.d), "
+        "cy as (select a.hash, a.f, a.s, min(a.d) as c from rc a join rc b on b.hash=a.hash and b.f=a.f and b.s=a.d and b.d=a.s group by 1,2,3), "
+        "lp as (select hash, f, count(*) as loops, max(z) as largest from (select hash, f, c, count(*) as z from cy group by 1,2,3) group by 1,2), "
+        "ec as (select hash, f, count(*) as e, count(*) filter (d<=s) as back from eg group by 1,2)")
+
+
+@query("agg_28_flow_stats", "with recursive " + FLOW + " select hash::varchar as hash, sum(n)::bigint as blocks, sum(e)::bigint as block_edges, round(sum(e)::double/sum(n),6) as edges_per_block, max(n)::integer as max_blocks, round(avg(n),6) as mean_blocks, round(stddev_pop(n),6) as std_blocks, sum(back)::bigint as back_edges, count(*) as functions, "
+       "round(sum(n)::double/count(*),6) as blocks_per_function, round(sum(e)::double/count(*),6) as edges_per_function, round(sum(back)::double/count(*),6) as back_per_function, count(*) filter (loops>0) as looping, sum(coalesce(loops,0))::bigint as loops, max(coalesce(largest,0))::integer as largest_loop "
+       "from fn join ec using (hash, f) left join lp using (hash, f) group by 1")
+def flow_stats(spark, d):
+    """Every order is a sample, every line a function with one to six blocks."""
+    own = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("hash"), (F.col("l_quantity").cast("int") % 6 + 1).alias("n"), (F.col("l_partkey") % 3).alias("k"), (F.col("l_suppkey") % 5).alias("m"))
+    i = F.sequence(F.lit(0).cast("bigint"), (F.col("n") - 1).cast("bigint"))
+    even = F.filter(i, lambda x: x % 2 == 0)
+    n = F.col("n").cast("bigint")
+    ends = F.array(F.concat(i, even), F.concat(F.transform(i, lambda x: (x * F.col("k") + 1) % n), F.transform(even, lambda x: (x + F.col("m")) % n)))
+    graphs = own.select("hash", F.struct(F.col("n").alias("block_number"), ends.alias("block_edges")).alias("f")).groupBy("hash").agg(F.collect_list("f").alias("acfg_list"))
+    return rounded(gr.flow_stats(graphs), "edges_per_block", "mean_blocks", "std_blocks", "blocks_per_function", "edges_per_function", "back_per_function")
+
+
 # no shortest path is longer than 12 calls in these tables; the walk itself has no limit
 DEPTH = ("b as (select distinct graph, src as root, src as node, 0 as depth from e union select b.graph, b.root, e.dst, b.depth+1 from b join e on e.graph=b.graph and e.src=b.node where b.depth<12), "
          "n as (select graph, root, node, min(depth) as depth from b group by 1,2,3), r as (select graph, root, max(depth) as depth from n group by 1,2)")

@@ -100,7 +100,7 @@ def rules(spark, d):
 def table_function(spark, d):
     ex.register_functions(spark)
     table(spark, d, "documents").createOrReplaceTempView("quorate_docs")
-    return spark.sql("SELECT d.doc_id AS sample_id, count(*) AS n, sum(length(t.token)) AS chars FROM quorate_docs d, LATERAL explode_tokens(d.text) t GROUP BY d.doc_id")
+    return spark.sql("SELECT cast(key AS bigint) AS sample_id, count(*) AS n, sum(length(token)) AS chars FROM tokens_of(TABLE(SELECT doc_id, text FROM quorate_docs)) GROUP BY key")
 
 
 @query("udx_05_bootstrap_statistic", "with dy as (select cast(ts as date)::varchar as day, avg(value) as v from events group by 1), " + boot_sql("dy", "day", "sqrt(sum(w*v*v)/sum(w))", 500))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quorate import schemas
 from quorate.functions.columns import positive
+from quorate.sources.matrix import read_float_matrix, write_float_matrix  # noqa: F401
 
 # Directory names that carry a label, and accepted file extensions.
 POSITIVE_DIRS = ["malicious", "malware", "positive", "mal", "1"]
@@ -143,27 +144,6 @@ def read_feature_jsonl(spark: SparkSession, path: str, max_error_rate: float = 0
     return require_error_rate(parse_features(spark.read.text(path)), max_error_rate)
 
 
-def read_float_matrix(spark: SparkSession, path: str, rows: int, ndim: int | None = None) -> DataFrame:
-    """Little-endian float32 rows as (row_id, vec).  File size must equal rows * ndim * 4; ndim may be derived from it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-    if ndim is None:
-        if rows <= 0 or size % (4 * rows):
-            raise ValueError(f"{size} bytes do not divide into {rows} rows")
-        ndim = size // (4 * rows)
-    if size != rows * ndim * 4:
-        raise ValueError(f"expected {rows * ndim * 4} bytes, found {size}")
-
-    def decode(batches):
-        import numpy as np
-        for start, blob in batches:
-            yield start, np.frombuffer(blob, dtype="<f4").tolist()
-
-    records = spark.sparkContext.binaryRecords(path, int(ndim) * 4).zipWithIndex().map(lambda t: (t[1], bytes(t[0])))
-    return spark.createDataFrame(records.mapPartitions(decode), "row_id bigint, vec array<float>")
-
-
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 

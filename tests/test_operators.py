@@ -274,3 +274,86 @@ def test_bootstrap_sends_replicates_not_rows(spark):
     assert sums.count() == 100 and "Generate" not in sums._jdf.queryExecution().toString()
     got = st.bootstrap_ci(df, "id", st.weighted_mean("x"), 100).first()
     assert got["lo"] < 4.5 < got["hi"] and got["hi"] - got["lo"] < 0.08 and got["replicates"] == 100
+
+
+def _plain_cycles(n, src, dst):
+    reach = [[False] * n for _ in range(n)]
+    for a, b in zip(src, dst):
+        reach[a][b] = True
+    for k in range(n):
+        for i in range(n):
+            for j in range(n):
+                reach[i][j] |= reach[i][k] and reach[k][j]
+    parts = {frozenset(w for w in range(n) if reach[v][w] and reach[w][v]) for v in range(n) if reach[v][v]}
+    return sorted(map(len, parts))
+
+
+def test_cycles_match_reachability():
+    import random
+
+    from quorate.operators import graph as gr
+    rnd = random.Random(2)
+    for _ in range(300):
+        n = rnd.randrange(1, 9)
+        ends = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(rnd.randrange(0, 2 * n))]
+        s, d = [e[0] for e in ends], [e[1] for e in ends]
+        assert sorted(gr.cycles(n, s, d)) == _plain_cycles(n, s, d)
+    assert gr.cycles(50_000, list(range(50_000)), [*range(1, 50_000), 0]) == [50_000]
+    assert gr.cycles(2, [0, 5, None or 1], [9, 0, 1]) == [1]
+
+
+def test_flow_stats_of_odd_functions(spark):
+    from quorate.operators import graph as gr
+    rows = [("a", [(3, [[0, 1, 2, 1], [1, 2, 0, 1]]), (2, None), (None, [[], []])]), ("b", []), ("c", None), ("d", [(1, [[0]])])]
+    df = spark.createDataFrame(rows, "hash string, acfg_list array<struct<block_number:int,block_edges:array<array<bigint>>>>")
+    got = {r["hash"]: r.asDict() for r in gr.flow_stats(df).collect()}
+    assert (got["a"]["blocks"], got["a"]["block_edges"], got["a"]["back_edges"], got["a"]["functions"], got["a"]["loops"], got["a"]["largest_loop"], got["a"]["looping"]) == (5, 4, 2, 3, 1, 3, 1)
+    assert all(got[k]["functions"] == 0 and got[k]["edges_per_block"] == 0.0 and got[k]["loops"] == 0 for k in "bc") and got["d"]["blocks"] == 1
+
+
+def test_graph_depth_of_more_roots_than_a_word(spark):
+    from quorate.operators import graph as gr
+    chain = [("g", i, i + 1) for i in range(150)] + [("g", 150, 0), ("h", 1, 2), ("h", 1, 3), ("h", 3, 4), ("k", 7, 7)]
+    got = {r["graph"]: (r["max_depth"], r["mean_depth"]) for r in gr.graph_depth(spark.createDataFrame([(g, a, b) for g, a, b in chain[:70] + chain[151:]], "graph string, src bigint, dst bigint")).collect()}
+    assert got["g"] == (70, sum(range(1, 71)) / 70) and got["h"] == (2, 1.5) and got["k"] == (0, 0.0)
+    limited = gr.graph_depth(spark.createDataFrame(chain, "graph string, src bigint, dst bigint"), max_depth=4)
+    assert {r["graph"]: r["max_depth"] for r in limited.collect()} == {"g": 4, "h": 2, "k": 0}
+
+
+def test_arrow_table_functions_give_the_rows_of_the_lateral_ones(spark):
+    from quorate.operators import extensions as ex
+    ex.register_functions(spark)
+    df = spark.createDataFrame([(1, "One two  three"), (2, None), (3, ""), (4, " x ")], "id int, t string")
+    df.createOrReplaceTempView("words")
+    lateral = spark.sql("SELECT cast(id AS string) AS key, t.pos, t.token FROM words, LATERAL explode_tokens(t) t").collect()
+    whole = spark.sql("SELECT * FROM tokens_of(TABLE(SELECT id, t FROM words))").collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, lateral)) and len(whole) == 4
+    assert spark.sql("SELECT * FROM sections_of(TABLE(SELECT id, cast(t AS binary) FROM words))").collect() == []
+
+
+def _plan_nodes(plan):
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return _plan_nodes(plan.executedPlan())
+    if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+        return [plan, *_plan_nodes(plan.plan())]
+    return [plan] + [n for i in range(plan.children().size()) for n in _plan_nodes(plan.children().apply(i))]
+
+
+def test_bloom_filter_prunes_the_signature_scan(spark, tmp_path):
+    from quorate.operators import matching as mt
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    spark.range(100_000).select(digest.alias("digest"), F.lit(None).cast("bigint").alias("size")).write.parquet(str(tmp_path / "sigs"))
+    spark.range(5_000).select(F.col("id").alias("sample_id"), digest.alias("sha256"), F.lit(9).cast("bigint").alias("size"), (F.col("id") % 100).alias("part")).write.parquet(str(tmp_path / "new"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = mt.match_exact(spark.read.parquet(str(tmp_path / "new")).where("part = 7"), spark.read.parquet(str(tmp_path / "sigs")), "sha256")
+        assert len(got.collect()) == 50
+        filters = [n for n in _plan_nodes(got._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName() == "FilterExec" and "might_contain" in n.toString()]
+        assert filters, "no Bloom filter in the plan"
+        assert 50 <= filters[0].metrics().apply("numOutputRows").value() < 5_000  # of 100,000 signatures
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -76,6 +76,21 @@ def test_float_matrix(spark, tmp_path):
         src.read_float_matrix(spark, path, 5)
 
 
+def test_float_matrix_in_ranges_and_files(spark, tmp_path):
+    m = np.random.default_rng(1).normal(size=(1000, 7)).astype("<f4")
+    path = str(tmp_path / "m")
+    df = spark.createDataFrame([(i * 3, [float(x) for x in r]) for i, r in enumerate(m)], "k int, v array<double>").repartition(5)
+    src.write_float_matrix(df, path, "v", 7, ["k"])
+    got = src.read_float_matrix(spark, path, 1000, range_bytes=7 * 4 * 100)
+    assert got.rdd.getNumPartitions() >= 10 and "ExistingRDD" not in got._jdf.queryExecution().toString()
+    rows = got.orderBy("row_id").collect()
+    assert [r["row_id"] for r in rows] == list(range(1000)) and (np.array([r["vec"] for r in rows], dtype="<f4") == m).all()
+    short = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "k int, v array<double>")
+    with pytest.raises(Exception, match="every vector"):
+        src.write_float_matrix(short, str(tmp_path / "bad"), "v", 2, ["k"])
+    assert not [f for f in (tmp_path / "bad").glob("part-*")]
+
+
 def test_graph_file(spark, tmp_path):
     rec = {"hash": "h", "label": 1, "function_edges": [[0, 1], [1, 2]], "acfg_list": [{"block_number": 1, "block_edges": [[], []], "block_features": [[1.0, 2.0]]}],
            "function_names": ["f", "CreateFileA", "Sleep"], "function_number": 3}
