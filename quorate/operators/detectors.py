@@ -54,7 +54,7 @@ def uncertainty(cal: DataFrame, test: DataFrame, size: int, key: str = "sample_i
         s = elements("scores", size)
         df = with_ensemble(df, size)
         return df.select(key, "period", (F.lit(1.0) - confidence(F.col("e")) + spread_present(s, F.col("e"))).alias("ncm"))
-    c, t = ncm(cal), ncm(test)
+    c, t = reliable_table(ncm(cal)), reliable_table(ncm(test))  # the measure is computed once per row, not once per use
     base = c.agg(*_moments("ncm", 1e-6))
     mean = _one(t.groupBy("period").agg(F.avg("ncm").alias("m")), base)
     j = mean.join(_ks_by_period(c, t, "ncm"), "period").withColumn("shift", F.abs(F.col("m") - F.col("cal_mean")) / F.col("cal_sd"))
@@ -193,7 +193,7 @@ def confidence_shift(cal: DataFrame, test: DataFrame, size: int, key: str = "sam
     """Confidence drop, entropy rise, or a distance test on the confidence."""
     def prep(df):
         return with_ensemble(df, size).select(key, "period", confidence(F.col("e")).alias("conf"), binary_entropy(F.col("e")).alias("ent"))
-    c, t = prep(cal), prep(test)
+    c, t = reliable_table(prep(cal)), reliable_table(prep(test))
     sd = lambda x: F.greatest(F.stddev_pop(x), F.lit(1e-6))
     base = c.agg(F.avg("conf").alias("cm"), sd("conf").alias("cs"), F.avg("ent").alias("em"), sd("ent").alias("es"))
     g = _one(t.groupBy("period").agg(F.avg("conf").alias("conf"), F.avg("ent").alias("ent")), base)

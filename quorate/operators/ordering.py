@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,27 +171,64 @@ def ks_against(ref: DataFrame, df: DataFrame, keys: list[str], value: str, name:
     """Kolmogorov-Smirnov distance of every group of ``df`` to all rows of one reference; also both sample sizes.
 
     Between two values of a group its distribution stands still and the reference's can only rise, so the largest gaps lie at the
-    group's own values.  The reference is therefore ranked once, whatever the number of groups: one running count over the
-    merged values, each of which carries the groups that have it, then one running count per group.
+    group's own values.  One ordered fold over all values therefore serves every group: it carries one count of the reference
+    and one per group.  Rows are range partitioned by value; a partition reports per group its counts and its largest gaps
+    from its own start, and the partitions (so many rows per group, which is what comes to the driver) are joined in order.
+    Groups are few: they are report periods.
     """
-    own = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__b"))
-    group = F.struct(*[F.col(k) for k in keys], F.col("__b"))
-    # one count per merged value of the reference; groups of a value are at most as many as there are groups
-    base = ref.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__a"))
-    merged = (base.select("__v", "__a", F.lit(None).cast(own.select(group.alias("g")).schema["g"].dataType).alias("__g"))
-              .union(own.select("__v", F.lit(0).cast("bigint"), group)).groupBy("__v").agg(F.sum("__a").alias("__a"), F.collect_list("__g").alias("__g")))
-    # written once each: a running count reads its input several times
-    merged = reliable_table(merged)
-    ranked = running(merged, [], real_digits(F.col("__v")), [F.col("__v")], [Measure("__ca", F.col("__a"))])
-    points = reliable_table(ranked.select("__v", "__a", "__ca", F.inline("__g")))
-    points = running(points, keys, real_digits(F.col("__v")), [F.col("__v")], [Measure("__cb", F.col("__b"))])
-    sizes = (merged.select(F.inline("__g")).groupBy(*keys).agg(F.sum("__b").alias("n_b"))
-             .crossJoin(F.broadcast(merged.agg(F.coalesce(F.sum("__a"), F.lit(0)).alias("n_a")))))
-    at = points.join(F.broadcast(sizes), keys)
-    share = lambda c, n: F.coalesce(c / F.nullif(F.col(n), F.lit(0)), F.lit(0.0))
-    above = share(F.col("__cb"), "n_b") - share(F.col("__ca"), "n_a")
-    below = share(F.col("__ca") - F.col("__a"), "n_a") - share(F.col("__cb") - F.col("__b"), "n_b")
-    return at.groupBy(*keys).agg(F.greatest(F.max(above), F.max(below), F.lit(0.0)).alias(name), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    spark = df.sparkSession
+    own = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    base = ref.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    base = base.select(*[F.lit(None).cast(t).alias(k) for k, t in own.dtypes if k in keys], "__v", "__n", F.lit(True).alias("__ref"))
+    rows = reliable_table(own.select(*keys, "__v", "__n", F.lit(False).alias("__ref")).union(base))
+    sizes = rows.groupBy("__ref", *keys).agg(F.sum("__n").alias("n")).collect()
+    n_a = sum(r["n"] for r in sizes if r["__ref"])
+    groups = sorted(((tuple(r[k] for k in keys), r["n"]) for r in sizes if not r["__ref"]), key=repr)
+    schema = ", ".join([f"{k} {t}" for k, t in own.dtypes if k in keys] + [f"{name} double", "n_a bigint", "n_b bigint"])
+    if not groups:
+        return spark.createDataFrame([], schema)
+    number = F.create_map(*[x for i, (g, _) in enumerate(groups) for x in (F.struct(*[F.lit(v).cast(dict(own.dtypes)[k]).alias(k) for k, v in zip(keys, g)]).cast("string"), F.lit(i))])
+    flat = rows.select("__v", "__n", F.when(F.col("__ref"), -1).otherwise(number[F.struct(*keys).cast("string")]).alias("__g"))
+    n_b = [n for _, n in groups]
+
+    def fold(batches):
+        count_a, count_b = 0, np.zeros(len(n_b))
+        high, low = np.full(len(n_b), -np.inf), np.full(len(n_b), -np.inf)
+        first, last = None, (None, 0)  # last value of the reference and how often it stands there
+        for b in batches:
+            v, n, g = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            if not len(v):
+                continue
+            first = v[0] if first is None else first
+            mine = g < 0
+            upto = count_a + np.cumsum(np.where(mine, n, 0))
+            at_v, at_n = (np.append(last[0], v[mine]), np.append(last[1], n[mine])) if last[0] is not None else (v[mine], n[mine])
+            place = np.searchsorted(at_v, v) if len(at_v) else np.zeros(len(v), dtype=int)
+            inside = place < len(at_v)
+            here = np.zeros(len(v))
+            here[inside] = np.where(at_v[place[inside]] == v[inside], at_n[place[inside]], 0)
+            for k in np.unique(g[~mine]):
+                own_rows = g == k
+                c = count_b[k] + np.cumsum(n[own_rows])
+                high[k] = max(high[k], (c / n_b[k] - upto[own_rows] / max(n_a, 1)).max())
+                low[k] = max(low[k], ((upto - here)[own_rows] / max(n_a, 1) - (c - n[own_rows]) / n_b[k]).max())
+                count_b[k] = c[-1]
+            count_a = upto[-1]
+            if mine.any():
+                last = (v[mine][-1], n[mine][-1])
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n_b), first)), pa.array(np.full(len(n_b), float(count_a))), pa.array(np.arange(len(n_b), dtype=np.int32)), pa.array(count_b), pa.array(high), pa.array(low)],
+                                             names=["first", "a", "g", "b", "high", "low"])
+
+    # the reference comes before the groups at the same value
+    parts = flat.repartitionByRange("__v").sortWithinPartitions("__v", "__g").mapInArrow(fold, "first double, a double, g int, b double, high double, low double").toPandas()
+    out = []
+    for k, (group, n) in enumerate(groups):
+        p = parts[parts.g == k].sort_values("first")
+        start = (p.b.cumsum() - p.b) / n - (p.a.cumsum() - p.a) / max(n_a, 1)
+        gap = max((p.high + start).max(), (p.low - start).max(), 0.0)
+        out.append((*group, float(gap), int(n_a), int(n)))
+    return spark.createDataFrame(out, schema)
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
