@@ -15,9 +15,9 @@
 Anchors common to very many different runs (a line that stands everywhere) are found on a sample and go by their window hashes
 instead, 128 bits each, which spread over all tasks.  The sample decides only the way, never the result.
 
-Defined cases: NULL and empty texts have no bytes; texts under 100 bytes lose nothing; rows that share an id count as one
-document (an equal start removes nothing); rows without id come last, as one document; an empty table gives an empty result;
-extra columns do not matter.
+Defined cases: NULL and empty texts have no bytes; texts under 100 bytes lose nothing; every row is a document of its own: rows that
+share an id stand in the order of a hash of their texts, rows without id come last, in that order too; an empty table gives
+an empty result; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorate.llm.common import stored
+from quorate.llm.common import BROADCAST_ROWS, stored
+from quorate.operators.ordering import hash_digits, id_digits, rank0
 
 SPAN = 100
 GRAM = 32
@@ -405,6 +406,28 @@ def _suffixes(batches):
         yield judge(held)
 
 
+def pack_ranges(a: np.ndarray, b: np.ndarray) -> bytes:
+    """Ranges in order, joined where they overlap or touch, as gap and length of four bytes each."""
+    _, a, b = merged(np.zeros(len(a), dtype=np.int64), a, b)
+    return np.stack([a - np.append(0, b[:-1]), b - a], axis=1).astype(np.uint32).tobytes()
+
+
+def unpack_ranges(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.cumsum(np.frombuffer(raw, dtype=np.uint32).astype(np.int64)).reshape(-1, 2)
+    return steps[:, 0], steps[:, 1]
+
+
+def _range_lists(rows: DataFrame) -> DataFrame:
+    """(doc, list): the ranges (a, b) of each document, merged and packed."""
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            packed = [pack_ranges(*(lists[k].values.field(c).to_numpy() for c in range(2))) for k in range(len(lists))]
+            yield _table(doc=b.column(0), list=pa.array(packed, pa.binary()))
+
+    return stored(rows.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("x")).mapInArrow(run, "doc long, list binary"))
+
+
 def _lists(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(doc, list): per document the given long columns, packed one after the other."""
     def run(batches):
@@ -450,12 +473,41 @@ def removed_ranges(docs: DataFrame, hot_runs: int = HOT_RUNS, sample: int = SAMP
     open_ = _lists(judged.filter("kind = 1"), ["g", "a", "b"])
     contexts = _with_lists(docs.select("doc", "text"), open_, "inner").mapInArrow(_contexts(parts), "part int, data binary")
     more = contexts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_suffixes, "doc long, a long, b long")
-    return _lists(ranges.union(more), ["a", "b"])
+    return _range_lists(ranges.union(more))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows with a number of their own in ``doc``, in the order of their ids.
+
+    While all ids differ, they are the numbers.  Otherwise ids are spread so far that the rows of the commonest one find room
+    behind it; only the rows of shared ids are written anew, ranked by a hash of their texts.
+    """
+    shared = stored(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    size = shared.agg(F.max("n"), F.count(F.lit(1))).first()
+    if size[0] is None:
+        return rows
+    room = 1 << (size[0] - 1).bit_length()
+    span = rows.filter(F.col("doc") != LAST).agg(F.min("doc"), F.max("doc")).first()
+    low, high = (span[0], span[1]) if span[0] is not None else (0, 0)
+    columns = rows.columns
+    if (high + 2) * room < 2**63 and low * room > -2**63:
+        rows = rows.withColumn("__place", F.when(F.col("doc") == LAST, F.lit(high + 1)).otherwise(F.col("doc")))
+    else:  # ids too far apart: their ranks take their place
+        ranks = stored(rank0(rows.select("doc").distinct(), [], id_digits(F.col("doc")), [F.col("doc")], "__place"))
+        rows = rows.join(ranks, "doc")
+    ids = shared.select("doc")
+    ids = F.broadcast(ids) if size[1] <= BROADCAST_ROWS else ids
+    several = rows.join(ids, "doc", "left_semi").withColumn("__h", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    several = stored(rank0(several, ["doc"], hash_digits(F.col("__h")), [F.col("__h"), F.col("text")], "__row"))
+    alone = rows.join(ids, "doc", "left_anti").withColumn("__row", F.lit(0).cast("long"))
+    both = alone.select(*columns, "__place", "__row").unionByName(several.select(*columns, "__place", "__row"))
+    return both.withColumn("doc", F.col("__place") * room + F.col("__row")).select(*columns)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, **bounds) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256[, kept_bytes]) of every row."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"), F.col(key).alias("__s_key"))
+    rows = numbered(rows)
     lists = removed_ranges(rows.select("doc", "text"), **bounds)
 
     def run(batches):
@@ -465,8 +517,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: b
                 t = (t or "").encode()
                 cut = 0
                 if raw:
-                    a, z = np.frombuffer(raw, dtype=np.int64).reshape(2, -1)
-                    _, a, z = merged(np.zeros(len(a), dtype=np.int64), a, z)
+                    a, z = unpack_ranges(raw)
                     kept, at = [], 0
                     for x, y in zip(a.tolist(), z.tolist()):
                         kept.append(t[at:x])
