@@ -308,9 +308,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     buckets = stored(members.join(shared, "key").distinct())
     stars = buckets.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     links = verified(stars, docs, width, percent)
-    # one document with several sets, and several documents with one id, hold together through the id itself
+    # an id that stands on several sets holds their classes together: it is linked with the representative of each
+    named = signed.filter("n > 0 and doc_id is not null").join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("b"), F.col("rep").alias("a")).distinct()
+    several = named.groupBy("b").agg(F.min("a").alias("a0"), F.max("a").alias("a1")).filter("a0 < a1").select("b")
+    ties = named.join(several, "b", "left_semi").filter("a <> b").select("a", "b")
+    links = stored(links.union(ties))
     comps = stored(components(links))
-    sizes = reps.groupBy(F.col("doc_id").alias("id")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    # one row per set: an id with several sets is held against the others with each of them
+    sizes = reps.groupBy(F.col("doc_id").alias("id"), "d1", "d2").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).drop("d1", "d2")
     # nearest partners first: what they join needs no other pair, so the second look has few pairs left
     for nearest in (True, False):
         more = stored(_mixed_units(buckets, comps, sizes).mapInArrow(lambda batches, nearest=nearest: _cross(batches, nearest, percent), "a long, b long").distinct())
