@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quorate.llm import collocations, hard_negatives, vector_links, vectors
+from quorate.llm import collocations, hard_negatives, near_dup, suffix_dedup, vector_links, vectors
 
 VECTORS = "vec_id long, embedding array<float>, label int, n_links string, kept string, key string, id string, vec string, size int"
 
@@ -237,3 +237,43 @@ def test_bounds_are_never_below_scores():
     at = part.starts(2, 2)
     assert len(at) == 200 and (part.bound(at, 2) >= 2_000_000 * 30 // 60).all()
     assert (collocations.LEVELS[:-1][1:] >= collocations.LEVELS[:-1][:-1]).all() and collocations.LEVELS[0] == collocations.LEAST - 1
+
+
+# repeated passages of rows that share an id ----------------------------------------------------------------------------------
+
+def removed_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup(docs).collect()), key=repr)
+
+
+def passage(seed, n=316):
+    return "".join(random.Random(seed).choices("abcdefgh ", k=n))
+
+
+@pytest.mark.parametrize("ident", [None, 7, 2**62])
+def test_rows_that_share_an_id_keep_their_own_bytes(spark, ident):
+    r, y = passage(1), passage(2, 400)
+    assert removed_of(spark, [(1, r), (ident, r + "xxxxx"), (ident, y)]) == sorted([(1, 316, 0, 0), (ident, 321, 316, 1), (ident, 400, 0, 0)], key=repr)
+
+
+def test_rows_of_one_id_are_judged_one_after_the_other(spark):
+    r = passage(3)
+    got = removed_of(spark, [(5, r), (5, r), (5, r + "tail"), (None, r), (None, r), (-2**62, "short"), (9, None), (9, None)])
+    assert sum(n == 0 and size >= 316 for _, size, n, _ in got) == 1  # the first row of id 5, whichever text comes first by hash
+    assert sum(n >= 316 for _, size, n, _ in got) == 4 and all(i is None or i == 5 for i, size, n, _ in got if n)
+    assert [g for g in got if g[1] < 100] == [(-2**62, 5, 0, 0), (9, 0, 0, 0), (9, 0, 0, 0)]
+
+
+def test_packed_ranges_round_trip():
+    a, b = suffix_dedup.unpack_ranges(suffix_dedup.pack_ranges(np.array([500, 0, 90, 700, 2**31]), np.array([600, 100, 200, 800, 2**31 + 5])))
+    assert a.tolist() == [0, 500, 700, 2**31] and b.tolist() == [200, 600, 800, 2**31 + 5]
+
+
+def test_texts_under_one_id_stand_in_one_component(spark):
+    words = lambda seed: " ".join(random.Random(seed).choices([f"w{k}" for k in range(500)], k=120))
+    a, b, c = words(1), words(2), words(3)
+    rows = [(3, a), (5, a), (5, b), (6, c), (8, b + " more"), (9, c + " end"), (10, words(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(docs, width=3, percent=85).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (6, 6, True), (8, 3, False), (9, 6, False), (10, 10, True)]
+    assert sorted(r.doc_id for r in near_dup.keep(docs, width=3).collect()) == [3, 6, 10]
