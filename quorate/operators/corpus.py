@@ -116,16 +116,27 @@ def summary(df: DataFrame) -> DataFrame:
                   F.countDistinct("family").alias("n_families")).withColumn("malware_ratio", F.round(ratio(F.col("malware"), F.col("n")), 4))
 
 
-def validate(df: DataFrame, vec: str | None = None) -> DataFrame:
-    """Dataset contract as rows (check, ok, detail) from a single aggregation pass."""
-    zero_row = F.lit(False) if vec is None else ~F.exists(vec, lambda x: x != 0)
+def validate(df: DataFrame, vec: str | None = None, train: list[int] | None = None, evaluation: list[int] | None = None, offsets: DataFrame | None = None) -> DataFrame:
+    """Dataset contract as rows (check, ok, detail) from a single aggregation pass.
+
+    With ``vec`` the vectors must not all be zero; with ``train`` or ``evaluation`` some period of each must have rows; with
+    ``offsets`` (period, start, count) the counts must add up to the rows.  Details are the offending or supporting counts.
+    """
+    zero_row = F.lit(False) if vec is None else ~F.coalesce(F.exists(vec, lambda x: x != 0), F.lit(False))
+    of = lambda periods: positive(F.col("period").isin(list(periods or [])))
     a = df.agg(F.count(F.lit(1)).alias("n"), positive(~F.col("label").isin(0, 1)).alias("bad_labels"), positive(F.col("label") == 1).alias("mal"),
-               F.countDistinct("period").alias("periods"), F.min("period").alias("first"), positive(zero_row).alias("zero_rows"))
+               F.countDistinct("period").alias("periods"), F.min("period").alias("first"), positive(zero_row).alias("zero_rows"),
+               of(train).alias("train_rows"), of(evaluation).alias("eval_rows"))
+    if offsets is not None:
+        a = a.crossJoin(F.broadcast(offsets.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("offset_rows"))))
     share = ratio(F.col("mal"), F.col("n"))
     rows = [("not_empty", F.col("n") > 0, F.col("n")), ("labels_binary", F.col("bad_labels") == 0, F.col("bad_labels")),
             ("class_share", (share > 0.01) & (share < 0.99), F.col("mal")), ("two_periods", F.col("periods") >= 2, F.col("periods")),
             ("positive_periods", F.col("first") > 0, F.col("first").cast("bigint")),
             ("not_all_zero", F.col("zero_rows") < F.col("n"), F.col("zero_rows"))]
+    rows += [(f"{name}_periods", F.col(f"{name}_rows") > 0, F.col(f"{name}_rows")) for name, given in (("train", train), ("eval", evaluation)) if given is not None]
+    if offsets is not None:
+        rows.append(("offsets_total", F.col("offset_rows") == F.col("n"), F.col("offset_rows")))
     return a.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check"), ok.alias("ok"), det.cast("bigint").alias("detail")) for n, ok, det in rows])))
 
 

@@ -60,7 +60,8 @@ def period_report(scores: DataFrame, dims: ModelDims, train: list[int], evaluati
     cand = cand.groupBy("period").agg(F.sum(F.col("is_candidate").cast("bigint")).alias("n_candidates"))
     out = det.select("period", "drift_detected", "r", "drift_type", "spectral_gap", "strategy", "label_budget", "confidence", "novelty", "affected_views", "healthy_models")
     # every part is one row per period; finishing them one by one keeps each plan small
-    for part in (m1, m2, adaptive, plain, cand, dt.run_all(cal, test, k)):
+    pseudo = dr.pseudo_by_period(test, det, k).select("period", F.col("kept").alias("pseudo_kept"), F.col("rate").alias("pseudo_rate"), F.col("accuracy").alias("pseudo_accuracy"))
+    for part in (m1, m2, adaptive, plain, cand, pseudo, dt.run_all(cal, test, k)):
         out = out.join(reliable_table(part), "period", "left")
     return out.withColumn("coverage_gain", F.col("coverage_adaptive") - F.col("coverage_plain"))
 
@@ -83,6 +84,19 @@ def adaptive_report(scores: DataFrame, dims: ModelDims, train: list[int], evalua
     return dr.classify_drift(dr.novelty(out, dims), dims)
 
 
+def ablation_period(det: DataFrame, rows: DataFrame, min_rows: int = 50) -> DataFrame:
+    """The period that ablations use: the drifted one of at least ``min_rows`` rows with the widest spectral gap, else the last one.
+
+    ``det`` has one row (period, drift_detected, spectral_gap) per evaluation period, ``rows`` its (period, n).  Of equal gaps the
+    earlier period counts.  Returns one row (period, spectral_gap, drifted).
+    """
+    j = det.select("period", "drift_detected", "spectral_gap").join(rows.select("period", "n"), "period", "left")
+    fit = F.coalesce(F.col("drift_detected") & (F.col("n") >= min_rows) & F.col("spectral_gap").isNotNull(), F.lit(False))
+    best = F.max(F.when(fit, F.struct("spectral_gap", (-F.col("period")).alias("early"))))
+    a = j.agg(best.alias("b"), F.max(F.struct("period", "spectral_gap")).alias("last"))
+    return a.select(F.coalesce(-F.col("b.early"), F.col("last.period")).alias("period"), F.when(F.col("b").isNotNull(), F.col("b.spectral_gap")).otherwise(F.col("last.spectral_gap")).alias("spectral_gap"), F.col("b").isNotNull().alias("drifted"))
+
+
 def ablate_weights(scores: DataFrame, dims: ModelDims, train: list[int], evaluation: list[int], grid: list[tuple[float, float]]) -> DataFrame:
     """Detection under different (score, decision) weights.  The two gap averages are computed once; the grid only recombines them."""
     d = period_disagreement(scores, dims)

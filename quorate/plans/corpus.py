@@ -238,6 +238,16 @@ def manifest_checksums(spark, d):
     return sk.manifest_checksums(samples(spark, d))
 
 
+# widths of the projected views (a view without a rule has none), rows per period, and what differs from what was expected
+@query("snk_04_manifest_fields", "with r as (select (vec_id%6+1)::integer as period, vec_id from embeddings), c as (select period, count(*) as n from r group by 1), "
+       f"w as (select 'V_byte' as view, count(*) as n, {RANGES['A'][1] - RANGES['A'][0]} as width from r union all select 'V_struct', count(*), {RANGES['B'][1] - RANGES['B'][0]} from r where vec_id%5<>0 union all select 'V_import', count(*), {RANGES['C'][1] - RANGES['C'][0]} from r where vec_id%7<>0) "
+       "select 'view_width' as field, view as name, width::varchar as value from w where n>0 union all select 'missing_view', 'V_gone', '' union all select case when period<=4 then 'train_period' else 'eval_period' end, period::varchar, n::varchar from c "
+       f"union all select 'eval_period', '9', '0' union all select 'problem', 'V_byte', {RANGES['A'][1] - RANGES['A'][0]}||' instead of 3' from w where view='V_byte' and n>0 union all select 'problem', 'period 9', '0 rows instead of 5'")
+def manifest_fields(spark, d):
+    own = partial_views(spark, d).withColumn("period", (F.col("sample_id") % 6 + 1).cast("int"))
+    return sk.manifest_fields(own, {"V_byte": 3, "V_gone": 4}, [1, 2, 3, 4], [5, 6, 9], {9: 5})
+
+
 @query("snk_05_reject_counts", sql(SAMPLES, "select reason, count(*) as n from (select case when label<0 then 'no label' when size<500 then 'too small: '||family when size>8000 then 'too large' end as reason from smp) "
        "where reason is not null group by 1 order by n desc, reason limit 10"))
 def reject_counts(spark, d):
@@ -460,6 +470,14 @@ def validate(spark, d):
     return co.validate(samples(spark, d))
 
 
+@query("agg_04_validate_vectors", "with e as (select vec_id, label%2 as label, (vec_id%6+1)::integer as period, len(list_filter(embedding, lambda x: x<>0))=0 as z from embeddings), a as (select count(*) n, count(*) filter (label not in (0,1)) b, count(*) filter (label=1) m, count(distinct period) p, min(period) f, count(*) filter (z) z, "
+       "count(*) filter (period in (1,2)) t, count(*) filter (period in (6,9)) v from e) select 'not_empty' as check, n>0 as ok, n as detail from a union all select 'labels_binary', b=0, b from a union all select 'class_share', m::double/n>0.01 and m::double/n<0.99, m from a "
+       "union all select 'two_periods', p>=2, p from a union all select 'positive_periods', f>0, f from a union all select 'not_all_zero', z<n, z from a union all select 'train_periods', t>0, t from a union all select 'eval_periods', v>0, v from a union all select 'offsets_total', true, n from a")
+def validate_vectors(spark, d):
+    own = table(spark, d, "embeddings").select("vec_id", (F.col("label") % 2).alias("label"), (F.col("vec_id") % 6 + 1).cast("int").alias("period"), "embedding")
+    return co.validate(own, "embedding", [1, 2], [6, 9], co.period_offsets(own))
+
+
 @query("agg_05_coverage", "with e as (select count(*) n, count(*) filter (vec_id%5<>0) s, count(*) filter (vec_id%7<>0) i from embeddings), v as (select 'V_byte' as view, n as present, n from e union all select 'V_struct', s, n from e union all select 'V_import', i, n from e union all select 'V_ghost', 0, n from e) "
        "select view, present, n, round(present::double/n,6) as coverage, case when present=0 then 'downgrade' when present<n then 'fail' else 'pass' end as gate from v")
 def coverage(spark, d):

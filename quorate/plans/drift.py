@@ -221,6 +221,19 @@ def pseudo_quality(spark, d):
     return rounded(dr.pseudo_quality(scores(spark, d), [0, 1, 2, 3, 7], K, 0.75), "rate", "accuracy")
 
 
+@query("drf_11_pseudo_by_period", sql(L, CONF.split("te as")[0].rstrip(", "), "vo as (select sample_id, any_value(l.period) as period, any_value(y) as y, avg((score>=0.5)::integer) as v from l left join hm on hm.p=l.period and hm.model_id=l.model_id where l.period in (5,6) and hm.p is not null and score is not null group by 1), "
+       "pv as (select period, y, greatest(v,1-v)>=0.75 as k, round_even(v,0)::integer=y as ok from vo)", "select period, count(*) as n, count(*) filter (k) as kept, round(count(*) filter (k)::double/count(*),6) as rate, round(avg(ok::integer) filter (k),6) as accuracy from pv group by 1"))
+def pseudo_by_period(spark, d):
+    return rounded(dr.pseudo_by_period(test(spark, d), healthy(spark), K, 0.75), "rate", "accuracy")
+
+
+@query("drf_21_ablation_period", "with g as (select extract(day from ts)::integer as period, avg(value) as gap, count(*) as n, sum(event_id)%3<>0 as dr from events group by 1), b as (select period, gap, true as drifted from g where dr and n>=50 order by gap desc, period limit 1), "
+       "e as (select period, gap, false as drifted from g where not exists (select 1 from b) order by period desc limit 1) select period, round(gap,6) as spectral_gap, drifted from b union all select period, round(gap,6), drifted from e")
+def ablation_period(spark, d):
+    g = table(spark, d, "events").groupBy(F.dayofmonth("ts").alias("period")).agg(F.avg("value").alias("spectral_gap"), F.count(F.lit(1)).alias("n"), (F.sum("event_id") % 3 != 0).alias("drift_detected"))
+    return rounded(rs.ablation_period(g, g), "spectral_gap")
+
+
 # ---- detectors -----------------------------------------------------------------------------------------------------
 
 NCM = "nc as (select sample_id, any_value(period) as period, 1-greatest(avg(score),1-avg(score))+stddev_pop(score) as v, greatest(avg(score),1-avg(score)) as conf, avg(score) as e from l group by 1)"

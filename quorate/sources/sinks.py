@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorate.functions.columns import finite
@@ -81,6 +81,33 @@ def manifest_checksums(df: DataFrame, digest: str = "sha256") -> DataFrame:
     return df.groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.sum(head.cast("decimal(38,0)")).cast("string").alias("checksum"))
 
 
+def manifest_fields(df: DataFrame, expected: dict[str, int], train: list[int], evaluation: list[int], counts: dict[int, int] | None = None, views: str = "views") -> DataFrame:
+    """The rest of the manifest as rows (field, name, value): what was produced, what was expected, and what differs.
+
+    ``view_width`` (all widths that occur, ascending), ``missing_view`` (expected and never produced), ``train_period`` and
+    ``eval_period`` with their rows, and ``problem``: another width than expected, another number of rows than the metadata of a
+    period (``counts``) says.  ``df`` has (period, views map); only its widths and periods are aggregated.
+    """
+    spark = df.sparkSession
+    widths = df.select(F.explode(views).alias("view", "vec")).groupBy("view", F.size("vec").alias("width")).agg(F.count(F.lit(1)).alias("n"))
+    found: dict[str, list[int]] = {}
+    for r in sorted(widths.collect(), key=lambda r: (r["view"], r["width"])):  # a row per view and width
+        found.setdefault(r["view"], []).append(r["width"])
+    own = {r["period"]: r["n"] for r in df.where(F.col("period").isin([*train, *evaluation, *(counts or {})])).groupBy("period").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shown = {v: ",".join(map(str, w)) for v, w in found.items()}
+    rows = [("view_width", v, w) for v, w in shown.items()]
+    rows += [("missing_view", v, "") for v in sorted(expected) if v not in found]
+    rows += [(f"{name}_period", str(p), str(own.get(p, 0))) for name, periods in (("train", train), ("eval", evaluation)) for p in periods]
+    rows += [("problem", v, f"{shown[v]} instead of {w}") for v, w in sorted(expected.items()) if v in found and found[v] != [w]]
+    rows += [("problem", f"period {p}", f"{own.get(p, 0)} rows instead of {n}") for p, n in sorted((counts or {}).items()) if own.get(p, 0) != n]
+    return spark.createDataFrame(rows, "field string, name string, value string")
+
+
+def source_checksums(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, bytes, sha256) of the metadata files that a data set was built from."""
+    return spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def write_manifest(df: DataFrame, path: str) -> None:
     manifest_counts(df).coalesce(1).write.mode("overwrite").json(f"{path}/counts")
     manifest_checksums(df).coalesce(1).write.mode("overwrite").json(f"{path}/checksums")

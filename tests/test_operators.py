@@ -357,3 +357,39 @@ def test_bloom_filter_prunes_the_signature_scan(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_ablation_period_prefers_the_widest_gap_of_drift(spark):
+    from quorate.operators import reports as rs
+    det = spark.createDataFrame([(1, True, 0.9), (2, True, 0.5), (3, True, 0.5), (4, False, 2.0), (5, True, None)], "period int, drift_detected boolean, spectral_gap double")
+    rows = spark.createDataFrame([(1, 10), (2, 60), (3, 60), (4, 60), (5, 60)], "period int, n bigint")
+    assert tuple(rs.ablation_period(det, rows).first()) == (2, 0.5, True)
+    assert tuple(rs.ablation_period(det, rows, min_rows=100).first()) == (5, None, False)
+
+
+def test_pseudo_labels_by_the_models_of_each_period(spark):
+    from quorate.operators import drift as dr
+    rows = [(1, 1, [0.9, 0.8, 0.1]), (1, 0, [0.9, None, 0.1]), (2, 1, [0.9, 0.9, 0.9]), (3, 1, [0.2, 0.9, 0.9])]
+    scores = spark.createDataFrame(rows, "period int, y int, scores array<double>")
+    healthy = spark.createDataFrame([(1, [0, 1]), (2, [0]), (3, [1, 2])], "period int, healthy_models array<int>")
+    got = {r["period"]: tuple(r)[1:] for r in dr.pseudo_by_period(scores, healthy, 3).collect()}
+    assert got == {1: (2, 2, 1.0, 0.5), 2: (1, 0, 0.0, None), 3: (1, 1, 1.0, 1.0)}
+
+
+def test_validate_vectors_periods_and_offsets(spark):
+    from quorate.operators import corpus as co
+    df = spark.createDataFrame([(1, 1, [0.0, 0.0]), (0, 2, [0.0]), (1, 2, None)], "label int, period int, v array<double>")
+    offsets = spark.createDataFrame([(1, 0, 1), (2, 1, 5)], "period int, start bigint, count bigint")
+    got = {r["check"]: (r["ok"], r["detail"]) for r in co.validate(df, "v", [1], [7], offsets).collect()}
+    assert got["not_all_zero"] == (False, 3) and got["train_periods"] == (True, 1) and got["eval_periods"] == (False, 0) and got["offsets_total"] == (False, 6)
+    assert set(got) - {r["check"] for r in co.validate(df).collect()} == {"train_periods", "eval_periods", "offsets_total"}
+
+
+def test_manifest_names_what_differs(spark, tmp_path):
+    from quorate.sources import sinks as sk
+    df = spark.createDataFrame([(1, {"A": [1.0, 2.0]}), (1, {"A": [1.0], "B": [1.0]}), (2, {})], "period int, views map<string,array<double>>")
+    got = [tuple(r) for r in sk.manifest_fields(df, {"A": 2, "B": 1, "C": 9}, [1], [3], {1: 2, 2: 4}).collect()]
+    assert got == [("view_width", "A", "1,2"), ("view_width", "B", "1"), ("missing_view", "C", ""), ("train_period", "1", "2"), ("eval_period", "3", "0"), ("problem", "A", "1,2 instead of 2"), ("problem", "period 2", "1 rows instead of 4")]
+    (tmp_path / "meta.json").write_bytes(b"abc")
+    row = sk.source_checksums(spark, [str(tmp_path / "meta.json")]).first()
+    assert row["bytes"] == 3 and row["sha256"].startswith("ba7816bf")
