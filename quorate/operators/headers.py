@@ -23,8 +23,8 @@ def read_uint(content: Column, offset: Column | int, size: int) -> Column:
 
 
 def little_endian(value: Column, size: int) -> Column:
-    """Hex text of an integer in little-endian byte order."""
-    h = F.lpad(F.hex(value.cast("bigint")), 2 * size, "0")
+    """Hex text of an integer in little-endian byte order; a value too large for the field is written as the field's greatest."""
+    h = F.lpad(F.hex(F.least(value.cast("bigint"), F.lit((1 << 8 * size) - 1))), 2 * size, "0")
     return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(size))])
 
 

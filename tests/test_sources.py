@@ -219,3 +219,15 @@ def test_a_cluster_without_shared_folder_is_an_error():
     fake = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default)))
     with pytest.raises(ValueError):
         session.shared_dir(fake)
+
+
+def test_header_stamp_too_large_for_its_field_is_no_period(spark):
+    # the first 32 bits or the last 8 digits of these stamps would be a valid time
+    stamps = [1600000000, 1600000000 * 16 + 5, (1 << 32) + 1600000000]
+    df = spark.createDataFrame([(s,) for s in stamps], "stamp bigint").select("stamp", hd.little_endian(F.col("stamp"), 4).alias("h"))
+    head = header()
+    at = head.index(struct.pack("<I", 1_600_000_000))
+    spelled = {r["stamp"]: bytes.fromhex(r["h"]) for r in df.collect()}
+    files = spark.createDataFrame([(s, bytearray(head[:at] + spelled[s] + head[at + 4:])) for s in stamps], "stamp bigint, content binary")
+    got = {r["stamp"]: r["year"] for r in hd.header_period(files, "content").collect()}
+    assert got == {stamps[0]: 2020, stamps[1]: None, stamps[2]: None}
