@@ -362,7 +362,8 @@ def reweight(df: DataFrame, detected: Column, view_deltas: Column, dims: ModelDi
     uniform = (F.col("__n") > 1) & (F.sqrt("__var") / F.greatest("__mean", F.lit(1e-8)) < 0.25)
     out = out.withColumn("__raw", F.transform("__rel", lambda x: F.greatest(F.lit(1.0) - F.sqrt(x) * 0.4, F.lit(0.5 / k)))).withColumn("__sum", total("__raw"))
     weights = F.when(~detected | (F.col("__top") < 1e-6) | uniform, F.array_repeat(F.lit(1.0 / k), k)).otherwise(F.transform("__raw", lambda x: x / F.col("__sum")))
-    return out.withColumn(name, weights).drop("__i", "__top", "__rel", "__used", "__n", "__mean", "__var", "__raw", "__sum")
+    # generated as one column: a filter that the planner derives from a later explode would otherwise repeat all steps inside each other
+    return out.select(*[c for c in df.columns if c != name], F.explode(F.array(weights)).alias(name))
 
 
 def pseudo_labels(scores: DataFrame, healthy: list[int], size: int, thr: float = 0.85) -> DataFrame:

@@ -215,3 +215,12 @@ def test_ablations(spark, data):
     assert (b["detection_rate"] == 1.0).all() and b["false_alarm_rate"].between(0, 1).all()
     assert dr.separability(DIMS) == 0.0
     assert pd.notna(b["mean_r"]).all()
+
+
+def test_exploded_weights_are_computed_once(spark):
+    df = dr.reweight(spark.range(10), F.col("id") % 2 == 0, F.array(*[(F.col("id") % (i + 2)).cast("double") for i in range(len(DIMS.views))]), DIMS)
+    rows = df.select("id", F.posexplode("weights"))
+    assert rows.count() == 10 * DIMS.size
+    # no derived filter repeats the steps
+    filters = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in line]
+    assert not any("transform(" in line for line in filters)
