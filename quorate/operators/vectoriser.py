@@ -9,7 +9,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,17 +53,36 @@ def _zero(col: Column) -> Column:
     return F.coalesce(col.cast("double"), F.lit(0.0))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _hashed_bag(names: pd.Series, width: pd.Series) -> pd.Series:
-    """Cells of lists of names; adding into an array in place has no form as a column expression that stays linear in the names."""
-    out = []
-    for row, n in zip(names, width):
-        cells = np.zeros(n)
-        heads = [int(hashlib.md5(x.lower().encode()).hexdigest()[:8], 16) for x in row if x]
-        h = np.array(heads, dtype=np.int64)
-        np.add.at(cells, h % n, np.where(h >> 31 & 1, 1.0, -1.0))
-        out.append(cells)
-    return pd.Series(out)
+# cells of a batch that are counted at a time
+CELLS = 1 << 20
+
+
+def _heads(names: pa.Array) -> np.ndarray:
+    """The first 32 bits of the md5 of every name."""
+    return np.array([int.from_bytes(hashlib.md5(x.lower().encode()).digest()[:4], "big") for x in names.to_pylist()], dtype=np.int64)
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _hashed_bag(names: pa.Array, width: pa.Array) -> pa.Array:
+    """Cells of lists of names; adding into an array in place has no form as a column expression that stays linear in the names.
+
+    A batch hashes each of its different names once and counts all rows' cells together; empty and missing names count nowhere.
+    """
+    n = width[0].as_py() if len(width) else 1
+    flat = names.flatten()
+    rows = np.repeat(np.arange(len(names)), pc.fill_null(pc.list_value_length(names), 0).to_numpy(zero_copy_only=False))
+    known = pc.fill_null(pc.greater(pc.binary_length(flat), 0), False)
+    coded = flat.filter(known).dictionary_encode()
+    heads, codes = _heads(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
+    cell, sign = (heads % n)[codes], np.where(heads >> 31 & 1, 1.0, -1.0)[codes]
+    rows = rows[known.to_numpy(zero_copy_only=False)]
+    step, parts = max(1, CELLS // n), []
+    for lo in range(0, len(names), step):
+        hi = min(lo + step, len(names))
+        i, j = np.searchsorted(rows, [lo, hi])
+        parts.append(np.bincount((rows[i:j] - lo) * n + cell[i:j], weights=sign[i:j], minlength=(hi - lo) * n))
+    cells = np.concatenate(parts) if parts else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * n), pa.array(cells))
 
 
 def _bag(names: Column, n: int) -> Column:
@@ -110,7 +130,7 @@ def records(docs: DataFrame) -> DataFrame:
                  F.create_map(F.lit("magic"), F.lit("PE32"), F.lit("sizeof_code"), F.col("n_chars").cast("string")).alias("optional")).alias("header"),
         F.struct(F.col("source").alias("entry"), sec.alias("sections")).alias("section"),
         F.map_from_arrays(F.array(F.col("source"), F.col("lang")), F.array(words, F.array_distinct(words))).alias("imports"),
-        F.array_sort(F.array_distinct(words)).alias("exports"), F.array(F.struct(num(13).alias("size"), num(17).alias("virtual_address"))).alias("datadirectories"))
+        F.sort_array(F.array_distinct(words)).alias("exports"), F.array(F.struct(num(13).alias("size"), num(17).alias("virtual_address"))).alias("datadirectories"))
 
 
 def checksums(df: DataFrame) -> DataFrame:

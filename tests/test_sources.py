@@ -231,3 +231,20 @@ def test_header_stamp_too_large_for_its_field_is_no_period(spark):
     files = spark.createDataFrame([(s, bytearray(head[:at] + spelled[s] + head[at + 4:])) for s in stamps], "stamp bigint, content binary")
     got = {r["stamp"]: r["year"] for r in hd.header_period(files, "content").collect()}
     assert got == {stamps[0]: 2020, stamps[1]: None, stamps[2]: None}
+
+
+def test_names_are_hashed_once_per_batch(monkeypatch):
+    import hashlib
+
+    import pyarrow as pa
+    seen, heads = [], vz._heads
+    monkeypatch.setattr(vz, "_heads", lambda names: seen.extend(names.to_pylist()) or heads(names))
+    rows = [["a", "B", "a", "", None], None, [], ["b", "a"]] * 700
+    got = vz._hashed_bag.func(pa.array(rows, pa.list_(pa.string())), pa.array([1024] * len(rows))).to_pylist()
+    assert sorted(seen) == ["B", "a", "b"]
+    for row, cells in zip(rows, got):
+        want = np.zeros(1024)
+        for x in filter(None, row or []):
+            h = int(hashlib.md5(x.lower().encode()).hexdigest()[:8], 16)
+            want[h % 1024] += 1 if h >> 31 & 1 else -1
+        assert cells == want.tolist()
