@@ -6,8 +6,11 @@ bytes or byte pairs with a vectorised count, and everything after that is ordina
 
 from __future__ import annotations
 
+from typing import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,40 +31,53 @@ def chunks(df: DataFrame, key: str, content: str, size: int = CHUNK, overlap: in
     return df.select(key, F.posexplode(parts).alias("chunk", "part"))
 
 
-def _counted(parts: pd.Series, count) -> pd.DataFrame:
-    found = [count(np.frombuffer(b, dtype=np.uint8)) for b in parts]
-    return pd.DataFrame({"code": [c.astype(np.int32) for c, _ in found], "n": [n.astype(np.int64) for _, n in found]})
+def _counted(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """One row of parallel (code, n) arrays per part."""
+    ends = np.cumsum([0, *(len(c) for c, _ in found)]).astype(np.int32)
+    flat = lambda k, t: np.concatenate([f[k] for f in found]).astype(t) if found else np.empty(0, t)
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat(0, np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat(1, np.int64)))], names=["code", "n"])
+
 
+def _bytes_of(parts: pa.Array) -> Iterator[np.ndarray]:
+    """The bytes of every part, without copies."""
+    for b in parts:
+        yield np.frombuffer(b.as_buffer() or b"", dtype=np.uint8)
 
-@F.pandas_udf(CODE_COUNTS)
-def _byte_counts(parts: pd.Series) -> pd.DataFrame:
+
+@F.arrow_udf(CODE_COUNTS)
+def _byte_counts(parts: pa.Array) -> pa.Array:
     def count(a):
         c = np.bincount(a, minlength=256)
         at = np.flatnonzero(c)
         return at, c[at]
-    return _counted(parts, count)
+    return _counted([count(a) for a in _bytes_of(parts)])
 
 
-@F.pandas_udf(CODE_COUNTS)
-def _pair_counts(parts: pd.Series) -> pd.DataFrame:
-    def count(a):
-        wide = a.astype(np.int32)
-        return np.unique(wide[:-1] * 256 + wide[1:], return_counts=True)
-    return _counted(parts, count)
+def _pairs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes = a[:-1].astype(np.uint16) << 8 | a[1:]
+    if len(codes) > 4096:
+        c = np.bincount(codes, minlength=1 << 16)
+        at = np.flatnonzero(c)
+        return at.astype(np.int32), c[at]
+    return np.unique(codes, return_counts=True)
+
+
+@F.arrow_udf(CODE_COUNTS)
+def _pair_counts(parts: pa.Array) -> pa.Array:
+    return _counted([_pairs(a) for a in _bytes_of(parts)])
 
 
 def _head_counts(head: int):
     """Counts of bytes, those of the first ``head`` bytes of the content apart from the others (256 added to their code)."""
-    @F.pandas_udf(CODE_COUNTS)
-    def run(parts: pd.Series, places: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(CODE_COUNTS)
+    def run(parts: pa.Array, places: pa.Array) -> pa.Array:
         found = []
-        for b, place in zip(parts, places):
-            a = np.frombuffer(b, dtype=np.uint8)
+        for a, place in zip(_bytes_of(parts), places.to_pylist()):
             cut = min(max(head - place * CHUNK, 0), len(a))
             c = np.concatenate([np.bincount(a[:cut], minlength=256), np.bincount(a[cut:], minlength=256)])
             at = np.flatnonzero(c)
             found.append((at, c[at]))
-        return pd.DataFrame({"code": [c.astype(np.int32) for c, _ in found], "n": [n.astype(np.int64) for _, n in found]})
+        return _counted(found)
     return run
 
 

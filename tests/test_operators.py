@@ -422,3 +422,14 @@ def test_seeded_sample_is_the_ordered_prefix(spark):
     whole = [r["k"] for r in df.orderBy(seeded_order(F.col("k"), 42), "k").collect()]
     for n in (1, 700, 5000, 9000):
         assert [r["k"] for r in mo.seeded_sample(df, "k", n, 42).collect()] == whole[:n]
+
+
+def test_pair_counts_hold_one_array_per_batch():
+    import pyarrow as pa
+    parts = [b"", b"a", b"abab", bytes(range(256)) * 40, None]
+    got = ct._pair_counts.func(pa.array(parts, pa.binary()))
+    assert isinstance(got, pa.StructArray)
+    for b, row in zip(parts, got.to_pylist()):
+        a = np.frombuffer(b or b"", dtype=np.uint8).astype(int)
+        codes, n = np.unique(a[:-1] * 256 + a[1:], return_counts=True)
+        assert row == {"code": codes.tolist(), "n": n.tolist()}
