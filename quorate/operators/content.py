@@ -300,7 +300,7 @@ def encode(tokens: DataFrame, token: str, vocab: DataFrame, unk: int = 0) -> Dat
 def set_fingerprint(tokens: DataFrame, key: str, token: str, name: str = "fingerprint") -> DataFrame:
     """md5 of the sorted, lower-cased, comma-joined distinct names per key.
 
-    Names are made distinct before they are gathered, so an often repeated name costs one entry.
+    Names are gathered as sets before they are sent, so a key whose tokens come from one task moves once, as one row.
     """
-    uniq = tokens.select(key, F.lower(token).alias("__t")).where("__t <> ''").distinct()
-    return uniq.groupBy(key).agg(F.md5(F.array_join(F.array_sort(F.collect_list("__t")), ",").cast("binary")).alias(name))
+    names = F.collect_set(F.when(F.lower(token) != "", F.lower(token)))
+    return tokens.groupBy(key).agg(names.alias("__t")).where(F.size("__t") > 0).select(key, F.md5(F.array_join(F.sort_array("__t"), ",").cast("binary")).alias(name))

@@ -424,6 +424,14 @@ def test_seeded_sample_is_the_ordered_prefix(spark):
         assert [r["k"] for r in mo.seeded_sample(df, "k", n, 42).collect()] == whole[:n]
 
 
+def test_tokens_of_a_key_move_as_one_set(spark):
+    df = spark.createDataFrame([(1, "B"), (1, "a"), (1, "b"), (1, ""), (1, None), (2, "")], "k int, t string").repartition(3)
+    out = ct.set_fingerprint(df, "k", "t")
+    import hashlib
+    assert [tuple(r) for r in out.collect()] == [(1, hashlib.md5(b"a,b").hexdigest())]
+    assert ct.set_fingerprint(df, "k", "t")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_pair_counts_hold_one_array_per_batch():
     import pyarrow as pa
     parts = [b"", b"a", b"abab", bytes(range(256)) * 40, None]
