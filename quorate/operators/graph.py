@@ -117,15 +117,29 @@ def cycles(n: int, src: list[int], dst: list[int]) -> list[int]:
 
 
 def loops_of(functions: DataFrame) -> DataFrame:
-    """Add ``loops`` and ``largest_loop`` to rows (block_number, block_edges): cycles of one function's blocks, batch by batch."""
+    """Add ``loops`` and ``largest_loop`` to rows (block_number, block_edges): cycles of one function's blocks, batch by batch.
+
+    Many functions have the same small graph; a batch walks each different one once.
+    """
     import pyarrow as pa
     from pyspark.sql import types as T
 
     def run(batches):
         for b in batches:
             names = b.schema.names
-            counts, ends = b.column(names.index("block_number")).to_pylist(), b.column(names.index("block_edges")).to_pylist()
-            found = [cycles(n or 0, *(pair if pair and len(pair) == 2 and None not in pair else ([], []))) for n, pair in zip(counts, ends)]
+            counts, ends = b.column(names.index("block_number")).to_pylist(), b.column(names.index("block_edges"))
+            inner = ends.values
+            outer, cuts, flat = (x.to_numpy(zero_copy_only=False) for x in (ends.offsets, inner.offsets, inner.values))
+            there, whole = ends.is_valid().to_numpy(zero_copy_only=False), inner.is_valid().to_numpy(zero_copy_only=False)
+            walked: dict = {}
+            found = []
+            for i, n in enumerate(counts):
+                at = outer[i]
+                lo, mid, hi = cuts[at:at + 3] if there[i] and outer[i + 1] - at == 2 and whole[at:at + 2].all() else (0, 0, 0)
+                form = (n or 0, mid - lo, flat[lo:hi].tobytes())
+                if form not in walked:
+                    walked[form] = cycles(n or 0, flat[lo:mid].tolist(), flat[mid:hi].tolist())
+                found.append(walked[form])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(f) for f in found], pa.int32()), pa.array([max(f, default=0) for f in found], pa.int32())], names=[*names, "loops", "largest_loop"])
 
     return functions.mapInArrow(run, T.StructType([*functions.schema.fields, T.StructField("loops", T.IntegerType()), T.StructField("largest_loop", T.IntegerType())]))

@@ -424,6 +424,27 @@ def test_seeded_sample_is_the_ordered_prefix(spark):
         assert [r["k"] for r in mo.seeded_sample(df, "k", n, 42).collect()] == whole[:n]
 
 
+def test_equal_functions_are_walked_once(spark, monkeypatch):
+    calls, walk = [], gr.cycles
+    monkeypatch.setattr(gr, "cycles", lambda n, s, d: calls.append(n) or walk(n, s, d))
+    frame = spark.createDataFrame([], "block_number int, block_edges array<array<bigint>>")
+    rows = [(2, [[0, 1], [1, 0]]), (3, [[0], [1]]), (2, [[0, 1], [1, 0]]), (2, None), (1, [[0], [0]]), (2, [[0], None]), (None, []), (2, [[0, 1, 1], [1, 0, 1]])] * 50
+    got = []
+
+    class Frame:
+        schema = frame.schema
+
+        def mapInArrow(self, run, _):
+            import pyarrow as pa
+            t = pa.table({"block_number": pa.array([r[0] for r in rows], pa.int32()), "block_edges": pa.array([r[1] for r in rows], pa.list_(pa.list_(pa.int64())))})
+            for b in run([t.to_batches()[0].slice(1)]):
+                got.extend(zip(b.column(2).to_pylist(), b.column(3).to_pylist()))
+
+    gr.loops_of(Frame())
+    want = [[len(f), max(f, default=0)] for f in (walk(n or 0, *(e if e and None not in e else ([], []))) for n, e in rows[1:])]
+    assert [list(g) for g in got] == want and len(calls) <= 6
+
+
 def test_tokens_of_a_key_move_as_one_set(spark):
     df = spark.createDataFrame([(1, "B"), (1, "a"), (1, "b"), (1, ""), (1, None), (2, "")], "k int, t string").repartition(3)
     out = ct.set_fingerprint(df, "k", "t")
