@@ -25,6 +25,13 @@ def first_key(json: Column, keys: list[str]) -> Column:
     return F.coalesce(*[F.get_json_object(json, f"$.{k}") for k in keys])
 
 
+def first_keys(df: DataFrame, json: str, keys: dict[str, list[str]]) -> DataFrame:
+    """Add a column per name with the value of the first of its keys, as text; every text is parsed once for all of them."""
+    places = {k: f"__k{i}" for i, k in enumerate(dict.fromkeys(k for own in keys.values() for k in own))}
+    parsed = df.select(*df.columns, F.json_tuple(json, *places).alias(*places.values()))
+    return parsed.select(*df.columns, *[F.coalesce(*[F.col(places[k]) for k in own]).alias(name) for name, own in keys.items()])
+
+
 def normalise_probability(text: Column) -> Column:
     """Text to a probability: percent signs, values above one as percent, clamped to [0, 1], NULL if unreadable."""
     t = F.trim(text.cast("string"))
@@ -34,11 +41,9 @@ def normalise_probability(text: Column) -> Column:
     return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 
 
-def probability_of(json: Column) -> Column:
-    """Probability from any known key; a lone benign probability counts when the label says benign."""
-    direct = normalise_probability(first_key(json, PROBABILITY_KEYS))
-    benign = normalise_probability(first_key(json, BENIGN_PROBABILITY_KEYS))
-    label = F.lower(first_key(json, LABEL_KEYS[:-1]))
+def probability_of(probability: Column, benign: Column, label: Column) -> Column:
+    """Probability from the texts of any known key; a lone benign probability counts when the label says benign."""
+    direct, benign, label = normalise_probability(probability), normalise_probability(benign), F.lower(label)
     return F.coalesce(direct, F.when(label.isin("benign", "safe", "clean"), F.lit(1.0) - benign))
 
 
@@ -52,8 +57,8 @@ def normalise_verdict(flag: Column, label: Column, probability: Column, thr: flo
 
 def model_items(df: DataFrame, json: str, keep: list[str]) -> DataFrame:
     """One row (name, item) per model: the results may be an object, a list or scalars."""
-    body = first_key(F.col(json), RESULT_KEYS)
-    base = df.select(*keep, F.coalesce(body, F.lit("{}")).alias("__body"), body.isNull().alias("__none"), F.col(json).alias("__root"))
+    body = F.col("__results")
+    base = first_keys(df.select(*keep, json), json, {"__results": RESULT_KEYS}).select(*keep, F.coalesce(body, F.lit("{}")).alias("__body"), body.isNull().alias("__none"), F.col(json).alias("__root"))
     as_map = F.from_json("__body", "map<string,string>")
     as_list = F.from_json("__body", "array<string>")
     named = F.transform(F.map_entries(as_map), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("item")))
@@ -67,9 +72,10 @@ def model_items(df: DataFrame, json: str, keep: list[str]) -> DataFrame:
 
 
 def normalise(df: DataFrame, json: str, keep: list[str], thr: float = 0.5) -> DataFrame:
-    rows = model_items(df, json, keep).withColumn("probability", F.round(probability_of(F.col("item")), 4))
-    return rows.select(*keep, "name", "probability", normalise_verdict(
-        first_key(F.col("item"), FLAG_KEYS), first_key(F.col("item"), LABEL_KEYS), F.col("probability"), thr).alias("result"))
+    parts = {"__probability": PROBABILITY_KEYS, "__benign": BENIGN_PROBABILITY_KEYS, "__word": LABEL_KEYS[:-1], "__flag": FLAG_KEYS, "__label": LABEL_KEYS}
+    rows = first_keys(model_items(df, json, keep), "item", parts) \
+        .withColumn("probability", F.round(probability_of(F.col("__probability"), F.col("__benign"), F.col("__word")), 4))
+    return rows.select(*keep, "name", "probability", normalise_verdict(F.col("__flag"), F.col("__label"), F.col("probability"), thr).alias("result"))
 
 
 def read_model_responses(spark: SparkSession, path: str) -> DataFrame:

@@ -248,3 +248,14 @@ def test_names_are_hashed_once_per_batch(monkeypatch):
             h = int(hashlib.md5(x.lower().encode()).hexdigest()[:8], 16)
             want[h % 1024] += 1 if h >> 31 & 1 else -1
         assert cells == want.tolist()
+
+
+def test_responses_are_parsed_once_for_all_keys(spark):
+    rows = [(1, '{"models": {"a": {"score": "70%", "verdict": "Bad"}, "b": 0.2}}'), (2, '{"benign_prob": 0.9, "label": "clean"}'), (3, '{"Scores": [{"name": "n", "isMalware": true}, null, 55]}'),
+            (4, "not json"), (5, None), (6, '{"probability": null, "prob": 1.5, "Status": "SAFE "}')]
+    df = spark.createDataFrame(rows, "row_id int, value string")
+    out = rp.normalise(df, "value", ["row_id"])
+    assert "get_json_object(item" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["row_id"], r["name"]): (r["probability"], r["result"]) for r in out.collect()}
+    assert got[1, "a"] == (0.7, "malicious") and got[1, "b"] == (0.2, "benign") and got[2, "ensemble"] == (0.1, "benign")
+    assert got[3, "n"] == (None, "malicious") and got[3, "Model-3"] == (0.55, "malicious") and got[6, "ensemble"] == (0.015, "benign")
