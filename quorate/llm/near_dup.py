@@ -9,10 +9,10 @@ A document is the set of its distinct word shingles (lower-case A-Z, words are r
 3. Bands of places are hashed to keys; documents that share a key are candidates.  ``layout`` takes the most rows a band with which
    a pair at the threshold shares no key with a probability of at most MISS: 84 bands of 12 for 85 percent, 90 of 9 for 80.
 4. Links are confirmed on the full sets.  First every member of a bucket is held against the bucket's smallest member.
-   Buckets that are then not all of one component are looked at again: pairs from different components whose byte sketch
-   allows the threshold (five standard deviations of room) are confirmed as well, first each member's nearest one, then
-   all that still stand in different components.  A bucket is compared in blocks of BLOCK
-   members, each pair of blocks on its own, so a bucket of any size is whole and no task holds it all.
+   Buckets that are then not all of one component are looked at again: members with a partner in another component whose
+   byte sketch allows the threshold (five standard deviations of room) send their sets to the bucket, where all pairs from
+   different components are confirmed and only a forest of links leaves the task, never the pairs.  A bucket is compared in blocks
+   of BLOCK members, each pair of blocks on its own, so a bucket of any size is whole and no task holds it all.
 5. Components: union-find inside the tasks, then alternating large-star and small-star rounds between them.
 
 Defined cases: NULL, empty and blank texts have the empty set and link with nothing; fewer words than a shingle are one shingle
@@ -142,13 +142,17 @@ def _sets(width: int):
     return run
 
 
+def full_sets(docs: DataFrame, ids: DataFrame, count: int, width: int) -> DataFrame:
+    """(id, s): the whole set of every row of ``docs`` whose id is among the ``count`` distinct ``ids``."""
+    kinds = T.StructType([T.StructField("id", T.LongType()), T.StructField("s", T.BinaryType())])
+    return stored(semi_by_id(docs.select("doc_id", "text"), ids, "doc_id", count).mapInArrow(_sets(width), kinds))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold: 100 x intersection >= percent x union."""
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     count = ids.count()
-    sets = (semi_by_id(docs.select("doc_id", "text"), ids, "doc_id", count)
-            .mapInArrow(_sets(width), T.StructType([T.StructField("id", T.LongType()), T.StructField("s", T.BinaryType())])))
-    sets = stored(sets)
+    sets = full_sets(docs, ids, count, width)
 
     # ids are dealt into blocks; a pair belongs to the unit of its two blocks, and a set is sent once to each unit that asks for it
     blocks = max(16, -(-count // UNIT_SETS))
@@ -221,63 +225,81 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _cross(batches, nearest: bool, percent: int):
-    """Candidate pairs of each unit (two blocks of one bucket): different components, sizes and sketches that allow the threshold.
+def _units(batches):
+    """The rows of each unit (key, x, y), which stand together, as one table."""
+    held, unit = [], None
+    for b in batches:
+        key, x, y = (b.column(k).to_numpy() for k in (0, 1, 2))
+        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+            if lo == hi:
+                continue
+            name = (key[lo], x[lo], y[lo])
+            if name != unit and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            unit = name
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
 
-    ``nearest`` keeps, for every member outside the unit's largest component, only the partner with the closest sketch.
-    """
-    # the rows of a unit stand together; its rows so far are kept until the next unit begins
-    held, unit, s = [], None, percent / 100
 
-    def pairs(rows):
-        ids, comp, n, block, sk = (np.concatenate([r[k] for r in rows]) for k in range(5))
+def _near(batches, percent: int):
+    """Members of each unit (two blocks of one bucket) with a partner in another component whose size and sketch allow the threshold."""
+    s = percent / 100
+    # 1/256 of unequal bytes agree by chance; five standard deviations at the threshold
+    enough = SKETCH * (s - 5 * (s * (1 - s) / SKETCH) ** 0.5)
+    for unit in _units(batches):
+        ids, comp, n, block = (unit.column(k).to_numpy() for k in (3, 4, 5, 6))
         values, counts = np.unique(comp, return_counts=True)
         if len(values) < 2:
-            return None
+            continue
+        sk = np.frombuffer(b"".join(unit.column(7).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
         odd = np.flatnonzero(comp != values[counts.argmax()])
-        one = block.min() == block.max()
-        out = []
+        one, near = block.min() == block.max(), np.zeros(len(ids), dtype=bool)
         for lo in range(0, len(odd), 64):
             x = odd[lo:lo + 64]
             ok = (comp[x][:, None] != comp[None]) & (100 * np.minimum(n[x][:, None], n[None]) >= percent * np.maximum(n[x][:, None], n[None]))
             if not one:
                 ok &= block[x][:, None] != block[None]
             i, j = np.nonzero(ok)
-            if len(i):
-                same = np.concatenate([(sk[x[i[k:k + 50_000]]] == sk[j[k:k + 50_000]]).sum(axis=1) for k in range(0, len(i), 50_000)])
-                # 1/256 of unequal bytes agree by chance; five standard deviations at the threshold
-                good = same >= SKETCH * (s - 5 * (s * (1 - s) / SKETCH) ** 0.5)
-                if nearest:
-                    order = np.lexsort((ids[j], -same, i))
-                    order = order[good[order]]
-                    good = np.zeros(len(i), dtype=bool)
-                    good[order[np.append(True, i[order][1:] != i[order][:-1])[:len(order)]]] = True
-                out.append(np.stack([ids[x[i[good]]], ids[j[good]]], axis=1))
-        if not out:
-            return None
-        both = np.concatenate(out)
-        both.sort(axis=1)
-        both = np.unique(both, axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    for b in batches:
-        key, x, y = (b.column(k).to_numpy() for k in (0, 1, 2))
-        sk = np.frombuffer(b"".join(b.column(7).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
-        cols = [b.column(k).to_numpy() for k in (3, 4, 5, 6)]
-        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
-            if lo == hi:
+            for k in range(0, len(i), 50_000):
+                good = (sk[x[i[k:k + 50_000]]] == sk[j[k:k + 50_000]]).sum(axis=1) >= enough
+                near[x[i[k:k + 50_000][good]]] = True
+                near[j[k:k + 50_000][good]] = True
+        _, first = np.unique(ids[near], return_index=True)  # an id may have several sets
+        yield pa.RecordBatch.from_arrays([unit.column(k).combine_chunks().take(pa.array(np.flatnonzero(near)[first])) for k in (0, 1, 2, 3, 4, 6)], names=["key", "x", "y", "id", "comp", "block"])
+
+
+def _linked(batches, percent: int):
+    """Links of each unit on the full sets, as a forest over its components: fewer links than members, though every pair is looked at."""
+    for unit in _units(batches):
+        ids, comp, block = (unit.column(k).to_numpy() for k in (3, 4, 5))
+        sets = [np.frombuffer(r, dtype=np.uint64) for r in unit.column(6).to_pylist()]
+        n = np.array([len(v) for v in sets])
+        values, counts = np.unique(comp, return_counts=True)
+        if len(values) < 2:
+            continue
+        every, place = np.unique(np.concatenate(sets), return_inverse=True)
+        first, mark = np.cumsum(n) - n, np.zeros(len(every), dtype=bool)
+        one, a, b = block.min() == block.max(), [], []
+        root = comp.copy()
+        for x in np.flatnonzero(comp != values[counts.argmax()]).tolist():
+            ok = (root != root[x]) & (100 * np.minimum(n[x], n) >= percent * np.maximum(n[x], n))
+            j = np.flatnonzero(ok if one else ok & (block != block[x]))
+            if not len(j):
                 continue
-            name = (key[lo], x[lo], y[lo])
-            if name != unit and held:
-                found = pairs(held)
-                held = []
-                if found is not None:
-                    yield found
-            unit = name
-            held.append([c[lo:hi] for c in cols] + [sk[lo:hi]])
-    if held and (found := pairs(held)) is not None:
-        yield found
+            own = place[first[x]:first[x] + n[x]]
+            mark[own] = True
+            starts = np.cumsum(n[j]) - n[j]
+            both = np.add.reduceat(mark[place[np.repeat(first[j] - starts, n[j]) + np.arange(n[j].sum())]], starts, dtype=np.int64)
+            mark[own] = False
+            for k in j[100 * both >= percent * (n[x] + n[j] - both)].tolist():
+                if root[k] != root[x]:
+                    a.append(min(ids[x], ids[k]))
+                    b.append(max(ids[x], ids[k]))
+                    root[root == root[k]] = root[x]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _mixed_units(buckets: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -316,13 +338,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     comps = stored(components(links))
     # one row per set: an id with several sets is held against the others with each of them
     sizes = reps.groupBy(F.col("doc_id").alias("id"), "d1", "d2").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).drop("d1", "d2")
-    # nearest partners first: what they join needs no other pair, so the second look has few pairs left
-    for nearest in (True, False):
-        more = stored(_mixed_units(buckets, comps, sizes).mapInArrow(lambda batches, nearest=nearest: _cross(batches, nearest, percent), "a long, b long").distinct())
-        if more.isEmpty():
-            break
-        links = links.union(verified(more, docs, width, percent))
-        comps = stored(components(links))
+    # sketches tell which members may link; their whole sets go to the units and the links come back
+    near = stored(_mixed_units(buckets, comps, sizes).mapInArrow(lambda batches: _near(batches, percent), "key long, x int, y int, id long, comp long, block int"))
+    ids = stored(near.select(F.col("id").alias("doc_id")).distinct())
+    count = ids.count()
+    if count:
+        units = near.join(full_sets(docs, ids, count, width), "id").select("key", "x", "y", "id", "comp", "block", "s").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+        more = units.mapInArrow(lambda batches: _linked(batches, percent), "a long, b long").distinct()
+        comps = stored(components(links.union(more)))
 
     placed = signed.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "rep"))

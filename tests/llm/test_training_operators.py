@@ -536,3 +536,19 @@ def test_repeated_passages_odd_input(spark):
     got = {r.doc_id: r for r in suffix_dedup.dedup(odd(spark)).collect()}
     assert got[6].n_removed == got[6].n_bytes and got[1].n_bytes == 0 and got[4].n_removed == 0
     assert suffix_dedup.dedup(none(spark)).count() == 0
+
+
+def test_near_duplicates_send_no_pairs_of_a_group(spark, monkeypatch):
+    base = [f"w{i}" for i in range(400)]
+
+    def changed(i: int) -> list[str]:
+        places = random.Random(i).sample(range(399), 8)
+        return [f"x{i}p{p}" if p in places else w for p, w in enumerate(base)]
+
+    # copies that share buckets but stay below the threshold, and one beside copy 17 that reaches it
+    rows = [(i, " ".join(changed(i))) for i in range(1, 41)] + [(50, " ".join([*changed(17)[:-1], "y"]))]
+    seen, verified = [], near_dup.verified
+    monkeypatch.setattr(near_dup, "verified", lambda pairs, *more: seen.append(pairs.count()) or verified(pairs, *more))
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {i: c for i, (_, c) in plain_groups(rows, 3, 85).items()} == {i: 17 if i == 50 else i for i, _ in rows}
+    assert sum(seen) < 10 * len(rows)
