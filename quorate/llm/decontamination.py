@@ -45,6 +45,8 @@ from quorate.llm.common import with_arrays
 UNSPACED = ("\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3005-\u3007\u3031-\u3035\u3040-\u3130\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48f"
             "\ua9e0-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U00016fe0-\U00018dff\U0001aff0-\U0001b16f\U00020000-\U0003ffff")
 WORD = re.compile(rf"[^\W_{UNSPACED}]+|(?!_)[{UNSPACED}](?<=\w)")
+# ASCII texts need no search: letters in lower case and digits stay, all else becomes a blank
+PLAIN = str.maketrans({chr(c): chr(c).lower() if chr(c).isalnum() else " " for c in range(128)})
 MAX_EDITS = 0.2
 MIN_WORDS = 5
 SHORT = (2, 3, 4)  # words of the items that are found by exact match
@@ -199,32 +201,39 @@ class Index:
         if all(r[-1] == 0 for r in runs.values()):
             return []
         n = len(words)
+        # the count at the end goes on beyond it, for windows that reach there
+        most = max(longest for rules in self.rules.values() for _, longest, _ in rules)
+        ahead = {q: np.concatenate((r, np.full(most, r[-1], dtype=r.dtype))) for q, r in runs.items()}
         starts: dict[int, np.ndarray] = {}
+        some = np.zeros(n, dtype=bool)
         for s in self.sizes:
             good = np.zeros(n, dtype=bool)
             for q, longest, shared in self.rules[s]:
                 if runs[q][-1] >= shared:
-                    ends = np.minimum(np.arange(n) + longest, n)
-                    good |= runs[q][ends] - runs[q][:-1] >= shared
+                    good |= ahead[q][longest:longest + n] - runs[q][:-1] >= shared
             if good.any():
                 starts[s] = np.flatnonzero(good)
+                some |= good
         if not starts:
             return []
         found: dict[int, set[int]] = {}
-        every = np.unique(np.concatenate(list(starts.values())))
+        every = np.flatnonzero(some)
         steps = 2 * max(starts)
         for lo in range(0, len(every), max(1, CHUNK // steps)):
             part = every[lo:lo + max(1, CHUNK // steps)]
+            # all places are in order: those of a class are found by search, once for all walks
+            rows_of = {s: np.searchsorted(part, own[np.searchsorted(own, part[0]):np.searchsorted(own, part[-1], side="right")]) for s, own in starts.items()}
             for w in range(WALKS):
                 marks = walk(words, part, np.full(len(part), n), self.moves[w], steps)
-                for s, own in starts.items():
-                    rows = np.flatnonzero(np.isin(part, own, assume_unique=True))
+                for s, rows in rows_of.items():
                     if not len(rows):
                         continue
                     keys = self.keys(marks[rows], s, w).reshape(-1)
-                    left, right = np.searchsorted(self.table, keys), np.searchsorted(self.table, keys, side="right")
-                    for i in np.flatnonzero(right > left):
-                        for o in self.owners[left[i]:right[i]].tolist():
+                    left = np.searchsorted(self.table, keys)
+                    hit = np.flatnonzero(self.table[np.minimum(left, len(self.table) - 1)] == keys)
+                    right = np.searchsorted(self.table, keys[hit], side="right")
+                    for i, end in zip(hit.tolist(), right.tolist()):
+                        for o in self.owners[left[i]:end].tolist():
                             found.setdefault(o, set()).add(int(part[rows[i // samples(s)]]))
         spans: dict[int, list[tuple[int, int]]] = {}
         for o, at in found.items():
@@ -249,7 +258,9 @@ class Index:
                 stretches.append([a, b])
         best = None
         for a, b in stretches:
-            if np.isin(_grams(words[a:b], item.q), item.grams).sum() < item.shared:
+            grams = _grams(words[a:b], item.q)
+            at = np.minimum(np.searchsorted(item.grams, grams), len(item.grams) - 1)
+            if (item.grams[at] == grams).sum() < item.shared:
                 continue
             d, x, y = nearest_stretch(item.words, words[a:b])
             if d <= item.edits and (best is None or d < best[0]):
@@ -267,7 +278,8 @@ def _bitmap(grams: np.ndarray) -> np.ndarray:
 
 
 def hashed(text: str | None, cache: dict[str, int]) -> np.ndarray:
-    words = WORD.findall((text or "").lower())
+    text = text or ""
+    words = text.translate(PLAIN).split() if text.isascii() else WORD.findall(text.lower())
     for w in set(words).difference(cache):
         cache[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))

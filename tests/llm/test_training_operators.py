@@ -552,3 +552,12 @@ def test_near_duplicates_send_no_pairs_of_a_group(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
     assert got == {i: c for i, (_, c) in plain_groups(rows, 3, 85).items()} == {i: 17 if i == 50 else i for i, _ in rows}
     assert sum(seen) < 10 * len(rows)
+
+
+def test_words_of_ascii_texts_need_no_search(monkeypatch):
+    texts = ["a_b C9\x1cd\tE", "x\x00y", "don't A-B.c_d", "", *[chr(c).join("ab") for c in range(128)]]
+    want = [decontamination.WORD.findall(t.lower()) for t in texts]
+    monkeypatch.setattr(decontamination, "WORD", None)
+    for t, words in zip(texts, want):
+        cache = {}
+        assert len(decontamination.hashed(t, cache)) == len(words) and set(cache) == set(words)
