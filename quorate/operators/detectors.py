@@ -95,7 +95,8 @@ def reconstruction_error(df: DataFrame, axes: DataFrame, size: int, keep: list[s
 def reconstruction(cal: DataFrame, test: DataFrame, size: int, pct: float = 0.95) -> DataFrame:
     """Outlier share above the calibration percentile of the reconstruction error, or its mean shift."""
     axes = reliable_table(principal_axes(covariance(cal, size), size))
-    c = reconstruction_error(cal, axes, size, [])
+    # one number per row, read by every round of the percentile
+    c = reliable_table(reconstruction_error(cal, axes, size, []))
     base = c.agg(*_moments("error", 1e-6)).crossJoin(F.broadcast(ordering.percentiles(c, [], "error", {"limit": pct})))
     t = _one(reconstruction_error(test, axes, size, ["period"]), base)
     g = t.groupBy("period").agg(F.avg((F.col("error") > F.col("limit")).cast("double")).alias("outlier_ratio"),
@@ -129,7 +130,7 @@ def mask_variance_of(scores: DataFrame, size: int, seed: int, n: int = 30) -> Co
 
 def mask_variance(cal: DataFrame, test: DataFrame, size: int) -> DataFrame:
     """Share of rows above the calibration p90 of the masked variance, or its mean shift."""
-    c = cal.select(mask_variance_of(cal, size, 42).alias("v"))
+    c = reliable_table(cal.select(mask_variance_of(cal, size, 42).alias("v")))
     base = c.agg(*_moments("v", 1e-8)).crossJoin(F.broadcast(ordering.percentiles(c, [], "v", {"p90": 0.9})))
     t = _one(test.select("period", mask_variance_of(test, size, 123).alias("v")), base)
     g = t.groupBy("period").agg(F.avg((F.col("v") > F.col("p90")).cast("double")).alias("exceed_ratio"), ((F.avg("v") - F.first("cal_mean")) / F.first("cal_sd")).alias("shift"))
@@ -177,9 +178,9 @@ def centroid_distance(df: DataFrame, size: int, cls: int) -> Column:
 
 def centroid(cal: DataFrame, test: DataFrame, size: int) -> DataFrame:
     """Mean distance to the nearest class centroid and the share inside the calibration p90."""
-    cent = centroids(cal, size)
+    cent = reliable_table(centroids(cal, size))
     own = F.when(F.col("y") == 1, centroid_distance(cal, size, 1)).otherwise(centroid_distance(cal, size, 0))
-    c = _one(cal, cent).select(own.alias("z")).where("z is not null")
+    c = reliable_table(_one(cal, cent).select(own.alias("z")).where("z is not null"))
     base = c.agg(F.avg("z").alias("cal_mean"), F.greatest(F.stddev_pop("z"), F.lit(0.1)).alias("cal_sd")).crossJoin(F.broadcast(ordering.percentiles(c, [], "z", {"p90": 0.9})))
     rel = _one(c, base).agg(F.avg((F.col("z") < F.col("p90")).cast("double")).alias("cal_reliability"))
     near = F.least(centroid_distance(test, size, 0), centroid_distance(test, size, 1))

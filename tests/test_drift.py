@@ -224,3 +224,15 @@ def test_exploded_weights_are_computed_once(spark):
     # no derived filter repeats the steps
     filters = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in line]
     assert not any("transform(" in line for line in filters)
+
+
+def test_detector_measures_are_computed_once_per_row(spark, monkeypatch):
+    written, keep = [], de.reliable_table
+    monkeypatch.setattr(de, "reliable_table", lambda df: written.append(df.columns) or keep(df))
+    rows = [(i, i % 6 + 1, i % 2, [(i * p % 97) / 97 for p in (3, 5, 7, 11)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "sample_id long, period int, y int, scores array<double>")
+    cal, test = df.where("period <= 4"), df.where("period >= 5")
+    for fn, name in ((de.reconstruction, "error"), (de.mask_variance, "v"), (de.centroid, "z")):
+        written.clear()
+        assert fn(cal, test, 4).count() == 2
+        assert [name] in written
