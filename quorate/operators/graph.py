@@ -29,52 +29,95 @@ def graph_stats(edges: DataFrame, graph: str = "graph") -> DataFrame:
                                       ratio(F.col("leaves"), n).alias("leaf_share"), "self_loops", "back_edges", "max_out", "max_in", "std_out", "callees")
 
 
+LANES = 8  # words of 64 roots in one row, less where no graph has so many
+
+
+def _numbered(edges: DataFrame, graph: str) -> DataFrame:
+    """Add ``block``, ``place`` (below ``LANES`` * 64) and ``first`` to rows (graph, node, dst): the callers of a graph numbered through.
+
+    Rows are sorted by caller in range partitions, so a block's callers lie in one task and a partition leaves one block unfilled.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark import TaskContext
+    from pyspark.sql import types as T
+
+    def run(batches):
+        # block numbers of different partitions differ; ``at`` is the number of the last caller
+        base, at, last = TaskContext.get().partitionId() << 33, -1, None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for c in (b.column(0), b.column(1)):
+                x, y = c.slice(1), c.slice(0, n - 1)
+                new[1:] |= pc.coalesce(pc.not_equal(x, y), pc.xor(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False)
+            ends = [(b.column(0)[i].as_py(), b.column(1)[i].as_py()) for i in (0, n - 1)]
+            new[0] = ends[0] != last
+            number = at + np.cumsum(new)
+            at, last = int(number[-1]), ends[1]
+            size = LANES * 64
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((base + number) // size), pa.array((number % size).astype(np.int32)), pa.array(new)], names=[*b.schema.names, "block", "place", "first"])
+
+    kind = T.StructType([*edges.schema.fields, T.StructField("block", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("first", T.BooleanType())])
+    return edges.repartitionByRange(graph, "node").sortWithinPartitions(graph, "node").mapInArrow(run, kind)
+
+
 def graph_depth(edges: DataFrame, max_depth: int | None = None, fanout: int | None = None, roots: int | None = None, graph: str = "graph") -> DataFrame:
     """Greatest call depth per graph, from every caller along every callee; limits hold only where the caller sets them.
 
-    Breadth-first from 64 roots at a time: a node carries one word per block of roots, bit i set if root i has reached it.  A
-    round sends the new bits along the edges and removes those already there, so a node counts at its shortest distance and
-    a round has at most nodes x roots / 64 rows.  A root is as deep as the last round that brought one of its bits to a
-    new node.  Every round is written to the shared folder, which keeps plans flat.
+    Breadth-first from a block of roots at a time: a node carries one bit per root of the block, set if the root has reached it.
+    A round sends the new bits along the edges and removes those already there, so a node counts at its shortest distance and
+    a round has at most nodes x blocks rows.  After the first round only callees send bits, so later rounds see their edges alone.
+    A root brings its bit to a new node in every round up to its depth, so the bits of all rounds add up to the depths.
+    Every round is written to the shared folder, which keeps plans flat.
     """
-    from quorate.functions.columns import seeded_order
-    from quorate.operators.ordering import hash_digits, rank0
+    from functools import reduce
+
     from quorate.session import reliable_table
     per_node = Window.partitionBy(graph, "src").orderBy("dst")
     kept = edges.select(graph, "src", "dst").distinct()
     if fanout is not None:
         kept = kept.withColumn("__r", F.row_number().over(per_node)).where(F.col("__r") <= fanout)
     kept = reliable_table(kept.select(graph, F.col("src").alias("node"), "dst"))
-    start = kept.select(graph, F.col("node").alias("root")).distinct()
+    callers = kept
     if roots is not None:
-        start = start.withColumn("__r", F.row_number().over(Window.partitionBy(graph).orderBy("root"))).where(F.col("__r") <= roots).drop("__r")
-    # the place of a root is its rank by hash, which is found without bringing a graph together
-    start = start.withColumn("__h", seeded_order(F.col("root"), 0))
-    start = rank0(start, [graph], hash_digits(F.col("__h")), [F.col("__h"), F.col("root")], "__r")
-    start = reliable_table(start.select(graph, F.col("root").alias("node"), F.shiftright("__r", 6).alias("block"), (F.col("__r") % 64).cast("int").alias("bit")))
-    at = [graph, "block", "node"]
-    frontier = start.select(*at, F.expr("shiftleft(1L, bit)").alias("bits"))
-    seen, levels, level = frontier, [], 0
+        start = kept.select(graph, "node").distinct()
+        start = start.withColumn("__r", F.row_number().over(Window.partitionBy(graph).orderBy("node"))).where(F.col("__r") <= roots).drop("__r")
+        callers = kept.join(start, kept[graph].eqNullSafe(start[graph]) & kept["node"].eqNullSafe(start["node"]), "left_semi")
+    callers = reliable_table(_numbered(callers, graph))
+    per_graph = callers.groupBy(graph).agg(positive(F.col("first")).alias("roots"))
+    most = per_graph.agg(F.max("roots")).first()[0] or 0
+    lanes = range(min(LANES, max(1, -(-most // 64))))
+    callees = reliable_table(kept.select(graph, F.col("dst").alias("node")).distinct())
+    inner = reliable_table(kept.join(callees, [graph, "node"], "left_semi"))
+    at, zero = [graph, "block", "node"], F.lit(0).cast("bigint")
+    word = lambda i: F.when(F.shiftright("place", 6) == i, F.expr("shiftleft(1L, place % 64)")).otherwise(zero)
+    # a root itself is no new node; that matters where it is a callee
+    seen = callers.where("first").join(callees, [graph, "node"], "left_semi").select(*at, *[word(i).alias(f"had{i}") for i in lanes])
+    sent = callers.where(F.col(graph).isNotNull() & F.col("node").isNotNull()).select(graph, "block", F.col("dst").alias("node"), *[word(i).alias(f"new{i}") for i in lanes])
+    levels, level = [], 0
     while max_depth is None or level < max_depth:
         level += 1
-        step = frontier.join(kept, [graph, "node"]).groupBy(graph, "block", F.col("dst").alias("node")).agg(F.bit_or("bits").alias("bits"))
-        had = seen.select(*at, F.col("bits").alias("__had"))
-        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("__had", F.lit(0).cast("bigint"))))
-        frontier = reliable_table(step.join(had, at, "left").select(*at, fresh.alias("bits")).where("bits <> 0"))
+        both = sent.select(*at, *[f"new{i}" for i in lanes], *[zero.alias(f"had{i}") for i in lanes]).unionByName(seen.select(*at, *[zero.alias(f"new{i}") for i in lanes], *[f"had{i}" for i in lanes]))
+        both = both.groupBy(*at).agg(*[F.bit_or(f"{k}{i}").alias(f"{k}{i}") for k in ("new", "had") for i in lanes])
+        fresh = [F.col(f"new{i}").bitwiseAND(F.bitwise_not(f"had{i}")).alias(f"new{i}") for i in lanes]
+        state = reliable_table(both.select(*at, *fresh, *[F.col(f"new{i}").bitwiseOR(F.col(f"had{i}")).alias(f"had{i}") for i in lanes]))
+        frontier = state.where(reduce(lambda a, b: a | b, [F.col(f"new{i}") != 0 for i in lanes])).select(*at, *[f"new{i}" for i in lanes])
         if frontier.isEmpty():
             break
-        levels.append(frontier.groupBy(graph, "block").agg(F.bit_or("bits").alias("bits")).withColumn("level", F.lit(level)))
-        seen = reliable_table(seen.unionByName(frontier).groupBy(*at).agg(F.bit_or("bits").alias("bits")))
-    # per block of roots the last round of each bit: one row per block and round, 64 numbers each
-    if levels:
-        rounds = levels[0]
-        for more in levels[1:]:
-            rounds = rounds.unionByName(more)
-        last = rounds.select(graph, "block", "level", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"), "bits").where("getbit(bits, bit) = 1").groupBy(graph, "block", "bit").agg(F.max("level").alias("depth"))
-        per_root = start.join(last, [graph, "block", "bit"], "left").select(graph, F.coalesce("depth", F.lit(0)).alias("depth"))
-    else:
-        per_root = start.select(graph, F.lit(0).alias("depth"))
-    return per_root.groupBy(graph).agg(F.max("depth").alias("max_depth"), F.avg("depth").alias("mean_depth"))
+        levels.append(frontier.groupBy(graph, "block").agg(*[F.bit_or(f"new{i}").alias(f"new{i}") for i in lanes]).withColumn("level", F.lit(level)))
+        seen = state
+        # nodes of a block lie together, so their bits meet before the next shuffle
+        sent = frontier.repartition(graph, "block").join(inner, [graph, "node"]).select(graph, "block", F.col("dst").alias("node"), *[f"new{i}" for i in lanes])
+    if not levels:
+        return per_graph.select(graph, F.lit(0).alias("max_depth"), F.lit(0.0).alias("mean_depth"))
+    per_block = reduce(DataFrame.unionByName, levels)
+    depths = per_block.groupBy(graph).agg(F.max("level").alias("__m"), F.sum(reduce(lambda a, b: a + b, [F.bit_count(f"new{i}").cast("bigint") for i in lanes])).alias("__s"))
+    # a null graph has roots and no rounds
+    return per_graph.join(depths, graph, "left").select(graph, F.coalesce("__m", F.lit(0)).alias("max_depth"), (F.coalesce("__s", zero) / F.col("roots")).alias("mean_depth"))
 
 
 def cycles(n: int, src: list[int], dst: list[int]) -> list[int]:

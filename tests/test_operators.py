@@ -320,6 +320,20 @@ def test_graph_depth_of_more_roots_than_a_word(spark):
     assert {r["graph"]: r["max_depth"] for r in limited.collect()} == {"g": 4, "h": 2, "k": 0}
 
 
+def test_graph_depth_of_many_callers_that_nobody_calls(spark, monkeypatch):
+    from quorate import session
+    from quorate.operators import graph as gr
+    written, plain = [], session.reliable_table
+    monkeypatch.setattr(session, "reliable_table", lambda df: written.append(plain(df)) or written[-1])
+    edges = [("g", i, (i + 1) % 10) for i in range(10)] + [("g", 10 + r, (r + k) % 10) for r in range(600) for k in range(5)]
+    edges += [("c", 1, 2), ("c", 2, None), ("c", 1, None), ("n", None, 1), ("n", 1, None), (None, 1, 2)]
+    got = {r["graph"]: (r["max_depth"], round(r["mean_depth"], 6)) for r in gr.graph_depth(spark.createDataFrame(edges, "graph string, src bigint, dst bigint")).collect()}
+    # a null callee is one node, a null caller or graph leads nowhere
+    assert got == {"g": (9, round((600 * 6 + 10 * 9) / 610, 6)), "c": (1, 1.0), "n": (1, 0.5), None: (0, 0.0)}
+    # rounds hold the ten callees of "g" once per block of callers, not every caller
+    assert sum(df.count() for df in written) < 3 * len(edges)
+
+
 def test_arrow_table_functions_give_the_rows_of_the_lateral_ones(spark):
     from quorate.operators import extensions as ex
     ex.register_functions(spark)
