@@ -139,8 +139,8 @@ def ablate_batch(scores: DataFrame, dims: ModelDims, train: list[int], evaluatio
     base, calib = frozen_calibration(d.where(F.col("period").isin(train)), dims)
     side = F.when(F.col("period").isin(evaluation), "test").otherwise("clean")
     n = scores.withColumn("side", side).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
-    # a row is repeated only for the arms that drew it
-    rows = scores.withColumn("side", side).join(n, "side")
+    # a row is repeated only for the arms that drew it; the two counts go to the rows, whose side would bring half of them to one task
+    rows = scores.withColumn("side", side).join(F.broadcast(n), "side")
     u = lambda a: F.pmod(F.xxhash64(F.col(key), a["size"], a["rep"]), F.lit(1 << 30)).cast("double") / float(1 << 30)
     arms = F.filter(F.array(*[F.struct(F.lit(s).alias("size"), F.lit(r).alias("rep")) for s in sizes for r in range(repeats)]), lambda a: u(a) < a["size"] / F.col("n"))
     picked = rows.select("side", F.explode(arms).alias("arm"), "scores").select("side", "arm.size", "arm.rep", "scores")

@@ -217,6 +217,18 @@ def test_ablations(spark, data):
     assert pd.notna(b["mean_r"]).all()
 
 
+def test_batch_ablation_never_brings_a_side_to_one_task(spark, data):
+    import re
+    _, df = data
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = rs.ablate_batch(df, DIMS, [1, 2, 3, 4, 5, 6], [7], [100, 200], 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # only the two counts are dealt by side
+    assert len(re.findall(r"hashpartitioning\(side#\d+, \d+\)", plan)) == 1
+
+
 def test_exploded_weights_are_computed_once(spark):
     df = dr.reweight(spark.range(10), F.col("id") % 2 == 0, F.array(*[(F.col("id") % (i + 2)).cast("double") for i in range(len(DIMS.views))]), DIMS)
     rows = df.select("id", F.posexplode("weights"))
