@@ -155,23 +155,102 @@ def entropy_histogram(df: DataFrame, key: str, content: str, bins: int = 256) ->
     return counts.join(total, key).select(key, "bin", "n", (F.col("n") / F.col("__t")).alias("share"))
 
 
+# pair counts handed on together
+ENTRIES = 1 << 18
+
+
+def _summed(batches, counted) -> Iterator[tuple[pa.Array, list[np.ndarray], list[np.ndarray]]]:
+    """(keys, codes, counts), codes ascending, from ``counted(batch)`` (keys, code lists, count lists); neighbours of one key are summed."""
+    keys, codes, counts, held, size = [], [], [], False, 0
+
+    def close():
+        if isinstance(codes[-1], int):  # more than one row: the counts are one cell per code
+            codes[-1] = np.flatnonzero(counts[-1])
+            counts[-1] = counts[-1][codes[-1]]
+
+    for b in batches:
+        own, code, n = counted(b)
+        ends, code, n = code.offsets.to_numpy(), code.values.to_numpy(), n.values.to_numpy()
+        for i, key in enumerate(own.to_pylist()):
+            c, k = code[ends[i]:ends[i + 1]], n[ends[i]:ends[i + 1]]
+            if held and key == keys[-1]:
+                if not isinstance(codes[-1], int):
+                    cells = np.zeros(1 << 16, np.int64)
+                    cells[codes[-1]] = counts[-1]
+                    codes[-1], counts[-1] = 0, cells
+                counts[-1][c] += k
+                continue
+            if held:
+                close()
+            if size >= ENTRIES:
+                yield pa.array(keys, own.type), codes, counts
+                keys, codes, counts, size = [], [], [], 0
+            keys.append(key)
+            codes.append(c)
+            counts.append(k)
+            held, size = True, size + len(c)
+    if held:
+        close()
+        yield pa.array(keys, own.type), codes, counts
+
+
+def _from_pairs(df: DataFrame, key: str, content: str, finish, fields: str) -> DataFrame:
+    """Rows (key, ``fields``) that ``finish`` makes of the pair counts of whole keys: arrays (place of the key, code, n), codes ascending.
+
+    Content is counted to one row of parallel arrays before the only shuffle, which deals and sorts these rows by key.  No
+    task holds a table of counts: an array entry is a tenth of a row in such a table, and sorted rows can be spilled.
+    """
+    kind = df.schema[key]
+
+    def by_content(batches):
+        def counted(b):
+            c = _pair_counts.func(b.column(1))
+            return b.column(0), c.field(0), c.field(1)
+        # few parts at a time: their counts can be much larger than they are
+        few = (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512))
+        for keys, codes, counts in _summed(few, counted):
+            ends = pa.array(np.cumsum([0, *map(len, codes)]).astype(np.int32))
+            # content of one row is below 2 GB, so its counts are ints
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int32))) for x in (codes, counts)]
+            yield pa.RecordBatch.from_arrays([keys, *lists], names=[key, "code", "n"])
+
+    def by_key(batches):
+        for keys, codes, counts in _summed(batches, lambda b: b.columns):
+            place, *rest = finish(np.repeat(np.arange(len(keys)), [len(c) for c in codes]), np.concatenate(codes).astype(np.int64), np.concatenate(counts).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(place)), *[pa.array(x) for x in rest]], names=names)
+
+    out = T.StructType([kind, *T.StructType.fromDDL(fields).fields])
+    names = out.names
+    lists = T.StructType([kind, T.StructField("code", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
+    each = chunks(df, key, content, overlap=1).select(key, "part").mapInArrow(by_content, lists).where(F.size("code") > 0)
+    return each.repartition(key).sortWithinPartitions(key).mapInArrow(by_key, out)
+
+
 def transitions(df: DataFrame, key: str, content: str) -> DataFrame:
     """Counts of adjacent byte pairs (key, a, b, n)."""
-    c = _code_rows(chunks(df, key, content, overlap=1), key, _pair_counts("part")).where("code is not null")
-    return c.groupBy(key, "code").agg(F.sum("n").alias("n")).select(key, F.shiftright("code", 8).alias("a"), F.col("code").bitwiseAND(F.lit(255)).alias("b"), "n")
+    return _from_pairs(df, key, content, lambda at, code, n: (at, (code >> 8).astype(np.int32), (code & 255).astype(np.int32), n), "a int, b int, n bigint")
 
 
-def folded_bigrams(pairs: DataFrame, key: str) -> DataFrame:
+def folded_bigrams(df: DataFrame, key: str, content: str) -> DataFrame:
     """Pair counts folded to 256 cells by ``a xor b``, normalised."""
-    f = pairs.groupBy(key, F.col("a").bitwiseXOR(F.col("b")).alias("cell")).agg(F.sum("n").alias("n"))
-    t = f.groupBy(key).agg(F.sum("n").alias("__t"))
-    return f.join(t, key).select(key, "cell", (F.col("n") / F.col("__t")).alias("share"))
+    def finish(at, code, n):
+        cell, where = np.unique(at << 8 | (code >> 8) ^ (code & 255), return_inverse=True)
+        sums = np.zeros(len(cell), np.int64)
+        np.add.at(sums, where, n)
+        total = np.zeros(int(at[-1]) + 1, np.int64)
+        np.add.at(total, at, n)
+        return cell >> 8, (cell & 255).astype(np.int32), sums / total[cell >> 8]
+    return _from_pairs(df, key, content, finish, "cell int, share double")
 
 
-def row_entropy(pairs: DataFrame, key: str) -> DataFrame:
+def row_entropy(df: DataFrame, key: str, content: str) -> DataFrame:
     """Entropy of each row of the row-normalised transition matrix."""
-    n = F.col("n").cast("double")
-    return pairs.groupBy(key, "a").agg((F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n)).alias("h"))
+    def finish(at, code, n):
+        row = at << 8 | code >> 8
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        total = np.add.reduceat(n, first)
+        return at[first], (row[first] & 255).astype(np.int32), np.log2(total) - np.add.reduceat(n * np.log2(n), first) / total
+    return _from_pairs(df, key, content, finish, "a int, h double")
 
 
 def strings(df: DataFrame, key: str, content: str) -> DataFrame:

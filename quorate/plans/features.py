@@ -93,12 +93,12 @@ def transitions(spark, d):
 
 @query("agg_24_folded_bigrams", sql(BYTES, PAIRS, "select sample_id, xor(a,b)::integer as cell, round(sum(n)::double/sum(sum(n)) over (partition by sample_id)+1e-9::double,6) as share from pc group by 1,2"))
 def folded_bigrams(spark, d):
-    return nudged(ct.folded_bigrams(ct.transitions(contents(spark, d), "sample_id", "content"), "sample_id"), "share")
+    return nudged(ct.folded_bigrams(contents(spark, d), "sample_id", "content"), "share")
 
 
 @query("agg_24_row_entropy", sql(BYTES, PAIRS, f"select sample_id, a, round({_H.replace('n*log2(n)', 'n*log2(n::double)')},6)+0 as h from pc group by 1,2"))
 def row_entropy(spark, d):
-    e = ct.row_entropy(ct.transitions(contents(spark, d), "sample_id", "content"), "sample_id")
+    e = ct.row_entropy(contents(spark, d), "sample_id", "content")
     return e.select("sample_id", "a", (F.round("h", 6) + 0).alias("h"))
 
 

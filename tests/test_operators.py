@@ -467,6 +467,28 @@ def test_tokens_of_a_key_move_as_one_set(spark):
     assert ct.set_fingerprint(df, "k", "t")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+def test_pairs_of_long_and_repeated_keys_meet_without_a_table_of_counts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, rng.integers(0, 256, 200_000, dtype=np.uint8).tobytes()), (2, b"abab"), (2, b"abc"), (None, b"xyx"), (None, b"xy"), (3, b""), (4, None), (5, b"q"), (2, b"zz")]
+    df = spark.createDataFrame(rows, "sample_id bigint, content binary").repartition(3)
+    want = {}
+    for k, c in rows:
+        for a, b in zip(c or b"", (c or b"")[1:]):
+            want[k, a, b] = want.get((k, a, b), 0) + 1
+    pairs = ct.transitions(df, "sample_id", "content")
+    assert {(r["sample_id"], r["a"], r["b"]): r["n"] for r in pairs.collect()} == want and pairs.count() == len(want)
+    # counts are never grouped in memory
+    assert "HashAggregate" not in pairs._jdf.queryExecution().executedPlan().toString()
+    per, cells = {}, {}
+    for (k, a, b), n in want.items():
+        per.setdefault((k, a), []).append(n)
+        cells[k, a ^ b] = cells.get((k, a ^ b), 0) + n
+    entropies = {(r["sample_id"], r["a"]): r["h"] for r in ct.row_entropy(df, "sample_id", "content").collect()}
+    assert entropies == pytest.approx({k: -sum(n / sum(v) * np.log2(n / sum(v)) for n in v) for k, v in per.items()}, abs=1e-9)
+    shares = {(r["sample_id"], r["cell"]): r["share"] for r in ct.folded_bigrams(df, "sample_id", "content").collect()}
+    assert shares == pytest.approx({(k, c): n / sum(m for (o, _), m in cells.items() if o == k) for (k, c), n in cells.items()})
+
+
 def test_pair_counts_hold_one_array_per_batch():
     import pyarrow as pa
     parts = [b"", b"a", b"abab", bytes(range(256)) * 40, None]
