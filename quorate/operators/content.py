@@ -67,6 +67,10 @@ def _pair_counts(parts: pa.Array) -> pa.Array:
     return _counted([_pairs(a) for a in _bytes_of(parts)])
 
 
+def _pairs_of(parts: pa.Array, places: pa.Array) -> pa.Array:
+    return _pair_counts.func(parts)
+
+
 def _head_counts(head: int):
     """Counts of bytes, those of the first ``head`` bytes of the content apart from the others (256 added to their code)."""
     @F.arrow_udf(CODE_COUNTS)
@@ -81,12 +85,76 @@ def _head_counts(head: int):
     return run
 
 
-def _code_rows(df: DataFrame, key: str, counted: Column) -> DataFrame:
-    """(key, code, n) rows from a counting function; the counts are parallel arrays, so no object is built per code.
+# counts handed on together
+ENTRIES = 1 << 18
+
+
+def _summed(batches, counted) -> Iterator[tuple[pa.Array, list[np.ndarray], list[np.ndarray]]]:
+    """(keys, codes, counts), codes ascending, from ``counted(batch)`` (keys, code lists, count lists); neighbours of one key are summed."""
+    keys, codes, counts, held, size = [], [], [], False, 0
 
-    Content without any code keeps one row with NULLs, so no key is lost and none has to be joined back.
+    def close():
+        if isinstance(codes[-1], int):  # more than one row: the counts are one cell per code
+            codes[-1] = np.flatnonzero(counts[-1])
+            counts[-1] = counts[-1][codes[-1]]
+
+    for b in batches:
+        own, code, n = counted(b)
+        ends, code, n = code.offsets.to_numpy(), code.values.to_numpy(), n.values.to_numpy()
+        for i, key in enumerate(own.to_pylist()):
+            c, k = code[ends[i]:ends[i + 1]], n[ends[i]:ends[i + 1]]
+            if held and key == keys[-1]:
+                if not isinstance(codes[-1], int):
+                    cells = np.zeros(1 << 16, np.int64)
+                    cells[codes[-1]] = counts[-1]
+                    codes[-1], counts[-1] = 0, cells
+                counts[-1][c] += k
+                continue
+            if held:
+                close()
+            if size >= ENTRIES:
+                yield pa.array(keys, own.type), codes, counts
+                keys, codes, counts, size = [], [], [], 0
+            keys.append(key)
+            codes.append(c)
+            counts.append(k)
+            held, size = True, size + len(c) + 1
+    if held:
+        close()
+        yield pa.array(keys, own.type), codes, counts
+
+
+def _from_counts(df: DataFrame, key: str, content: str, count, finish, fields: str, overlap: int = 0) -> DataFrame:
+    """Rows (key, ``fields``) that ``finish`` makes of the code counts of whole keys: arrays (place of the key, code, n), codes ascending, and the number of keys.
+
+    ``count`` counts the codes of parts, given them and their places.
+
+    Content is counted to one row of parallel arrays before the only shuffle, which deals and sorts these rows by key.  No
+    task holds a table of counts: an array entry is far smaller than a row of such a table, and sorted rows can be spilled.
     """
-    return df.select(key, counted.alias("__c")).select(key, F.inline_outer(F.arrays_zip("__c.code", "__c.n")))
+    kind = df.schema[key]
+
+    def by_content(batches):
+        def counted(b):
+            c = count(b.column(1), b.column(2))
+            return b.column(0), c.field(0), c.field(1)
+        # few parts at a time: their counts can be much larger than they are
+        few = (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512))
+        for keys, codes, counts in _summed(few, counted):
+            ends = pa.array(np.cumsum([0, *map(len, codes)]).astype(np.int32))
+            arrays = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(t))) for x, t in ((codes, np.int32), (counts, np.int64))]
+            yield pa.RecordBatch.from_arrays([keys, *arrays], names=[key, "code", "n"])
+
+    def by_key(batches):
+        for keys, codes, counts in _summed(batches, lambda b: b.columns):
+            place, *rest = finish(np.repeat(np.arange(len(keys)), [len(c) for c in codes]), np.concatenate(codes).astype(np.int64), np.concatenate(counts).astype(np.int64), len(keys))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(place)), *[pa.array(x) for x in rest]], names=names)
+
+    out = T.StructType([kind, *T.StructType.fromDDL(fields).fields])
+    names = out.names
+    lists = T.StructType([kind, T.StructField("code", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.LongType()))])
+    each = chunks(df, key, content, overlap=overlap).select(key, "part", "chunk").mapInArrow(by_content, lists)
+    return each.repartition(key).sortWithinPartitions(key).mapInArrow(by_key, out)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -111,14 +179,14 @@ def _block_entropies(parts: pd.Series, places: pd.Series) -> pd.Series:
 
 def byte_counts(df: DataFrame, key: str, content: str) -> DataFrame:
     """(key, byte, n)"""
-    c = _code_rows(chunks(df, key, content), key, _byte_counts("part")).where("code is not null")
-    return c.groupBy(key, F.col("code").alias("byte")).agg(F.sum("n").alias("n"))
+    return _from_counts(df, key, content, lambda part, _: _byte_counts.func(part), lambda at, code, n, keys: (at, code.astype(np.int32), n), "byte int, n bigint")
 
 
 def byte_histogram(df: DataFrame, key: str, content: str) -> DataFrame:
     """Share of each byte value present in the content.  A key's total comes from its at most 256 counts."""
-    total = F.sum("n").over(Window.partitionBy(key))
-    return byte_counts(df, key, content).select(key, "byte", "n", (F.col("n") / total).alias("share"))
+    def finish(at, code, n, keys):
+        return at, code.astype(np.int32), n, n / np.bincount(at, n, keys)[at]
+    return _from_counts(df, key, content, lambda part, _: _byte_counts.func(part), finish, "byte int, n bigint, share double")
 
 
 def entropy(df: DataFrame, key: str, content: str, head: int = BLOCK) -> DataFrame:
@@ -126,12 +194,14 @@ def entropy(df: DataFrame, key: str, content: str, head: int = BLOCK) -> DataFra
 
     Every byte is looked at once: head and rest are counted apart, and their sums are the counts of the whole.
     """
-    parts = chunks(df, key, content)
-    counted = _code_rows(parts, key, _head_counts(head)("part", "chunk"))
-    own = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0)).cast("double")
-    per = counted.groupBy(key, F.pmod("code", F.lit(256)).alias("byte")).agg(own(F.col("code") < 256).alias("head"), own(F.col("code") >= 256).alias("tail")).withColumn("whole", F.col("head") + F.col("tail"))
-    h = lambda c: F.when(F.sum(c) > 0, F.log2(F.sum(c)) - F.sum(F.when(F.col(c) > 0, F.col(c) * F.log2(c)).otherwise(0.0)) / F.sum(c))
-    return per.groupBy(key).agg(*[F.coalesce(h(p), F.lit(0.0)).alias(p) for p in ("whole", "head", "tail")])
+    def finish(at, code, n, keys):
+        def h(at, n):
+            total = np.maximum(np.bincount(at, n, keys), 1.0)
+            return np.log2(total) - np.bincount(at, n * np.log2(n), keys) / total
+        cell, where = np.unique(at << 8 | code & 255, return_inverse=True)
+        first = code < 256
+        return np.arange(keys), h(cell >> 8, np.bincount(where, n, len(cell))), h(at[first], n[first]), h(at[~first], n[~first])
+    return _from_counts(df, key, content, _head_counts(head).func, finish, "whole double, head double, tail double")
 
 
 def block_entropies(df: DataFrame, key: str, content: str) -> DataFrame:
@@ -155,102 +225,30 @@ def entropy_histogram(df: DataFrame, key: str, content: str, bins: int = 256) ->
     return counts.join(total, key).select(key, "bin", "n", (F.col("n") / F.col("__t")).alias("share"))
 
 
-# pair counts handed on together
-ENTRIES = 1 << 18
-
-
-def _summed(batches, counted) -> Iterator[tuple[pa.Array, list[np.ndarray], list[np.ndarray]]]:
-    """(keys, codes, counts), codes ascending, from ``counted(batch)`` (keys, code lists, count lists); neighbours of one key are summed."""
-    keys, codes, counts, held, size = [], [], [], False, 0
-
-    def close():
-        if isinstance(codes[-1], int):  # more than one row: the counts are one cell per code
-            codes[-1] = np.flatnonzero(counts[-1])
-            counts[-1] = counts[-1][codes[-1]]
-
-    for b in batches:
-        own, code, n = counted(b)
-        ends, code, n = code.offsets.to_numpy(), code.values.to_numpy(), n.values.to_numpy()
-        for i, key in enumerate(own.to_pylist()):
-            c, k = code[ends[i]:ends[i + 1]], n[ends[i]:ends[i + 1]]
-            if held and key == keys[-1]:
-                if not isinstance(codes[-1], int):
-                    cells = np.zeros(1 << 16, np.int64)
-                    cells[codes[-1]] = counts[-1]
-                    codes[-1], counts[-1] = 0, cells
-                counts[-1][c] += k
-                continue
-            if held:
-                close()
-            if size >= ENTRIES:
-                yield pa.array(keys, own.type), codes, counts
-                keys, codes, counts, size = [], [], [], 0
-            keys.append(key)
-            codes.append(c)
-            counts.append(k)
-            held, size = True, size + len(c)
-    if held:
-        close()
-        yield pa.array(keys, own.type), codes, counts
-
-
-def _from_pairs(df: DataFrame, key: str, content: str, finish, fields: str) -> DataFrame:
-    """Rows (key, ``fields``) that ``finish`` makes of the pair counts of whole keys: arrays (place of the key, code, n), codes ascending.
-
-    Content is counted to one row of parallel arrays before the only shuffle, which deals and sorts these rows by key.  No
-    task holds a table of counts: an array entry is a tenth of a row in such a table, and sorted rows can be spilled.
-    """
-    kind = df.schema[key]
-
-    def by_content(batches):
-        def counted(b):
-            c = _pair_counts.func(b.column(1))
-            return b.column(0), c.field(0), c.field(1)
-        # few parts at a time: their counts can be much larger than they are
-        few = (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512))
-        for keys, codes, counts in _summed(few, counted):
-            ends = pa.array(np.cumsum([0, *map(len, codes)]).astype(np.int32))
-            # content of one row is below 2 GB, so its counts are ints
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int32))) for x in (codes, counts)]
-            yield pa.RecordBatch.from_arrays([keys, *lists], names=[key, "code", "n"])
-
-    def by_key(batches):
-        for keys, codes, counts in _summed(batches, lambda b: b.columns):
-            place, *rest = finish(np.repeat(np.arange(len(keys)), [len(c) for c in codes]), np.concatenate(codes).astype(np.int64), np.concatenate(counts).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(place)), *[pa.array(x) for x in rest]], names=names)
-
-    out = T.StructType([kind, *T.StructType.fromDDL(fields).fields])
-    names = out.names
-    lists = T.StructType([kind, T.StructField("code", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
-    each = chunks(df, key, content, overlap=1).select(key, "part").mapInArrow(by_content, lists).where(F.size("code") > 0)
-    return each.repartition(key).sortWithinPartitions(key).mapInArrow(by_key, out)
-
-
 def transitions(df: DataFrame, key: str, content: str) -> DataFrame:
     """Counts of adjacent byte pairs (key, a, b, n)."""
-    return _from_pairs(df, key, content, lambda at, code, n: (at, (code >> 8).astype(np.int32), (code & 255).astype(np.int32), n), "a int, b int, n bigint")
+    return _from_counts(df, key, content, _pairs_of, lambda at, code, n, keys: (at, (code >> 8).astype(np.int32), (code & 255).astype(np.int32), n), "a int, b int, n bigint", 1)
 
 
 def folded_bigrams(df: DataFrame, key: str, content: str) -> DataFrame:
     """Pair counts folded to 256 cells by ``a xor b``, normalised."""
-    def finish(at, code, n):
+    def finish(at, code, n, keys):
         cell, where = np.unique(at << 8 | (code >> 8) ^ (code & 255), return_inverse=True)
-        sums = np.zeros(len(cell), np.int64)
-        np.add.at(sums, where, n)
-        total = np.zeros(int(at[-1]) + 1, np.int64)
-        np.add.at(total, at, n)
-        return cell >> 8, (cell & 255).astype(np.int32), sums / total[cell >> 8]
-    return _from_pairs(df, key, content, finish, "cell int, share double")
+        sums = np.bincount(where, n, len(cell))
+        return cell >> 8, (cell & 255).astype(np.int32), sums / np.bincount(at, n, keys)[cell >> 8]
+    return _from_counts(df, key, content, _pairs_of, finish, "cell int, share double", 1)
 
 
 def row_entropy(df: DataFrame, key: str, content: str) -> DataFrame:
     """Entropy of each row of the row-normalised transition matrix."""
-    def finish(at, code, n):
+    def finish(at, code, n, keys):
         row = at << 8 | code >> 8
         first = np.flatnonzero(np.diff(row, prepend=-1))
+        if not len(first):
+            return at, code.astype(np.int32), n.astype(float)
         total = np.add.reduceat(n, first)
         return at[first], (row[first] & 255).astype(np.int32), np.log2(total) - np.add.reduceat(n * np.log2(n), first) / total
-    return _from_pairs(df, key, content, finish, "a int, h double")
+    return _from_counts(df, key, content, _pairs_of, finish, "a int, h double", 1)
 
 
 def strings(df: DataFrame, key: str, content: str) -> DataFrame:

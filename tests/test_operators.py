@@ -485,6 +485,14 @@ def test_pairs_of_long_and_repeated_keys_meet_without_a_table_of_counts(spark):
         cells[k, a ^ b] = cells.get((k, a ^ b), 0) + n
     entropies = {(r["sample_id"], r["a"]): r["h"] for r in ct.row_entropy(df, "sample_id", "content").collect()}
     assert entropies == pytest.approx({k: -sum(n / sum(v) * np.log2(n / sum(v)) for n in v) for k, v in per.items()}, abs=1e-9)
+    frames = [ct.byte_counts(df, "sample_id", "content"), ct.byte_histogram(df, "sample_id", "content"), ct.entropy(df, "sample_id", "content", 3)]
+    assert not any("HashAggregate" in f._jdf.queryExecution().executedPlan().toString() for f in frames)
+    assert {(r["sample_id"], r["byte"]): r["n"] for r in frames[0].collect() if r["sample_id"] == 2} == {(2, 97): 3, (2, 98): 3, (2, 99): 1, (2, 122): 2}
+    assert {r["byte"]: r["share"] for r in frames[1].where("sample_id is null").collect()} == {120: 0.6, 121: 0.4}
+    whole = {r["sample_id"]: (r["whole"], r["head"], r["tail"]) for r in frames[2].collect()}
+    h = lambda *n: -sum(x / sum(n) * np.log2(x / sum(n)) for x in n)
+    assert set(whole) == {None, 1, 2, 3, 4, 5} and whole[3] == whole[4] == whole[5] == (0.0, 0.0, 0.0)
+    assert whole[2] == pytest.approx((h(3, 3, 1, 2), h(3, 2, 1, 2), 0.0)) and whole[None] == pytest.approx((h(3, 2), h(3, 2), 0.0))
     shares = {(r["sample_id"], r["cell"]): r["share"] for r in ct.folded_bigrams(df, "sample_id", "content").collect()}
     assert shares == pytest.approx({(k, c): n / sum(m for (o, _), m in cells.items() if o == k) for (k, c), n in cells.items()})
 
