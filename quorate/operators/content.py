@@ -1,7 +1,7 @@
 """Byte, string and token statistics of raw content.
 
 Content is cut into fixed chunks first, so one huge file spreads over many rows; a chunk is reduced to its distinct
-bytes or byte pairs with a vectorised count, and everything after that is ordinary aggregation.
+bytes or byte pairs with a vectorised count.  The counts of a key meet as sorted rows of arrays; see ``_from_counts``.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from typing import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 

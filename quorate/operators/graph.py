@@ -33,9 +33,9 @@ LANES = 8  # words of 64 roots in one row, less where no graph has so many
 
 
 def _numbered(edges: DataFrame, graph: str) -> DataFrame:
-    """Add ``block``, ``place`` (below ``LANES`` * 64) and ``first`` to rows (graph, node, dst): the callers of a graph numbered through.
+    """Add ``number`` and ``first`` to rows (graph, node, dst): callers numbered through, those of a graph next to each other.
 
-    Rows are sorted by caller in range partitions, so a block's callers lie in one task and a partition leaves one block unfilled.
+    Rows are sorted by caller in range partitions, so callers of near numbers lie in one task.  A graph may begin at any number.
     """
     import numpy as np
     import pyarrow as pa
@@ -44,7 +44,7 @@ def _numbered(edges: DataFrame, graph: str) -> DataFrame:
     from pyspark.sql import types as T
 
     def run(batches):
-        # block numbers of different partitions differ; ``at`` is the number of the last caller
+        # numbers of different partitions lie far apart; ``at`` is the last caller's in this one
         base, at, last = TaskContext.get().partitionId() << 33, -1, None
         for b in batches:
             n = b.num_rows
@@ -58,10 +58,9 @@ def _numbered(edges: DataFrame, graph: str) -> DataFrame:
             new[0] = ends[0] != last
             number = at + np.cumsum(new)
             at, last = int(number[-1]), ends[1]
-            size = LANES * 64
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((base + number) // size), pa.array((number % size).astype(np.int32)), pa.array(new)], names=[*b.schema.names, "block", "place", "first"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base + number), pa.array(new)], names=[*b.schema.names, "number", "first"])
 
-    kind = T.StructType([*edges.schema.fields, T.StructField("block", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("first", T.BooleanType())])
+    kind = T.StructType([*edges.schema.fields, T.StructField("number", T.LongType()), T.StructField("first", T.BooleanType())])
     return edges.repartitionByRange(graph, "node").sortWithinPartitions(graph, "node").mapInArrow(run, kind)
 
 
@@ -91,6 +90,8 @@ def graph_depth(edges: DataFrame, max_depth: int | None = None, fanout: int | No
     per_graph = callers.groupBy(graph).agg(positive(F.col("first")).alias("roots"))
     most = per_graph.agg(F.max("roots")).first()[0] or 0
     lanes = range(min(LANES, max(1, -(-most // 64))))
+    size = 64 * len(lanes)
+    callers = callers.withColumns({"block": F.expr(f"number div {size}"), "place": F.expr(f"cast(number % {size} as int)")})
     callees = reliable_table(kept.select(graph, F.col("dst").alias("node")).distinct())
     inner = reliable_table(kept.join(callees, [graph, "node"], "left_semi"))
     at, zero = [graph, "block", "node"], F.lit(0).cast("bigint")

@@ -334,6 +334,13 @@ def test_graph_depth_of_many_callers_that_nobody_calls(spark, monkeypatch):
     assert sum(df.count() for df in written) < 3 * len(edges)
 
 
+def test_graph_depth_of_many_small_graphs(spark):
+    from quorate.operators import graph as gr
+    edges = [(g, i, i + 1) for g in range(60) for i in range(g % 3 + 11)]
+    got = {r["graph"]: (r["max_depth"], r["mean_depth"]) for r in gr.graph_depth(spark.createDataFrame(edges, "graph int, src bigint, dst bigint"), max_depth=3).collect()}
+    assert got == {g: (3, (1 + 2 + 3 * (n - 2)) / n) for g in range(60) for n in [g % 3 + 11]}
+
+
 def test_arrow_table_functions_give_the_rows_of_the_lateral_ones(spark):
     from quorate.operators import extensions as ex
     ex.register_functions(spark)
