@@ -52,19 +52,24 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def drop_intermediate(spark: SparkSession) -> int:
-    """Delete the intermediate tables that this process wrote; frames built on them can't be read afterwards."""
+def drop_intermediate(spark: SparkSession, *paths: str) -> int:
+    """Delete the intermediate tables that this process wrote, or those given; frames built on them can't be read afterwards."""
     gone = 0
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in paths or [*_written]:
+        _written.remove(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return gone
 
 
-def reliable_table(df):
-    """Write a frame once into the shared folder and read it back: cuts lineage, survives lost executors, one pass."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quorate-{uuid.uuid4().hex}"
+def write_intermediate(df) -> str:
+    """Write a frame into the shared folder and return its path there."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/quorate-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def reliable_table(df):
+    """Write a frame once into the shared folder and read it back: cuts lineage, survives lost executors, one pass."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_intermediate(df))

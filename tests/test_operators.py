@@ -437,6 +437,76 @@ def test_neighbours_in_bounded_memory_and_ties_by_key(spark):
     assert mo.knn_classify(train, test, "sample_id").first()["probability"] == pytest.approx(0.2)
 
 
+def test_neighbours_from_all_training_rows(spark):
+    # more rows than the 50,000 that were once kept of them: every test row lies on one of its own label, with a row of the other label next to it
+    train = spark.range(60_000).select(F.col("id").alias("sample_id"), F.array(F.col("id").cast("double")).alias("vec"), (F.col("id") % 2).cast("int").alias("y"))
+    test = train.where("sample_id % 60 < 2").drop("y")
+    got = mo.knn_classify(train, test, "sample_id").agg(F.count("*").alias("n"), F.sum((F.col("prediction") == F.col("sample_id") % 2).cast("int")).alias("right"), F.min(F.abs(F.col("probability") - 0.5)).alias("sure")).first()
+    assert got["n"] == got["right"] == 2000 and got["sure"] > 0.499999
+
+
+def test_neighbours_in_rounds(spark, monkeypatch):
+    from quorate import session as se
+    g = np.random.default_rng(8)
+    width = 3
+    vecs = g.integers(0, 4, size=(700, width)).astype(float)  # many equal vectors and equal distances
+    vecs[350:] += g.normal(size=(350, width))
+    vecs[20:30] = vecs[5]
+    vecs[40:60, 1] = np.nan
+    keys = [None if i % 50 == 0 else int(i // 2) for i in g.permutation(700)]  # repeated and missing keys
+    y = [None if i % 31 == 0 else int(v) for i, v in enumerate(g.integers(0, 2, 700))]
+    rows = [(k, [None if np.isnan(c) else float(c) for c in v], h) for k, v, h in zip(keys, vecs, y)] + [(3, None, 1)]
+    tests = [(i, [float(c) for c in v]) for i, v in enumerate(g.integers(0, 4, size=(90, width)))] + [(None, [0.0, 1.0, 2.0]), (7, None)]
+    train = spark.createDataFrame(rows, "sample_id int, vec array<double>, y int").repartition(5)
+    test = spark.createDataFrame(tests, "sample_id int, vec array<double>").repartition(3)
+    whole = sorted(mo.knn_classify(train, test, "sample_id").collect(), key=str)
+    monkeypatch.setattr(mo, "BLOCK", 100 * 8 * width)
+    monkeypatch.setattr(mo, "SORTED", 20 * 8 * width)
+    monkeypatch.setattr(mo, "ROUND_ROWS", 16)
+    sizes, written = [len(v) for v, _ in mo.training_blocks(train, "sample_id", "y", "vec", 5)], len(se._written)
+    got = sorted(mo.knn_classify(train, test, "sample_id").collect(), key=str)
+    assert len(sizes) >= 4 and max(sizes) < 300 and len(se._written) == written + 1  # of the rounds' tables the last one stays
+    assert str(got) == str(whole) and len(got) == 91
+    # plainly: by distance (not a number last), key (none last) and label; a group that shares all of these has one result
+    for row in got:
+        if row["sample_id"] is None:
+            continue
+        d = np.sqrt(((vecs - np.array(tests[row["sample_id"]][1])) ** 2).sum(1))
+        near = sorted((np.inf if np.isnan(x) else x, k is None, k or 0, h == 1) for x, k, h in zip(d, keys, y))[:5]
+        w = np.array([1 / (n[0] + 1e-8) for n in near])
+        assert row["probability"] == pytest.approx((w * [n[3] for n in near]).sum() / w.sum())
+        assert row["prediction"] == int(row["probability"] > 0.5)
+    # without training rows there are no neighbours and no results; lengths must agree
+    assert mo.knn_classify(train.where("false"), test, "sample_id").collect() == []
+    with pytest.raises(ValueError, match="differ in length"):
+        mo.knn_classify(spark.createDataFrame([(1, [1.0], 0), (2, [1.0, 2.0], 1)], "sample_id int, vec array<double>, y int"), test, "sample_id")
+
+
+def test_nearest_in_blocks_and_odd_numbers():
+    def plain(x, pts, k):
+        with np.errstate(all="ignore"):
+            d = np.sqrt(((x[:, None] - pts[None]) ** 2).sum(2))
+        at = np.argsort(d, axis=1, kind="stable")[:, :k]
+        return at, np.take_along_axis(d, at, 1)
+
+    g = np.random.default_rng(4)
+    wild = g.normal(size=(2000, 4))
+    for value in (np.nan, np.inf, -np.inf, 1e200):
+        wild[g.random(wild.shape) < 0.02] = value
+    near = 1e6 + 1e-3 * g.normal(size=(2000, 4))  # far from zero and close together
+    for pts, x in ((wild, wild[:60] * 1.0), (near, near[:60] + 1e-4), (g.integers(0, 3, (2000, 4)).astype(float), g.integers(0, 3, (60, 4)).astype(float)), (wild[:3], wild[5:9])):
+        at, d = plain(x, pts, 7)
+        got = mo.nearest(x, pts, (pts ** 2).sum(1), 7)
+        assert np.array_equal(got[0], at) and np.array_equal(got[1], d, equal_nan=True)
+        far = np.empty((len(x), 0))
+        for lo, hi in ((0, 2), (2, 900), (900, 900), (900, 2000)):  # the first block has fewer points than neighbours
+            block = pts[lo:hi]
+            if len(block):
+                block = block[mo._first_of_equals(block, 7)]
+                far = mo.nearest(x, block, (block ** 2).sum(1), 7, far)[1]
+        assert np.array_equal(far, d, equal_nan=True)
+
+
 def test_seeded_sample_is_the_ordered_prefix(spark):
     from quorate.functions.columns import seeded_order
     df = spark.range(5000).withColumnRenamed("id", "k")
